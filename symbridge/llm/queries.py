@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from symbridge.llm.packing import op9_packing
+from symbridge.llm.quality import op8_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
 }
 ORACLES: dict[str, str] = {}
