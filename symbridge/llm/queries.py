@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symbridge.llm.decontamination import op2_decontamination
 from symbridge.llm.packing import op9_packing
 from symbridge.llm.pii import op6_personal_data
 from symbridge.llm.quality import op8_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op6_personal_data": op6_personal_data,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
