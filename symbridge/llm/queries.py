@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from symbridge.llm.decontamination import op2_decontamination
+from symbridge.llm.near_duplicates import op10_near_duplicates
 from symbridge.llm.packing import op9_packing
 from symbridge.llm.pii import op6_personal_data
 from symbridge.llm.quality import op8_quality_rules
@@ -16,5 +17,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_personal_data": op6_personal_data,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 ORACLES: dict[str, str] = {}
