@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from symbridge.llm.decontamination import op2_decontamination
+from symbridge.llm.licenses import op7_license_scan
 from symbridge.llm.near_duplicates import op10_near_duplicates
 from symbridge.llm.packing import op9_packing
 from symbridge.llm.pii import op6_personal_data
@@ -15,6 +16,7 @@ from symbridge.llm.quality import op8_quality_rules
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op6_personal_data": op6_personal_data,
+    "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
