@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from symbridge.llm import tool_calls
 from symbridge.llm.decontamination import op2_decontamination
 from symbridge.llm.licenses import op7_license_scan
 from symbridge.llm.near_duplicates import op10_near_duplicates
@@ -14,6 +15,7 @@ from symbridge.llm.pii import op6_personal_data
 from symbridge.llm.quality import op8_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_calls": tool_calls.op1_tool_calls,
     "op2_decontamination": op2_decontamination,
     "op6_personal_data": op6_personal_data,
     "op7_license_scan": op7_license_scan,
@@ -21,4 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_tool_calls": tool_calls.ORACLE,
+}
