@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symbridge.llm import tool_calls
+from symbridge.llm import tool_calls, warc
 from symbridge.llm.decontamination import op2_decontamination
 from symbridge.llm.licenses import op7_license_scan
 from symbridge.llm.near_duplicates import op10_near_duplicates
@@ -17,6 +17,7 @@ from symbridge.llm.quality import op8_quality_rules
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_calls": tool_calls.op1_tool_calls,
     "op2_decontamination": op2_decontamination,
+    "op3_warc": warc.op3_warc,
     "op6_personal_data": op6_personal_data,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
@@ -25,4 +26,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_tool_calls": tool_calls.ORACLE,
+    "op3_warc": warc.ORACLE,
 }
