@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from symbridge.llm import tool_calls, warc
 from symbridge.llm.decontamination import op2_decontamination
+from symbridge.llm.language_model import op5_language_model
 from symbridge.llm.licenses import op7_license_scan
 from symbridge.llm.near_duplicates import op10_near_duplicates
 from symbridge.llm.packing import op9_packing
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_calls": tool_calls.op1_tool_calls,
     "op2_decontamination": op2_decontamination,
     "op3_warc": warc.op3_warc,
+    "op5_language_model": op5_language_model,
     "op6_personal_data": op6_personal_data,
     "op7_license_scan": op7_license_scan,
     "op8_quality_rules": op8_quality_rules,
