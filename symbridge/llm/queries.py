@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symbridge.llm import tool_calls, warc
+from symbridge.llm import substrings, tool_calls, warc
 from symbridge.llm.decontamination import op2_decontamination
 from symbridge.llm.language_model import op5_language_model
 from symbridge.llm.licenses import op7_license_scan
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_calls": tool_calls.op1_tool_calls,
     "op2_decontamination": op2_decontamination,
     "op3_warc": warc.op3_warc,
+    "op4_substring_dedup": substrings.op4_substring_dedup,
     "op5_language_model": op5_language_model,
     "op6_personal_data": op6_personal_data,
     "op7_license_scan": op7_license_scan,
@@ -29,4 +30,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_tool_calls": tool_calls.ORACLE,
     "op3_warc": warc.ORACLE,
+    "op4_substring_dedup": substrings.ORACLE,
 }
