@@ -35,3 +35,30 @@ def components(links: DataFrame, a: str = "a", b: str = "b", cut: Callable[[Data
         label = new.select("node", "root")
         if new.where("old <> root").isEmpty():
             return label
+
+
+def linked_groups(links: DataFrame) -> DataFrame:
+    """(version, rva, number) of linked addresses: one number per connected group, 0, 1, .. by the group's smallest (version, address).
+
+    links: lver, lrva, rver, rrva; versions are orderable.
+    """
+    from symbridge.operators.lookups import dense_numbers
+
+    node = lambda side: F.struct(F.col(f"{side}ver").alias("version"), F.col(f"{side}rva").alias("rva"))
+    roots = components(links.select(node("l").alias("a"), node("r").alias("b")))
+    numbers = dense_numbers(roots.select(F.col("root.version").alias("_v"), F.col("root.rva").alias("_r")).distinct(), ["_v", "_r"])
+    return roots.select("node.*", F.col("root.version").alias("_v"), F.col("root.rva").alias("_r")).join(numbers, ["_v", "_r"]).select("version", "rva", "number")
+
+
+def pointer_closure(starts: DataFrame, words: DataFrame, slot: int = 8) -> DataFrame:
+    """All addresses that lead to the start set: ea - slot of every word whose value is in the set, until it grows no more.
+
+    starts (ea), words (ea, qword).
+    """
+    known = checkpointed(starts.select("ea").distinct())
+    edge = known
+    while not edge.isEmpty():
+        more = words.join(edge.select(F.col("ea").alias("qword")), "qword", "left_semi").select((F.col("ea") - slot).alias("ea")).distinct()
+        edge = checkpointed(more.join(known, "ea", "left_anti"))
+        known = checkpointed(known.unionAll(edge))
+    return known
