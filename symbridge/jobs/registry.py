@@ -30,16 +30,16 @@ VIEWS = {
     "uses": """SELECT o_custkey AS og_id, concat('f', CAST(o_custkey % 50 AS STRING), '.cpp') AS file, o_orderkey AS line, CASE WHEN o_orderkey % 3 = 0 THEN 'function' ELSE 'data_or_global' END AS kind FROM orders
         UNION ALL SELECT o_orderkey % 2500, concat('f', CAST(o_custkey % 50 AS STRING), '.cpp'), o_orderkey, 'function' FROM orders WHERE o_orderkey % 3 = 0""",
     "cmp": """SELECT o_orderkey AS csv_row, o_custkey AS og_id, o_custkey + 100000 AS ae_id,
-        CASE o_orderkey % 5 WHEN 0 THEN 'exact_semantics' WHEN 1 THEN 'strong' WHEN 2 THEN 'likely' WHEN 3 THEN 'review' ELSE 'suspect' END AS classification, (o_orderkey * 37 % 1000) / 1000.0 AS score
+        CASE o_orderkey % 5 WHEN 0 THEN 'exact_semantics' WHEN 1 THEN 'strong' WHEN 2 THEN 'likely' WHEN 3 THEN 'review' ELSE 'suspect' END AS classification, (o_orderkey * 37 % 1000) / 1e3 AS score
         FROM orders WHERE o_orderkey % 16 = 0""",
     "names": "SELECT c_custkey * 16 AS ea, concat(lower(c_mktsegment), '_', CAST(c_custkey AS STRING)) AS raw_name, c_name AS demangled FROM customer",
     "segs": "SELECT n_name AS name, CAST(n_nationkey * 700 AS BIGINT) AS start_ea, CAST(n_nationkey * 700 + 350 AS BIGINT) AS end_ea FROM nation",
     "words": "SELECT o_orderkey * 8 AS ea, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE o_custkey * 8 END AS qword FROM orders",
     "links": """SELECT 1 AS lver, c_custkey AS lrva, 2 AS rver, c_custkey - c_custkey % 3 AS rrva FROM customer WHERE c_nationkey < 20
         UNION ALL SELECT 2, c_custkey - c_custkey % 3, 3, (c_custkey - c_custkey % 3) - (c_custkey - c_custkey % 3) % 7 FROM customer WHERE c_nationkey < 10""",
-    "votesrc": """SELECT o_orderkey AS xref, o_custkey % 400 AS og_id, CAST(o_orderkey % 17 AS INT) AS pair_row, o_custkey % 5 AS candidate, (o_orderkey * 7919 % 1000) / 1000.0 AS score FROM orders
-        UNION ALL SELECT o_orderkey, o_custkey % 400, CAST(o_orderkey % 17 AS INT), (o_custkey + 1) % 5, (o_orderkey * 7907 % 1000) / 1000.0 FROM orders WHERE o_orderkey % 4 = 0""",
-    "cand": """SELECT o_custkey AS og_id, o_orderkey AS candidate, CAST(o_orderkey * 7919 % 97 AS INT) AS m, CAST(o_orderkey % 4 AS INT) AS n, (o_orderkey * 6007 % 1001) / 1000.0 AS s, o_orderkey % 11 = 0 AS flag FROM orders""",
+    "votesrc": """SELECT o_orderkey AS xref, o_custkey % 400 AS og_id, CAST(o_orderkey % 17 AS INT) AS pair_row, o_custkey % 5 AS candidate, (o_orderkey * 7919 % 1000) / 1e3 AS score FROM orders
+        UNION ALL SELECT o_orderkey, o_custkey % 400, CAST(o_orderkey % 17 AS INT), (o_custkey + 1) % 5, (o_orderkey * 7907 % 1000) / 1e3 FROM orders WHERE o_orderkey % 4 = 0""",
+    "cand": """SELECT o_custkey AS og_id, o_orderkey AS candidate, CAST(o_orderkey * 7919 % 97 AS INT) AS m, CAST(o_orderkey % 4 AS INT) AS n, (o_orderkey * 6007 % 1001) / 1e3 AS s, o_orderkey % 11 = 0 AS flag FROM orders""",
 }
 
 

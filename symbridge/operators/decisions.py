@@ -169,7 +169,7 @@ def apply_ids(files: DataFrame, resolved: DataFrame) -> DataFrame:
     j = files.join(maps, "file")
     token = lambda i: F.concat(F.lit(r"REL::ID\s*\(\s*"), i, F.lit(r"\s*\)"))
     olds = F.map_keys("ids")
-    there = lambda i: F.col("text").rlike(token(i))
+    there = lambda i: F.rlike("text", token(i))
     lost = F.exists(olds, lambda o: ~there(o) & ~there(F.element_at("ids", o)))
     # pieces between tokens, and the tokens' ids, zipped back together
     pieces, ids = F.split("text", r"REL::ID\s*\(\s*\d+\s*\)", -1), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))
