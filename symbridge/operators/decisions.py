@@ -175,4 +175,4 @@ def apply_ids(files: DataFrame, resolved: DataFrame) -> DataFrame:
     pieces, ids = F.split("text", r"REL::ID\s*\(\s*\d+\s*\)", -1), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))
     new = F.array_join(F.zip_with(pieces, ids, lambda p, i: F.concat(p, F.when(i.isNull(), "").otherwise(F.concat(F.lit("REL::ID("), F.coalesce(F.element_at("ids", i), i), F.lit(")"))))), "")
     text = F.when(lost, F.raise_error(F.concat(F.lit("a token stands in neither form in "), F.col("file"))).cast("string")).otherwise(new)
-    return j.select("file", text.alias("text"), F.size(F.filter(ids, lambda i: F.map_contains_key("ids", i))).alias("replaced"), F.size(F.filter(olds, lambda o: ~there(o) & there(F.element_at("ids", o)))).alias("already"))
+    return j.select("file", text.alias("_new"), F.size(F.filter(ids, lambda i: F.map_contains_key("ids", i))).alias("replaced"), F.size(F.filter(olds, lambda o: ~there(o) & there(F.element_at("ids", o)))).alias("already")).withColumnRenamed("_new", "text")
