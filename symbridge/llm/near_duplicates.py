@@ -201,20 +201,23 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, one row of each class (that of the smallest id) and the rows without a word."""
     names = docs.columns
     at = names.index("text")
-    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + ["_f1 long", "_f2 long", "_n int"])
+    mark = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in names))  # own columns begin with more underscores than any other
+    f1, f2, n, rep, same = (mark + c for c in ("f1", "f2", "n", "rep", "same"))
+    schema = ", ".join([f"`{c}` {t}" for c, t in docs.dtypes] + [f"{f1} long", f"{f2} long", f"{n} int"])
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, raw, offsets in slices(batch.column(at).cast(pa.large_string())):
                 grams, first = shingles(raw, offsets)
-                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *map(pa.array, set_prints(grams, first)), pa.array(np.diff(first), pa.int32())], names=[*names, "_f1", "_f2", "_n"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), *map(pa.array, set_prints(grams, first)), pa.array(np.diff(first), pa.int32())], names=[*names, f1, f2, n])
 
     _, sets = classes(docs, threshold)
     marked = docs.mapInArrow(prints, schema)
-    stays = sets.where("first").select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.col("rep").alias("_rep"), F.col("same").alias("_same"))
-    kept = marked.where("_n > 0").join(stays, ["_f1", "_f2"]).where(id_in() == F.col("_rep"))
-    twice = kept.where("_same > 1").dropDuplicates(["_f1", "_f2"])
-    return kept.where("_same = 1").select(names).unionAll(twice.select(names)).unionAll(marked.where("_n = 0").select(names))
+    stays = sets.where("first").select(F.col("f1").alias(f1), F.col("f2").alias(f2), F.col("rep").alias(rep), F.col("same").alias(same))
+    kept = marked.where(F.col(n) > 0).join(stays, [f1, f2]).where(id_in() == F.col(rep))
+    twice = kept.where(F.col(same) > 1).dropDuplicates([f1, f2])
+    own = [F.col(f"`{c}`") for c in names]
+    return kept.where(F.col(same) == 1).select(own).unionAll(twice.select(own)).unionAll(marked.where(F.col(n) == 0).select(own))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
