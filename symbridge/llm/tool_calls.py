@@ -2,8 +2,7 @@
 
 Calls and results of equal identifiers are first reduced to one row each (the smallest canonical JSON, with counts), so the hash join
 is one to one however often an identifier repeats. A call names the calls whose results it needs by `{"$ref": "<id>"}` values among
-its arguments; levels follow by rounds, each placing the calls whose needs are all placed (as many rounds as the longest chain), on
-checkpointed rows. Within a conversation (level, turn, call_id) is a topological order; results directly follow their calls.
+its arguments; levels follow by pointer doubling along chains and by rounds where calls need several others, on checkpointed rows. Within a conversation (level, turn, call_id) is a topological order; results directly follow their calls.
 Arguments are checked against a table of schemas (tool, field, type, required). Canonical JSON has its keys sorted and no spaces.
 
 Defined results: a null id: the call stands alone, unlinked ("missing_id"). Arguments that are null or not a JSON object:
@@ -66,17 +65,34 @@ def exchanges(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def levels(needs: DataFrame, calls: DataFrame) -> DataFrame:
     """(call_id, level): 0 without needs, else one more than the largest level needed; no row in or after a cycle.
 
-    needs is (call_id, needed), both among calls. A round drops the needs that the round before has met.
+    needs is (call_id, needed), both among calls. Chains of calls with one need each are shortened by pointer doubling, which leaves the
+    calls with none (level 0) or several; those are placed by rounds, each taking the calls whose needs all have levels.
     """
-    unmet = checkpointed(needs.distinct())
-    done = checkpointed(calls.select("call_id").join(unmet, "call_id", "left_anti").select("call_id", F.lit(0).alias("level")))
-    rounds = [done]
-    while not done.isEmpty():
-        left = checkpointed(unmet.join(done.select(F.col("call_id").alias("needed")), "needed", "left_anti").select("call_id", "needed"))
-        ready = unmet.select("call_id").distinct().join(left, "call_id", "left_anti")
-        done, unmet = checkpointed(ready.select("call_id", F.lit(len(rounds)).alias("level"))), left
-        rounds.append(done)
-    return reduce(DataFrame.unionAll, rounds)
+    needs = checkpointed(needs.distinct())
+    number = needs.groupBy("call_id").count()
+    chain = checkpointed(needs.join(number.where("count = 1").select("call_id"), "call_id").select("call_id", F.col("needed").alias("at"), F.lit(1).alias("far")))
+    doublings = chain.count().bit_length()
+    for _ in range(doublings):  # what is not at an end of its chain by then is in or after a cycle
+        ahead = chain.select(F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"))
+        step = checkpointed(chain.join(ahead, "at", "left").select("call_id", F.coalesce("next", "at").alias("at"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moved")))
+        chain = step.drop("moved")
+        if step.where("moved").isEmpty():
+            break
+    placed = calls.select("call_id").join(number, "call_id", "left_anti").select("call_id", F.lit(0).alias("level"))
+    several = needs.join(number.where("count > 1").select("call_id"), "call_id").join(chain.withColumnRenamed("call_id", "needed"), "needed", "left")
+    unmet = checkpointed(several.select("call_id", F.coalesce("at", "needed").alias("at"), (F.coalesce("far", F.lit(0)) + 1).alias("far"), F.lit(None).cast("int").alias("level")))
+    rounds, done = [checkpointed(placed)], None
+    while not unmet.isEmpty():
+        done = rounds[-1]
+        met = unmet.join(done.select(F.col("call_id").alias("at"), F.col("level").alias("found")), "at", "left").select("call_id", "at", "far", F.coalesce("level", F.col("found") + F.col("far")).alias("level"))
+        met = checkpointed(met)
+        ready = checkpointed(met.groupBy("call_id").agg(F.max("level").alias("level"), F.every(F.col("level").isNotNull()).alias("all")).where("all").select("call_id", "level"))
+        if ready.isEmpty():
+            break
+        unmet = checkpointed(met.join(ready.select("call_id"), "call_id", "left_anti"))
+        rounds.append(ready)
+    anchors = reduce(DataFrame.unionAll, rounds)
+    return anchors.unionAll(chain.join(anchors.withColumnRenamed("call_id", "at"), "at").select("call_id", (F.col("level") + F.col("far")).alias("level")))
 
 
 def invalid(calls: DataFrame, schemas: DataFrame) -> DataFrame:
