@@ -46,7 +46,9 @@ def dictionary(pages: DataFrame) -> bytes:
     """A dictionary trained on a bounded sample of the payloads; empty if there is too little to learn from."""
     import zstandard
 
-    rows = pages.select(F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, SAMPLE_BYTES).alias("b"), "page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE).collect()
+    picked = pages.select("page_id").dropna().distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE)  # ids alone: every task sends its SAMPLE smallest
+    sized = F.substring(F.encode(F.coalesce("html", F.lit("")), "UTF-8"), 1, SAMPLE_BYTES)
+    rows = pages.join(F.broadcast(picked), "page_id").groupBy("page_id").agg(F.min(sized).alias("b")).orderBy("page_id").collect()
     samples = [bytes(r["b"]) for r in rows if r["b"]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 16 else b""
