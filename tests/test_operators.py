@@ -223,3 +223,70 @@ def test_slot_runs_bounds(spark):
     words = spark.createDataFrame([(8 * i, 1) for i in range(600)], "ea bigint, qword bigint")
     starts = spark.createDataFrame([(0,), (8 * 599,), (8 * 700,)], "start bigint")
     assert rows(profiles.slot_runs(starts, words, F.col("qword") > 0)) == [(0, 512), (4792, 1), (5600, 0)]
+
+
+def test_score_and_audit_workload(spark):
+    from symbridge.jobs import workloads
+
+    base = {"status": "ok", "size": 64, "raw_name": "Foo", "instruction_count": 4, "mnemonics": {"mov": 3, "ret": 1}, "instruction_shapes": {"mov:reg": 3}, "semantic_sha256": "h", "basic_block_count": 1, "cfg_edge_count": 0, "object_displacements": {"8": 1}}
+    from pyspark.sql.types import StructType
+
+    schema = StructType.fromDDL(listings.FUNCTION_RECORD)
+    fields = [f.name for f in schema["function"].dataType.fields]
+    make = lambda row, side, f: (None, row, f"n{row}", 16 * row, row, 32 * row, row + 100, side, tuple(f.get(k) for k in fields))
+    og = spark.createDataFrame([make(1, "og", base), make(2, "og", base), make(3, "og", {"status": "no_function"}), make(4, "og", base)], schema)
+    ae = spark.createDataFrame([make(1, "ae", base), make(2, "ae", base | {"semantic_sha256": "x", "size": 32, "object_displacements": {"16": 1}}), make(3, "ae", base)], schema)
+    got = {r["csv_row"]: r for r in workloads.score_pairs(og, ae).collect()}
+    assert (got[1]["classification"], got[1]["score"]) == ("exact_semantics", 1.0)
+    assert (got[2]["classification"], got[2]["score"]) == ("strong", round(1 - 0.04 - 0.05, 4))
+    assert (got[3]["classification"], got[3]["score"]) == ("unresolved", 0.0)
+    assert set(got) == {1, 2, 3}
+    source = spark.createDataFrame([("a.cpp", 1, "REL::ID(1) REL::ID(2)"), ("a.cpp", 2, "func_t REL::ID(9)")], "file string, line int, text string")
+    library = spark.createDataFrame([(0, 1, 16), (1, 2, 32)], "pos bigint, id bigint, rva bigint")
+    out = workloads.audit_sources(source, workloads.score_pairs(og, ae), library)
+    assert rows(out["uses"].select("og_id", "mapped", "classification")) == [(1, "yes", "exact_semantics"), (2, "yes", "strong"), (9, "no", "unmapped")]
+    assert rows(out["unmapped"]) == [(9, 1, "function", "a.cpp:2")]
+    assert rows(out["coverage"].select("og_id", "status")) == [(1, "resolved"), (2, "resolved"), (9, "missing")]
+    assert rows(out["changes"].select("og_id", "og_only_offsets", "ae_only_offsets")) == [(2, "0x8", "0x10")]
+
+
+def test_build_libraries(spark, tmp_path):
+    from symbridge.jobs import workloads
+
+    head = "x\n" * listings.HEADER_LINES
+    at = lambda v: f"{listings.IMAGE_BASE + v:X}"
+    (tmp_path / "1.1.0_1.2.0.txt").write_text(head + f"{at(1)}\t{at(10)}\n{at(2)}\t{at(20)}\textra\n{at(3)}\n")
+    (tmp_path / "1.2.0_1.3.0.txt").write_text(head + f"{at(10)}\t{at(100)}\n{at(77)}\t{at(100)}\n")
+    (tmp_path / "readme.txt").write_text("no")
+    got = rows(workloads.build_libraries(spark, f"file://{tmp_path}", new_folder(spark, "libraries")).select("version", "id", "rva"))
+    assert got == [("1-1-0-0", 0, 1), ("1-1-0-0", 1, 2), ("1-2-0-0", 0, 10), ("1-2-0-0", 0, 77), ("1-2-0-0", 1, 20), ("1-3-0-0", 0, 100)]
+
+
+def test_map_unmatched_workload(spark):
+    from symbridge.jobs import workloads
+
+    scored = spark.createDataFrame([(1, 50, 0.95, True, False), (1, 60, 0.5, False, False)], "og_id bigint, candidate bigint, score double, exact_hash boolean, mapped_to_other boolean")
+    access = spark.createDataFrame([(1, 1, 7, 50, 0.9), (2, 1, 7, 50, 0.95)], "xref bigint, og_id bigint, pair_row int, candidate bigint, score double")
+    data = spark.createDataFrame([(9, 2, 7, 70, 0.9, 0.9)], "xref bigint, og_id bigint, pair_row int, candidate bigint, score double, name_score double")
+    quality = spark.createDataFrame([(7, 0.9, True)], "pair_row int, pair_score double, exact boolean")
+    used = spark.createDataFrame([(1, "function"), (2, "data_or_global"), (3, "function"), (4, "function")], "og_id bigint, kinds string")
+    confirmed = spark.createDataFrame([(3, 90, "strong")], "og_id bigint, ae_rva bigint, classification string")
+    special = spark.createDataFrame([], "og_id bigint, ae_rva bigint, evidence string")
+    library = spark.createDataFrame([(0, 500, 50), (1, 700, 70), (2, 701, 70)], "pos bigint, id bigint, rva bigint")
+    overrides = listings.read_overrides(spark, None)
+    got = {r["og_id"]: r for r in workloads.map_unmatched(scored, access, data, quality, used, confirmed, special, library, overrides).collect()}
+    assert (got[1]["confidence_tier"], got[1]["official_ae_id"], got[1]["address_library_status"]) == ("high", 500, "resolved_unique")
+    assert (got[2]["evidence"], got[2]["official_ae_ids"]) == ("strong_name", "700,701")
+    assert (got[3]["evidence"], got[3]["address_library_status"]) == ("confirmed_csv_pair_strong", "rva_missing_from_address_library")
+    assert (got[4]["evidence"], got[4]["address_library_status"]) == ("no_function_candidate", "unresolved_candidate")
+
+
+def test_migrate_headers(spark):
+    from symbridge.jobs import workloads
+
+    source = spark.createDataFrame([("h", 1, "inline constexpr REL::ID A{ 1 };"), ("h", 2, "inline constexpr REL::ID Gone{ 2 };")], "file string, line int, text string")
+    parts = spark.createDataFrame([("A", 0, 16, 5), ("B", 0, 48, None)], "name string, slot int, rva bigint, id bigint")
+    library = spark.createDataFrame([(0, 1, 8), (1, 5, 16)], "pos bigint, id bigint, rva bigint")
+    lines, status = workloads.migrate_headers(source, parts, library)
+    assert rows(lines.select("line")) == [("inline constexpr std::array<REL::ID, 1> A{ REL::ID(5) };",), ("inline constexpr std::array<REL::Offset, 1> B{ REL::Offset(0x30) };",)]
+    assert rows(status.select("name", "status")) == [("A", "replace_with_ae_ids"), ("B", "new_in_ae_export"), ("Gone", "name_missing_and_old_id_absent")]
