@@ -25,7 +25,7 @@ def segments(spark: SparkSession) -> int:
 
 def buckets(docs: DataFrame) -> int:
     """One bucket for every few input partitions."""
-    return max(4, docs.rdd.getNumPartitions() // 3)
+    return max(4, docs.rdd.getNumPartitions() // 2)
 
 
 def bucket(n: int) -> Column:

@@ -29,10 +29,10 @@ from symbridge.llm.dictionaries import beside_answers, bucket, buckets, distinct
 from symbridge.llm.shared import id_in, id_out, materialise, table
 from symbridge.llm.textops import BASE, LOWER, Words, mixed, slices
 
-BITS = 10
+BITS = 8
 FILTER_BYTES = 128 << 20
 PROBES = 3
-FLUSH_WORDS = 2_000_000
+FLUSH_WORDS = 1_000_000
 
 #: The fingerprints of the end token and of a document's start.
 END, START = (int(x) for x in mixed(np.array([1, 2], np.uint64)))
@@ -107,8 +107,9 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1]
 
 
-def positions(keys: np.ndarray, level: np.ndarray | int, probe: int, bits: np.ndarray | int) -> np.ndarray:
-    return mixed(keys + np.asarray(level, np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(probe * 0x51_7C_C1_B7)) % np.asarray(bits, np.uint64)
+def positions(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
+    """The bit of each key for a level and probe, in filters of so many bits."""
+    return mixed(keys ^ mixed(np.array([level * PROBES + probe], np.uint64))) % np.asarray(bits, np.uint64)
 
 
 def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> bytes:
@@ -146,22 +147,24 @@ def _answer(most_bytes: int):
 class Filter:
     """Reads quantised counts: segment s of the key space has bits[first[s]:first[s + 1]]."""
 
-    def __init__(self, pieces: list[bytes]):
-        self.first = np.cumsum([0, *map(len, pieces)])
-        self.bits = np.frombuffer(b"".join(pieces), np.uint8)
-        self.shift = np.uint64(64 - (len(pieces) - 1).bit_length())
+    def __init__(self, sizes: list[int], pieces: Iterator[tuple[int, bytes]]):
+        self.first = np.cumsum([0, *sizes])
+        self.bits = np.zeros(int(self.first[-1]), np.uint8)
+        for segment, piece in pieces:  # one at a time: the driver never holds the filter twice
+            self.bits[self.first[segment] : self.first[segment + 1]] = np.frombuffer(piece, np.uint8)
+        self.shift = np.uint64(64 - (len(sizes) - 1).bit_length())
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The largest power of two whose level, and all below, hold each key; 0 if none does."""
         out, open_, level = np.zeros(len(keys)), np.arange(len(keys)), 1
-        while len(open_):
+        while len(open_) and level < 64:
             for probe in range(PROBES):
                 segment = keys[open_] >> self.shift
                 size = (self.first[segment + np.uint64(1)] - self.first[segment]) * 8
                 open_, segment, size = open_[size > 0], segment[size > 0], size[size > 0]
                 at = positions(keys[open_], level, probe, size)
                 byte = self.bits[self.first[segment] + (at >> np.uint64(3)).astype(np.int64)]
-                open_ = open_[(byte >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+                open_ = open_[((byte >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)) == 1]
             out[open_] = 2.0 ** (level - 1)
             level += 1
         return out
@@ -207,10 +210,11 @@ def score(docs: DataFrame, train) -> DataFrame:
     once, twice = (both["once"], both["twice"]) if both else (0, 0)
     discount = once / (once + 2 * twice) if once else 0.5
     share = both["kinds"] / both["total"] if both and both["total"] else 1.0
-    pieces = [b""] * n
-    for r in found.where(F.col("what") == PAIR).select("segment", "keys").collect():  # at most FILTER_BYTES
-        pieces[r["segment"]] = bytes(r["keys"])
-    held = spark.sparkContext.broadcast(Filter(pieces))
+    pieces = found.where(F.col("what") == PAIR)
+    sizes = [0] * n
+    for r in pieces.select("segment", F.length("keys").alias("size")).collect():  # one number a segment
+        sizes[r["segment"]] = r["size"]
+    held = spark.sparkContext.broadcast(Filter(sizes, ((r["segment"], r["keys"]) for r in pieces.select("segment", "keys").toLocalIterator())))  # at most FILTER_BYTES
     training = rows.where("train").count()
     answers = found.where(F.col("what") == ASK).select("bucket", "segment", "keys", F.col("counts").alias("values"))
     scored = beside_answers(rows, answers, ["_id", "text", "train"]).mapInArrow(
