@@ -131,20 +131,20 @@ class Index:
         found: list[tuple[int, int, int, int]] = []
         first = 0
         while first < len(p):
-            last = int(np.searchsorted(p, p[first] + w - self.q, "right"))
-            if last - first < least:
+            start = int(min(p[first], len(item) - w))
+            low, last = (int(x) for x in np.searchsorted(p, [start, start + w - self.q + 1]))
+            if last - low < least:
                 first += 1
                 continue
-            start = int(min(p[first], len(item) - w))
-            diagonal = int(np.median(d[first:last]))
+            diagonal = int(np.median(d[low:last]))
             if (hit := banded(item[start : start + w], at, start + diagonal, k)) is not None:
                 a, b, edits = hit
                 if found and a <= found[-1][1] + k and a >= found[-1][0]:
                     o = found.pop()
-                    found.append((o[0], max(o[1], b), max(o[2], edits), o[3] + last - first))
+                    found.append((o[0], max(o[1], b), max(o[2], edits), o[3] + max(0, last - first)))
                 else:
-                    found.append((a, b, edits, last - first))
-                first = last
+                    found.append((a, b, edits, last - low))
+                first = max(last, first + 1)
             else:
                 first += 1
         return found
