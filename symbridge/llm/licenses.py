@@ -151,3 +151,28 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> Dat
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def _oracle() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    listed = lambda words: "[" + ", ".join(map(quote, words)) + "]"
+    templates = ", ".join(f"({quote(label)}, {listed(sorted({w for w in template_words(t) if w}))})" for label, t in TEMPLATES)
+    phrases_ = ", ".join(f"({quote(label)}, {listed(p.split())})" for p, label in PHRASES.items())
+    low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    words = lambda text: f"list_filter(regexp_split_to_array({text}, '{NO_WORD}'), lambda x: x <> '')"
+    return f"""
+WITH d AS (SELECT doc_id, {low} AS low, {words(low)} AS w FROM documents),
+templates(label, tokens) AS (VALUES {templates}), phrases(label, tokens) AS (VALUES {phrases_}),
+places AS (SELECT doc_id, label, i - 1 AS at_word FROM d, phrases, unnest(range(1, len(w) + 1)) AS t(i) WHERE contains(low, 'license') AND list_slice(w, i, i + len(tokens) - 1) = tokens),
+lines AS (SELECT doc_id, {words("line")} AS w FROM d, unnest(string_split(low, chr(10))) AS t(line)),
+blocks AS (SELECT doc_id, list_slice(w, i + 1, i + {BLOCK}) AS b FROM lines, unnest(range(0, greatest(len(w), 1), {BLOCK - MOST_WORDS})) AS t(i)),
+hits AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), tokens)) / CAST(len(tokens) AS DOUBLE) AS share FROM blocks, templates),
+found AS (SELECT doc_id, label, max(share) AS share FROM hits WHERE share >= {CONTAINMENT} - 1e-9 GROUP BY 1, 2),
+labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM places) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_base, p.a AS first_word, p.b AS last_word, coalesce(p.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(f.score, 0.0) AS score
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n, min(at_word) AS a, max(at_word) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM places GROUP BY 1) p ON p.doc_id = d.doc_id
+LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, max(share) AS score FROM found GROUP BY 1) f ON f.doc_id = d.doc_id
+"""
+
+
+ORACLE = _oracle()

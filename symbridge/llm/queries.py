@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symbridge.llm import substrings, tool_calls, warc
+from symbridge.llm import licenses, near_duplicates, substrings, tool_calls, warc
 from symbridge.llm.decontamination import op2_decontamination
 from symbridge.llm.language_model import op5_language_model
 from symbridge.llm.licenses import op7_license_scan
@@ -31,4 +31,6 @@ ORACLES: dict[str, str] = {
     "op1_tool_calls": tool_calls.ORACLE,
     "op3_warc": warc.ORACLE,
     "op4_substring_dedup": substrings.ORACLE,
+    "op7_license_scan": licenses.ORACLE,
+    "op10_near_duplicates": near_duplicates.ORACLE,
 }
