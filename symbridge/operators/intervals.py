@@ -51,19 +51,14 @@ def nearest(keys: DataFrame, rows: DataFrame, key: str, at: str, forward: bool,
     payload = F.struct(*rows.columns)
     dealt = rows.select(spot(at).alias("_bucket"), F.col(at).alias("_at"), F.lit(1).alias("_is_row"), payload.alias("_row"), F.lit(None).cast(keys.schema).alias("_key"))
     edge = dealt.groupBy("_bucket").agg((F.min_by if forward else F.max_by)("_row", "_at").alias("_edge"))  # at most n rows
-    beyond = W.orderBy("_bucket")
-    carry = (
-        spark.range(n).select(F.col("id").cast("int").alias("_bucket")).join(edge, "_bucket", "left")
-        .select("_bucket", (F.first("_edge", True).over(beyond.rowsBetween(1, W.unboundedFollowing)) if forward else F.last("_edge", True).over(beyond.rowsBetween(W.unboundedPreceding, -1))).alias("_carry"))
-    )
+    # frames that only grow, so that each window is one pass: forward looks back along descending addresses
+    turn = F.desc if forward else F.asc
+    beyond = W.orderBy(turn("_bucket")).rowsBetween(W.unboundedPreceding, -1)
+    carry = spark.range(n).select(F.col("id").cast("int").alias("_bucket")).join(edge, "_bucket", "left").select("_bucket", F.last("_edge", True).over(beyond).alias("_carry"))
     asked = keys.select(spot(key).alias("_bucket"), F.col(key).alias("_at"), F.lit(0).alias("_is_row"), F.lit(None).cast(dealt.schema["_row"].dataType).alias("_row"), F.struct(*keys.columns).alias("_key"))
     mixed = asked.unionAll(dealt)
-    if forward:
-        window = W.partitionBy("_bucket").orderBy("_at", "_is_row").rowsBetween(W.currentRow, W.unboundedFollowing)
-        found = F.first("_row", True).over(window)
-    else:
-        window = W.partitionBy("_bucket").orderBy("_at", F.desc("_is_row")).rowsBetween(W.unboundedPreceding, W.currentRow)
-        found = F.last("_row", True).over(window)
+    window = W.partitionBy("_bucket").orderBy(turn("_at"), F.desc("_is_row")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = F.last("_row", True).over(window)
     hit = mixed.withColumn("_found", found).where("_is_row = 0").join(F.broadcast(carry), "_bucket", "left").withColumn("_found", F.coalesce("_found", "_carry"))
     if within is not None:
         hit = hit.withColumn("_found", F.when(F.abs(F.col(f"_found.{at}") - F.col("_at")) <= within, F.col("_found")))
