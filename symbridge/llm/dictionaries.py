@@ -56,14 +56,14 @@ def distinct(keys: list[bytes]) -> np.ndarray:
     return np.unique(np.concatenate([*(np.frombuffer(x, np.uint64) for x in keys), np.zeros(0, np.uint64)]))
 
 
-def beside_answers(docs: DataFrame, answers: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of each bucket, its answers first (kind 0, by segment), then its documents (kind 1).
+def beside_answers(docs: DataFrame, answers: DataFrame, columns: list[str], n: int) -> DataFrame:
+    """Rows of each of n buckets, a partition each, its answers first (kind 0, by segment), then its documents (kind 1).
 
     docs has bucket and columns, answers has bucket, segment, keys and values (binary).
     """
     left = answers.select("bucket", F.lit(0).alias("kind"), "segment", "keys", "values", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in columns))
     right = docs.select("bucket", F.lit(1).alias("kind"), F.lit(0).alias("segment"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), *columns)
-    return left.unionAll(right).repartition("bucket").sortWithinPartitions("bucket", "kind", "segment")
+    return left.unionAll(right).repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind", "segment")
 
 
 def streamed(batches: Iterator[pa.RecordBatch], value: np.dtype, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:

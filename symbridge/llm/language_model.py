@@ -199,9 +199,9 @@ def _score(held, total: int, kinds: int, docs: int, discount: float, share: floa
 
 def score(docs: DataFrame, train) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train is a Column: the model learns from these rows."""
-    spark, n = docs.sparkSession, segments(docs.sparkSession)
+    spark, n, n_buckets = docs.sparkSession, segments(docs.sparkSession), buckets(docs)
     rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
-    rows = rows.select("_id", "text", "train", bucket(buckets(docs)))
+    rows = rows.select("_id", "text", "train", bucket(n_buckets))
     counted = rows.select("text", "train", "bucket").mapInArrow(_count(n), _ROWS)
     found = materialise(counted.groupBy("segment").applyInPandas(_answer(FILTER_BYTES // n), _FOUND), "counts")
     stats = {r["what"]: r for r in found.where(F.col("what") < ASK).groupBy("what").agg(*(F.sum(c).alias(c) for c in ("total", "kinds", "once", "twice"))).collect()}
@@ -217,7 +217,7 @@ def score(docs: DataFrame, train) -> DataFrame:
     held = spark.sparkContext.broadcast(Filter(sizes, ((r["segment"], r["keys"]) for r in pieces.select("segment", "keys").toLocalIterator())))  # at most FILTER_BYTES
     training = rows.where("train").count()
     answers = found.where(F.col("what") == ASK).select("bucket", "segment", "keys", F.col("counts").alias("values"))
-    scored = beside_answers(rows, answers, ["_id", "text", "train"]).mapInArrow(
+    scored = beside_answers(rows, answers, ["_id", "text", "train"], n_buckets).mapInArrow(
         _score(held, total, kinds, training, discount, share), "_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.select(id_out(F.col("_id")).alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

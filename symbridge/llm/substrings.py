@@ -319,11 +319,11 @@ def removals(marked: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    n = segments(docs.sparkSession)
-    rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("_id", "text", F.xxhash64("text").alias("key"), bucket(buckets(docs)))
+    n, n_buckets = segments(docs.sparkSession), buckets(docs)
+    rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("_id", "text", F.xxhash64("text").alias("key"), bucket(n_buckets))
     asked = rows.select("text", "bucket").mapInArrow(_ask(n), _ASKED)
     answers = asked.groupBy("segment").applyInPandas(_repeated, "segment int, bucket int, keys binary, values binary")
-    marked = materialise(beside_answers(rows, answers, ["_id", "key", "text"]).mapInArrow(_mark, _MARKED), "marked")
+    marked = materialise(beside_answers(rows, answers, ["_id", "key", "text"], n_buckets).mapInArrow(_mark, _MARKED), "marked")
     runs = removals(marked).groupBy("_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the document
     rest = rows.select("_id", "key", "text").join(runs, ["_id", "key"]).select("_id", "key", "text", "runs").mapInArrow(_rest, "_id long, key long, n_removed long, kept string")
     rest = rest.groupBy("_id", "key").agg(F.max("n_removed").alias("n_removed"), F.max("kept").alias("kept"))
