@@ -29,13 +29,21 @@ def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda t, v: t + v)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two maps of counts; 1 if both are empty, 0 if one is or has norm 0."""
+def norm(counts: Column) -> Column:
+    return F.sqrt(_total(F.transform(F.map_values(counts), lambda v: v.cast("double") * v.cast("double"))))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Sum of products over the keys of a that b has; a is best the smaller map."""
+    return _total(F.transform(F.map_entries(a), lambda e: e["value"].cast("double") * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0)).cast("double")))
+
+
+def cosine(a: Column, b: Column, norms: tuple[Column, Column] | None = None) -> Column:
+    """Cosine of two maps of counts; 1 if both are empty, 0 if one is or has norm 0. norms: theirs, where a row meets many others."""
     empty = F.create_map().cast("map<string,bigint>")
     a, b = F.coalesce(a, empty), F.coalesce(b, empty)
-    dot = _total(F.map_values(F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)).cast("double") * F.coalesce(y, F.lit(0)).cast("double"))))
-    norm = lambda m: F.sqrt(_total(F.transform(F.map_values(m), lambda v: v.cast("double") * v.cast("double"))))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((norm(a) == 0) | (norm(b) == 0), 0.0).otherwise(dot / (norm(a) * norm(b)))
+    x, y = norms or (norm(a), norm(b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((x == 0) | (y == 0), 0.0).otherwise(dot(a, b) / (x * y))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from symbridge.functions.similarity import closeness, cosine, name_similarity
+from symbridge.functions.similarity import closeness, cosine, name_similarity, norm
 
 TOP = 10
 # The gates of whole-database candidates and of context votes.
@@ -29,9 +29,11 @@ def gated_candidates(targets: DataFrame, functions: DataFrame) -> DataFrame:
     close = (closeness(F.col("t_instruction_count"), F.col("f_instruction_count")) >= INSTRUCTION_GATE) & (closeness(F.col("t_size"), F.col("f_size")) >= SIZE_GATE)
     same = F.coalesce(F.col("t_semantic_sha256") == F.col("f_semantic_sha256"), F.lit(False))
     equal = t.join(f, F.col("t_semantic_sha256") == F.col("f_semantic_sha256"))
-    near = t.withColumn("_a", step(log(F.col("t_instruction_count"), 4))).withColumn("_b", step(log(F.col("t_size"), 5))).join(
-        f.withColumn("_a2", log(F.col("f_instruction_count"), 4)).withColumn("_b2", log(F.col("f_size"), 5)), (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))
-    ).where(~same & close & (cosine(F.col("t_mnemonics"), F.col("f_mnemonics")) >= MNEMONIC_GATE)).drop("_a", "_b", "_a2", "_b2")
+    empty = F.create_map().cast("map<string,bigint>")
+    own = lambda side: norm(F.coalesce(f"{side}_mnemonics", empty))
+    near = t.withColumn("_tn", own("t")).withColumn("_a", step(log(F.col("t_instruction_count"), 4))).withColumn("_b", step(log(F.col("t_size"), 5))).join(
+        f.withColumn("_fn", own("f")).withColumn("_a2", log(F.col("f_instruction_count"), 4)).withColumn("_b2", log(F.col("f_size"), 5)), (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))
+    ).where(~same & close & (cosine(F.col("t_mnemonics"), F.col("f_mnemonics"), (F.col("_tn"), F.col("_fn"))) >= MNEMONIC_GATE)).drop("_a", "_b", "_a2", "_b2", "_tn", "_fn")
     return equal.unionAll(near).unionAll(_by_name(t, f, close, same))
 
 
