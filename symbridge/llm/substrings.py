@@ -140,10 +140,17 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             whole = data.tobytes()
             n = np.diff(words.first)
             shas = [hashlib.sha256(whole[start[x] : end[y - 1]] if y > x else b"").hexdigest() for x, y in zip(words.first[:-1], words.first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a), pa.int32()), ids.slice(a, b - a), marks.slice(a, b - a), *(none(k, b - a) for k in range(3, 7)), pa.array(n, pa.int64()), pa.array(shas)], names=names)
+            mine = np.zeros(0, np.int64)
             if len(keys) and len(found.mini):
-                where = np.minimum(np.searchsorted(keys, found.mini), len(keys) - 1)
-                mine = np.flatnonzero(keys[where] == found.mini)
+                mine = np.flatnonzero(keys[np.minimum(np.searchsorted(keys, found.mini), len(keys) - 1)] == found.mini)
+            again = np.zeros(b - a, bool)
+            again[found.row[mine]] = True
+            # only a document that may lose words is kept with its text
+            kept = [whole[start[x] : end[y - 1]] if held else None for held, x, y in zip(again, words.first[:-1], words.first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(b - a), pa.int32()), ids.slice(a, b - a), marks.slice(a, b - a), *(none(k, b - a) for k in range(3, 6)), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(shas)], names=names
+            )
+            if len(mine):
                 first, last = found.first[mine], found.first[mine] + found.n[mine] + WINDOW - 2
                 texts = [whole[x:y] for x, y in zip(start[first].tolist(), end[last].tolist(), strict=True)]
                 row = pa.array(a + found.row[mine])
@@ -298,10 +305,10 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def removals(marked: DataFrame) -> DataFrame:
     """(_id, key, a, b): ranges of words covered by windows that start earlier elsewhere; marked has the segments (kind 1)."""
     place = F.struct("_id", "key", "start")
-    each = marked.where("kind = 1").select("_id", "key", "start", "n", "mini", "words", F.xxhash64("words").alias("same"))
-    firsts = each.groupBy("mini", "same").agg(F.min(F.struct("_id", "key", "start", "n", "words")).alias("f")).select("mini", "same", "f.*")
+    each = marked.where("kind = 1").select("_id", "key", "start", "n", "mini", "words", F.xxhash64("mini", "words").alias("same"))
+    firsts = each.groupBy("same").agg(F.min(F.struct("_id", "key", "start", "n", "mini", "words")).alias("f")).select("same", "f.*")
     firsts = materialise(firsts, "segments")
-    later = each.join(firsts.select("mini", "same", place.alias("place")), ["mini", "same"]).where(F.struct("_id", "key", "start") != F.col("place"))
+    later = each.select("_id", "key", "start", "n", "same").join(firsts.select("same", place.alias("place")), "same").where(F.struct("_id", "key", "start") != F.col("place"))
     hot = firsts.groupBy("mini").count().where(F.col("count") > HOT).select("mini", F.lit(True).alias("hot"))
     dealt = firsts.join(hot, "mini", "left")
     cold = dealt.where("hot IS NULL").select(F.col("mini").alias("route"), "_id", "key", "start", "words")
@@ -325,7 +332,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     answers = asked.groupBy("segment").applyInPandas(_repeated, "segment int, bucket int, keys binary, values binary")
     marked = materialise(beside_answers(rows, answers, ["_id", "key", "text"], n_buckets).mapInArrow(_mark, _MARKED), "marked")
     runs = removals(marked).groupBy("_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the document
-    rest = rows.select("_id", "key", "text").join(runs, ["_id", "key"]).select("_id", "key", "text", "runs").mapInArrow(_rest, "_id long, key long, n_removed long, kept string")
+    held = marked.where("kind = 0 AND words IS NOT NULL").select("_id", "key", "words")
+    rest = held.join(runs, ["_id", "key"]).select("_id", "key", "words", "runs").mapInArrow(_rest, "_id long, key long, n_removed long, kept string")
     rest = rest.groupBy("_id", "key").agg(F.max("n_removed").alias("n_removed"), F.max("kept").alias("kept"))
     whole = marked.where("kind = 0").select("_id", "key", "n_words", "sha")
     return whole.join(rest, ["_id", "key"], "left").select(id_out(F.col("_id")).alias("doc_id"), "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept", "sha").alias("kept_sha256"))
