@@ -1,10 +1,10 @@
-"""Language-model scoring with a log-frequency Bloom filter of quantised bigram counts, broadcast to the workers.
+"""Language-model scoring with a log-frequency Bloom filter of quantised bigram counts, one filter for each segment of the pairs.
 
-Training documents' words and pairs are counted over the whole corpus, by segments of the fingerprint space. Word counts stay exact
-and reach the documents through their bucket's dictionary. A pair counted c times enters the filter once for each level
-1 .. 1 + floor(log2 c); a probe asks for level after level until one is missing, so a count is read as a power of two not above it
-(or, rarely, above: a false positive). The filter takes `BITS` bits an entry and never more than `FILTER_BYTES`, the bound of what is
-broadcast: a larger corpus makes it denser, which raises false positives, and loses no pair.
+Training documents' words and pairs are counted over the whole corpus, by segments of the fingerprint space. Word counts stay exact.
+A pair counted c times enters its segment's filter once for each level 1 .. 1 + floor(log2 c); a probe asks for level after level until
+one is missing, so a count is read as a power of two not above it (or, rarely, above: a false positive). A filter takes `BITS` bits an
+entry, however many there are, so false positives do not rise with the corpus. Each bucket's distinct words and pairs are read in
+their segment and reach the documents through the bucket's dictionary; a pair without an entry there is one read as 1, the commonest.
 
 Probability of a token after another: max(c2 - d, 0) / c1 + d * r * p1, with p1 = (c + 1) / (N + V + 1), d the absolute discount from the
 numbers of pairs seen once and twice, and r the share of distinct pairs; p1 alone after an unseen token.
@@ -25,20 +25,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.llm.dictionaries import beside_answers, bucket, buckets, distinct, merged, packed, segments, streamed
+from symbridge.llm.dictionaries import beside_answers, bucket, buckets, packed, segments, streamed
 from symbridge.llm.shared import id_in, id_out, materialise, table
 from symbridge.llm.textops import BASE, LOWER, Words, mixed, slices
 
-BITS = 8
-FILTER_BYTES = 128 << 20
+BITS = 10
 PROBES = 3
 FLUSH_WORDS = 1_000_000
 
 #: The fingerprints of the end token and of a document's start.
 END, START = (int(x) for x in mixed(np.array([1, 2], np.uint64)))
-UNI, PAIR, ASK = 0, 1, 2
+UNI, PAIR, ANSWER = 0, 1, 2
 
-_ROWS = "segment int, what int, bucket int, keys binary, counts binary"
+#: counts: the bucket in the upper half, the number in training documents, which may be 0, in the lower.
+_ROWS = "segment int, what int, keys binary, counts binary"
 _FOUND = "segment int, what int, bucket int, keys binary, counts binary, total long, kinds long, once long, twice long"
 
 
@@ -63,41 +63,35 @@ def pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def _count(n_segments: int):
     names = [c.split()[0] for c in _ROWS.split(", ")]
+    shift = np.uint64(64 - (n_segments - 1).bit_length())
 
-    def flush(seen: list[np.ndarray], words: list[np.ndarray], both: list[np.ndarray], ask: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def flush(of: list[np.ndarray], train: list[np.ndarray], words: list[np.ndarray], both: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        group, mine = np.concatenate([*of, np.zeros(0, np.int64)]), np.concatenate([*train, np.zeros(0, bool)]).astype(np.int64)
         for what, lists in ((UNI, words), (PAIR, both)):
-            keys, counts = np.unique(np.concatenate([*lists, np.zeros(0, np.uint64)]), return_counts=True)
-            _, segment, k, c = packed(np.zeros(len(keys), np.int32), keys, counts.astype(np.int64), n_segments)
-            yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(np.full(len(k), what), pa.int32()), pa.array(np.full(len(k), -1), pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=names)
-        group, keys = np.concatenate([*seen, np.zeros(0, np.int32)]), np.concatenate([*ask, np.zeros(0, np.uint64)])
-        order = np.lexsort((keys, group))
-        group, keys = group[order], keys[order]
-        fresh = np.concatenate([[True], (group[1:] != group[:-1]) | (keys[1:] != keys[:-1])])[: len(keys)]
-        group, segment, k, c = packed(group[fresh], keys[fresh], None, n_segments)
-        yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(np.full(len(k), ASK), pa.int32()), pa.array(group[: len(k)], pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=names)
+            keys = np.concatenate([*lists, np.zeros(0, np.uint64)])
+            order = np.lexsort((keys, (keys >> shift).astype(np.int64) << 32 | group))
+            k, g = keys[order], group[order]
+            first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])[: len(k)])
+            counts = np.add.reduceat(mine[order], first) if len(first) else mine
+            _, segment, k, c = packed(np.zeros(len(first), np.int32), k[first], g[first] << 32 | counts, n_segments)
+            yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(np.full(len(k), what), pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, words, both, ask, n = [], [], [], [], 0
+        seen, mine, words, both, n = [], [], [], [], 0
         for batch in batches:
             train = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            of = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
+            of = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b, raw, at in slices(batch.column(0)):
                 row, token, before = tokens(raw, at)
-                # a bucket asks for each of its words once a slice
-                group = of[a:b][row]
-                order = np.lexsort((token, group))
-                g, t = group[order], token[order]
-                fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (t[1:] != t[:-1])])[: len(t)]
-                seen.append(g[fresh])
-                ask.append(t[fresh])
-                mine = train[a:b][row]
-                words.append(token[mine])
-                both.append(pairs(before[mine], token[mine]))
+                seen.append(of[a:b][row])
+                mine.append(train[a:b][row])
+                words.append(token)
+                both.append(pairs(before, token))
                 n += len(row)
                 if n >= FLUSH_WORDS:
-                    yield from flush(seen, words, both, ask)
-                    seen, words, both, ask, n = [], [], [], [], 0
-        yield from flush(seen, words, both, ask)
+                    yield from flush(seen, mine, words, both)
+                    seen, mine, words, both, n = [], [], [], [], 0
+        yield from flush(seen, mine, words, both)
 
     return run
 
@@ -112,10 +106,11 @@ def positions(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | int)
     return mixed(keys ^ mixed(np.array([level * PROBES + probe], np.uint64))) % np.asarray(bits, np.uint64)
 
 
-def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> bytes:
-    """The bits of a segment's filter."""
+def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> bytes:
+    """The bits of a segment's filter, of `BITS` an entry; denser only where most_bytes is given."""
     level = levels(counts)
-    size = max(1, min(most_bytes, -(-int(level.sum()) * BITS // 8)))
+    size = max(1, -(-int(level.sum()) * BITS // 8))
+    size = size if most_bytes is None else min(size, most_bytes)
     bits = np.zeros(size * 8, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         here = keys[level >= j]
@@ -124,24 +119,31 @@ def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _answer(most_bytes: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        segment, out = int(rows["segment"].iloc[0]), []
-        of = {w: rows[rows["what"] == w] for w in (UNI, PAIR, ASK)}
-        keys, counts = merged(of[UNI]["keys"].tolist(), of[UNI]["counts"].tolist())
-        out.append((segment, UNI, -1, None, None, int(counts.sum()), len(keys), 0, 0))
-        both, times = merged(of[PAIR]["keys"].tolist(), of[PAIR]["counts"].tolist())
-        out.append((segment, PAIR, -1, filled(both, times, most_bytes), None, int(times.sum()), len(both), int((times == 1).sum()), int((times == 2).sum())))
-        for b, asked in of[ASK].groupby("bucket")["keys"]:
-            want = distinct(asked.tolist())
-            found = np.zeros(len(want), np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                found = np.where(keys[at] == want, counts[at], 0)
-            out.append((segment, ASK, int(b), want.tobytes(), found.tobytes(), 0, 0, 0, 0))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
-
-    return run
+def _answer(rows: pd.DataFrame) -> pd.DataFrame:
+    segment, out, answers = int(rows["segment"].iloc[0]), [], []
+    for what in (UNI, PAIR):
+        of = rows[rows["what"] == what]
+        asked = np.concatenate([*(np.frombuffer(x, np.uint64) for x in of["keys"]), np.zeros(0, np.uint64)])
+        value = np.concatenate([*(np.frombuffer(x, np.int64) for x in of["counts"]), np.zeros(0, np.int64)])
+        keys, at = np.unique(asked, return_inverse=True)
+        counts = np.bincount(at, value & 0xFFFFFFFF, len(keys)).astype(np.int64)
+        out.append((segment, what, -1, None, None, int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
+        if what == PAIR:
+            piece = filled(keys[counts > 0], counts[counts > 0])
+            counts = Filter([len(piece)], iter([(0, piece)])).counts(keys).astype(np.int64)
+        counts = counts[at]
+        told = (counts != 1) | (what == UNI)
+        answers.append((value[told] >> 32, asked[told], counts[told]))
+    b, k, c = (np.concatenate(x) for x in zip(*answers, strict=True))
+    order = np.lexsort((k, b))
+    b, k, c = b[order], k[order], c[order]
+    fresh = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])[: len(b)]
+    b, k, c = b[fresh], k[fresh], c[fresh]
+    cut = np.flatnonzero(np.diff(b)) + 1
+    for first, keys, counts in zip([0, *cut], np.split(k, cut), np.split(c, cut), strict=True):
+        if len(keys):
+            out.append((segment, ANSWER, int(b[first]), keys.tobytes(), counts.tobytes(), 0, 0, 0, 0))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
 
 
 class Filter:
@@ -150,9 +152,9 @@ class Filter:
     def __init__(self, sizes: list[int], pieces: Iterator[tuple[int, bytes]]):
         self.first = np.cumsum([0, *sizes])
         self.bits = np.zeros(int(self.first[-1]), np.uint8)
-        for segment, piece in pieces:  # one at a time: the driver never holds the filter twice
+        for segment, piece in pieces:
             self.bits[self.first[segment] : self.first[segment + 1]] = np.frombuffer(piece, np.uint8)
-        self.shift = np.uint64(64 - (len(sizes) - 1).bit_length())
+        self.shift = np.uint64(64 - (len(sizes) - 1).bit_length())  # by 64 for one segment, which leaves 0
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The largest power of two whose level, and all below, hold each key; 0 if none does."""
@@ -170,21 +172,25 @@ class Filter:
         return out
 
 
-def _score(held, total: int, kinds: int, docs: int, discount: float, share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = held.value
+def looked_up(keys: np.ndarray, values: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, whether there is one) for each key asked for."""
+    where = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
+    return values[where], keys[where] == ask
 
+
+def _score(total: int, kinds: int, docs: int, discount: float, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(rows: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a, b, raw, at in slices(rows.column("text")):
                 row, token, before = tokens(raw, at)
-                where = np.minimum(np.searchsorted(keys, token), len(keys) - 1)
-                if not np.array_equal(keys[where], token):
+                c, there = looked_up(keys, counts, token)
+                if not there.all():
                     raise ValueError("a word is not in its bucket's dictionary")
-                c = counts[where]
                 own = (c + 1) / (total + kinds + 1)
                 first = before == np.uint64(START)
                 c1 = np.where(first, docs, np.concatenate([[0], c[:-1]])).astype(float)
-                c2 = np.minimum(table.counts(pairs(before, token)), c1)
+                read, there = looked_up(keys, counts, pairs(before, token))
+                c2 = np.minimum(np.where(there, read, 1), c1)
                 p = np.where(c1 > 0, np.maximum(c2 - discount, 0) / np.maximum(c1, 1) + discount * share * own, own)
                 sums = [np.bincount(row, x, b - a) for x in (np.ones(len(row)), c > 0, np.log10(own), np.log10(np.maximum(p, 1e-300)))]
                 yield pa.RecordBatch.from_arrays(
@@ -199,26 +205,21 @@ def _score(held, total: int, kinds: int, docs: int, discount: float, share: floa
 
 def score(docs: DataFrame, train) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train is a Column: the model learns from these rows."""
-    spark, n, n_buckets = docs.sparkSession, segments(docs.sparkSession), buckets(docs)
+    n, n_buckets = segments(docs.sparkSession), buckets(docs)
     rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
     rows = rows.select("_id", "text", "train", bucket(n_buckets))
     counted = rows.select("text", "train", "bucket").mapInArrow(_count(n), _ROWS)
-    found = materialise(counted.groupBy("segment").applyInPandas(_answer(FILTER_BYTES // n), _FOUND), "counts")
-    stats = {r["what"]: r for r in found.where(F.col("what") < ASK).groupBy("what").agg(*(F.sum(c).alias(c) for c in ("total", "kinds", "once", "twice"))).collect()}
+    found = materialise(counted.groupBy("segment").applyInPandas(_answer, _FOUND), "counts")
+    stats = {r["what"]: r for r in found.where(F.col("what") < ANSWER).groupBy("what").agg(*(F.sum(c).alias(c) for c in ("total", "kinds", "once", "twice"))).collect()}
     uni, both = stats.get(UNI), stats.get(PAIR)
     total, kinds = (uni["total"], uni["kinds"]) if uni else (0, 0)
     once, twice = (both["once"], both["twice"]) if both else (0, 0)
     discount = once / (once + 2 * twice) if once else 0.5
     share = both["kinds"] / both["total"] if both and both["total"] else 1.0
-    pieces = found.where(F.col("what") == PAIR)
-    sizes = [0] * n
-    for r in pieces.select("segment", F.length("keys").alias("size")).collect():  # one number a segment
-        sizes[r["segment"]] = r["size"]
-    held = spark.sparkContext.broadcast(Filter(sizes, ((r["segment"], r["keys"]) for r in pieces.select("segment", "keys").toLocalIterator())))  # at most FILTER_BYTES
     training = rows.where("train").count()
-    answers = found.where(F.col("what") == ASK).select("bucket", "segment", "keys", F.col("counts").alias("values"))
+    answers = found.where(F.col("what") == ANSWER).select("bucket", "segment", "keys", F.col("counts").alias("values"))
     scored = beside_answers(rows, answers, ["_id", "text", "train"], n_buckets).mapInArrow(
-        _score(held, total, kinds, training, discount, share), "_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(total, kinds, training, discount, share), "_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.select(id_out(F.col("_id")).alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -289,6 +289,30 @@ def test_filter_counts_are_powers_of_two_below():
     assert (f.counts(keys ^ np.uint64(0x5555555)) == 0).mean() > 0.9
 
 
+def test_pairs_are_told_apart_however_many_there_are(docs, monkeypatch):
+    monkeypatch.setattr(language_model, "FILTER_BYTES", 64, raising=False)  # once the bound of all segments' filters
+    split = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    got = language_model.score(docs, split).collect()
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tokens = {i: ["\0start", *words((t or "").translate(lower)), "\0end"] for i, t, *_ in rows()}
+    train = [tokens[r["doc_id"]] for r in got if not r["held_out"]]
+    one, two = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip(t, t[1:]))
+    n, v = sum(one.values()) - len(train), len(one) - 1
+    n1, n2 = (sum(c == k for c in two.values()) for k in (1, 2))
+    d, share = n1 / (n1 + 2 * n2), len(two) / sum(two.values())
+
+    def exact(t):
+        total = 0
+        for a, b in zip(t, t[1:]):
+            own = (one[b] + 1) / (n + v + 1)
+            c2 = 2 ** (two[a, b].bit_length() - 1) if two[a, b] else 0
+            total += math.log10(max(c2 - d, 0) / one[a] + d * share * own if one[a] else own)
+        return total
+
+    off = [r["score"] - exact(tokens[r["doc_id"]]) for r in got]
+    assert min(off) > -1e-6 and sum(off) < 0.02 * -sum(r["score"] for r in got)
+
+
 # 6 personal data
 
 
