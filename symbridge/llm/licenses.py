@@ -3,8 +3,9 @@
 Template tokens are ordered by their frequency in the corpus, rarest first. A block that holds the share `CONTAINMENT` of a
 template's tokens must hold one of the template's first `n - need + 1` tokens (prefix filter), at least `need` template tokens
 (length filter), and the places of the shared token in both orders must leave room for `need` (positional filter); what is left is
-counted exactly. A block is a run of `BLOCK` words of a line, starting every `BLOCK - MOST_WORDS` words, so every place of a
-template of at most `MOST_WORDS` words lies whole in a block.
+counted exactly. A block is a run of `BLOCK` words of the text, whatever its lines, starting every `BLOCK - MOST_WORDS` words, so
+every place of a template of at most `MOST_WORDS` words lies whole in a block. With a longer template among them, blocks are twice as
+long as the longest, starting at every half.
 
 Beside the join, fixed phrases give the base labels with their places.
 
@@ -107,8 +108,8 @@ def similar(docs: DataFrame, templates: list[tuple[str, str]], containment: floa
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     words = [template_words(t.strip()) for _, t in templates]
     words = [[w for w in ws if w] for ws in words]
-    if any(not 0 < len(w) <= MOST_WORDS for w in words):
-        raise ValueError(f"a template has no word or more than {MOST_WORDS}")
+    if not all(words):
+        raise ValueError("a template has no word")
     vocabulary = sorted({w for ws in words for w in ws})
     often = frequencies(docs, vocabulary)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
@@ -123,10 +124,13 @@ def similar(docs: DataFrame, templates: list[tuple[str, str]], containment: floa
     spark = docs.sparkSession
     posting = spark.createDataFrame(index, "token int, t_place int, label string, ranks array<int>, need int")
     ranked = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, rank[w])))
-    lines = docs.where(holds(F.col("low"), lead)).select("_id", "_key", F.explode(F.split("low", "\n")).alias("line"))
-    line = lines.select("_id", "_key", F.split(spaced(F.col("line")), " ").alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, lead))))
-    step = BLOCK - MOST_WORDS
-    block = line.select("_id", "_key", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(step))).alias("at")).select("_id", "_key", F.slice("words", F.col("at") + 1, BLOCK).alias("words"))
+    leading = F.array(*map(F.lit, lead))
+    text = docs.where(holds(F.col("low"), lead)).select("_id", "_key", F.split(spaced(F.col("low")), " ").alias("words")).where(F.arrays_overlap("words", leading))
+    longest = max(map(len, words))
+    step = max(BLOCK - MOST_WORDS, longest)
+    # cut within one row, so that a long text is not copied for each of its blocks
+    runs = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(step)), lambda at: F.slice("words", at, max(BLOCK, 2 * longest)))
+    block = text.select("_id", "_key", F.explode(runs).alias("words")).where(F.arrays_overlap("words", leading))
     held = block.select("_id", "_key", F.sort_array(F.transform(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), lambda w: F.element_at(ranked, w))).alias("held"))
     pairs = held.where(F.size("held") >= min(n for *_, n in index)).select("_id", "_key", "held", F.posexplode("held").alias("place", "token")).join(F.broadcast(posting), "token")
     room = F.least("place", "t_place") + F.least(F.size("held") - F.col("place"), F.size("ranks") - F.col("t_place"))

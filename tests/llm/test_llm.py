@@ -381,6 +381,18 @@ def test_containment_join_is_exact(spark):
         assert got[i] == (",".join(sorted(hit)), max(hit.values(), default=0.0))
 
 
+def test_wrapped_and_long_license_statements(spark):
+    wrap = lambda t, k: "\n".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    mit, bsd = (next(t for label, t in licenses.TEMPLATES if label == want and len(t.split()) > 15) for want in ("mit", "bsd"))
+    body = [(i, "filler\n" * i + wrap(t, 11) + "\nend") for i, t in enumerate([mit, bsd] * 20)]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(spark.createDataFrame(body, "doc_id long, text string")).collect()}
+    assert got == {i: (["mit", "bsd"][i % 2], 1.0) for i, _ in body}
+    long = " ".join(f"w{i}" for i in range(90))
+    body = [(i, "filler\n" * i + wrap(long, 12) + "\nend") for i in range(0, 200, 7)]
+    got = licenses.scan(spark.createDataFrame(body, "doc_id long, text string"), [("long", long)]).collect()
+    assert [(r["labels"], r["score"]) for r in got] == [("long", 1.0)] * len(body)
+
+
 def test_license_scan_is_native(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
