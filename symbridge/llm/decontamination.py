@@ -136,8 +136,10 @@ class Index:
             if last - low < least:
                 first += 1
                 continue
-            diagonal = int(np.median(d[low:last]))
-            if (hit := banded(item[start : start + w], at, start + diagonal, k)) is not None:
+            hit = banded(item[start : start + w], at, start + int(np.median(d[low:last])), k)
+            if hit is None:
+                hit, last = self._earlier(at, item, p, d, w, k, least, first, start, last)
+            if hit is not None:
                 a, b, edits = hit
                 if found and a <= found[-1][1] + k and a >= found[-1][0]:
                     o = found.pop()
@@ -149,6 +151,38 @@ class Index:
                 first += 1
         return found
 
+    def _earlier(self, at: np.ndarray, item: np.ndarray, p: np.ndarray, d: np.ndarray, w: int, k: int, least: int, first: int, start: int, last: int) -> tuple[tuple[int, int, int] | None, int]:
+        """The best alignment of the windows that begin after the hit before and hold enough hits (edits near a copy's begin hide its first q-grams), and the end of its hits."""
+        starts = np.arange(int(p[first - 1]) + 1 if first else 0, start)
+        ends = np.searchsorted(p, starts + w - self.q + 1)
+        starts, ends = starts[ends - first >= least], ends[ends - first >= least]
+        if not len(starts):
+            return None, last
+        near = starts + np.array([int(np.median(d[first:e])) for e in ends])
+        edits = _least_edits(item[starts[:, None] + np.arange(w)], at, near, k)
+        best = len(edits) - 1 - int(edits[::-1].argmin())
+        if edits[best] > k:
+            return None, last
+        return banded(item[starts[best] : starts[best] + w], at, int(near[best]), k), int(ends[best])
+
+
+def _least_edits(patterns: np.ndarray, text: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
+    """The edits banded() finds for each row of patterns near its start, all rows at once; more than k where it finds none."""
+    n, w = patterns.shape
+    offsets = np.arange(-2 * k - 1, 2 * k + 2)
+    slots = np.arange(len(offsets))
+    cost = np.zeros((n, len(offsets)), np.int64)
+    for i in range(w):
+        at = starts[:, None] + i + offsets
+        inside = (at >= 0) & (at < len(text))
+        same = inside & (text[np.clip(at, 0, len(text) - 1)] == patterns[:, i, None])
+        best = np.where(inside, cost + ~same, w + 1)
+        best[:, :-1] = np.minimum(best[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(best - slots, axis=1) + slots
+        if cost.min() > k:
+            break
+    return cost.min(axis=1)
+
 
 def banded(pattern: np.ndarray, text: np.ndarray, start: int, k: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of pattern in text near text[start:], at most k edits, by alignment in a band of 2k + 1 + slack diagonals; else None."""

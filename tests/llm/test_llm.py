@@ -162,6 +162,20 @@ def test_banded_alignment_counts_edits():
     assert decontamination.banded(p("abcdef"), p("qqqqqqqqqq"), 2, 2) is None
 
 
+def test_decontamination_of_partial_passages():
+    random = np.random.default_rng(5)
+    item = "".join(random.choice(list("abcdefghijklmnopqrstuvwxyz "), 200))
+    index = decontamination.Index([(1, item)])
+    for begin in (0, 50, 120):
+        copy = item[begin : begin + decontamination.REGION]
+        for at in range(len(copy)):
+            for text in (copy[:at] + "#" + copy[at + 1 :], copy[:at] + "#" + copy[at:], copy[:at] + copy[at + 1 :]):
+                for around in ("", "%" * 100):
+                    assert [m[0] for m in index.matches(around + text + around)] == [1], (begin, at, text)
+        edited = "".join("#" if n in (5, 16, 27, 38) else c for n, c in enumerate(copy))
+        assert index.matches(edited) and not index.matches("".join("#" if n == 50 else c for n, c in enumerate(edited)))
+
+
 # 3 WARC
 
 
