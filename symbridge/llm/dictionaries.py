@@ -1,9 +1,10 @@
 """Looking up every distinct fingerprint of a corpus in corpus-wide tables, without a row per word.
 
 Documents are dealt into buckets by their content. A first pass sends, for each bucket, its distinct fingerprints to the segment of
-the fingerprint space that they belong to, packed as byte strings; each segment is one group, which holds its share of all
+the fingerprint space that they belong to, packed as byte strings; each segment is a partition of its own, which holds its share of all
 fingerprints and answers; a second pass brings each bucket's answers to its documents, which stream past them. Segments and
-buckets are hashed, so no word, source or group of copies makes one of them large.
+buckets are hashed, so no word, source or group of copies makes one of them large, and their numbers follow the bytes of the texts,
+so what a task holds does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -15,59 +16,82 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.llm.shared import shuffle_partitions
+SEGMENT_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 25
 
 
-def segments(spark: SparkSession) -> int:
-    """A power of two, at least the number of shuffle partitions."""
-    return 1 << max(4, (shuffle_partitions(spark) - 1).bit_length())
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, by one pass over their lengths."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
-def buckets(docs: DataFrame) -> int:
-    """One bucket for every few input partitions."""
-    return max(4, docs.rdd.getNumPartitions() // 2)
+def segments(n_bytes: int) -> int:
+    """A power of two that gives each segment about SEGMENT_BYTES of so many bytes of keys, 16 at least."""
+    return 1 << max(4, (-(-n_bytes // SEGMENT_BYTES) - 1).bit_length())
+
+
+def buckets(spark: SparkSession, n_bytes: int) -> int:
+    """Buckets of about BUCKET_BYTES of text, or smaller ones where some cores would have none."""
+    return max(4, -(-n_bytes // BUCKET_BYTES), min(spark.sparkContext.defaultParallelism, n_bytes >> 21))
 
 
 def bucket(n: int) -> Column:
     return F.pmod(F.xxhash64("_id", "text"), F.lit(n)).cast("int").alias("bucket")
 
 
-def packed(groups: np.ndarray, keys: np.ndarray, counts: np.ndarray | None, n_segments: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes | None]]:
+def pack(values: np.ndarray) -> bytes:
+    """8-byte values as bytes, first bytes of all together and so on, which compresses where they are sorted or small."""
+    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(packed_: list[bytes], dtype: np.dtype = np.uint64) -> np.ndarray:
+    """The values of some pack()ed byte strings."""
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(dtype).ravel() for x in packed_]
+    return np.concatenate([*parts, np.zeros(0, dtype)])
+
+
+def packed(groups: np.ndarray, keys: np.ndarray, counts: np.ndarray, n_segments: int) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes]]:
     """(group, segment, keys, counts) rows of keys that are sorted within sorted groups."""
     if not len(keys):
         return groups, keys.astype(np.int32), [], []
     segment = (keys >> np.uint64(64 - (n_segments - 1).bit_length())).astype(np.int32)
     cut = np.flatnonzero((np.diff(groups) != 0) | (np.diff(segment) != 0)) + 1
     first = np.concatenate([[0], cut])
-    return groups[first], segment[first], [x.tobytes() for x in np.split(keys, cut)], [None] * len(first) if counts is None else [x.tobytes() for x in np.split(counts, cut)]
+    return groups[first], segment[first], [pack(x) for x in np.split(keys, cut)], [pack(x) for x in np.split(counts, cut)]
 
 
 def merged(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys of some packed rows, sorted, with their summed counts."""
-    k = np.concatenate([*(np.frombuffer(x, np.uint64) for x in keys), np.zeros(0, np.uint64)])
-    c = np.concatenate([*(np.frombuffer(x, np.int64) for x in counts), np.zeros(0, np.int64)])
+    k, c = unpack(keys), unpack(counts, np.int64)
     order = np.argsort(k, kind="stable")
     k, c = k[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, int)
     return k[first], np.add.reduceat(c, first) if len(k) else c
 
 
-def distinct(keys: list[bytes]) -> np.ndarray:
-    return np.unique(np.concatenate([*(np.frombuffer(x, np.uint64) for x in keys), np.zeros(0, np.uint64)]))
+def by_segment(rows: DataFrame, n: int) -> DataFrame:
+    """rows with each of the n segments in a partition of its own."""
+    return rows.repartitionById(n, "segment")
+
+
+def columns_of(batches: Iterator[pa.RecordBatch]) -> list[list]:
+    """The columns of a whole partition, which is bounded, as lists; none of an empty one."""
+    held = [b for b in batches if b.num_rows]
+    return [[x for b in held for x in b.column(i).to_pylist()] for i in range(held[0].num_columns)] if held else []
 
 
 def beside_answers(docs: DataFrame, answers: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """Rows of each of n buckets, a partition each, its answers first (kind 0, by segment), then its documents (kind 1).
+    """Rows of each of n buckets, a partition each, its answers first (kind 0), then its documents (kind 1).
 
-    docs has bucket and columns, answers has bucket, segment, keys and values (binary).
+    docs has bucket and columns, answers has bucket, keys and values (packed).
     """
-    left = answers.select("bucket", F.lit(0).alias("kind"), "segment", "keys", "values", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in columns))
-    right = docs.select("bucket", F.lit(1).alias("kind"), F.lit(0).alias("segment"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), *columns)
-    return left.unionAll(right).repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind", "segment")
+    left = answers.select("bucket", F.lit(0).alias("kind"), "keys", "values", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in columns))
+    right = docs.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), *columns)
+    return left.unionAll(right).repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
 
 
 def streamed(batches: Iterator[pa.RecordBatch], value: np.dtype, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """work(documents, keys, values) for the runs of documents of beside_answers()."""
+    """work(documents, keys, values) for the runs of documents of beside_answers(), keys sorted; values are empty where answers have none."""
     now, held, ready = None, [], None
     for batch in batches:
         where = np.asarray(batch.column("bucket").to_numpy(zero_copy_only=False)) * 2 + np.asarray(batch.column("kind").to_numpy(zero_copy_only=False))
@@ -82,6 +106,8 @@ def streamed(batches: Iterator[pa.RecordBatch], value: np.dtype, work: Callable[
                 held += zip(rows.column("keys").to_pylist(), rows.column("values").to_pylist(), strict=True)
                 continue
             if ready is None:
-                ready = (np.concatenate([*(np.frombuffer(k, np.uint64) for k, _ in held), np.zeros(0, np.uint64)]), np.concatenate([*(np.frombuffer(v, value) for _, v in held), np.zeros(0, value)]))
+                keys, values = unpack([k for k, _ in held]), unpack([v for _, v in held], value)
+                order = np.argsort(keys, kind="stable")
+                ready = keys[order], values[order] if len(values) else values
                 held = []
             yield from work(rows, *ready)

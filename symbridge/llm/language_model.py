@@ -6,10 +6,13 @@ one is missing, so a count is read as a power of two not above it (or, rarely, a
 entry, however many there are, so false positives do not rise with the corpus. Each bucket's distinct words and pairs are read in
 their segment and reach the documents through the bucket's dictionary; a pair without an entry there is one read as 1, the commonest.
 
-Probability of a token after another: max(c2 - d, 0) / c1 + d * r * p1, with p1 = (c + 1) / (N + V + 1), d the absolute discount from the
-numbers of pairs seen once and twice, and r the share of distinct pairs; p1 alone after an unseen token.
+Probability of w after h: (max(q(h, w) - d, 0) + b(h) * p1(w)) / c(h), with q the count read from the filter, d the absolute discount from
+the numbers of pairs seen once and twice, p1 = (c + 1) / (N + V + 1), and b(h) = c(h) - sum over w of (q(h, w) - d): what discounts and
+rounding down take from h, summed over the pairs that the filter holds. So the probabilities after h sum to 1 over all known words and
+one unknown word; only false positives add to that, on average (1 - d) * f * V / c(h) with f under 5e-5. After an unseen h it is p1.
 
-Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by 64-bit fingerprints; an end token closes each document.
+Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, known by 64-bit fingerprints, in pairs by 32 bits of each; an end token closes each
+document.
 
 Defined results: null or empty text: the end token alone. Null id: as its text "" in the split, kept as null. Repeated rows: scored and
 counted each. Empty table: no rows. No training document: counts are 0 and every score comes from p1 = 1. Extra columns are ignored.
@@ -20,26 +23,28 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.llm.dictionaries import beside_answers, bucket, buckets, packed, segments, streamed
+from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, pack, packed, segments, streamed, text_bytes, unpack
 from symbridge.llm.shared import id_in, id_out, materialise, table
-from symbridge.llm.textops import BASE, LOWER, Words, mixed, slices
+from symbridge.llm.textops import LOWER, Words, mixed, slices, unmixed
 
-BITS = 10
-PROBES = 3
-FLUSH_WORDS = 1_000_000
+BITS = 24
+PROBES = 8
+FLUSH_WORDS = 2_000_000
+#: Bytes of keys that reach the segments for each byte of text, about.
+KEY_SHARE = 3
 
-#: The fingerprints of the end token and of a document's start.
-END, START = (int(x) for x in mixed(np.array([1, 2], np.uint64)))
-UNI, PAIR, ANSWER = 0, 1, 2
+#: The fingerprints of the end token and of a document's start, and what turns a word into the key of its back-off mass.
+END, START, MASS = (int(x) for x in mixed(np.array([1, 2, 3], np.uint64)))
+UNI, PAIR, ANSWER, WORDS, CONTEXT = range(5)
 
 #: counts: the bucket in the upper half, the number in training documents, which may be 0, in the lower.
 _ROWS = "segment int, what int, keys binary, counts binary"
-_FOUND = "segment int, what int, bucket int, keys binary, counts binary, total long, kinds long, once long, twice long"
+_FOUND = "segment int, what int, bucket int, keys binary, values binary, total long, kinds long, once long, twice long"
+_ANSWERS = "bucket int, keys binary, values binary"
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,7 +63,13 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def pairs(before: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mixed(before * np.uint64(BASE) + token)
+    """Fingerprints of pairs: the upper 32 bits of both words, mixed."""
+    return mixed((before & np.uint64(0xFFFFFFFF00000000)) | (token >> np.uint64(32)))
+
+
+def contexts(pairs_: np.ndarray) -> np.ndarray:
+    """The 32 bits of the first word of each pair."""
+    return unmixed(pairs_) >> np.uint64(32)
 
 
 def _count(n_segments: int):
@@ -67,12 +78,13 @@ def _count(n_segments: int):
 
     def flush(of: list[np.ndarray], train: list[np.ndarray], words: list[np.ndarray], both: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         group, mine = np.concatenate([*of, np.zeros(0, np.int64)]), np.concatenate([*train, np.zeros(0, bool)]).astype(np.int64)
-        for what, lists in ((UNI, words), (PAIR, both)):
+        some = np.unique(group)  # each bucket asks for the start too, which no document counts as a word
+        for what, lists, of_, counted in ((UNI, [*words, np.full(len(some), START, np.uint64)], np.append(group, some), np.append(mine, np.zeros(len(some), np.int64))), (PAIR, both, group, mine)):
             keys = np.concatenate([*lists, np.zeros(0, np.uint64)])
-            order = np.lexsort((keys, (keys >> shift).astype(np.int64) << 32 | group))
-            k, g = keys[order], group[order]
+            order = np.lexsort((keys, (keys >> shift).astype(np.int64) << 32 | of_))
+            k, g = keys[order], of_[order]
             first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])[: len(k)])
-            counts = np.add.reduceat(mine[order], first) if len(first) else mine
+            counts = np.add.reduceat(counted[order], first) if len(first) else counted
             _, segment, k, c = packed(np.zeros(len(first), np.int32), k[first], g[first] << 32 | counts, n_segments)
             yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(np.full(len(k), what), pa.int32()), pa.array(k, pa.binary()), pa.array(c, pa.binary())], names=names)
 
@@ -101,125 +113,173 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1]
 
 
-def positions(keys: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
-    """The bit of each key for a level and probe, in filters of so many bits."""
-    return mixed(keys ^ mixed(np.array([level * PROBES + probe], np.uint64))) % np.asarray(bits, np.uint64)
-
-
-def filled(keys: np.ndarray, counts: np.ndarray, most_bytes: int | None = None) -> bytes:
-    """The bits of a segment's filter, of `BITS` an entry; denser only where most_bytes is given."""
-    level = levels(counts)
-    size = max(1, -(-int(level.sum()) * BITS // 8))
-    size = size if most_bytes is None else min(size, most_bytes)
-    bits = np.zeros(size * 8, bool)
-    for j in range(1, int(level.max(initial=0)) + 1):
-        here = keys[level >= j]
-        for probe in range(PROBES):
-            bits[positions(here, j, probe, size * 8)] = True
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def _answer(rows: pd.DataFrame) -> pd.DataFrame:
-    segment, out, answers = int(rows["segment"].iloc[0]), [], []
-    for what in (UNI, PAIR):
-        of = rows[rows["what"] == what]
-        asked = np.concatenate([*(np.frombuffer(x, np.uint64) for x in of["keys"]), np.zeros(0, np.uint64)])
-        value = np.concatenate([*(np.frombuffer(x, np.int64) for x in of["counts"]), np.zeros(0, np.int64)])
-        keys, at = np.unique(asked, return_inverse=True)
-        counts = np.bincount(at, value & 0xFFFFFFFF, len(keys)).astype(np.int64)
-        out.append((segment, what, -1, None, None, int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
-        if what == PAIR:
-            piece = filled(keys[counts > 0], counts[counts > 0])
-            counts = Filter([len(piece)], iter([(0, piece)])).counts(keys).astype(np.int64)
-        counts = counts[at]
-        told = (counts != 1) | (what == UNI)
-        answers.append((value[told] >> 32, asked[told], counts[told]))
-    b, k, c = (np.concatenate(x) for x in zip(*answers, strict=True))
-    order = np.lexsort((k, b))
-    b, k, c = b[order], k[order], c[order]
-    fresh = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])[: len(b)]
-    b, k, c = b[fresh], k[fresh], c[fresh]
-    cut = np.flatnonzero(np.diff(b)) + 1
-    for first, keys, counts in zip([0, *cut], np.split(k, cut), np.split(c, cut), strict=True):
-        if len(keys):
-            out.append((segment, ANSWER, int(b[first]), keys.tobytes(), counts.tobytes(), 0, 0, 0, 0))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in _FOUND.split(", ")])
+def positions(keys: np.ndarray, level: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(which keys are still asked for, their bits) for each probe of a level; send() tells which of them go on."""
+    start, step = mixed(keys ^ mixed(np.array([2 * level], np.uint64))), mixed(keys ^ mixed(np.array([2 * level + 1], np.uint64)))
+    open_ = np.arange(len(keys))
+    for probe in range(PROBES):
+        at = (start[open_] + np.uint64(probe) * step[open_]) >> np.uint64(32)
+        goes_on = yield open_, (at * np.uint64(bits)) >> np.uint64(32)
+        if goes_on is not None:
+            open_ = open_[goes_on]
 
 
 class Filter:
-    """Reads quantised counts: segment s of the key space has bits[first[s]:first[s + 1]]."""
-
-    def __init__(self, sizes: list[int], pieces: Iterator[tuple[int, bytes]]):
-        self.first = np.cumsum([0, *sizes])
-        self.bits = np.zeros(int(self.first[-1]), np.uint8)
-        for segment, piece in pieces:
-            self.bits[self.first[segment] : self.first[segment + 1]] = np.frombuffer(piece, np.uint8)
-        self.shift = np.uint64(64 - (len(sizes) - 1).bit_length())  # by 64 for one segment, which leaves 0
+    """A log-frequency Bloom filter of one segment's pairs with their counts, of `BITS` an entry."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        level = levels(counts)
+        self.size = max(8, int(level.sum()) * BITS)
+        if self.size >= 1 << 32:
+            raise ValueError("a segment has too many pairs")
+        self.bits = np.zeros(self.size, bool)
+        for j in range(1, int(level.max(initial=0)) + 1):
+            for _, at in positions(keys[level >= j], j, self.size):
+                self.bits[at] = True
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The largest power of two whose level, and all below, hold each key; 0 if none does."""
         out, open_, level = np.zeros(len(keys)), np.arange(len(keys)), 1
         while len(open_) and level < 64:
-            for probe in range(PROBES):
-                segment = keys[open_] >> self.shift
-                size = (self.first[segment + np.uint64(1)] - self.first[segment]) * 8
-                open_, segment, size = open_[size > 0], segment[size > 0], size[size > 0]
-                at = positions(keys[open_], level, probe, size)
-                byte = self.bits[self.first[segment] + (at >> np.uint64(3)).astype(np.int64)]
-                open_ = open_[((byte >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1)) == 1]
+            probes = positions(keys[open_], level, self.size)
+            here, at = next(probes)
+            while True:
+                hit = self.bits[at]
+                try:
+                    here, at = probes.send(hit)
+                except StopIteration:
+                    open_ = open_[here[hit]]
+                    break
             out[open_] = 2.0 ** (level - 1)
             level += 1
         return out
 
 
+def _told(buckets_: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
+    """A row for each bucket of its distinct keys, with their values."""
+    order = np.lexsort((keys, buckets_))
+    b, k, v = buckets_[order], keys[order], values[order].astype(float)
+    fresh = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])[: len(b)]
+    b, k, v = b[fresh], k[fresh], v[fresh]
+    if not len(b):
+        return [], [], []
+    cut = np.flatnonzero(np.diff(b)) + 1
+    return [int(x) for x in b[[0, *cut]]], [pack(x) for x in np.split(k, cut)], [pack(x) for x in np.split(v, cut)]
+
+
+def _answer(n_segments: int):
+    """Of a segment: the sums of its words and pairs, its words with their counts, how its pairs are read, and sums by the pairs' first words."""
+    shift = np.uint64(32 - (n_segments - 1).bit_length())
+    names = [c.split()[0] for c in _FOUND.split(", ")]
+    kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int64()] * 4
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (rows := columns_of(batches)):
+            return
+        segment, out = rows[0][0], []
+        for what in (UNI, PAIR):
+            asked = unpack([k for w, k in zip(rows[1], rows[2], strict=True) if w == what])
+            value = unpack([c for w, c in zip(rows[1], rows[3], strict=True) if w == what], np.int64)
+            keys, at = np.unique(asked, return_inverse=True)
+            counts = np.bincount(at, value & 0xFFFFFFFF, len(keys)).astype(np.int64)
+            out.append((segment, what, -1, None, None, int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
+            if what == UNI:
+                out.append((segment, WORDS, -1, pack(asked), pack(np.concatenate([value >> 32, counts[at]])), 0, 0, 0, 0))
+                continue
+            seen = counts > 0
+            read = Filter(keys[seen], counts[seen]).counts(keys)
+            told = read[at] != 1
+            out += [(segment, ANSWER, b, k, v, 0, 0, 0, 0) for b, k, v in zip(*_told((value >> 32)[told], asked[told], read[at][told]), strict=True)]
+            heads, of = np.unique(contexts(keys[seen]), return_inverse=True)
+            kinds_, sums = np.bincount(of, minlength=len(heads)), np.bincount(of, read[seen], len(heads))
+            goal = (heads >> shift).astype(np.int64)
+            cut = np.flatnonzero(np.diff(goal)) + 1
+            for g, h, t, q in zip(goal[[0, *cut]] if len(goal) else (), np.split(heads, cut), np.split(kinds_, cut), np.split(sums, cut), strict=False):
+                out.append((int(g), CONTEXT, -1, pack(h), pack(np.concatenate([t, q.astype(np.int64)])), 0, 0, 0, 0))
+        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=names)
+
+    return run
+
+
+def _masses(discount: float, docs: int):
+    """Of a segment's words and sums by first word: for each bucket, the words' counts and their back-off masses."""
+
+    def halves(packed_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.split(unpack([x], np.int64), 2) for x in packed_]
+        return tuple(np.concatenate([*(e[i] for e in each), np.zeros(0, np.int64)]) for i in (0, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (rows := columns_of(batches)):
+            return
+        of = lambda what, i: [x for w, x in zip(rows[1], rows[i], strict=True) if w == what]
+        words, (buckets_, counts) = unpack(of(WORDS, 2)), halves(of(WORDS, 3))
+        kinds, sums = halves(of(CONTEXT, 3))
+        heads, at = np.unique(unpack(of(CONTEXT, 2)), return_inverse=True)
+        kinds, sums = np.bincount(at, kinds, len(heads)), np.bincount(at, sums, len(heads))
+        held = np.where(words == np.uint64(START), docs, counts).astype(float)
+        mass = np.full(len(words), discount)
+        if len(heads):
+            i = np.minimum(np.searchsorted(heads, words >> np.uint64(32)), len(heads) - 1)
+            there = heads[i] == words >> np.uint64(32)
+            mass = np.where(there, np.maximum(held - sums[i] + discount * kinds[i], discount), discount)
+        tell = (mass != discount) & (held > 0)
+        found = _told(np.concatenate([buckets_, buckets_[tell]]), np.concatenate([words, mixed(words[tell] ^ np.uint64(MASS))]), np.concatenate([counts, mass[tell]]))
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "values"])
+
+    return run
+
+
 def looked_up(keys: np.ndarray, values: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(value, whether there is one) for each key asked for."""
     where = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
     return values[where], keys[where] == ask
 
 
-def _score(total: int, kinds: int, docs: int, discount: float, share: float):
+def _score(total: int, kinds: int, docs: int, discount: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(rows: pa.RecordBatch, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def work(rows: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
             for a, b, raw, at in slices(rows.column("text")):
                 row, token, before = tokens(raw, at)
-                c, there = looked_up(keys, counts, token)
+                c, there = looked_up(keys, values, token)
                 if not there.all():
                     raise ValueError("a word is not in its bucket's dictionary")
                 own = (c + 1) / (total + kinds + 1)
                 first = before == np.uint64(START)
                 c1 = np.where(first, docs, np.concatenate([[0], c[:-1]])).astype(float)
-                read, there = looked_up(keys, counts, pairs(before, token))
+                read, there = looked_up(keys, values, pairs(before, token))
                 c2 = np.minimum(np.where(there, read, 1), c1)
-                p = np.where(c1 > 0, np.maximum(c2 - discount, 0) / np.maximum(c1, 1) + discount * share * own, own)
-                sums = [np.bincount(row, x, b - a) for x in (np.ones(len(row)), c > 0, np.log10(own), np.log10(np.maximum(p, 1e-300)))]
+                mass, there = looked_up(keys, values, mixed(before ^ np.uint64(MASS)))
+                mass = np.where(there, mass, discount)
+                p = np.where(c1 > 0, (np.maximum(c2 - discount, 0) + mass * own) / np.maximum(c1, 1), own)
+                sums = [np.bincount(row, x, b - a) for x in (np.ones(len(row)), c > 0, np.log10(own), np.log10(p))]
                 yield pa.RecordBatch.from_arrays(
                     [rows.column("_id").slice(a, b - a), rows.column("train").slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(np.full(b - a, total), pa.int64()), *map(pa.array, sums[2:])],
                     names=["_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-        yield from streamed(batches, np.int64, work)
+        yield from streamed(batches, np.float64, work)
 
     return run
 
 
 def score(docs: DataFrame, train) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; train is a Column: the model learns from these rows."""
-    n, n_buckets = segments(docs.sparkSession), buckets(docs)
+    n_bytes = text_bytes(docs)
+    n, n_buckets = segments(KEY_SHARE * n_bytes), buckets(docs.sparkSession, n_bytes)
     rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
     rows = rows.select("_id", "text", "train", bucket(n_buckets))
     counted = rows.select("text", "train", "bucket").mapInArrow(_count(n), _ROWS)
-    found = materialise(counted.groupBy("segment").applyInPandas(_answer, _FOUND), "counts")
+    found = materialise(by_segment(counted, n).mapInArrow(_answer(n), _FOUND), "counts")
     stats = {r["what"]: r for r in found.where(F.col("what") < ANSWER).groupBy("what").agg(*(F.sum(c).alias(c) for c in ("total", "kinds", "once", "twice"))).collect()}
     uni, both = stats.get(UNI), stats.get(PAIR)
     total, kinds = (uni["total"], uni["kinds"]) if uni else (0, 0)
     once, twice = (both["once"], both["twice"]) if both else (0, 0)
     discount = once / (once + 2 * twice) if once else 0.5
-    share = both["kinds"] / both["total"] if both and both["total"] else 1.0
     training = rows.where("train").count()
-    answers = found.where(F.col("what") == ANSWER).select("bucket", "segment", "keys", F.col("counts").alias("values"))
+    words = by_segment(found.where(F.col("what") > ANSWER).select("segment", "what", "keys", "values"), n).mapInArrow(_masses(discount, training), _ANSWERS)
+    answers = found.where(F.col("what") == ANSWER).select("bucket", "keys", "values").unionAll(words)
     scored = beside_answers(rows, answers, ["_id", "text", "train"], n_buckets).mapInArrow(
-        _score(total, kinds, training, discount, share), "_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(total, kinds, training, discount), "_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.select(id_out(F.col("_id")).alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

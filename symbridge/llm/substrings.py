@@ -24,12 +24,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.llm.dictionaries import beside_answers, bucket, buckets, merged, packed, segments, streamed
+from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, merged, pack, packed, segments, streamed, text_bytes, unpack
 from symbridge.llm.shared import id_in, id_out, materialise, table
 from symbridge.llm.textops import BREAKS, Words, slices
 
@@ -100,13 +99,18 @@ def _ask(n_segments: int):
     return run
 
 
-def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
-    keys, counts = merged(rows["keys"].tolist(), rows["counts"].tolist())
-    again, out = keys[counts > 1], []
-    for b, asked in rows.groupby("bucket")["keys"]:
-        mine = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for k in asked]))
-        out.append((int(rows["segment"].iloc[0]), int(b), mine[np.isin(mine, again, assume_unique=True)].tobytes(), b""))
-    return pd.DataFrame(out, columns=["segment", "bucket", "keys", "values"])
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each bucket's minimisers in a segment, those that occur more than once in the corpus."""
+    if not (rows := columns_of(batches)):
+        return
+    _, of, asked, counted = rows
+    keys, counts = merged(asked, counted)
+    again = keys[counts > 1]
+    by: dict[int, list[bytes]] = {}
+    for b, k in zip(of, asked, strict=True):
+        by.setdefault(b, []).append(k)
+    told = [pack(mine[np.isin(mine, again, assume_unique=True)]) for mine in (np.unique(unpack(k)) for k in by.values())]
+    yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(told, pa.binary()), pa.array([b""] * len(by), pa.binary())], names=["bucket", "keys", "values"])
 
 
 def joined(raw: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,7 +135,6 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.nulls(n, kinds[k])
 
     def work(rows: pa.RecordBatch, keys: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
-        keys = np.sort(keys)
         ids, marks = rows.column("_id"), rows.column("key")
         for a, b, raw, at in slices(rows.column("text")):
             found = Segments(raw, at)
@@ -159,7 +162,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=names,
                 )
 
-    yield from streamed(batches, np.uint8, work)
+    yield from streamed(batches, np.uint64, work)
 
 
 class WaveletMatrix:
@@ -326,10 +329,11 @@ def removals(marked: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    n, n_buckets = segments(docs.sparkSession), buckets(docs)
+    n_bytes = text_bytes(docs)
+    n, n_buckets = segments(n_bytes // 2), buckets(docs.sparkSession, n_bytes)
     rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("_id", "text", F.xxhash64("text").alias("key"), bucket(n_buckets))
     asked = rows.select("text", "bucket").mapInArrow(_ask(n), _ASKED)
-    answers = asked.groupBy("segment").applyInPandas(_repeated, "segment int, bucket int, keys binary, values binary")
+    answers = by_segment(asked, n).mapInArrow(_repeated, "bucket int, keys binary, values binary")
     marked = materialise(beside_answers(rows, answers, ["_id", "key", "text"], n_buckets).mapInArrow(_mark, _MARKED), "marked")
     runs = removals(marked).groupBy("_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the document
     held = marked.where("kind = 0 AND words IS NOT NULL").select("_id", "key", "words")

@@ -44,6 +44,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def unmixed(x: np.ndarray) -> np.ndarray:
+    """What mixed() gives x for."""
+    back = np.uint64(pow(0xD6E8FEB86659FD93, -1, 2**64))
+    x = x ^ (x >> np.uint64(32))
+    x = x * back
+    x = x ^ (x >> np.uint64(32))
+    x = x * back
+    return x ^ (x >> np.uint64(32))
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -294,37 +294,48 @@ def test_language_model_edges(empty, docs):
 def test_filter_counts_are_powers_of_two_below():
     keys = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 5001)
-    keys = keys & np.uint64((1 << 63) - 1)
-    piece = language_model.filled(keys, counts, 1 << 20)
-    f = language_model.Filter([len(piece), 0], iter([(0, piece)]))
+    f = language_model.Filter(keys, counts)
     got = f.counts(keys)
     floor = 2.0 ** np.floor(np.log2(counts))
-    assert (got >= floor).all() and (got == floor).mean() > 0.9
-    assert (f.counts(keys ^ np.uint64(0x5555555)) == 0).mean() > 0.9
+    assert (got >= floor).all() and (got == floor).mean() > 0.999
+    others = np.arange(5001, 205_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert (f.counts(others) > 0).mean() < 1e-4
 
 
-def test_pairs_are_told_apart_however_many_there_are(docs, monkeypatch):
-    monkeypatch.setattr(language_model, "FILTER_BYTES", 64, raising=False)  # once the bound of all segments' filters
+def test_first_words_are_told_from_pairs():
+    words = np.random.default_rng(1).integers(0, 1 << 63, 1000, np.uint64)
+    assert (language_model.contexts(language_model.pairs(words, words[::-1])) == words >> np.uint64(32)).all()
+
+
+def test_score_is_the_models_probability_and_sums_to_one(docs):
     split = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
     got = language_model.score(docs, split).collect()
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = {i: ["\0start", *words((t or "").translate(lower)), "\0end"] for i, t, *_ in rows()}
-    train = [tokens[r["doc_id"]] for r in got if not r["held_out"]]
+    tokens = {}
+    for i, t, *_ in rows():
+        tokens.setdefault(i, []).append(["\0start", *words((t or "").translate(lower)), "\0end"])
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    train = [t for i, ts in tokens.items() if not held(i) for t in ts]
     one, two = collections.Counter(w for t in train for w in t), collections.Counter(p for t in train for p in zip(t, t[1:]))
-    n, v = sum(one.values()) - len(train), len(one) - 1
+    known = [w for w in one if w != "\0start"]
+    n, v = sum(one[w] for w in known), len(known)
     n1, n2 = (sum(c == k for c in two.values()) for k in (1, 2))
-    d, share = n1 / (n1 + 2 * n2), len(two) / sum(two.values())
-
-    def exact(t):
-        total = 0
-        for a, b in zip(t, t[1:]):
-            own = (one[b] + 1) / (n + v + 1)
-            c2 = 2 ** (two[a, b].bit_length() - 1) if two[a, b] else 0
-            total += math.log10(max(c2 - d, 0) / one[a] + d * share * own if one[a] else own)
-        return total
-
-    off = [r["score"] - exact(tokens[r["doc_id"]]) for r in got]
-    assert min(off) > -1e-6 and sum(off) < 0.02 * -sum(r["score"] for r in got)
+    d = n1 / (n1 + 2 * n2)
+    floor = {p: 2 ** (c.bit_length() - 1) for p, c in two.items()}
+    left = collections.Counter(one)
+    for (a, _), q in floor.items():
+        left[a] -= q - d
+
+    def p(b, a):
+        own = ((one[b] if b != "\0start" else 0) + 1) / (n + v + 1)
+        return (max(floor.get((a, b), 0) - d, 0) + left[a] * own) / one[a] if one[a] else own
+
+    for a in [*one, "unseen"]:
+        if a != "\0end":
+            assert sum(p(b, a) for b in [*known, "unknown"]) == pytest.approx(1, abs=1e-9)
+    for r in got:
+        want = [sum(math.log10(p(b, a)) for a, b in zip(t, t[1:])) for t in tokens[r["doc_id"]]]
+        assert min(abs(r["score"] - w) for w in want) < 1e-6 * max(1, -r["score"])
 
 
 # 6 personal data
