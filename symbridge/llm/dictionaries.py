@@ -9,7 +9,9 @@ so what a task holds does not grow with the corpus.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEGMENT_BYTES = 1 << 25
-BUCKET_BYTES = 1 << 25
+BUCKET_BYTES = 1 << 24
+#: kind of the rows that hold documents; answers have smaller ones.
+DOCUMENTS = 9
+
+_DEALT = "bucket int, kind int, part int, data binary"
 
 
 def text_bytes(docs: DataFrame) -> int:
@@ -80,34 +86,47 @@ def columns_of(batches: Iterator[pa.RecordBatch]) -> list[list]:
     return [[x for b in held for x in b.column(i).to_pylist()] for i in range(held[0].num_columns)] if held else []
 
 
+def narrow(x: np.ndarray) -> np.ndarray:
+    """Small non-negative numbers in as few bytes as they need, which sort faster."""
+    return x.astype(np.uint16 if int(x.max(initial=0)) < 1 << 16 else np.uint32)
+
+
+def blocks(names: list[str]):
+    """Documents (bucket first, then the columns named) as compressed blocks of one bucket each, an Arrow stream in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.column(0).to_numpy(zero_copy_only=False)
+            order = np.argsort(narrow(of), kind="stable")
+            rows = batch.take(pa.array(order)).select(names)
+            cut = np.flatnonzero(np.diff(of[order])) + 1
+            begin, end = np.concatenate([[0], cut]), np.append(cut, len(of))
+            data = []
+            for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(rows.slice(a, b - a))
+                data.append(sink.getvalue().to_pybytes())
+            if len(of):
+                n = len(begin)
+                yield pa.RecordBatch.from_arrays([pa.array(of[order][begin], pa.int32()), pa.array(np.full(n, DOCUMENTS), pa.int32()), pa.array(np.zeros(n), pa.int32()), pa.array(data, pa.binary())], names=["bucket", "kind", "part", "data"])
+
+    return run
+
+
 def beside_answers(docs: DataFrame, answers: DataFrame, columns: list[str], n: int) -> DataFrame:
-    """Rows of each of n buckets, a partition each, its answers first (kind 0), then its documents (kind 1).
-
-    docs has bucket and columns, answers has bucket, keys and values (packed).
-    """
-    left = answers.select("bucket", F.lit(0).alias("kind"), "keys", "values", *(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in columns))
-    right = docs.select("bucket", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("values"), *columns)
-    return left.unionAll(right).repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
-
-
-def streamed(batches: Iterator[pa.RecordBatch], value: np.dtype, work: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
-    """work(documents, keys, values) for the runs of documents of beside_answers(), keys sorted; values are empty where answers have none."""
-    now, held, ready = None, [], None
-    for batch in batches:
-        where = np.asarray(batch.column("bucket").to_numpy(zero_copy_only=False)) * 2 + np.asarray(batch.column("kind").to_numpy(zero_copy_only=False))
-        for run in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(where)) + 1):
-            if not len(run):
-                continue
-            mine, kind = divmod(int(where[run[0]]), 2)
-            if mine != now:
-                now, held, ready = mine, [], None
-            rows = batch.slice(int(run[0]), len(run))
-            if kind == 0:
-                held += zip(rows.column("keys").to_pylist(), rows.column("values").to_pylist(), strict=True)
-                continue
-            if ready is None:
-                keys, values = unpack([k for k, _ in held]), unpack([v for _, v in held], value)
-                order = np.argsort(keys, kind="stable")
-                ready = keys[order], values[order] if len(values) else values
-                held = []
-            yield from work(rows, *ready)
+    """Rows of each of n buckets, a partition each: its answers (bucket, kind, part, data) by kind and part, then its documents in blocks."""
+    dealt_ = docs.select("bucket", *columns).mapInArrow(blocks(columns), _DEALT)
+    return answers.select("bucket", "kind", "part", "data").unionAll(dealt_).repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind", "part")
+
+
+def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[int, list[bytes]], Iterator[pa.RecordBatch]]]:
+    """(answers by kind, documents) of each bucket of beside_answers(); the documents are to be read before the next bucket."""
+    rows = (r for batch in batches for i in range(0, batch.num_rows, 64) for r in zip(*(c.slice(i, 64).to_pylist() for c in batch.columns), strict=True))
+    for _, own in groupby(rows, itemgetter(0)):
+        answers: dict[int, list[bytes]] = {}
+        for _, kind, _, data in own:
+            if kind == DOCUMENTS:
+                yield answers, (b for d in chain([data], (r[3] for r in own)) for b in pa.ipc.open_stream(d))
+                break
+            answers.setdefault(kind, []).append(data)

@@ -4,7 +4,7 @@ Training documents' words and pairs are counted over the whole corpus, by segmen
 A pair counted c times enters its segment's filter once for each level 1 .. 1 + floor(log2 c); a probe asks for level after level until
 one is missing, so a count is read as a power of two not above it (or, rarely, above: a false positive). A filter takes `BITS` bits an
 entry, however many there are, so false positives do not rise with the corpus. Each bucket's distinct words and pairs are read in
-their segment and reach the documents through the bucket's dictionary; a pair without an entry there is one read as 1, the commonest.
+their segment; the answers come back in the order of the keys, which the bucket's task finds again, so keys travel one way only.
 
 Probability of w after h: (max(q(h, w) - d, 0) + b(h) * p1(w)) / c(h), with q the count read from the filter, d the absolute discount from
 the numbers of pairs seen once and twice, p1 = (c + 1) / (N + V + 1), and b(h) = c(h) - sum over w of (q(h, w) - d): what discounts and
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, pack, packed, segments, streamed, text_bytes, unpack
+from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, dealt, narrow, pack, packed, segments, text_bytes, unpack
 from symbridge.llm.shared import id_in, id_out, materialise, table
 from symbridge.llm.textops import LOWER, Words, mixed, slices, unmixed
 
@@ -37,14 +37,14 @@ FLUSH_WORDS = 2_000_000
 #: Bytes of keys that reach the segments for each byte of text, about.
 KEY_SHARE = 3
 
-#: The fingerprints of the end token and of a document's start, and what turns a word into the key of its back-off mass.
-END, START, MASS = (int(x) for x in mixed(np.array([1, 2, 3], np.uint64)))
-UNI, PAIR, ANSWER, WORDS, CONTEXT = range(5)
+#: The fingerprints of the end token and of a document's start.
+END, START = (int(x) for x in mixed(np.array([1, 2], np.uint64)))
+UNI, PAIR, WORDS, CONTEXT = range(4)
 
 #: counts: the bucket in the upper half, the number in training documents, which may be 0, in the lower.
 _ROWS = "segment int, what int, keys binary, counts binary"
-_FOUND = "segment int, what int, bucket int, keys binary, values binary, total long, kinds long, once long, twice long"
-_ANSWERS = "bucket int, keys binary, values binary"
+_FOUND = "what int, bucket int, segment int, keys binary, data binary, total long, kinds long, once long, twice long"
+_ANSWERS = "bucket int, kind int, part int, data binary"
 
 
 def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +81,8 @@ def _count(n_segments: int):
         some = np.unique(group)  # each bucket asks for the start too, which no document counts as a word
         for what, lists, of_, counted in ((UNI, [*words, np.full(len(some), START, np.uint64)], np.append(group, some), np.append(mine, np.zeros(len(some), np.int64))), (PAIR, both, group, mine)):
             keys = np.concatenate([*lists, np.zeros(0, np.uint64)])
-            order = np.lexsort((keys, (keys >> shift).astype(np.int64) << 32 | of_))
+            order = np.argsort(keys)
+            order = order[np.argsort(narrow((keys[order] >> shift).astype(np.int64) * (int(group.max(initial=0)) + 1) + of_[order]), kind="stable")]
             k, g = keys[order], of_[order]
             first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (k[1:] != k[:-1])])[: len(k)])
             counts = np.add.reduceat(counted[order], first) if len(first) else counted
@@ -155,16 +156,13 @@ class Filter:
         return out
 
 
-def _told(buckets_: np.ndarray, keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[bytes], list[bytes]]:
-    """A row for each bucket of its distinct keys, with their values."""
-    order = np.lexsort((keys, buckets_))
-    b, k, v = buckets_[order], keys[order], values[order].astype(float)
-    fresh = np.concatenate([[True], (b[1:] != b[:-1]) | (k[1:] != k[:-1])])[: len(b)]
-    b, k, v = b[fresh], k[fresh], v[fresh]
-    if not len(b):
-        return [], [], []
-    cut = np.flatnonzero(np.diff(b)) + 1
-    return [int(x) for x in b[[0, *cut]]], [pack(x) for x in np.split(k, cut)], [pack(x) for x in np.split(v, cut)]
+def _by_bucket(buckets_: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, distinct numbers by bucket, cuts between buckets) of numbers in order."""
+    order = np.argsort(narrow(buckets_), kind="stable")
+    b, x = buckets_[order], numbers[order]
+    fresh = np.concatenate([[True], (b[1:] != b[:-1]) | (x[1:] != x[:-1])])[: len(b)]
+    b, x = b[fresh], x[fresh]
+    return b, x, np.flatnonzero(np.diff(b)) + 1
 
 
 def _answer(n_segments: int):
@@ -180,85 +178,92 @@ def _answer(n_segments: int):
         for what in (UNI, PAIR):
             asked = unpack([k for w, k in zip(rows[1], rows[2], strict=True) if w == what])
             value = unpack([c for w, c in zip(rows[1], rows[3], strict=True) if w == what], np.int64)
-            keys, at = np.unique(asked, return_inverse=True)
-            counts = np.bincount(at, value & 0xFFFFFFFF, len(keys)).astype(np.int64)
-            out.append((segment, what, -1, None, None, int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
+            order = np.argsort(asked)
+            asked, value = asked[order], value[order]
+            first = np.flatnonzero(np.concatenate([[True], asked[1:] != asked[:-1]])[: len(asked)])
+            keys = asked[first]
+            counts = np.add.reduceat(value & 0xFFFFFFFF, first) if len(first) else value
+            out.append((what, -1, segment, None, None, int(counts.sum()), int((counts > 0).sum()), int((counts == 1).sum()), int((counts == 2).sum())))
+            b, x, cut = _by_bucket(value >> 32, np.repeat(np.arange(len(first)), np.diff(np.append(first, len(asked)))))
             if what == UNI:
-                out.append((segment, WORDS, -1, pack(asked), pack(np.concatenate([value >> 32, counts[at]])), 0, 0, 0, 0))
+                out.append((WORDS, -1, segment, pack(keys[x]), pack(np.concatenate([b, counts[x]])), 0, 0, 0, 0))
                 continue
             seen = counts > 0
             read = Filter(keys[seen], counts[seen]).counts(keys)
-            told = read[at] != 1
-            out += [(segment, ANSWER, b, k, v, 0, 0, 0, 0) for b, k, v in zip(*_told((value >> 32)[told], asked[told], read[at][told]), strict=True)]
+            code = levels(read).astype(np.uint8)  # 0 for 0, else 1 + log2
+            if len(x):
+                out += [(PAIR, int(o), segment, None, c.tobytes(), 0, 0, 0, 0) for o, c in zip(b[[0, *cut]], np.split(code[x], cut), strict=True)]
             heads, of = np.unique(contexts(keys[seen]), return_inverse=True)
-            kinds_, sums = np.bincount(of, minlength=len(heads)), np.bincount(of, read[seen], len(heads))
+            kinds_, sums = np.bincount(of, minlength=len(heads)), np.bincount(of, read[seen], len(heads)).astype(np.int64)
             goal = (heads >> shift).astype(np.int64)
             cut = np.flatnonzero(np.diff(goal)) + 1
             for g, h, t, q in zip(goal[[0, *cut]] if len(goal) else (), np.split(heads, cut), np.split(kinds_, cut), np.split(sums, cut), strict=False):
-                out.append((int(g), CONTEXT, -1, pack(h), pack(np.concatenate([t, q.astype(np.int64)])), 0, 0, 0, 0))
+                out.append((CONTEXT, -1, int(g), pack(h), pack(np.concatenate([t, q])), 0, 0, 0, 0))
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=names)
 
     return run
 
 
 def _masses(discount: float, docs: int):
-    """Of a segment's words and sums by first word: for each bucket, the words' counts and their back-off masses."""
+    """Of a segment's words and sums by first word: for each bucket, its words' counts and back-off masses, in the order of the words."""
 
-    def halves(packed_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def halves(packed_: list[bytes]) -> tuple[np.ndarray, ...]:
         each = [np.split(unpack([x], np.int64), 2) for x in packed_]
         return tuple(np.concatenate([*(e[i] for e in each), np.zeros(0, np.int64)]) for i in (0, 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (rows := columns_of(batches)):
             return
-        of = lambda what, i: [x for w, x in zip(rows[1], rows[i], strict=True) if w == what]
+        of = lambda what, i: [x for w, x in zip(rows[0], rows[i], strict=True) if w == what]
         words, (buckets_, counts) = unpack(of(WORDS, 2)), halves(of(WORDS, 3))
         kinds, sums = halves(of(CONTEXT, 3))
         heads, at = np.unique(unpack(of(CONTEXT, 2)), return_inverse=True)
         kinds, sums = np.bincount(at, kinds, len(heads)), np.bincount(at, sums, len(heads))
-        held = np.where(words == np.uint64(START), docs, counts).astype(float)
-        mass = np.full(len(words), discount)
+        held = np.where(words == np.uint64(START), docs, counts)
+        mass = np.zeros(len(words))
         if len(heads):
             i = np.minimum(np.searchsorted(heads, words >> np.uint64(32)), len(heads) - 1)
-            there = heads[i] == words >> np.uint64(32)
-            mass = np.where(there, np.maximum(held - sums[i] + discount * kinds[i], discount), discount)
-        tell = (mass != discount) & (held > 0)
-        found = _told(np.concatenate([buckets_, buckets_[tell]]), np.concatenate([words, mixed(words[tell] ^ np.uint64(MASS))]), np.concatenate([counts, mass[tell]]))
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(found, (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "keys", "values"])
+            there = (heads[i] == words >> np.uint64(32)) & (held > 0)
+            mass = np.where(there, np.maximum(held - sums[i] + discount * kinds[i], discount), 0.0)
+        cut = np.flatnonzero(np.diff(buckets_)) + 1
+        data = [pack(np.concatenate([c, m.view(np.int64)])) for c, m in zip(np.split(held, cut), np.split(mass, cut), strict=True)] if len(words) else []
+        n = len(data)
+        yield pa.RecordBatch.from_arrays([pa.array(buckets_[[0, *cut]] if n else [], pa.int32()), *(pa.array([x] * n, pa.int32()) for x in (UNI, rows[1][0])), pa.array(data, pa.binary())], names=["bucket", "kind", "part", "data"])
 
     return run
 
 
-def looked_up(keys: np.ndarray, values: np.ndarray, ask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value, whether there is one) for each key asked for."""
-    where = np.minimum(np.searchsorted(keys, ask), len(keys) - 1)
-    return values[where], keys[where] == ask
-
-
-def _score(total: int, kinds: int, docs: int, discount: float):
+def _score(total: int, kinds: int, discount: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def work(rows: pa.RecordBatch, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b, raw, at in slices(rows.column("text")):
-                row, token, before = tokens(raw, at)
-                c, there = looked_up(keys, values, token)
-                if not there.all():
-                    raise ValueError("a word is not in its bucket's dictionary")
-                own = (c + 1) / (total + kinds + 1)
-                first = before == np.uint64(START)
-                c1 = np.where(first, docs, np.concatenate([[0], c[:-1]])).astype(float)
-                read, there = looked_up(keys, values, pairs(before, token))
-                c2 = np.minimum(np.where(there, read, 1), c1)
-                mass, there = looked_up(keys, values, mixed(before ^ np.uint64(MASS)))
-                mass = np.where(there, mass, discount)
-                p = np.where(c1 > 0, (np.maximum(c2 - discount, 0) + mass * own) / np.maximum(c1, 1), own)
-                sums = [np.bincount(row, x, b - a) for x in (np.ones(len(row)), c > 0, np.log10(own), np.log10(p))]
+        for answers, documents in dealt(batches):
+            words = [np.split(unpack([x], np.int64), 2) for x in answers[UNI]]
+            count, mass = (np.concatenate([w[i] for w in words]) for i in (0, 1))
+            mass, code = mass.view(float), np.frombuffer(b"".join(answers[PAIR]), np.uint8)
+            held = [(part.slice(a, b - a), *tokens(raw, at)) for part in documents for a, b, raw, at in slices(part.column("text"))]
+            token = np.concatenate([*(h[2] for h in held), np.array([START], np.uint64)])
+            known, number = np.unique(token, return_inverse=True)
+            start = number[-1]
+            before = np.concatenate([h[3] for h in held])
+            first = before == np.uint64(START)
+            of = np.where(first, start, np.concatenate([[0], number[:-2]]))
+            asked, pair = np.unique(pairs(before, token[:-1]), return_inverse=True)
+            if len(known) != len(count) or len(asked) != len(code):
+                raise ValueError("a bucket's answers are not those to its documents")
+            own = (np.where(known == np.uint64(START), 0, count) + 1) / (total + kinds + 1)
+            own, c1 = own[number[:-1]], count[of].astype(float)
+            c2 = np.minimum(np.where(code > 0, 2.0 ** (code.astype(float) - 1), 0)[pair], c1)
+            p = np.where(c1 > 0, (np.maximum(c2 - discount, 0) + mass[of] * own) / np.maximum(c1, 1), own)
+            columns = (np.ones(len(own)), (count > 0)[number[:-1]], np.log10(own), np.log10(p))
+            end = 0
+            for part, row, _, _ in held:
+                at = slice(end, end + len(row))
+                end += len(row)
+                sums = [np.bincount(row, x[at], part.num_rows) for x in columns]
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("_id").slice(a, b - a), rows.column("train").slice(a, b - a), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(np.full(b - a, total), pa.int64()), *map(pa.array, sums[2:])],
+                    [part.column("_id"), part.column("train"), *(pa.array(x.astype(np.int64)) for x in sums[:2]), pa.array(np.full(part.num_rows, total), pa.int64()), *map(pa.array, sums[2:])],
                     names=["_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-        yield from streamed(batches, np.float64, work)
-
     return run
 
 
@@ -270,16 +275,16 @@ def score(docs: DataFrame, train) -> DataFrame:
     rows = rows.select("_id", "text", "train", bucket(n_buckets))
     counted = rows.select("text", "train", "bucket").mapInArrow(_count(n), _ROWS)
     found = materialise(by_segment(counted, n).mapInArrow(_answer(n), _FOUND), "counts")
-    stats = {r["what"]: r for r in found.where(F.col("what") < ANSWER).groupBy("what").agg(*(F.sum(c).alias(c) for c in ("total", "kinds", "once", "twice"))).collect()}
+    stats = {r["what"]: r for r in found.where("bucket < 0 AND keys IS NULL").groupBy("what").agg(*(F.sum(c).alias(c) for c in ("total", "kinds", "once", "twice"))).collect()}
     uni, both = stats.get(UNI), stats.get(PAIR)
     total, kinds = (uni["total"], uni["kinds"]) if uni else (0, 0)
     once, twice = (both["once"], both["twice"]) if both else (0, 0)
     discount = once / (once + 2 * twice) if once else 0.5
     training = rows.where("train").count()
-    words = by_segment(found.where(F.col("what") > ANSWER).select("segment", "what", "keys", "values"), n).mapInArrow(_masses(discount, training), _ANSWERS)
-    answers = found.where(F.col("what") == ANSWER).select("bucket", "keys", "values").unionAll(words)
+    words = by_segment(found.where(F.col("what").isin(WORDS, CONTEXT)).select("what", "segment", "keys", "data"), n).mapInArrow(_masses(discount, training), _ANSWERS)
+    answers = found.where("bucket >= 0").select("bucket", F.lit(PAIR).alias("kind"), F.col("segment").alias("part"), "data").unionAll(words)
     scored = beside_answers(rows, answers, ["_id", "text", "train"], n_buckets).mapInArrow(
-        _score(total, kinds, training, discount), "_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        _score(total, kinds, discount), "_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
     return scored.select(id_out(F.col("_id")).alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

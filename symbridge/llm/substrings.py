@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, merged, pack, packed, segments, streamed, text_bytes, unpack
+from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, dealt, merged, pack, packed, segments, text_bytes, unpack
 from symbridge.llm.shared import id_in, id_out, materialise, table
 from symbridge.llm.textops import BREAKS, Words, slices
 
@@ -110,7 +110,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b, k in zip(of, asked, strict=True):
         by.setdefault(b, []).append(k)
     told = [pack(mine[np.isin(mine, again, assume_unique=True)]) for mine in (np.unique(unpack(k)) for k in by.values())]
-    yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array(told, pa.binary()), pa.array([b""] * len(by), pa.binary())], names=["bucket", "keys", "values"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), *(pa.array(np.full(len(by), x), pa.int32()) for x in (0, rows[0][0])), pa.array(told, pa.binary())], names=["bucket", "kind", "part", "data"])
 
 
 def joined(raw: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def none(k: int, n: int) -> pa.Array:
         return pa.nulls(n, kinds[k])
 
-    def work(rows: pa.RecordBatch, keys: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(rows: pa.RecordBatch, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, marks = rows.column("_id"), rows.column("key")
         for a, b, raw, at in slices(rows.column("text")):
             found = Segments(raw, at)
@@ -162,7 +162,10 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     names=names,
                 )
 
-    yield from streamed(batches, np.uint64, work)
+    for answers, documents in dealt(batches):
+        keys = unpack(answers.get(0, []))  # sorted, as segments are in order
+        for rows in documents:
+            yield from work(rows, keys)
 
 
 class WaveletMatrix:
@@ -333,7 +336,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     n, n_buckets = segments(n_bytes // 2), buckets(docs.sparkSession, n_bytes)
     rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("_id", "text", F.xxhash64("text").alias("key"), bucket(n_buckets))
     asked = rows.select("text", "bucket").mapInArrow(_ask(n), _ASKED)
-    answers = by_segment(asked, n).mapInArrow(_repeated, "bucket int, keys binary, values binary")
+    answers = by_segment(asked, n).mapInArrow(_repeated, "bucket int, kind int, part int, data binary")
     marked = materialise(beside_answers(rows, answers, ["_id", "key", "text"], n_buckets).mapInArrow(_mark, _MARKED), "marked")
     runs = removals(marked).groupBy("_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the document
     held = marked.where("kind = 0 AND words IS NOT NULL").select("_id", "key", "words")
