@@ -4,7 +4,8 @@ Documents of equal shingle sets are one set with a count. Sets are split recursi
 independent runs a set goes down the path of its sampled tokens (min-wise hashes of its shingles), until its bucket holds at most
 `SMALL` sets or the path is `DEPTH` long; a bucket is compared by brute force. At similarity s a run keeps a pair together with
 probability s, or s**DEPTH under the most common tokens, so the runs bring the recall over `1 - (1 - 0.8**DEPTH)**RUNS` (0.9998).
-A bucket that is still large is dealt out as pairs of blocks of `SMALL` sets, each its own group of rows, so nothing is capped.
+A bucket that is still large, in sets or in shingles, is dealt out as pairs of blocks of `SMALL` sets or `SHINGLES` shingles, each its own
+group of rows, so nothing is capped.
 Buckets with the same members as an earlier run's are compared once; a pair that met in an earlier run is not counted again
 (each set carries its bucket of every run). Only sums by set and a spanning forest leave a bucket, never its pairs.
 
@@ -33,6 +34,8 @@ THRESHOLD = 0.8
 RUNS = 12
 DEPTH = 3
 SMALL = 512
+#: Shingles that a block holds, about: with long texts a block has fewer sets.
+SHINGLES = 4_000_000
 
 _SEEDS = mixed(np.arange(1, RUNS * DEPTH + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -77,25 +80,25 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = np.stack([sums(grams * s, first, np.minimum) for s in _SEEDS], 1).view(np.int64)
             offsets = pa.array(np.arange(0, tokens.size + 1, tokens.shape[1]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(f1), pa.array(f2), pa.array(np.diff(first), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(tokens.ravel()))],
-                names=["_id", "f1", "f2", "n", "tokens"],
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(f1), pa.array(f2), pa.array(np.diff(first), pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(tokens.ravel()))],
+                names=["_id", "t", "f1", "f2", "n", "tokens"],
             )
 
 
 def _leaves(sets: DataFrame) -> DataFrame:
-    """(f1, f2, run, leaf): the bucket of each set in each run."""
+    """(f1, f2, n, run, leaf): the bucket of each set in each run."""
     hashed = F.transform(
         F.sequence(F.lit(0), F.lit(RUNS - 1)),
         lambda r: F.struct(r.alias("run"), *(F.xxhash64(r, *(F.element_at("tokens", r * DEPTH + 1 + d) for d in range(k + 1))).alias(f"k{k}") for k in range(DEPTH))),
     )
-    rows = sets.select("f1", "f2", F.explode(hashed).alias("h")).select("f1", "f2", "h.*")
+    rows = sets.select("f1", "f2", "n", F.explode(hashed).alias("h")).select("f1", "f2", "n", "h.*")
     leaf = F.col(f"k{DEPTH - 1}")
     for k in range(DEPTH - 1):
         large = (rows if k == 0 else rows.where(f"large{k - 1}")).groupBy(f"k{k}").count().where(F.col("count") > SMALL).select(f"k{k}", F.lit(True).alias(f"large{k}"))
         rows = rows.join(large, f"k{k}", "left")
     for k in reversed(range(DEPTH - 1)):
         leaf = F.when(F.col(f"large{k}"), leaf).otherwise(F.col(f"k{k}"))
-    return rows.select("f1", "f2", "run", leaf.alias("leaf"))
+    return rows.select("f1", "f2", "n", "run", leaf.alias("leaf"))
 
 
 def _compare(sizes: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, leaves: np.ndarray, run: int, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -163,31 +166,31 @@ def _buckets(threshold: float):
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(sketches: _id, f1, f2, n by document; sets: f1, f2, rep, same, copies, class, links, first), both on shared storage."""
-    texts = docs.select(id_in().alias("_id"), F.col("text").cast("string").alias("text"))
-    sketches = materialise(texts.mapInArrow(_sketch, "_id long, f1 long, f2 long, n int, tokens array<long>"), "sketches")
-    by_id = sketches.where("n > 0").groupBy("f1", "f2", "_id").agg(F.count("*").alias("same"), F.min("tokens").alias("tokens"))
-    sets = by_id.groupBy("f1", "f2").agg(F.min(F.struct("_id", "same")).alias("least"), F.sum("same").alias("copies"), F.min("tokens").alias("tokens"))
-    sets = materialise(sets.select("f1", "f2", F.col("least._id").alias("rep"), F.col("least.same").alias("same"), "copies", "tokens"), "sets")
+    texts = docs.select(id_in().alias("_id"), F.col("text").cast("string").alias("text")).select("_id", "text", F.xxhash64("text").alias("t"))
+    sketches = materialise(texts.mapInArrow(_sketch, "_id long, t long, f1 long, f2 long, n int, tokens array<long>"), "sketches")
+    by_id = sketches.where("n > 0").groupBy("f1", "f2", "_id").agg(F.min("t").alias("t"), F.count("*").alias("same"), F.min("n").alias("n"), F.min("tokens").alias("tokens"))
+    sets = by_id.groupBy("f1", "f2").agg(F.min(F.struct("_id", "t", "same")).alias("least"), F.sum("same").alias("copies"), F.min("n").alias("n"), F.min("tokens").alias("tokens"))
+    sets = materialise(sets.select("f1", "f2", F.col("least._id").alias("rep"), F.col("least.t").alias("t"), F.col("least.same").alias("same"), "copies", "n", "tokens"), "sets")
     leaves = materialise(_leaves(sets), "leaves")
-    buckets = leaves.groupBy("leaf").agg(F.count("*").alias("size"), F.expr("bit_xor(xxhash64(f1, f2))").alias("members"), F.min("run").alias("run")).where("size > 1")
-    first = buckets.groupBy("members", "size").agg(F.min(F.struct("run", "leaf")).alias("b")).select("b.leaf", "size")
+    buckets = leaves.groupBy("leaf").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.expr("bit_xor(xxhash64(f1, f2))").alias("members"), F.min("run").alias("run")).where("size > 1")
+    first = buckets.groupBy("members", "size", "n").agg(F.min(F.struct("run", "leaf")).alias("b")).select("b.leaf", "size", F.col("n").alias("shingles"))
     within = leaves.join(first, "leaf")
-    blocks = F.ceil(F.col("size") / SMALL).cast("int")
+    blocks = F.ceil(F.greatest(F.col("size") / SMALL, F.col("shingles") / SHINGLES)).cast("int")
     block = F.pmod(F.xxhash64("f1", "f2"), F.col("blocks")).cast("int")
     dealt = (
         within.withColumn("blocks", blocks).withColumn("block", block).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("f1", "f2", "leaf", "run", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), F.when(F.col("x") < F.col("block"), 1).otherwise(0).alias("side"))
     )
     paths = leaves.join(within.select("f1", "f2").distinct(), ["f1", "f2"]).groupBy("f1", "f2").agg(F.sort_array(F.collect_list(F.struct("run", "leaf"))).alias("l")).select("f1", "f2", F.col("l.leaf").alias("leaves"))
-    whole = paths.join(sets.select("f1", "f2", F.col("rep").alias("_id"), "copies"), ["f1", "f2"]).join(texts, "_id")
+    whole = paths.join(sets.select("f1", "f2", F.col("rep").alias("_id"), "t", "copies"), ["f1", "f2"]).join(texts, ["_id", "t"])
     rows = dealt.join(whole, ["f1", "f2"]).select("leaf", "i", "j", "side", "f1", "f2", "copies", "leaves", "run", "text")
     compared = materialise(rows.repartition("leaf", "i", "j").sortWithinPartitions("leaf", "i", "j", "f1", "f2").mapInArrow(_buckets(threshold), "f1 long, root long, links long"), "links")
     links = compared.groupBy("f1").agg(F.sum("links").alias("links"))
     roots = components(compared.where("f1 <> root"), "f1", "root", lambda df: materialise(df, "labels"))
-    known = sets.drop("tokens").join(roots.withColumnRenamed("node", "f1"), "f1", "left").join(links, "f1", "left").withColumn("root", F.coalesce("root", "f1"))
+    known = sets.drop("tokens", "t", "n").join(roots.withColumnRenamed("node", "f1"), "f1", "left").join(links, "f1", "left").withColumn("root", F.coalesce("root", "f1"))
     least = known.groupBy("root").agg(F.min(F.struct("rep", "f1", "f2")).alias("least"))
     known = known.join(least, "root").select("f1", "f2", "rep", "same", "copies", F.col("least.rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"), ((F.col("least.f1") == F.col("f1")) & (F.col("least.f2") == F.col("f2"))).alias("first"))
-    return sketches.drop("tokens"), known
+    return sketches.select("_id", "f1", "f2", "n"), known
 
 
 def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

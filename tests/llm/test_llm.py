@@ -548,9 +548,10 @@ def expected_links(table):
     return sorted((-1 if i is None else i, low[find(a)], links[a]) for a, (i, _) in enumerate(sets))
 
 
-@pytest.mark.parametrize("small", [512, 4])
-def test_near_duplicates(spark, docs, monkeypatch, small):
+@pytest.mark.parametrize(("small", "shingles_"), [(512, 4_000_000), (4, 4_000_000), (512, 300)])
+def test_near_duplicates(spark, docs, monkeypatch, small, shingles_):
     monkeypatch.setattr(near_duplicates, "SMALL", small)
+    monkeypatch.setattr(near_duplicates, "SHINGLES", shingles_)
     got = near_duplicates.join(docs).collect()
     none = lambda v: -1 if v is None else v
     assert sorted((none(r["doc_id"]), none(r["class_id"]), r["n_links"]) for r in got) == expected_links(rows())
@@ -569,6 +570,16 @@ def test_dense_group_of_near_copies(spark):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == expected_links(table)
 
 
+def test_null_ids_meet_their_own_text_only(spark):
+    make = lambda i: " ".join(f"w{i}x{k}" for k in range(40))
+    table = [(None, make(i // 2) + " end" * (i % 2), None, None, None) for i in range(3000)]
+    df = spark.createDataFrame(table, DOCS)
+    sent = near_duplicates.classes(df)[1]
+    assert sent.where("links = 1").count() == 3000
+    got = near_duplicates.join(df).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert [tuple(r) for r in got] == [(None, None, 1, 3000)]
+
+
 def test_one_of_each(docs, empty):
     got = near_duplicates.one_of_each(docs)
     assert got.columns == docs.columns
