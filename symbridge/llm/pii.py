@@ -1,12 +1,15 @@
 """Personal data by a skip-chain conditional random field over the tokens of each document.
 
 Fixed patterns find the base spans (email, ip, card, phone). Tokens with a digit or an at sign are the nodes of a random field
-per document: node potentials from token shape, chain potentials between neighbours, and skip potentials between a token and
-the last one before it that is the same or similar (same letters and digits, same name at a host), however far away. Loopy
-message passing gives marginals; a token whose best label is a kind becomes a further span. Base tokens are clamped to their
-kind, so base spans always stay. All other tokens are "none" by definition and drop out of the graph.
+per document: node potentials from token shape, chain potentials between neighbours, and skip potentials between tokens that are the
+same or similar (same letters and digits, same name at a host), however far away: each is tied to the first of them that is base, or
+else to the first. Loopy message passing, until messages rest, gives marginals; a token whose best label is a kind becomes a further
+span. Base tokens are clamped to their kind, so base spans always stay. All other tokens are "none" by definition and drop out of the
+graph.
 
-Weights are trained on at most `SAMPLE_DOCS` documents and `SAMPLE_TOKENS` tokens, labelled by the base patterns.
+Node, chain and skip weights are trained together, by pseudo-likelihood, on at most `SAMPLE_DOCS` documents and `SAMPLE_TOKENS` tokens,
+labelled by the base patterns. Half of the tokens are hidden in training: their shape is not seen and they count as no base
+token, so that what a neighbour or a repeat tells must be learnt from the edges.
 
 Defined results: null or empty text: no spans. Null id: kept as null. Repeated rows: judged alike. Empty table: no rows. Extra
 columns are ignored (kept by redact()). Long texts cost linear time: no pattern backtracks over a run more than once.
@@ -16,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +34,9 @@ from symbridge.llm.shared import table
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 2000
 SAMPLE_TOKENS = 20_000
-ROUNDS = 8
+#: Message passing ends when no message changes by more than TOLERANCE, or after ROUNDS.
+TOLERANCE = 1e-3
+ROUNDS = 200
 
 # The base patterns.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,6 +87,9 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+N_FEATURES = 18
+
+
 def _features(token: str) -> list[float]:
     digits = len(_DIGITS.findall(token))
     letters = sum(c.isalpha() for c in token)
@@ -97,22 +107,26 @@ def _features(token: str) -> list[float]:
 
 @dataclass
 class Graph:
-    """The nodes of some documents: their row, place, features, base label (0: none) and the two kinds of edges back."""
-
-    row: list[int]
-    span: list[tuple[int, int]]
-    features: list[list[float]]
-    label: list[int]
-    chain: list[int]  # the neighbour before, or -1
-    skip: list[int]  # the last same or similar token before, or -1
+    """The nodes of some documents: their row, place, features, base label (0: none), the neighbour before (or -1), and skip edges (pairs of nodes)."""
+
+    row: array
+    start: array
+    end: array
+    features: np.ndarray
+    label: array
+    chain: array
+    skip: np.ndarray
+    hidden: np.ndarray
 
 
-def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
-    g = Graph([], [], [], [], [], [])
+def graph(texts: list[str], spans: list[list[Span]], hide: Callable[[int, int], bool] | None = None) -> Graph:
+    """The graph of some documents with their base spans; hide (of row and place) tells which tokens are hidden."""
+    row, begin, end, label, chain, features, hidden = array("q"), array("q"), array("q"), array("b"), array("q"), array("f"), array("b")
+    skip: list[tuple[int, int]] = []
     for r, (text, base) in enumerate(zip(texts, spans, strict=True)):
         if not _CLUE.search(text):
             continue
-        last: dict[str, int] = {}
+        alike: dict[str, list[int]] = {}
         base_at = sorted((a, b, k) for k, a, b in base)
         near, reach, here = 0, [], (-1, -1)  # spans that may cover the token; index and word number of the node before
         for number, m in enumerate(_WORD.finditer(text)):
@@ -123,97 +137,126 @@ def graph(texts: list[str], spans: list[list[Span]]) -> Graph:
                 reach.append(base_at[near])
                 near += 1
             reach = [s for s in reach if s[1] > m.start()]
-            me = len(g.row)
-            g.row.append(r)
+            me = len(row)
+            row.append(r)
             a, b = m.span()
             while b > a + 1 and text[b - 1] in ".,;:!?)\"'":
                 b -= 1
             while a < b - 1 and text[a] in "(\"'":
                 a += 1
-            g.span.append((a, b))
-            g.features.append(_features(token))
-            g.label.append(min((1 + k for _, _, k in reach), default=0))
-            g.chain.append(here[0] if here[1] == number - 1 else -1)
+            begin.append(a)
+            end.append(b)
+            features.extend(_features(token))
+            label.append(min((1 + k for _, _, k in reach), default=0))
+            hidden.append(hide is not None and hide(r, a))
+            chain.append(here[0] if here[1] == number - 1 else -1)
             plain = _PLAIN.sub("", token.lower())
             name = token.lower().partition("@")[0].strip("(\"'") if "@" in token[1:] else ""
-            keys = [plain] * (len(plain) >= 4) + ["@" + name] * (len(name) >= 3)
-            g.skip.append(max((last[k] for k in keys if k in last), default=-1))
-            for k in keys:
-                last[k] = me
+            for k in [plain] * (len(plain) >= 4) + ["@" + name] * (len(name) >= 3):
+                alike.setdefault(k, []).append(me)
             here = (me, number)
-    return g
+        for same in alike.values():
+            anchor = next((i for i in same if label[i] and not hidden[i]), same[0])
+            skip += [(i, anchor) for i in same if i != anchor]
+    edges = np.unique(np.sort(np.array(skip, np.int64).reshape(-1, 2), 1), axis=0)
+    return Graph(row, begin, end, np.frombuffer(features, np.float32).reshape(-1, N_FEATURES), label, chain, edges, np.frombuffer(hidden, np.int8).astype(bool))
 
 
 @dataclass
 class Field:
     node: np.ndarray  # features x labels
-    chain: np.ndarray  # labels x labels
-    skip: np.ndarray
+    chain: np.ndarray  # labels of the token before x labels
+    skip: np.ndarray  # labels x labels, symmetric
 
     def label(self, g: Graph) -> np.ndarray:
-        """The label of the largest marginal of each node, by damped loopy message passing in log space."""
-        unary = np.array(g.features) @ self.node
-        fixed = np.array(g.label)
+        """The label of the largest marginal of each node."""
+        fixed = np.array(g.label, np.int64)
+        return np.where(fixed > 0, fixed, self.marginals(g).argmax(1))
+
+    def marginals(self, g: Graph) -> np.ndarray:
+        """The logarithm of each node's marginal, but for a constant, by damped loopy message passing; base nodes are clamped."""
+        unary = g.features @ self.node
+        fixed = np.array(g.label, np.int64)
         unary[fixed > 0] = -30
         unary[np.flatnonzero(fixed > 0), fixed[fixed > 0]] = 30
-        edges = [(i, j, w) for back, w in ((g.chain, 0), (g.skip, 1)) for i, j in enumerate(back) if j >= 0]
-        if edges:
-            to, of, kind = np.array(edges).T
+        back = np.array(g.chain, np.int64)
+        after = np.flatnonzero(back >= 0)
+        of, to = np.concatenate([back[after], g.skip[:, 0]]), np.concatenate([after, g.skip[:, 1]])
+        if len(of):
+            kind = np.repeat([0, 1], [len(after), len(g.skip)])
             source, target = np.concatenate([of, to]), np.concatenate([to, of])
             weight = np.stack([self.chain, self.skip])[kind]
             weight = np.concatenate([weight, weight.transpose(0, 2, 1)])  # [message, source label, target label]
-            back = np.concatenate([np.arange(len(to)) + len(to), np.arange(len(to))])
+            reverse = np.concatenate([np.arange(len(to)) + len(to), np.arange(len(to))])
             message = np.zeros((len(source), unary.shape[1]))
             for _ in range(ROUNDS):
                 belief = unary.copy()
                 np.add.at(belief, target, message)
-                out = (belief[source] - message[back])[:, :, None] + weight
+                out = (belief[source] - message[reverse])[:, :, None] + weight
                 top = out.max(1)
                 new = top + np.log(np.exp(out - top[:, None]).sum(1))
-                message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+                new = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
+                change = np.abs(new - message).max()
+                message = new
+                if change < TOLERANCE:
+                    break
             np.add.at(unary, target, message)
-        return np.where(fixed > 0, fixed, unary.argmax(1))
+        return unary
 
 
-def train(features: np.ndarray, label: np.ndarray, chain: np.ndarray, skip: np.ndarray, rounds: int = 300) -> Field:
-    """Node weights by softmax regression; edge weights are smoothed log ratios of joint to independent label counts."""
+def train(features: np.ndarray, label: np.ndarray, before: np.ndarray, after: np.ndarray, skip: np.ndarray, rounds: int = 400) -> Field:
+    """All weights together, by pseudo-likelihood: each label given the token's features, the labels before and after (-1: none) and the counts of labels at its skip edges."""
     n = len(KINDS) + 1
-    weight, goal = np.zeros((features.shape[1], n)), np.eye(n)[label]
+    goal = np.eye(n)[label]
+    one = lambda x: np.eye(n)[np.maximum(x, 0)] * (x >= 0)[:, None]
+    before, after, size = one(before), one(after), max(1, len(label))
+    field = Field(np.zeros((features.shape[1], n)), np.zeros((n, n)), np.zeros((n, n)))
+    moment = [np.zeros_like(w) for w in (field.node, field.chain, field.skip)]
     for _ in range(rounds):
-        z = features @ weight
+        z = features @ field.node + before @ field.chain + after @ field.chain.T + skip @ field.skip
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        weight += 2.0 * (features.T @ (goal - p) / max(1, len(label)) - 1e-4 * weight)
+        rest = (goal - p) / size
+        pull = skip.T @ rest
+        slopes = (features.T @ rest, before.T @ rest + (after.T @ rest).T, (pull + pull.T) / 2)
+        for w, m, slope in zip((field.node, field.chain, field.skip), moment, slopes, strict=True):
+            m *= 0.9
+            m += slope - 1e-4 * w
+            w += 0.5 * m
+    return field
 
-    def edge(before: np.ndarray) -> np.ndarray:
-        joint = np.full((n, n), 0.5) + np.eye(n)
-        np.add.at(joint, (before[before >= 0], label[before >= 0]), 1)
-        joint /= joint.sum()
-        return np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))
 
-    return Field(weight, edge(chain), edge(skip))
+def _hidden(doc: int, at: int) -> bool:
+    return bool(zlib.crc32(f"{doc}:{at}".encode()) & 1)
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS) -> Field:
     """A field trained on a bounded sample: the documents with a digit or an at sign of the smallest id hash."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
     picked = texts.select("doc_id").dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
+    n = len(KINDS) + 1
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.column(1).to_pylist()
-            g = graph(some, [base_spans(t) for t in some])
-            ids = batch.column(0).to_pylist()
-            back = [[g.label[j] if j >= 0 else -1 for j in edge] for edge in (g.chain, g.skip)]
+            some, ids = batch.column(1).to_pylist(), batch.column(0).to_pylist()
+            g = graph(some, [base_spans(t) for t in some], lambda r, a: _hidden(ids[r], a))
+            label, chain = np.array(g.label, np.int64), np.array(g.chain, np.int64)
+            before, after, skip = np.full(len(label), -1), np.full(len(label), -1), np.zeros((len(label), n))
+            held = np.flatnonzero(chain >= 0)
+            before[held], after[chain[held]] = label[chain[held]], label[held]
+            for i, j in (g.skip.T, g.skip.T[::-1]):
+                np.add.at(skip, (i, label[j]), 1)
+            seen = np.where(g.hidden[:, None] & (np.arange(N_FEATURES) > 0), 0, g.features)  # the bias stays
+            lists = lambda x: pa.array(x.astype(float).tolist(), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[r] for r in g.row], pa.int64()), pa.array([a for a, _ in g.span], pa.int32()), pa.array(g.features, pa.list_(pa.float64())), *(pa.array(x, pa.int32()) for x in (g.label, *back))],
-                names=["doc_id", "start", "f", "label", "chain", "skip"],
+                [pa.array([ids[r] for r in g.row], pa.int64()), pa.array(g.start, pa.int64()), lists(seen), *(pa.array(x, pa.int32()) for x in (label, before, after)), lists(skip)],
+                names=["doc_id", "start", "f", "label", "before", "after", "skip"],
             )
 
-    known = texts.join(F.broadcast(picked), "doc_id").mapInArrow(rows, "doc_id long, start int, f array<double>, label int, chain int, skip int")
-    held = known.orderBy(F.xxhash64("doc_id"), "doc_id", "start").limit(sample_tokens).collect()
-    width = len(_features("0"))
-    return train(np.array([r["f"] for r in held], float).reshape(-1, width), *(np.array([r[c] for r in held], int) for c in ("label", "chain", "skip")))
+    known = texts.join(F.broadcast(picked), "doc_id").mapInArrow(rows, "doc_id long, start long, f array<double>, label int, before int, after int, skip array<double>")
+    held = known.orderBy(F.xxhash64("doc_id"), "doc_id", "start", "f").limit(sample_tokens).collect()
+    column = lambda c, width: np.array([r[c] for r in held], float).reshape(-1, width)
+    return train(column("f", N_FEATURES), *(np.array([r[c] for r in held], int) for c in ("label", "before", "after")), column("skip", n))
 
 
 def spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
@@ -223,8 +266,8 @@ def spans(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]
     more: dict[int, list[Span]] = {}
     if g.row:
         label = field.label(g)
-        for i in np.flatnonzero((label > 0) & (np.array(g.label) == 0)):
-            more.setdefault(g.row[i], []).append((int(label[i]) - 1, *g.span[i]))
+        for i in np.flatnonzero((label > 0) & (np.array(g.label, np.int64) == 0)):
+            more.setdefault(g.row[i], []).append((int(label[i]) - 1, g.start[i], g.end[i]))
     return [(b, sorted(b + more.get(r, []))) for r, b in enumerate(base)]
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -371,6 +372,41 @@ def test_skip_chain_spreads_a_label(spark, docs):
     assert pii.redact(docs, field).columns == docs.columns
 
 
+def test_a_repeat_is_found_through_its_skip_edge_only(spark):
+    rng = random.Random(6)
+    number = lambda valid: next(c for c in iter(lambda: str(rng.randrange(10**15, 10**16)), None) if pii.luhn(c) == valid)
+    table = []
+    for i in range(90):
+        card = number(True)
+        table += [(3 * i, f"pay {card} now or later pay {card} again"), (3 * i + 1, f"order {number(False)} was sent"), (3 * i + 2, f"user{i}@host asks")]
+    field = pii.fit(spark.createDataFrame(table, "doc_id long, text string"))
+    text = "card 4111111111111111 noted here and 4111.1111.1111.1111 too"
+    for name, (base, found) in (("all", pii.spans([text], field)[0]), ("no skip edge", pii.spans([text], pii.Field(field.node, field.chain, field.skip * 0))[0])):
+        assert base == [(2, 5, 21)]
+        assert found == base + [(2, 37, 56)] * (name == "all")
+    assert pii.spans([text[22:]], field) == [([], [])]
+
+
+def test_message_passing_equals_enumeration():
+    rng = np.random.default_rng(2)
+    n = len(pii.KINDS) + 1
+    skip = rng.normal(size=(n, n))
+    field = pii.Field(rng.normal(size=(pii.N_FEATURES, n)), rng.normal(size=(n, n)), skip + skip.T)
+    for text in ("1234 7 1234", "ring 5551234 or 5551234 or x 55-51234", "a1b2 x a1b2 y 9 z a1b2", "joe77@host x joe77@other", "12 13 14", "card 4111111111111111 noted 4111.1111.1111.1111"):
+        g = pii.graph([text], [pii.base_spans(text)])
+        edges = [(j, i, field.chain) for i, j in enumerate(g.chain) if j >= 0] + [(int(i), int(j), field.skip) for i, j in g.skip]
+        unary, fixed = g.features @ field.node, np.array(g.label, int)
+        total = np.zeros((len(unary), n))
+        for y in itertools.product(range(n), repeat=len(unary)):
+            if all(f in (0, v) for f, v in zip(fixed, y)):
+                weight = math.exp(sum(unary[i, v] for i, v in enumerate(y) if not fixed[i]) + sum(w[y[i], y[j]] for i, j, w in edges))
+                for i, v in enumerate(y):
+                    total[i, v] += weight
+        got = field.marginals(g)
+        got = np.exp(got - got.max(1, keepdims=True))
+        assert np.abs(got / got.sum(1, keepdims=True) - total / total.sum(1, keepdims=True)).max() < 2e-3, text
+
+
 def test_field_without_labels(empty):
     assert pii.find(empty, pii.fit(empty)).count() == 0
 
