@@ -4,8 +4,8 @@ Template tokens are ordered by their frequency in the corpus, rarest first. A bl
 template's tokens must hold one of the template's first `n - need + 1` tokens (prefix filter), at least `need` template tokens
 (length filter), and the places of the shared token in both orders must leave room for `need` (positional filter); what is left is
 counted exactly. A block is a run of `BLOCK` words of the text, whatever its lines, starting every `BLOCK - MOST_WORDS` words, so
-every place of a template of at most `MOST_WORDS` words lies whole in a block. With a longer template among them, blocks are twice as
-long as the longest, starting at every half.
+every place of a template of at most `MOST_WORDS` words lies whole in a block. Longer templates, such as whole license texts, have blocks of
+their own, twice as long as the longest of them, starting at every half.
 
 Beside the join, fixed phrases give the base labels with their places.
 
@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.llm.shared import id_in, id_out, table
+from symbridge.llm.shared import id_in, id_out, materialise, table
 
 CONTAINMENT = 0.8
 MOST_WORDS = 32
@@ -41,7 +41,17 @@ TEMPLATES = [
     ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "Released under the MIT License."),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-]
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in
+        the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in
+        all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+        WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR
+        OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+        permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF
+        USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""),
+]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -102,48 +112,64 @@ def frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     return {r["word"]: r["count"] for r in words.groupBy("word").count().collect()}  # at most the vocabulary
 
 
+def block_sizes(longest: list[int]) -> tuple[int, int]:
+    """(words of a block, words between block starts) for templates of so many words each."""
+    return (BLOCK, BLOCK - MOST_WORDS) if max(longest) <= MOST_WORDS else (2 * max(longest), max(longest))
+
+
+def template_table(templates: DataFrame) -> list[tuple[str, str]]:
+    """The (label, text) rows of a table of templates, of which there may be MOST_TEMPLATES."""
+    return [(r["label"], r["text"]) for r in templates.select("label", "text").limit(MOST_TEMPLATES + 1).collect()]
+
+
 def similar(docs: DataFrame, templates: list[tuple[str, str]], containment: float = CONTAINMENT) -> DataFrame:
     """_id, _key, labels, score of the documents with a block that holds the share `containment` of a template's distinct words."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    words = [template_words(t.strip()) for _, t in templates]
-    words = [[w for w in ws if w] for ws in words]
+    words = [[w for w in template_words(t.strip()) if w] for _, t in templates]
     if not all(words):
         raise ValueError("a template has no word")
     vocabulary = sorted({w for ws in words for w in ws})
     often = frequencies(docs, vocabulary)
     rank = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
-    index, prefixes = [], set()
-    for (label, _), ws in zip(templates, words, strict=True):
-        ranks = sorted({rank[w] for w in ws})
-        need = math.ceil(containment * len(ranks) - 1e-9)
-        for place, r in enumerate(ranks[: len(ranks) - need + 1]):
-            index.append((r, place, label, ranks, need))
-            prefixes.add(r)
-    lead = [w for w in vocabulary if rank[w] in prefixes]
-    spark = docs.sparkSession
-    posting = spark.createDataFrame(index, "token int, t_place int, label string, ranks array<int>, need int")
     ranked = F.create_map(*(F.lit(x) for w in vocabulary for x in (w, rank[w])))
-    leading = F.array(*map(F.lit, lead))
-    text = docs.where(holds(F.col("low"), lead)).select("_id", "_key", F.split(spaced(F.col("low")), " ").alias("words")).where(F.arrays_overlap("words", leading))
-    longest = max(map(len, words))
-    step = max(BLOCK - MOST_WORDS, longest)
+    kinds = []
+    for long in (False, True):
+        mine = [(label, ws) for (label, _), ws in zip(templates, words, strict=True) if (len(ws) > MOST_WORDS) == long]
+        index = []
+        for label, ws in mine:
+            ranks = sorted({rank[w] for w in ws})
+            need = math.ceil(containment * len(ranks) - 1e-9)
+            index += [(r, place, label, ranks, need) for place, r in enumerate(ranks[: len(ranks) - need + 1])]
+        if mine:
+            kinds.append((index, block_sizes([len(ws) for _, ws in mine])))
+    of = lambda index: [w for w in vocabulary if rank[w] in {r for r, *_ in index}]
+    lead = of([entry for index, _ in kinds for entry in index])
+    text = docs.where(holds(F.col("low"), lead)).select("_id", "_key", F.split(spaced(F.col("low")), " ").alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, lead))))
+    text = materialise(text, "texts") if len(kinds) > 1 else text
+    share = reduce(DataFrame.unionAll, [_blocks(text, index, of(index), ranked, vocabulary, *size) for index, size in kinds])
+    return share.groupBy("_id", "_key").agg(F.collect_set("label").alias("labels"), F.max(F.col("shared") / F.col("n")).alias("score"))
+
+
+def _blocks(text: DataFrame, index: list[tuple], lead: list[str], ranked: Column, vocabulary: list[str], block: int, step: int) -> DataFrame:
+    """_id, _key, label, need, shared, n of the blocks (cut from texts with words) and templates (index) that share what the template needs."""
+    posting = text.sparkSession.createDataFrame(index, "token int, t_place int, label string, ranks array<int>, need int")
     # cut within one row, so that a long text is not copied for each of its blocks
-    runs = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(step)), lambda at: F.slice("words", at, max(BLOCK, 2 * longest)))
-    block = text.select("_id", "_key", F.explode(runs).alias("words")).where(F.arrays_overlap("words", leading))
-    held = block.select("_id", "_key", F.sort_array(F.transform(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), lambda w: F.element_at(ranked, w))).alias("held"))
+    runs = F.transform(F.sequence(F.lit(1), F.size("words"), F.lit(step)), lambda at: F.slice("words", at, block))
+    own = text.select("_id", "_key", F.explode(runs).alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, lead))))
+    held = own.select("_id", "_key", F.sort_array(F.transform(F.array_intersect("words", F.array(*map(F.lit, vocabulary))), lambda w: F.element_at(ranked, w))).alias("held"))
     pairs = held.where(F.size("held") >= min(n for *_, n in index)).select("_id", "_key", "held", F.posexplode("held").alias("place", "token")).join(F.broadcast(posting), "token")
     room = F.least("place", "t_place") + F.least(F.size("held") - F.col("place"), F.size("ranks") - F.col("t_place"))
     near = pairs.where((F.size("held") >= F.col("need")) & (room >= F.col("need")))
-    share = near.select("_id", "_key", "label", "need", F.size(F.array_intersect("held", "ranks")).alias("shared"), F.size("ranks").alias("n")).where("shared >= need")
-    return share.groupBy("_id", "_key").agg(F.collect_set("label").alias("labels"), F.max(F.col("shared") / F.col("n")).alias("score"))
+    return near.select("_id", "_key", "label", "need", F.size(F.array_intersect("held", "ranks")).alias("shared"), F.size("ranks").alias("n")).where("shared >= need")
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:
-    """One row per document with its base phrases, labels and score."""
+def scan(docs: DataFrame, templates: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
+    """One row per document with its base phrases, labels and score; templates: (label, text), a list or a table."""
+    templates = TEMPLATES if templates is None else template_table(templates) if isinstance(templates, DataFrame) else templates
     key = F.xxhash64(F.col("text").cast("string")).alias("_key")
     rows = docs.select(id_in().alias("_id"), key, lowered(F.col("text")).alias("low"))
-    more = similar(rows, TEMPLATES if templates is None else templates)
+    more = similar(rows, templates)
     out = docs.select(id_in().alias("_id"), key, word_count(F.col("text")).alias("n_words")).join(phrases(rows), ["_id", "_key"], "left").join(more, ["_id", "_key"], "left")
     none = F.array().cast("array<string>")
     base, label = F.coalesce("found", none), F.coalesce("labels", none)
@@ -160,17 +186,18 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     listed = lambda words: "[" + ", ".join(map(quote, words)) + "]"
-    templates = ", ".join(f"({quote(label)}, {listed(sorted({w for w in template_words(t) if w}))})" for label, t in TEMPLATES)
+    bags = [(label, [w for w in template_words(t.strip()) if w]) for label, t in TEMPLATES]
+    size = {long: block_sizes([len(ws) for _, ws in bags if (len(ws) > MOST_WORDS) == long]) for long in (False, True)}
+    templates = ", ".join(f"({quote(label)}, {size[len(ws) > MOST_WORDS][0]}, {listed(sorted(set(ws)))})" for label, ws in bags)
     phrases_ = ", ".join(f"({quote(label)}, {listed(p.split())})" for p, label in PHRASES.items())
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     words = lambda text: f"list_filter(regexp_split_to_array({text}, '{NO_WORD}'), lambda x: x <> '')"
     return f"""
 WITH d AS (SELECT doc_id, {low} AS low, {words(low)} AS w FROM documents),
-templates(label, tokens) AS (VALUES {templates}), phrases(label, tokens) AS (VALUES {phrases_}),
+templates(label, size, tokens) AS (VALUES {templates}), sizes(size, step) AS (VALUES {size[False]}, {size[True]}), phrases(label, tokens) AS (VALUES {phrases_}),
 places AS (SELECT doc_id, label, i - 1 AS at_word FROM d, phrases, unnest(range(1, len(w) + 1)) AS t(i) WHERE contains(low, 'license') AND list_slice(w, i, i + len(tokens) - 1) = tokens),
-lines AS (SELECT doc_id, {words("line")} AS w FROM d, unnest(string_split(low, chr(10))) AS t(line)),
-blocks AS (SELECT doc_id, list_slice(w, i + 1, i + {BLOCK}) AS b FROM lines, unnest(range(0, greatest(len(w), 1), {BLOCK - MOST_WORDS})) AS t(i)),
-hits AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), tokens)) / CAST(len(tokens) AS DOUBLE) AS share FROM blocks, templates),
+blocks AS (SELECT doc_id, size, list_slice(w, i + 1, i + size) AS b FROM d, sizes, unnest(range(0, greatest(len(w), 1), step)) AS t(i)),
+hits AS (SELECT doc_id, label, len(list_intersect(list_distinct(b), tokens)) / CAST(len(tokens) AS DOUBLE) AS share FROM blocks JOIN templates USING (size)),
 found AS (SELECT doc_id, label, max(share) AS share FROM hits WHERE share >= {CONTAINMENT} - 1e-9 GROUP BY 1, 2),
 labels AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM found UNION SELECT doc_id, label FROM places) GROUP BY 1)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(p.n, 0) AS n_base, p.a AS first_word, p.b AS last_word, coalesce(p.labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(f.score, 0.0) AS score

@@ -454,6 +454,19 @@ def test_wrapped_and_long_license_statements(spark):
     assert [(r["labels"], r["score"]) for r in got] == [("long", 1.0)] * len(body)
 
 
+def test_whole_license_texts_and_templates_of_a_table(spark):
+    wrap = lambda t, k: "\n".join(" ".join(t.split()[i : i + k]) for i in range(0, len(t.split()), k))
+    whole = next(t for label, t in licenses.TEMPLATES if label == "isc")
+    kept = " ".join(w for n, w in enumerate(whole.split()) if n % 9)
+    far = "\n".join(w + " x" * 40 for w in whole.split())
+    body = [(1, "a\n" * 77 + wrap(whole, 10)), (2, "b " * 300 + kept + " c" * 100), (3, far), (4, "all the things " + "z " * 70 + "rights we reserved")]
+    docs = spark.createDataFrame(body, "doc_id long, text string")
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs).collect()}
+    assert got[1] == ("isc", 1.0) and got[2][0] == "isc" and 0.8 <= got[2][1] <= 1 and got[3] == got[4] == ("", 0.0)
+    from_table = licenses.scan(docs, spark.createDataFrame(licenses.TEMPLATES, "label string, text string"))
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in from_table.collect()} == got
+
+
 def test_license_scan_is_native(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
