@@ -6,7 +6,8 @@ bound, within w characters, are dropped; what is left is verified by alignment i
 characters of an item stand within k edits; shorter items must stand whole, with edits in proportion.
 
 Letters A-Z are lower-cased and white space characters are alike; positions are code points of the text as given. The benchmark
-is read in blocks of at most `BLOCK_CHARS` characters, so what a task holds is bounded however large the benchmark is.
+is read in blocks of at most `BLOCK_CHARS` characters, whose index (under 25 bytes a character) is broadcast, so what a task holds is
+bounded however large the benchmark is; each block is a scan of the documents.
 
 Defined results: null or empty text or item, or an item shorter than q: no match. Null id: kept as null. Repeated rows of documents:
 each reports its matches. Repeated items: each is reported. Empty tables: no rows. Extra columns are ignored.
@@ -29,7 +30,7 @@ Q = 12
 REGION = 80
 #: One edit for this many characters of a region.
 CHARS_PER_EDIT = 20
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 RUN_CHARS = 1 << 19
 
 MATCHES = "doc_id long, item_id long, start long, end long, edits long, shared long"
@@ -75,11 +76,11 @@ class Index:
         self.ids, self.items = [i for i, _ in items], [points(t) for _, t in items]
         grams = [qgrams(p, q) for p in self.items]
         keys = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
+        item = np.repeat(np.arange(len(grams), dtype=np.int32), [len(g) for g in grams])
+        place = np.concatenate([*(np.arange(len(g), dtype=np.int32) for g in grams), np.zeros(0, np.int32)])
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.place = keys[order], item[order], place[order]
-        self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(max(1, len(keys))))) + 6))
+        self.shift = np.uint64(64 - max(16, int(np.ceil(np.log2(max(1, len(keys))))) + 3))
         self.table = np.zeros(1 << int(64 - int(self.shift)), bool)
         self.table[self.keys >> self.shift] = True
 
@@ -105,10 +106,14 @@ class Index:
 
     def verified(self, at: np.ndarray, where: np.ndarray, row: np.ndarray) -> list[tuple[int | None, int, int, int, int]]:
         out = []
-        item, place = self.item[row], self.place[row]
-        for x in np.unique(item):
+        order = np.argsort(self.item[row], kind="stable")
+        where, row = where[order], row[order]
+        item, place = self.item[row], self.place[row].astype(np.int64)
+        for of in np.split(np.arange(len(row)), np.flatnonzero(np.diff(item)) + 1):
+            x = int(item[of[0]])
             w, k, least = self.bound(len(self.items[x]))
-            of = item == x
+            if len(of) < least:
+                continue
             p, d = place[of], where[of] - place[of]
             width = max(1, k) * 2
             found: list[tuple[int, int, int, int]] = []
@@ -119,11 +124,13 @@ class Index:
                 for own in np.split(order, cuts):
                     if len(own) >= least:
                         found += self._regions(at, self.items[x], p[own], d[own], w, k, least)
-            end = -1
+            stretches: list[tuple[int, int, int, int]] = []
             for a, b, edits, shared in sorted(found, key=lambda f: (f[0], -f[1])):
-                if a >= end:
-                    out.append((self.ids[x], a, b, edits, shared))
-                    end = b
+                if stretches and a < stretches[-1][1]:  # found in both bands, or one goes on where the other ends
+                    o = stretches.pop()
+                    a, b, edits, shared = o[0], max(b, o[1]), max(edits, o[2]), max(shared, o[3])
+                stretches.append((a, b, edits, shared))
+            out += [(self.ids[x], *s) for s in stretches]
         return out
 
     def _regions(self, at: np.ndarray, item: np.ndarray, p: np.ndarray, d: np.ndarray, w: int, k: int, least: int) -> list[tuple[int, int, int, int]]:
@@ -166,10 +173,15 @@ class Index:
         return banded(item[starts[best] : starts[best] + w], at, int(near[best]), k), int(ends[best])
 
 
+def _band(k: int) -> np.ndarray:
+    """Diagonals about that of any hit: another hit of the band is up to 2k - 1 away, and the alignment up to k from there."""
+    return np.arange(-3 * k - 1, 3 * k + 2)
+
+
 def _least_edits(patterns: np.ndarray, text: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
     """The edits banded() finds for each row of patterns near its start, all rows at once; more than k where it finds none."""
     n, w = patterns.shape
-    offsets = np.arange(-2 * k - 1, 2 * k + 2)
+    offsets = _band(k)
     slots = np.arange(len(offsets))
     cost = np.zeros((n, len(offsets)), np.int64)
     for i in range(w):
@@ -185,11 +197,10 @@ def _least_edits(patterns: np.ndarray, text: np.ndarray, starts: np.ndarray, k:
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, start: int, k: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of pattern in text near text[start:], at most k edits, by alignment in a band of 2k + 1 + slack diagonals; else None."""
+    """(start, end, edits) of pattern in text near text[start:], at most k edits, by alignment in a band of diagonals; else None."""
     if 0 <= start and start + len(pattern) <= len(text) and np.array_equal(pattern, text[start : start + len(pattern)]):
         return start, start + len(pattern), 0
-    reach = 2 * k + 1
-    offsets = np.arange(-reach, reach + 1)
+    offsets = _band(k)
     cost = np.zeros(len(offsets), np.int64)  # the pattern may begin anywhere in the band
     origin = start + offsets
     for i, c in enumerate(pattern):
@@ -212,10 +223,12 @@ def banded(pattern: np.ndarray, text: np.ndarray, start: int, k: int) -> tuple[i
     return max(0, int(origin[j])), min(len(text), start + len(pattern) + int(offsets[j])), int(cost[j])
 
 
-def _scan(index: Index):
+def _scan(index):
+    """Matches of documents (doc_id, text); index is a broadcast."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(batch.column(0)[r].as_py(), *m) for r, m in _group_all(index, batch.column(1))]
+            out = [(batch.column(0)[r].as_py(), *m) for r, m in _group_all(index.value, batch.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(6)], names=["doc_id", "item_id", "start", "end", "edits", "shared"])
 
     return run
@@ -253,7 +266,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, block_chars: int = BLOCK_CHA
     """One row for each stretch of a document that matches an item: doc_id, item_id, start, end, edits, shared q-grams."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = [texts.mapInArrow(_scan(Index(block)), MATCHES) for block in _blocks(bench, block_chars)]
+    found = [texts.mapInArrow(_scan(spark.sparkContext.broadcast(Index(block))), MATCHES) for block in _blocks(bench, block_chars)]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], MATCHES)
 
 
@@ -262,11 +275,11 @@ def clean(docs: DataFrame, bench: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
     out = docs
     for block in _blocks(bench, BLOCK_CHARS):
-        index = Index(block)
+        index = docs.sparkSession.sparkContext.broadcast(Index(block))
 
-        def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bad = {r for r, _ in _group_all(index, batch.column(at))}
+                bad = {r for r, _ in _group_all(index.value, batch.column(at))}
                 yield batch.filter(pa.array([r not in bad for r in range(batch.num_rows)], pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)

@@ -177,6 +177,58 @@ def test_decontamination_of_partial_passages():
         assert index.matches(edited) and not index.matches("".join("#" if n == 50 else c for n, c in enumerate(edited)))
 
 
+def least_edits(pattern, text):
+    """The fewest edits that turn pattern into some part of text, by the whole table."""
+    row, text = np.zeros(len(text) + 1, int), np.array([ord(c) for c in text])
+    for i, c in enumerate(pattern):
+        best = np.concatenate([[i + 1], np.minimum(row[:-1] + (text != ord(c)), row[1:] + 1)])
+        row = np.minimum.accumulate(best - np.arange(len(best))) + np.arange(len(best))
+    return row.min()
+
+
+def edited(text, edits, rng, near=None):
+    out = list(text)
+    for _ in range(edits):
+        at = rng.randrange(len(out)) if near is None else rng.choice([*range(near), *range(len(out) - near, len(out))])
+        if (op := rng.randrange(3)) == 2:
+            del out[at]
+        else:
+            out[at : at + 1 - op] = [rng.choice("#%&")]
+    return "".join(out)
+
+
+def test_decontamination_equals_alignment_of_every_window():
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=n))
+    for trial in range(120):
+        item, edits = make(300), trial % 6
+        start = rng.choice([0, 220, rng.randrange(221)])
+        text = rng.choice(["", make(60)]) + edited(item[start : start + 80], edits, rng, 12 if trial % 4 == 0 else None) + rng.choice(["", make(60)])
+        least = min(least_edits(item[a : a + 80], text) for a in range(max(0, start - 6), min(221, start + 7)))
+        found = decontamination.Index([(1, item)]).matches(text)
+        if least <= 4:
+            assert found, (trial, start, edits)
+        elif found:
+            assert min(least_edits(item[a : a + 80], text) for a in range(221)) <= 4
+
+
+def test_decontamination_query_equals_alignment(spark):
+    tidy = lambda t: re.sub(r"[\x09-\x0D]", " ", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    docs, bench = ([(r[0], tidy(r[1])) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c, "text").collect()] for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+    grams = {x: {t[i : i + 12] for i in range(len(t) - 11)} for x, t in bench}
+    want = set()
+    for d, t in docs:
+        own = {t[i : i + 12] for i in range(len(t) - 11)}
+        for x, item in bench:
+            w = min(80, len(item))
+            k = min(w // 20, max(0, (w + 1) // 12 - 1))
+            if len(item) >= 12 and len(own & grams[x]) >= (w + 1 - 12 * (k + 1)) / 3:  # far under the lemma's bound, which counts repeats
+                if any(item[a : a + w] in t for a in range(len(item) - w + 1)) or any(least_edits(item[a : a + w], t) <= k for a in range(len(item) - w + 1)):
+                    want.add((d, x))
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op2_decontamination"](spark, SF).collect()}
+    assert got == want and want
+
+
 # 3 WARC
 
 
