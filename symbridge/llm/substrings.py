@@ -35,7 +35,7 @@ from symbridge.llm.textops import BREAKS, Words, slices
 WINDOW = 20
 GRAM = 8
 HOT = 4096
-SHARD_WORDS = 3_000_000
+SHARD_WORDS = 1_000_000
 FLUSH = 300_000
 
 _ASKED = "segment int, bucket int, keys binary, counts binary"
