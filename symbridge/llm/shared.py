@@ -13,9 +13,11 @@ NULL_ID = -(2**63)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir; a local temporary folder only where that is unset (tests)."""
+    """A new folder's URI under spark.checkpoint.dir; where that is unset, in a local temporary folder, with a local master only."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = getattr(shared_dir, "local", None)
         if base is None:
             base = shared_dir.local = "file://" + tempfile.mkdtemp(prefix="spark-")
