@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, on the storage of spark.checkpoint.dir (a local folder only where that is unset)."""
+    """df cut off from its lineage, on the storage of spark.checkpoint.dir (a local folder where that is unset, with a local master only)."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
         import tempfile
 
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 

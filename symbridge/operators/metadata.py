@@ -60,8 +60,8 @@ def inspection_set(points: DataFrame, xrefs: DataFrame, ranges: DataFrame, named
     """Distinct start_ea of functions that contain a target, that refer to one, or whose name matched."""
     from symbridge.operators.intervals import containing
 
-    inside = containing(points.select("ea"), ranges, "ea").select("start_ea")
-    refer = containing(xrefs.join(points.select(F.col("ea").alias("to_ea")), "to_ea", "left_semi").select(F.col("from_ea").alias("ea")), ranges, "ea").select("start_ea")
+    inside = containing(points.select("ea"), ranges, "ea", how="inner").select("start_ea")
+    refer = containing(xrefs.join(points.select(F.col("ea").alias("to_ea")), "to_ea", "left_semi").select(F.col("from_ea").alias("ea")), ranges, "ea", how="inner").select("start_ea")
     return inside.unionAll(refer).unionAll(named.select("start_ea")).where("start_ea IS NOT NULL").distinct()
 
 

@@ -88,6 +88,32 @@ def test_nearest_on_no_rows(spark):
     assert rows(found) == [(1, None)]
 
 
+@pytest.mark.parametrize("forward", [True, False])
+def test_nearest_with_one_far_address_and_null_keys(spark, forward):
+    at = [*range(0, 4000, 10), 2**62]
+    keys = [-5, 3, 1999, 3995, 2**61, None, 2**62 + 1]
+    found = intervals.nearest(spark.createDataFrame([(k,) for k in keys], "k bigint"), spark.createDataFrame([(a,) for a in at], "ea bigint"), "k", "ea", forward, buckets=50)
+    want = {k: None if k is None else min((a for a in at if a >= k), default=None) if forward else max((a for a in at if a <= k), default=None) for k in keys}
+    assert {r["k"]: r["ea"] for r in found.collect()} == want
+    cuts = intervals._spot([10, 20, 30, 40, 50, 60, 70, 80, 90, 100])
+    got = spark.range(0, 120, 5).select("id", cuts(F.col("id")).alias("n")).collect()
+    assert all(r["n"] == min(10, r["id"] // 10) for r in got)
+
+
+def test_containing_with_ranges_of_all_lengths(spark):
+    spans = [(0, 16, "a"), (4096, 4096 + 2**18 + 1, "b"), (2**20, 2**20 + 2**40, "t"), (-(2**63), 2**63 - 1, "all"), (50, 50, "none"), (2**50, 2**50 + 8, "z")]
+    points = [0, 15, 16, 5000, 2**20, 2**30, 2**50 + 7, 2**62, -9, None]
+    r = spark.createDataFrame(spans, "start_ea bigint, end_ea bigint, n string")
+    p = spark.createDataFrame([(x,) for x in points], "ea bigint")
+    want = [(x, n) for x in points for s, e, n in spans if x is not None and s <= x < e]
+    assert sorted(rows(intervals.containing(p, r, "ea", how="inner").select("ea", "n"))) == sorted(want)
+    some = [s for s in spans if s[2] != "all"]
+    got = rows(intervals.containing(p, r.where("n <> 'all'"), "ea").select("ea", "n"))
+    hits = [(x, n) for x in points for s, e, n in some if x is not None and s <= x < e]
+    assert sorted(got, key=str) == sorted(hits + [(x, None) for x in points if x not in {h[0] for h in hits}], key=str)
+    assert intervals.containing(p, r.limit(0), "ea").count() == len(points)
+
+
 def test_containing_with_a_hot_range(spark):
     ranges = spark.createDataFrame([(0, 10, 0, 3), (1, 20, 4000, 9000), (2, 30, 9000, 9000)], "n int, x int, start_ea bigint, end_ea bigint")
     points = spark.createDataFrame([(i,) for i in [0, 2, 3, 3999, 4000, 8999, 9000]] + [(5000,)] * 90, "ea bigint")
