@@ -7,12 +7,10 @@ from pyspark.sql import functions as F
 
 from symbridge.jobs import registry
 from symbridge.jobs.registry import query, view
+from symbridge.jobs.score_queries import LAST_CMP, USAGE
 from symbridge.operators import components, decisions, intervals, lookups, matching, metadata, profiles
 from symbridge.operators.decisions import function_choice, global_choice
 
-_USAGE = "SELECT og_id, count(*) AS usage_count, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, string_agg(file || ':' || line, ',' ORDER BY file, line) AS locations FROM uses GROUP BY og_id"
-_LAST_CMP = "SELECT og_id, arg_max(classification, csv_row) AS classification, arg_max(ae_id, csv_row) AS ae_id, arg_max(score, csv_row) AS score, max(csv_row) AS csv_row FROM cmp GROUP BY og_id"
-
 
 def _uses(spark, d) -> DataFrame:
     return decisions.id_tokens(view(spark, d, "src"))
@@ -26,13 +24,13 @@ def j1(spark, d):
 
 @query(
     "j2_compared_uses",
-    f"SELECT og_id, file, line, kind, CASE WHEN csv_row IS NULL THEN 'no' ELSE 'yes' END AS mapped, ae_id, coalesce(classification, 'unmapped') AS classification, round(score, 4) AS score FROM uses LEFT JOIN ({_LAST_CMP}) USING (og_id)", "uses", "cmp",
+    f"SELECT og_id, file, line, kind, CASE WHEN csv_row IS NULL THEN 'no' ELSE 'yes' END AS mapped, ae_id, coalesce(classification, 'unmapped') AS classification, round(score, 4) AS score FROM uses LEFT JOIN ({LAST_CMP}) USING (og_id)", "uses", "cmp",
 )
 def j2(spark, d):
     return lookups.compared_uses(_uses(spark, d), view(spark, d, "cmp")).select("og_id", "file", "line", "kind", "mapped", "ae_id", "classification", F.round("score", 4).alias("score"))
 
 
-@query("j3_unmapped_queue", f"SELECT * FROM ({_USAGE}) u ANTI JOIN cmp ON cmp.og_id = u.og_id", "uses", "cmp")
+@query("j3_unmapped_queue", f"SELECT * FROM ({USAGE}) u ANTI JOIN cmp ON cmp.og_id = u.og_id", "uses", "cmp")
 def j3(spark, d):
     return lookups.unmapped_queue(_uses(spark, d), view(spark, d, "cmp"))
 
@@ -62,7 +60,7 @@ def j7(spark, d):
 
 @query(
     "j8_unmapped_targets",
-    f"""SELECT u.og_id, usage_count, l.rva AS og_rva, p.csv_row, p.csv_og_rva, coalesce(l.rva <> p.csv_og_rva, false) AS rva_differs FROM ({_USAGE}) u ANTI JOIN cmp ON cmp.og_id = u.og_id LEFT JOIN lib l ON l.id = u.og_id
+    f"""SELECT u.og_id, usage_count, l.rva AS og_rva, p.csv_row, p.csv_og_rva, coalesce(l.rva <> p.csv_og_rva, false) AS rva_differs FROM ({USAGE}) u ANTI JOIN cmp ON cmp.og_id = u.og_id LEFT JOIN lib l ON l.id = u.og_id
         LEFT JOIN (SELECT og_id, max(row_no) AS csv_row, arg_max(og_rva, row_no) AS csv_og_rva FROM pairs GROUP BY 1) p ON p.og_id = u.og_id""",
     "uses", "cmp", "lib", "pairs",
 )
@@ -103,14 +101,14 @@ def j12(spark, d):
 
 def _anchors(spark, d):
     i = view(spark, d, "instr")
-    xrefs = i.where("data_ref % 10 = 3").select(F.col("data_ref").alias("og_id"), "func", "idx")
+    xrefs = i.select(F.col("data_ref").alias("og_id"), "func", "idx")
     pairs = view(spark, d, "pairs").select(F.col("row_no").alias("row"), "og_rva", "ae_rva")
     return xrefs, profiles.anchors(xrefs, profiles.contexts(i).select("func", "idx", "sig", "mnemonic", "position"), pairs.unionAll(pairs.where("row % 9 = 0").withColumn("row", F.col("row") + 1000000)))
 
 
 @query(
     "j13_anchors",
-    """SELECT x.data_ref AS og_id, count(*) AS raw_xref_count, CAST(coalesce(sum(CASE WHEN func % 2 = 0 THEN 1 + CAST((func // 2) % 9 = 0 AS INTEGER) END), 0) AS BIGINT) AS paired_xref_count, count(*) FILTER (func % 2 = 1) AS no_anchor_count FROM instr x WHERE data_ref % 10 = 3 GROUP BY 1""",
+    """SELECT x.data_ref AS og_id, count(*) AS raw_xref_count, CAST(coalesce(sum(CASE WHEN func % 2 = 0 THEN 1 + CAST((func // 2) % 9 = 0 AS INTEGER) END), 0) AS BIGINT) AS paired_xref_count, count(*) FILTER (func % 2 = 1) AS no_anchor_count FROM instr x GROUP BY 1""",
     "instr",
 )
 def j13(spark, d):
@@ -120,8 +118,8 @@ def j13(spark, d):
 
 @query(
     "j14_access_candidates",
-    """SELECT o.data_ref AS og_id, o.func, o.idx, n.callee AS candidate, n.idx AS new_idx FROM instr o JOIN instr n ON o.data_ref % 10 = 3 AND o.func % 2 = 0 AND n.func = o.func + 1 AND n.mnemonic IN ('call', 'jmp') AND n.callee <> n.func
-        UNION ALL SELECT o.data_ref, o.func, o.idx, n.callee, n.idx FROM instr o JOIN instr n ON o.data_ref % 10 = 3 AND o.func % 18 = 0 AND n.func = o.func + 1 AND n.mnemonic IN ('call', 'jmp') AND n.callee <> n.func""",
+    """SELECT o.data_ref AS og_id, o.func, o.idx, n.callee AS candidate, n.idx AS new_idx FROM instr o JOIN instr n ON o.func % 2 = 0 AND n.func = o.func + 1 AND n.mnemonic IN ('call', 'jmp') AND n.callee <> n.func
+        UNION ALL SELECT o.data_ref, o.func, o.idx, n.callee, n.idx FROM instr o JOIN instr n ON o.func % 18 = 0 AND n.func = o.func + 1 AND n.mnemonic IN ('call', 'jmp') AND n.callee <> n.func""",
     "instr",
 )
 def j14(spark, d):
@@ -131,18 +129,25 @@ def j14(spark, d):
 
 @query("j15_gated_candidates")
 def j15(spark, d):
-    p = profiles.count_maps(view(spark, d, "instr"), {"mnemonics": "mnemonic"}).join(profiles.semantic_hash(view(spark, d, "instr")), "func").join(view(spark, d, "func"), "func")
-    p = p.select("func", F.col("func").alias("rva"), "name", "instruction_count", (F.col("end_ea") - F.col("start_ea")).alias("size"), "mnemonics", "semantic_sha256")
-    got = matching.gated_candidates(p.where("func % 1000 = 7"), p)
-    return got.select(F.col("t_rva").alias("target"), F.col("f_rva").alias("candidate"))
+    i = view(spark, d, "instr")
+    p = profiles.count_maps(i, {"mnemonics": "mnemonic"}).join(profiles.semantic_hash(i), "func").join(view(spark, d, "func"), "func")
+    name = F.when(F.col("func") % 500 == 3, F.concat(F.lit("name of "), F.col("func").cast("string"))).otherwise(F.col("name"))
+    p = p.select("func", F.col("func").alias("rva"), name.alias("name"), F.when(F.col("func") % 500 == 3, F.lit(1_000_000)).otherwise(F.col("end_ea") - F.col("start_ea")).alias("size"), "instruction_count", "mnemonics", "semantic_sha256")
+    return matching.gate_counts(p, p).select(F.col("t_rva").alias("target"), "candidates", "total")
 
 
+# functions of a size of their own (func % 500 = 3) are close to one another only; their names, "name of" and a number, are similar to those of the same, which the count branch may have
 registry.ORACLES["j15_gated_candidates"] = (
-    f"WITH instr AS ({registry.VIEWS['instr']}), mn AS (SELECT func, mnemonic AS v, count(*) AS n FROM instr GROUP BY 1, 2), nn AS (SELECT func, sqrt(sum(n * n)) AS norm, sum(n) AS c FROM mn GROUP BY 1), "
-    "h AS (SELECT func, string_agg(sig, ',' ORDER BY idx) AS h FROM instr SEMI JOIN orders ON o_orderkey = func GROUP BY 1), "
-    "p AS (SELECT a.func AS target, b.func AS candidate, a.c AS ca, b.c AS cb, a.h = b.h AS same, a.norm AS na, b.norm AS nb FROM (SELECT * FROM nn JOIN h USING (func)) a JOIN (SELECT * FROM nn JOIN h USING (func)) b ON a.func % 1000 = 7), "
-    "dots AS (SELECT x.func AS target, y.func AS candidate, sum(x.n * y.n) AS dot FROM mn x JOIN mn y ON x.func % 1000 = 7 AND x.v = y.v GROUP BY 1, 2) "
-    "SELECT target, candidate FROM p LEFT JOIN dots USING (target, candidate) WHERE same OR (least(ca, cb) / CAST(greatest(ca, cb) AS DOUBLE) >= 0.25 AND coalesce(dot, 0) / (na * nb) >= 0.45)"
+    f"WITH instr AS ({registry.VIEWS['instr']}), mn AS (SELECT func, mnemonic AS v, count(*) AS n FROM instr GROUP BY 1, 2), "
+    "p AS (SELECT func, func % 500 = 3 AS big, sum(n) AS c, sqrt(sum(n * n)) AS norm, list(struct_pack(v := v, n := n) ORDER BY v) AS m FROM mn SEMI JOIN orders ON o_orderkey = func GROUP BY 1), "
+    "h AS (SELECT func, string_agg(sig, ',' ORDER BY idx) AS h FROM instr GROUP BY 1), "
+    "k AS (SELECT dense_rank() OVER (ORDER BY big, c, norm, m) AS k, * FROM p JOIN h USING (func)), "
+    "classes AS (SELECT k, any_value(big) AS big, any_value(c) AS c, any_value(norm) AS norm, any_value(m) AS m, count(*) AS n, sum(func) AS s FROM k GROUP BY k), "
+    "near AS (SELECT a.k AS a, b.k AS b, b.n, b.s FROM classes a JOIN classes b ON a.big = b.big AND least(a.c, b.c) / CAST(greatest(a.c, b.c) AS DOUBLE) >= 0.25 "
+    "AND list_sum([coalesce(list_extract(list_filter(b.m, lambda y: y.v = x.v), 1).n, 0) * x.n for x in a.m]) / (a.norm * b.norm) >= 0.45), "
+    "sums AS (SELECT a AS k, sum(n) AS n, sum(s) AS s FROM near GROUP BY 1), "
+    "far AS (SELECT x.func, count(*) AS n, sum(y.func) AS s FROM k x JOIN k y ON x.h = y.h AND x.big <> y.big GROUP BY 1) "
+    "SELECT k.func AS target, CAST(coalesce(sums.n, 0) + coalesce(far.n, 0) AS BIGINT) AS candidates, CAST(coalesce(sums.s, 0) + coalesce(far.s, 0) AS BIGINT) AS total FROM k LEFT JOIN sums USING (k) LEFT JOIN far USING (func)"
 )
 
 
@@ -205,28 +210,40 @@ def j20(spark, d):
 def _memory(spark, d):
     """Type strings of parts, and the words of their locators and tables, laid out by arithmetic."""
     p = view(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("size"))
-    types = p.select(F.col("k").alias("type"), (F.col("k") * 64 + 16).alias("ea"))  # descriptor at k * 64
+    types = p.select(F.col("k").alias("type"), (F.col("k") * 64 + 80).alias("ea"))  # descriptor at (k + 1) * 64
     base = 10_000_000 + F.col("k") * 256  # locator; its hierarchy at + 64
     words = F.array(*(F.struct((base + o).alias("ea"), v.cast("bigint").alias("dword")) for o, v in (
-        (0, F.when(F.col("size") % 10 == 0, 2).otherwise(F.col("size") % 2)), (12, F.col("k") * 64), (16, base + 64), (72, F.when(F.col("size") % 7 == 0, 0).otherwise(F.col("size"))), (76, base + 128), (64, F.lit(0)), (128, F.lit(0)),
+        (188, F.lit(7)), (200, F.col("k") * 64 + 64), (204, F.lit(5)),  # a base class, which names the type as well
+        (0, F.when(F.col("size") % 10 == 0, 2).otherwise(F.col("size") % 2)), (12, F.col("k") * 64 + 64), (16, base + 64), (72, F.when(F.col("size") % 7 == 0, 0).otherwise(F.col("size"))), (76, base + 128), (64, F.lit(0)), (128, F.lit(0)),
     )))
     qwords = p.select((20_000_000 + F.col("k") * 16).alias("ea"), F.when(F.col("k") % 3 == 0, 0).otherwise(base).cast("bigint").alias("qword"))
     return types, p.select(F.explode(words).alias("w")).select("w.*"), qwords
 
 
-@query("j21_type_chain", "SELECT p_partkey AS type, p_partkey * 64 AS descriptor, 10000000 + p_partkey * 256 AS locator, 20000000 + p_partkey * 16 + 8 AS tbl FROM part WHERE p_partkey % 3 <> 0")
+@query(
+    "j21_type_chain",
+    """SELECT 'chain' AS how, p_partkey AS type, p_partkey * 64 + 64 AS descriptor, 10000000 + p_partkey * 256 AS locator, 20000000 + p_partkey * 16 + 8 AS tbl FROM part WHERE p_partkey % 3 <> 0
+        UNION ALL SELECT 'counts', p_partkey, NULL, 1, CAST(p_partkey % 3 <> 0 AS BIGINT) FROM part""",
+)
 def j21(spark, d):
     types, dwords, qwords = _memory(spark, d)
-    return metadata.tables_of(metadata.locators(types, dwords.where("ea >= 10000000 AND dword >= 0 AND ea % 256 = 10000000 % 256 + 12 - 256 * floor((10000000 % 256 + 12) / 256)")), qwords).select("type", "descriptor", "locator", F.col("table").alias("tbl"))
+    found = metadata.locators(types, dwords)
+    chain = metadata.tables_of(found, qwords).select(F.lit("chain").alias("how"), "type", "descriptor", "locator", F.col("table").alias("tbl"))
+    counts = metadata.table_counts(metadata.locators_before_pointers(found, dwords, F.col("ea") >= 10_000_000), qwords, strict=False)
+    return chain.unionAll(counts.select(F.lit("counts").alias("how"), "type", F.lit(None).cast("bigint").alias("descriptor"), "locators", "tables"))
 
 
-@query("j22_valid_locators", "SELECT p_partkey AS type, 10000000 + p_partkey * 256 AS locator, p_size AS bases FROM part WHERE p_size % 10 <> 0 AND p_size % 7 <> 0 AND p_partkey % 4 <> 1")
+@query(
+    "j22_valid_locators",
+    """SELECT 'fields' AS how, p_partkey AS type, 10000000 + p_partkey * 256 AS locator, p_size AS bases FROM part WHERE p_size % 10 <> 0 AND p_size % 7 <> 0 AND p_partkey % 4 <> 1
+        UNION ALL SELECT 'next', p_partkey, 10000000 + p_partkey * 256, NULL FROM part WHERE p_partkey % 4 <> 1""",
+)
 def j22(spark, d):
     types, dwords, _ = _memory(spark, d)
-    dwords = dwords.where("dword < 0 OR true")
-    k = F.floor((F.col("ea") - 10_000_000) / 256)
-    found = metadata.locators(types, dwords.where("(ea - 10000000) % 256 = 12"))
-    return metadata.valid_locators(found, dwords, k % 4 != 1).select("type", "locator", F.col("bases").cast("int").alias("bases"))
+    readonly = (F.col("ea") >= 10_000_000) & (F.floor((F.col("ea") - 10_000_000) / 256) % 4 != 1)
+    found = metadata.locators(types, dwords)
+    fields = metadata.valid_locators(found, dwords, readonly).select(F.lit("fields").alias("how"), "type", "locator", F.col("bases").cast("int").alias("bases"))
+    return fields.unionAll(metadata.locators_before_pointers(found, dwords, readonly).select(F.lit("next").alias("how"), "type", "locator", F.lit(None).cast("int").alias("bases")))
 
 
 @query("j23_suffix_keys", "SELECT p_partkey AS k, CASE WHEN p_partkey % 4 = 0 THEN p_type WHEN p_partkey % 4 = 1 THEN 'B::' || p_type ELSE 'A::' || (p_partkey % 4) || '::B::' || p_partkey END AS key FROM part")
@@ -285,11 +302,11 @@ registry.ORACLES["w11_dense_groups"] = f"WITH RECURSIVE links AS ({registry.VIEW
 
 @query("j27_pointer_closure")
 def j27(spark, d):
-    words = view(spark, d, "words").where("ea % 5 = 0 AND qword <> 0").select("ea", "qword")
-    return components.pointer_closure(view(spark, d, "customer").where("c_custkey % 50 = 0").select((F.col("c_custkey") * 8).alias("ea")), words)
+    words = view(spark, d, "words").where("qword <> 0").select("ea", "qword")
+    return components.pointer_closure(view(spark, d, "customer").select((F.col("c_custkey") * 8).alias("ea")), words)
 
 
-registry.ORACLES["j27_pointer_closure"] = f"WITH RECURSIVE words AS ({registry.VIEWS['words']}), reach(ea) AS (SELECT c_custkey * 8 FROM customer WHERE c_custkey % 50 = 0 UNION SELECT w.ea - 8 FROM reach r JOIN words w ON w.qword = r.ea AND w.ea % 5 = 0 AND w.qword <> 0) SELECT ea FROM reach"
+registry.ORACLES["j27_pointer_closure"] = f"WITH RECURSIVE words AS ({registry.VIEWS['words']}), reach(ea) AS (SELECT c_custkey * 8 FROM customer UNION SELECT w.ea - 8 FROM reach r JOIN words w ON w.qword = r.ea AND w.qword <> 0) SELECT ea FROM reach"
 
 
 # set operations
@@ -436,29 +453,75 @@ registry.ORACLES["a15_library_stats"] = (
 )
 
 
+_LIST = "coalesce(array_to_string(list_sort(list({c})), ','), '')"
+
+
 @query(
     "d5_review_evidence",
-    """SELECT o_orderkey AS og_id, CASE o_orderkey % 4 WHEN 1 THEN 'medium' ELSE 'review' END AS confidence_tier, o_custkey AS func, count(i.func) AS instructions, count(DISTINCT callee) AS calls, count(DISTINCT data_ref) AS data_refs
-        FROM orders LEFT JOIN instr i ON i.func = o_custkey WHERE o_orderkey % 4 IN (1, 2) AND o_orderkey % 3 <> 0 GROUP BY 1, 2, 3""",
-    "instr",
-)
+    f"""SELECT * FROM (WITH picked AS (SELECT o_orderkey AS og_id, CASE o_orderkey % 4 WHEN 1 THEN 'medium' ELSE 'review' END AS confidence_tier, CASE WHEN o_orderkey % 5 < 4 THEN 'function' ELSE 'data' END AS kind, CASE WHEN o_orderkey % 5 < 4 THEN o_custkey * 1024 + o_orderkey % 60 ELSE o_custkey * 8 END AS target
+            FROM orders WHERE o_orderkey % 4 IN (1, 2) AND o_orderkey % 3 <> 0),
+        i AS (SELECT func * 1024 AS func, func * 1024 + idx * 16 AS ea, sig, callee * 1024 AS callee, data_ref * 1024 AS data_ref FROM instr), strings AS (SELECT s_suppkey * 1024 AS ea, s_name AS text FROM supplier WHERE s_suppkey % 10 = 0), owners AS (SELECT c_custkey * 4096 AS ea FROM customer),
+        own AS (SELECT func, string_agg(sig, ' ' ORDER BY ea) AS instructions, {_LIST.format(c="ea || '>' || callee")} AS calls, {_LIST.format(c="ea || '>' || data_ref")} AS data_refs, coalesce(array_to_string(list_sort(list_distinct(list(text))), ','), '') AS strings FROM (SELECT i.*, s.text FROM i LEFT JOIN strings s ON s.ea = data_ref) GROUP BY func),
+        callers AS (SELECT callee AS func, {_LIST.format(c="func")} AS callers FROM i GROUP BY 1),
+        refs AS (SELECT data_ref AS func, {_LIST.format(c="shown")} AS incoming FROM (SELECT i.data_ref, i.ea || ':' || coalesce(CAST(CASE WHEN i.ea - o.ea <= 8192 THEN o.ea END AS VARCHAR), '') || ':' || coalesce(CAST(CASE WHEN i.ea - o.ea <= 8192 THEN (i.ea - o.ea) // 8 END AS VARCHAR), '') AS shown FROM i ASOF LEFT JOIN owners o ON i.ea >= o.ea) GROUP BY 1),
+        bytes AS (SELECT p.target, string_agg(array_to_string(list_reverse(regexp_extract_all(lpad(lower(hex(w.qword)), 16, '0'), '..')), ''), '' ORDER BY n) AS b FROM (SELECT DISTINCT target FROM picked WHERE kind <> 'function') p, unnest(range(0, 8)) AS t(n) JOIN words w ON w.ea = p.target + 8 * n GROUP BY 1 HAVING count(*) = 8),
+        xrefs AS (SELECT data_ref AS target, {_LIST.format(c="ea || '>' || func || '>' || sig")} AS x FROM i GROUP BY 1)
+        SELECT og_id, kind, confidence_tier, target, CASE WHEN f.start_ea IS NULL THEN 'not_a_function' ELSE 'ok' END AS status, f.end_ea - f.start_ea AS size, coalesce(instructions, '') AS instructions, coalesce(calls, '') AS calls, coalesce(data_refs, '') AS data_refs, coalesce(strings, '') AS strings,
+            coalesce(callers, '') AS callers, coalesce(incoming, '') AS incoming, '' AS first_64_bytes FROM (SELECT * FROM picked WHERE kind = 'function') p LEFT JOIN func f ON target >= f.start_ea AND target < f.end_ea LEFT JOIN own ON own.func = f.start_ea LEFT JOIN callers c ON c.func = f.start_ea LEFT JOIN refs ON refs.func = f.start_ea
+        UNION ALL SELECT og_id, kind, confidence_tier, p.target, 'ok', NULL, '', '', '', '', '', coalesce(x, ''), coalesce(b, '') FROM (SELECT * FROM picked WHERE kind <> 'function') p LEFT JOIN bytes USING (target) LEFT JOIN xrefs ON xrefs.target = p.target)""",
+    "instr", "func", "words",
+)
 def d5(spark, d):
-    k = F.col("o_orderkey")
-    rows = view(spark, d, "orders").select(k.alias("og_id"), F.col("o_custkey").alias("ae_rva"), F.element_at(F.array(*map(F.lit, ["high", "medium", "review", "unresolved"])), (k % 4 + 1).cast("int")).alias("confidence_tier"), F.when(k % 3 == 0, "match").otherwise("conflict").alias("existing_ae_id_status"))
-    return decisions.review_evidence(rows, view(spark, d, "instr"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    function = k % 5 < 4
+    rows = view(spark, d, "orders").select(
+        k.alias("og_id"), F.when(function, "function").otherwise("data").alias("kind"), F.when(function, c * 1024 + k % 60).otherwise(c * 8).alias("ae_rva"),
+        F.element_at(F.array(*map(F.lit, ["high", "medium", "review", "unresolved"])), (k % 4 + 1).cast("int")).alias("confidence_tier"), F.when(k % 3 == 0, "match").otherwise("conflict").alias("existing_ae_id_status"),
+    )
+    f = F.col("func") * 1024
+    i = view(spark, d, "instr").select(f.alias("func"), (f + F.col("idx") * 16).alias("ea"), F.col("sig").alias("text"), (F.col("callee") * 1024).alias("callee"), (F.col("data_ref") * 1024).alias("data_ref"))
+    strings = view(spark, d, "supplier").where("s_suppkey % 10 = 0").select((F.col("s_suppkey") * 1024).alias("ea"), F.col("s_name").alias("text"))
+    names = view(spark, d, "customer").select((F.col("c_custkey") * 4096).alias("ea"))
+    picked = decisions.review_selection(rows)
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    joined = lambda list_, sep, *fields: F.coalesce(F.array_join(F.array_sort(F.transform(list_, lambda e: F.concat_ws(sep, *(text(e[x]) for x in fields)))), ","), F.lit(""))
+    plain = lambda list_: F.coalesce(F.array_join(list_.cast("array<string>"), ","), F.lit(""))
+    a = decisions.function_evidence(picked, i, view(spark, d, "func").select("start_ea", "end_ea", "name"), strings, names)
+    a = a.select(
+        "og_id", F.lit("function").alias("kind"), "confidence_tier", "target", "status", "size", F.coalesce(F.array_join("instructions", " "), F.lit("")).alias("instructions"), joined(F.col("calls"), ">", "from_rva", "rva").alias("calls"),
+        joined(F.col("data_refs"), ">", "from_rva", "rva").alias("data_refs"), plain(F.col("strings")).alias("strings"), plain(F.col("callers")).alias("callers"), joined(F.col("incoming_data_refs"), ":", "from_rva", "owner_rva", "slot").alias("incoming"), F.lit("").alias("first_64_bytes"),
+    )
+    b = decisions.global_evidence(picked, view(spark, d, "words"), i)
+    none = F.lit("")
+    b = b.select("og_id", F.lit("data").alias("kind"), "confidence_tier", "target", F.lit("ok").alias("status"), F.lit(None).cast("bigint").alias("size"), none.alias("instructions"), none.alias("calls"), none.alias("data_refs"), none.alias("strings"), none.alias("callers"), joined(F.col("xrefs"), ">", "from_rva", "function_rva", "text").alias("incoming"), "first_64_bytes")
+    return a.unionAll(b)
 
 
 @query(
     "d6_apply_ids",
-    """SELECT file, string_agg('a = REL::ID(' || CASE WHEN c % 2 = 0 THEN c + 100000 ELSE c END || ');', chr(10) ORDER BY k) AS text, CAST(count(*) FILTER (c % 2 = 0) AS INTEGER) AS replaced FROM (SELECT 'f' || (o_custkey % 50) AS file, o_custkey AS c, o_orderkey AS k FROM orders) GROUP BY file HAVING count(*) FILTER (c % 2 = 0) > 0""",
+    """WITH r AS (SELECT o_orderkey AS k, 'proj/src/f' || o_custkey || '.cpp' AS file, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 1 AND (o_orderkey % 4 IN (0, 1) OR o_orderkey % 11 = 0) AS chosen FROM orders)
+        SELECT file, string_agg('a = REL::ID(' || CASE WHEN chosen OR k % 13 = 0 THEN k + 100000000 ELSE k END || ');', chr(10) ORDER BY k) AS text, CAST(count(*) FILTER (chosen AND k % 13 <> 0) AS INTEGER) AS replaced, CAST(count(*) FILTER (chosen AND k % 13 = 0) AS INTEGER) AS already,
+            count(*) FILTER (chosen AND k % 13 <> 0) > 0 AS changed FROM r GROUP BY file HAVING count(*) FILTER (chosen) > 0
+        UNION ALL SELECT 'selected_rows', '', CAST(count(*) AS INTEGER), NULL, NULL FROM r WHERE chosen UNION ALL SELECT 'tokens_replaced', '', CAST(count(*) AS INTEGER), NULL, NULL FROM r WHERE chosen AND k % 13 <> 0
+        UNION ALL SELECT 'already_applied', '', CAST(count(*) AS INTEGER), NULL, NULL FROM r WHERE chosen AND k % 13 = 0 UNION ALL SELECT 'files_affected', '', CAST(count(DISTINCT file) AS INTEGER), NULL, NULL FROM r WHERE chosen AND k % 13 <> 0""",
 )
 def d6(spark, d):
-    o = view(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_custkey") % 50).cast("string")).alias("file"), F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"))
-    line = F.concat(F.lit("a = REL::ID( "), F.col("c").cast("string"), F.lit(" );"))
-    files = o.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
-    resolved = o.where("c % 2 = 0").select("file", F.col("c").alias("og_id"), (F.col("c") + 100000).alias("new_id"))
-    out = decisions.apply_ids(files, resolved).select("file", "text", "replaced")
-    return out.withColumn("text", F.regexp_replace("text", r"REL::ID\( (\d+) \)", "REL::ID($1)"))
+    k = F.col("o_orderkey")
+    file = F.concat(F.lit("proj/src/f"), F.col("o_custkey").cast("string"), F.lit(".cpp"))
+    line = F.concat(F.lit("a = REL::ID("), F.when(k % 13 == 0, F.concat((k + 100_000_000).cast("string"))).otherwise(F.concat(F.lit(" "), k.cast("string"), F.lit(" "))), F.lit(");"))
+    o = view(spark, d, "orders")
+    files = o.groupBy(file.alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))  # a customer's orders are few
+    report = o.select(
+        k.alias("og_id"), (k + 100_000_000).alias("official_ae_id"), F.element_at(F.array(*map(F.lit, ["high", "medium", "review", "unresolved"])), (k % 4 + 1).cast("int")).alias("confidence_tier"), F.when(k % 11 == 0, "match").otherwise("conflict").alias("existing_ae_id_status"),
+        F.when(k % 3 == 0, "resolved_aliases").otherwise("resolved_unique").alias("address_library_status"), F.when(k % 5 == 0, "rewrite_global_pointer").when(k % 2 == 0, "id_only").alias("replacement_strategy"),
+        F.concat(F.lit("elsewhere/x.cpp:1,"), file, F.lit(":"), k.cast("string"), F.lit(","), file, F.lit(":7")).alias("locations"),
+    ).where(k % 7 != 1)
+    selected = decisions.select_replacements(report, "proj", ("high", "medium"), include_existing=True)
+    applied = decisions.apply_ids(files, selected)
+    text = F.regexp_replace("text", r"REL::ID\( (\d+) \)", "REL::ID($1)")
+    out = applied.select("file", text.alias("text"), "replaced", "already", "changed")
+    totals = decisions.replacement_summary(selected, applied).select(F.col("metric").alias("file"), F.lit("").alias("text"), F.col("value").cast("int").alias("replaced"), F.lit(None).cast("int").alias("already"), F.lit(None).cast("boolean").alias("changed"))
+    return out.unionAll(totals)
 
 
 @query("d7_id_tokens", "SELECT og_id, file, line, kind FROM uses", "uses")

@@ -52,10 +52,15 @@ def m3(spark, d):
     return s.join(s.select((F.col("func") - 1).alias("func"), F.col("s").alias("t")), "func").select("func", F.round(m.jaccard(F.col("s"), F.col("t")), 6).alias("score"))
 
 
+def _turns(spark, d) -> DataFrame:
+    """Every turn of a conversation (a) with the next one (b)."""
+    c = view(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
+    return c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
+
+
 @query("m4_sequence_ratio")
 def m4(spark, d):
-    c = view(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
-    return m.sequence_ratio(c, "a", "b", "ratio").select("conv_id", F.round("ratio", 6).alias("ratio"))
+    return m.sequence_ratio(_turns(spark, d), "a", "b", "ratio").select("conv_id", "turn", F.round("ratio", 6).alias("ratio"))
 
 
 @query("m5_name_similarity")
@@ -115,20 +120,19 @@ registry.ORACLES["m7_classify"] = (
 @query("m8_context_score")
 def m8(spark, d):
     c = profiles.contexts(view(spark, d, "instr"))
-    a = c.where("func % 2 = 0 AND idx = 0").select("func", "sig", "window", "position", "mnemonic", "idx")
+    a = c.where("func % 2 = 0").select("func", "sig", "window", "position", "mnemonic", "idx")
     b = c.where("func % 2 = 1").select((F.col("func") - 1).alias("func"), *(F.col(x).alias(f"new_{x}") for x in ("sig", "window", "position", "mnemonic", "idx")))
     j = m.sequence_ratio(m.sequence_ratio(a.join(b, "func"), "sig", "new_sig", "s"), "window", "new_window", "w")
     score = m.context_score(F.col("s"), F.col("w"), F.col("position"), F.col("new_position"), F.col("mnemonic") == F.col("new_mnemonic"), (F.col("func") % 3 == 0) & (F.col("idx") == F.col("new_idx")))
-    return j.select("func", "new_idx", F.round(score, 6).alias("score"))
+    return j.select("func", "idx", "new_idx", F.round(score, 6).alias("score"))
 
 
 @query("m9_decompile_score")
 def m9(spark, d):
-    c = view(spark, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
-    c = c.withColumns({"pa": normalize_pseudocode(F.col("a")), "pb": normalize_pseudocode(F.col("b")), "ma": mnemonic_sequence(F.split("a", "\n")), "mb": mnemonic_sequence(F.split("b", "\n"))})
+    c = _turns(spark, d).withColumns({"pa": normalize_pseudocode(F.col("a")), "pb": normalize_pseudocode(F.col("b")), "ma": mnemonic_sequence(F.split("a", "\n")), "mb": mnemonic_sequence(F.split("b", "\n"))})
     c = m.sequence_ratio(m.sequence_ratio(c, "pa", "pb", "p", junk=False), "ma", "mb", "q", junk=False)
     score = m.decompile_score(F.col("p"), F.col("q"), m.closeness(F.length("a"), F.length("b")), m.closeness(F.size(F.split("a", "\n")), F.size(F.split("b", "\n"))), m.jaccard(F.split("a", " "), F.split("b", " ")))
-    return c.select("conv_id", F.round(score, 6).alias("score"))
+    return c.select("conv_id", "turn", F.round(score, 6).alias("score"))
 
 
 @query(
@@ -175,19 +179,23 @@ def a3(spark, d):
     return one("objects", "object").unionAll(one("stacks", "stack")).select("func", "class", F.col("disp").cast("bigint").alias("disp"), "n")
 
 
+_SET = "coalesce(array_to_string(list_sort(list_distinct(list({c}) FILTER ({w}))), ','), '')"
+
+
 @query(
     "a4_reference_sets",
-    """SELECT i.func, coalesce(array_to_string(list_sort(list_distinct(list(i.callee) FILTER (mnemonic = 'call'))), ','), '') AS calls, coalesce(array_to_string(list_sort(list_distinct(list(i.callee) FILTER (mnemonic = 'jmp'))), ','), '') AS jumps,
-        coalesce(array_to_string(list_sort(list_distinct(list(data_ref) FILTER (data_ref % 10 <> 0))), ','), '') AS data_refs, coalesce(array_to_string(list_sort(list_distinct(list(data_ref) FILTER (data_ref % 10 = 0))), ','), '') AS strings,
-        coalesce(any_value(c.callers), '') AS callers
-        FROM instr i LEFT JOIN (SELECT callee, array_to_string(list_sort(list_distinct(list(func))), ',') AS callers FROM instr WHERE mnemonic = 'call' GROUP BY 1) c ON c.callee = i.func GROUP BY i.func""",
+    f"""SELECT i.func, {_SET.format(c="i.callee", w="mnemonic = 'call'")} AS calls, {_SET.format(c="i.callee", w="mnemonic <> 'call'")} AS jumps, {_SET.format(c="data_ref", w="data_ref % 10 <> 0")} AS data_refs,
+        {_SET.format(c="data_ref", w="data_ref % 10 = 0")} AS strings, coalesce(any_value(c.callers), '') AS callers, coalesce(any_value(x.places), '') AS incoming_data_refs
+        FROM instr i LEFT JOIN (SELECT callee, {_SET.format(c="func", w="true")} AS callers FROM instr GROUP BY 1) c ON c.callee = i.func
+        LEFT JOIN (SELECT data_ref AS at, {_SET.format(c="func * 1024 + idx * 16", w="true")} AS places FROM instr GROUP BY 1) x ON x.at = i.func GROUP BY i.func""",
     "instr",
 )
 def a4(spark, d):
-    i = view(spark, d, "instr")
+    i = view(spark, d, "instr").withColumn("ea", F.col("func") * 1024 + F.col("idx") * 16)
     strings = view(spark, d, "supplier").where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("ea"))
-    sets = profiles.reference_sets(i, strings).join(profiles.callers(i), "func", "left")
-    return sets.select("func", *(F.array_join(F.coalesce(c, F.array().cast("array<bigint>")).cast("array<string>"), ",").alias(c) for c in ("calls", "jumps", "data_refs", "strings", "callers")))
+    sets = profiles.reference_sets(i, strings).join(profiles.incoming(i), "func", "left")
+    names = ("calls", "jumps", "data_refs", "strings", "callers", "incoming_data_refs")
+    return sets.select("func", *(F.array_join(F.coalesce(c, F.array().cast("array<bigint>")).cast("array<string>"), ",").alias(c) for c in names))
 
 
 @query(
@@ -206,30 +214,30 @@ def a6(spark, d):
     return profiles.chunk_sizes(view(spark, d, "func").withColumn("func_ea", F.col("func") % 1000))
 
 
-_USAGE = "SELECT og_id, count(*) AS usage_count, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, string_agg(file || ':' || line, ',' ORDER BY file, line) AS locations FROM uses GROUP BY og_id"
+USAGE = "SELECT og_id, count(*) AS usage_count, array_to_string(list_sort(list_distinct(list(kind))), ',') AS kinds, string_agg(file || ':' || line, ',' ORDER BY file, line) AS locations FROM uses GROUP BY og_id"
 
 
 def _uses(spark, d):
     return decisions.id_tokens(view(spark, d, "src"))
 
 
-@query("a7_usage_rollup", _USAGE, "uses")
+@query("a7_usage_rollup", USAGE, "uses")
 def a7(spark, d):
     return lookups.usage(_uses(spark, d))
 
 
 @query(
     "a8_coverage_report",
-    f"SELECT u.og_id, usage_count, locations, rva, CASE WHEN rva IS NULL THEN 'missing' ELSE 'resolved' END AS status FROM ({_USAGE}) u LEFT JOIN lib ON lib.id = u.og_id", "uses", "lib",
+    f"SELECT u.og_id, usage_count, locations, rva, CASE WHEN rva IS NULL THEN 'missing' ELSE 'resolved' END AS status FROM ({USAGE}) u LEFT JOIN lib ON lib.id = u.og_id", "uses", "lib",
 )
 def a8(spark, d):
     return lookups.coverage(_uses(spark, d), view(spark, d, "lib"))
 
 
-_LAST_CMP = "SELECT og_id, arg_max(classification, csv_row) AS classification, arg_max(ae_id, csv_row) AS ae_id, arg_max(score, csv_row) AS score, max(csv_row) AS csv_row FROM cmp GROUP BY og_id"
+LAST_CMP = "SELECT og_id, arg_max(classification, csv_row) AS classification, arg_max(ae_id, csv_row) AS ae_id, arg_max(score, csv_row) AS score, max(csv_row) AS csv_row FROM cmp GROUP BY og_id"
 
 
-@query("a9_unique_id_classes", f"SELECT coalesce(classification, 'unmapped') AS classification, count(*) AS ids FROM (SELECT DISTINCT og_id FROM uses) LEFT JOIN ({_LAST_CMP}) USING (og_id) GROUP BY 1", "uses", "cmp")
+@query("a9_unique_id_classes", f"SELECT coalesce(classification, 'unmapped') AS classification, count(*) AS ids FROM (SELECT DISTINCT og_id FROM uses) LEFT JOIN ({LAST_CMP}) USING (og_id) GROUP BY 1", "uses", "cmp")
 def a9(spark, d):
     return decisions.unique_id_classes(lookups.compared_uses(_uses(spark, d), view(spark, d, "cmp")))
 
@@ -361,10 +369,19 @@ def w4(spark, d):
     return matching.semantic_top(c).select("og_id", "candidate", "rank", F.round("margin", 6).alias("margin"), "confidence")
 
 
-@query("a12_best_entry", "SELECT name, arg_max(tables, r) AS tables, arg_max(slots, r) AS slots, arg_max(rva, r) AS rva FROM (SELECT 'n' || (p_partkey % 300) AS name, p_size % 3 AS tables, p_size AS slots, p_partkey AS rva, CAST(p_size % 3 AS BIGINT) * 1000000000 + CAST(p_size AS BIGINT) * 10000000 - p_partkey AS r FROM part) GROUP BY name")
+_ENTRIES = "SELECT 'n' || (p_partkey % 300) AS name, p_size % 3 AS tables, p_size AS slots, p_partkey AS rva, p_partkey + 25900 AS id, p_size * 1000000 + p_partkey AS found FROM part"
+
+
+@query(
+    "a12_best_entry",
+    f"""SELECT 'best' AS how, name, arg_max(rva, CAST(tables AS BIGINT) * 1000000000 + CAST(slots AS BIGINT) * 10000000 - rva) AS rva FROM ({_ENTRIES}) WHERE tables > 0 GROUP BY name
+        UNION ALL SELECT 'first', name, arg_min(rva, found) FROM ({_ENTRIES}) GROUP BY name UNION ALL SELECT 'dumped', name, arg_min(rva, id) FROM ({_ENTRIES}) GROUP BY name HAVING min(id) NOT IN (25921, 950502)""",
+)
 def a12(spark, d):
-    p = view(spark, d, "part").select(F.concat(F.lit("n"), (F.col("p_partkey") % 300).cast("string")).alias("name"), (F.col("p_size") % 3).alias("tables"), F.col("p_size").alias("slots"), F.col("p_partkey").alias("rva"))
-    return metadata.best_entry(p)
+    k, z = F.col("p_partkey"), F.col("p_size")
+    p = view(spark, d, "part").select(F.concat(F.lit("n"), (k % 300).cast("string")).alias("name"), (z % 3).alias("tables"), z.alias("slots"), k.alias("rva"), (k + 25900).alias("id"), (z * 1000000 + k).alias("found"))
+    shown = lambda rows, how: rows.select(F.lit(how).alias("how"), "name", "rva")
+    return shown(metadata.best_entry(p), "best").unionAll(shown(metadata.first_entry(p, "found"), "first")).unionAll(shown(metadata.dumped_entries(p), "dumped"))
 
 
 def _parts(spark, d):
@@ -385,9 +402,30 @@ def a13(spark, d):
     return each[0].unionAll(each[1]).unionAll(each[2])
 
 
-@query("a14_metadata_report", f"SELECT name, count(*) AS parts, string_agg(hex(rva), ',' ORDER BY slot) AS rvas, count(*) FILTER (id IS NULL) AS missing FROM ({_PARTS}) GROUP BY name")
+_TYPES = """types AS (SELECT 'n' || p_partkey AS name, p_partkey * 16 AS rva, p_size AS z, p_partkey AS k FROM part), tables AS (SELECT name, i AS slot, 10000000 + k * 64 + i * 8 AS rva FROM types, unnest(range(0, z % 4)) AS t(i)),
+    ids AS (SELECT rva, rva + 1 AS id FROM (SELECT rva FROM types UNION ALL SELECT rva FROM tables UNION ALL SELECT 50000000 + p_partkey FROM part) WHERE rva % 5 <> 0),
+    held AS (SELECT name, count(*) AS n, string_agg('0x' || hex(t.rva), ',' ORDER BY slot) AS rvas, coalesce(string_agg('0x' || hex(t.rva), ',' ORDER BY slot) FILTER (id IS NULL), '') AS lost FROM tables t LEFT JOIN ids ON ids.rva = t.rva GROUP BY name)"""
+
+
+@query(
+    "a14_metadata_report",
+    f"""WITH {_TYPES} SELECT 'report' AS kind, t.name, CAST(NULL AS INTEGER) AS slot, t.rva, concat_ws('|', coalesce(CAST(id AS VARCHAR), ''), 1 + z % 2, coalesce(n, 0), coalesce(rvas, ''), coalesce(lost, '')) AS detail FROM types t LEFT JOIN ids ON ids.rva = t.rva LEFT JOIN held USING (name)
+        UNION ALL SELECT 'RTTI', name, NULL, t.rva, '' FROM types t ANTI JOIN ids ON ids.rva = t.rva UNION ALL SELECT 'VTABLE', name, CAST(slot AS INTEGER), t.rva, '' FROM tables t ANTI JOIN ids ON ids.rva = t.rva
+        UNION ALL SELECT 'NiRTTI', 'c' || p_partkey, NULL, 50000000 + p_partkey, '' FROM part WHERE p_size % 10 <> 0 AND (50000000 + p_partkey) % 5 = 0""",
+)
 def a14(spark, d):
-    return metadata.missing_ids(_parts(spark, d))
+    k = F.col("p_partkey")
+    p = view(spark, d, "part")
+    types = p.select(F.concat(F.lit("n"), k.cast("string")).alias("name"), (k * 16).alias("rva"), "p_size", "p_partkey")
+    many = lambda n, at: F.explode(F.transform(F.sequence(F.lit(1), n), at))
+    tables = types.where("p_size % 4 > 0").select("name", many(F.col("p_size") % 4, lambda i: 10_000_000 + k * 64 + (i - 1) * 8).alias("table"))
+    locators = types.select("name", many(F.col("p_size") % 2 + 1, lambda i: k * 1000 + i).alias("locator"))
+    candidates = p.select(F.concat(F.lit("c"), k.cast("string")).alias("name"), F.when(F.col("p_size") % 10 != 0, 50_000_000 + k).alias("rva"))
+    ids = types.select("rva").unionAll(tables.select("table")).unionAll(p.select(50_000_000 + k)).where("rva % 5 <> 0").select("rva", (F.col("rva") + 1).alias("id"))
+    report = metadata.type_report(types, locators, tables, ids)
+    detail = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("col_count").cast("string"), F.col("vtable_count").cast("string"), "vtable_rvas", "missing_vtable_rvas")
+    shown = report.select(F.lit("report").alias("kind"), "name", F.lit(None).cast("int").alias("slot"), "rva", detail.alias("detail"))
+    return shown.unionAll(metadata.missing_entries(types, tables, candidates, ids).withColumn("detail", F.lit("")))
 
 
 @query("a16_score_bands", "SELECT 'at_least_085' AS metric, count(*) FILTER (score >= 0.85) AS value FROM cmp UNION ALL SELECT 'at_least_070', count(*) FILTER (score >= 0.7) FROM cmp UNION ALL SELECT 'under_050', count(*) FILTER (score < 0.5) FROM cmp", "cmp")
@@ -412,25 +450,28 @@ def w2(spark, d):
 
 @query(
     "w8_slot_runs",
-    """SELECT s.start, coalesce(min(CASE WHEN w.ea IS NULL THEN i END), 512) AS slots FROM (SELECT o_orderkey * 8 AS start FROM orders WHERE o_orderkey % 100 = 0) s, unnest(range(0, 512)) AS t(i)
+    """SELECT s.start, coalesce(min(CASE WHEN w.ea IS NULL THEN i END), 512) AS slots FROM (SELECT o_orderkey * 8 AS start FROM orders) s, unnest(range(0, 512)) AS t(i)
         LEFT JOIN (SELECT ea FROM words WHERE qword > 800) w ON w.ea = s.start + 8 * i GROUP BY s.start""",
     "words",
 )
 def w8(spark, d):
-    starts = view(spark, d, "orders").where("o_orderkey % 100 = 0").select((F.col("o_orderkey") * 8).alias("start"))
-    return profiles.slot_runs(starts, view(spark, d, "words"), F.col("qword") > 800)
+    return profiles.slot_runs(view(spark, d, "orders").select((F.col("o_orderkey") * 8).alias("start")), view(spark, d, "words"), F.col("qword") > 800)
 
 
 @query(
     "w9_slot_dump",
-    """SELECT t.name, CAST(i AS INTEGER) AS slot, w.qword AS target FROM (SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 160 ELSE n_nationkey * 80 END AS start FROM nation) t, unnest(range(0, 32)) AS u(i) LEFT JOIN words w ON w.ea = t.start + 8 * i""",
-    "words",
-)
+    """SELECT t.name, CAST(i AS INTEGER) AS slot, w.qword AS target, coalesce(f.start_ea, w.qword) AS function, coalesce(v.n_name, CASE WHEN f.func % 2 = 1 THEN 'fn' || f.func END, '') AS function_name
+        FROM (SELECT n_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 160 ELSE n_nationkey * 80 END AS start FROM nation) t, unnest(range(0, 32)) AS u(i)
+        LEFT JOIN words w ON w.ea = t.start + 8 * i LEFT JOIN func f ON w.qword >= f.start_ea AND w.qword < f.end_ea
+        LEFT JOIN nation v ON v.n_nationkey % 2 = 0 AND v.n_nationkey * 160 = coalesce(f.start_ea, w.qword)""",
+    "words", "func",
+)
 def w9(spark, d):
-    n = view(spark, d, "nation")
-    names = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 160).cast("bigint").alias("ea"))
+    n, f = view(spark, d, "nation"), view(spark, d, "func")
+    names = n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 160 + 0).cast("bigint").alias("ea"))
+    names = names.unionAll(f.where("func % 2 = 1").select(F.concat(F.lit("fn"), F.col("func").cast("string")), "start_ea"))
     tables = n.select(F.col("n_name").alias("name"), (F.col("n_nationkey") * 80).cast("bigint").alias("fallback_rva"))
-    return profiles.slot_dump(tables, names, view(spark, d, "words"))
+    return profiles.slot_dump(tables, names, view(spark, d, "words"), f)
 
 
 @query("w10_first_last_wins", "SELECT og_id, min(csv_row) AS first_row, arg_min(classification, csv_row) AS first_class, max(csv_row) AS last_row, arg_max(classification, csv_row) AS last_class FROM cmp GROUP BY og_id", "cmp")

@@ -59,14 +59,17 @@ def s4(spark, d):
 
 @query(
     "s5_pair_table",
-    """SELECT CAST(row_number() OVER (ORDER BY c_custkey) + 1 AS INTEGER) AS row, c_name AS name, c_custkey * 16 AS og_rva, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS og_id,
+    """SELECT CAST(row_number() OVER (ORDER BY c_custkey) + 1 AS INTEGER) AS row, CASE WHEN c_custkey % 50 = 0 THEN c_name || chr(10) || chr(10) || 'two "words";' ELSE c_name END AS name, c_custkey * 16 AS og_rva, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey END AS og_id,
         CASE WHEN c_custkey % 7 <> 0 THEN c_custkey * 32 END AS ae_rva, c_custkey + 1000 AS ae_id FROM customer""",
 )
 def s5(spark, d):
-    c = view(spark, d, "customer").withColumn("k", F.col("c_custkey"))
-    line = F.concat_ws(";", "c_name", F.concat(F.lit("0x"), F.hex(F.col("k") * 16)), F.when(F.col("k") % 5 == 0, "").otherwise(F.col("k").cast("string")), F.when(F.col("k") % 7 == 0, "zz").otherwise(F.hex(F.col("k") * 32)), (F.col("k") + 1000).cast("string"))
-    listed = c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    return listings.pair_rows(listed.select(F.concat(F.lit("﻿Name;OG_Addr;OG_REL_ID;AE_221_Addr;AE_221_REL_ID\n"), "body").alias("value")))
+    folder, k = new_folder(spark, "pairs"), F.col("c_custkey")
+    name = F.when(k % 50 == 0, F.concat(F.lit(" "), "c_name", F.lit('\n\ntwo "words";'))).otherwise(F.col("c_name"))
+    rows = view(spark, d, "customer").repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select(
+        name.alias("﻿Name"), F.concat(F.lit("0x"), F.hex(k * 16)).alias("OG_Addr"), F.when(k % 5 == 0, "").otherwise(k.cast("string")).alias("OG_REL_ID"), F.when(k % 7 == 0, "zz").otherwise(F.hex(k * 32)).alias("AE_221_Addr"), (k + 1000).cast("string").alias("AE_221_REL_ID")
+    )
+    rows.write.option("emptyValue", "").option("escape", '"').csv(folder, sep=";", header=True)
+    return listings.pair_table(spark, folder)
 
 
 @query("s6_function_records", "SELECT CAST(c_custkey AS INTEGER) AS row, c_name AS name, c_custkey * 3 AS size, CAST(c_custkey % 3 + 1 AS BIGINT) AS mnemonics FROM customer")
@@ -113,14 +116,21 @@ def s9(spark, d):
     return listings.parse_header(_header(spark, d)).select("name", shown.alias("shown"))
 
 
-@query(
-    "s10_emit_header",
-    f"""SELECT name, 'inline constexpr auto ' || name || '{{ REL::ID(' || k || ') }};' AS line FROM ({_HEADER})
-        UNION ALL SELECT name, CASE WHEN k % 3 = 0 THEN 'inline constexpr std::array<REL::Offset, 2> ' || name || '{{ REL::ID(' || k || '), REL::Offset(0x' || hex(k) || ') }};' ELSE 'inline constexpr std::array<REL::ID, 1> ' || name || '{{ REL::ID(' || k || ') }};' END FROM ({_HEADER})""",
-)
+_EMITTED = """SELECT '{space}' AS space, CAST(number AS BIGINT) AS number, text FROM (SELECT row_number() OVER (ORDER BY part, name) - 1 AS number, text FROM (
+    SELECT 0 AS part, CAST(i AS VARCHAR) AS name, ['#pragma once', '', 'namespace RE', '{{', chr(9) || 'namespace {space}', chr(9) || '{{'][i] AS text FROM unnest(range(1, 7)) AS t(i)
+    UNION ALL SELECT 1, name, chr(9) || chr(9) || {line} FROM ({header}) UNION ALL SELECT 2, CAST(i AS VARCHAR), [chr(9) || '}}', '}}'][i] FROM unnest(range(1, 3)) AS t(i)))"""
+_ONE = "'inline constexpr auto ' || name || '{ REL::ID(' || k || ') };'"
+_TABLE = "CASE WHEN k % 3 = 0 THEN 'inline constexpr std::array<REL::Offset, 2> ' || name || '{ REL::ID(' || k || '), REL::Offset(0x' || hex(k) || ') };' ELSE 'inline constexpr std::array<REL::ID, 1> ' || name || '{ REL::ID(' || k || ') };' END"
+
+
+@query("s10_emit_header", " UNION ALL ".join(_EMITTED.format(space=space, line=line, header=_HEADER) for space, line in (("RTTI", _ONE), ("VTABLE", _TABLE))))
 def s10(spark, d):
-    constants = listings.parse_header(_header(spark, d))
-    return listings.header_lines(constants).unionAll(listings.header_lines(constants, tables=True))
+    constants, out = listings.parse_header(_header(spark, d)), []
+    for space in ("RTTI", "VTABLE"):
+        folder = new_folder(spark, "header")
+        listings.write_header(constants, space, folder, tables=space == "VTABLE")
+        out.append(listings.read_header(spark, folder).select(F.lit(space).alias("space"), "number", "text"))
+    return out[0].unionAll(out[1])
 
 
 @query("s11_overrides", "SELECT p_partkey AS og_id, p_partkey * 16 AS ae_rva, 'high' AS confidence_tier, p_type AS evidence, 'id_only' AS replacement_strategy, CASE WHEN p_size > 25 THEN 'yes' ELSE 'no' END AS allow_candidate_correction FROM part")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symbridge.operators.intervals import containing, nearest
 from symbridge.operators.lookups import aliases, last_wins
 
+# Fixed value: how far before an address its named owner may lie.
+OWNER_DISTANCE = 0x2000
+
 
 def _choice(rules: list[tuple[Column, Column, Column | str, Column | str]], tier: str, evidence: str) -> Column:
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
@@ -138,13 +144,45 @@ def offset_changes(rows: DataFrame) -> DataFrame:
     return rows.where(differ).select("row", shown(F.array_intersect(a, b)).alias("common_offsets"), shown(F.array_except(a, b)).alias("og_only_offsets"), shown(F.array_except(b, a)).alias("ae_only_offsets"))
 
 
-def review_evidence(rows: DataFrame, instructions: DataFrame) -> DataFrame:
-    """Medium and review rows whose existing id is no match, with what their candidate function holds."""
-    picked = rows.where(F.col("confidence_tier").isin("medium", "review") & (F.col("existing_ae_id_status") != "match")).select("og_id", "confidence_tier", F.col("ae_rva").alias("func"))
-    found = instructions.join(picked, "func").groupBy("og_id", "confidence_tier", "func").agg(
-        F.count("*").alias("instructions"), F.count_distinct("callee").alias("calls"), F.count_distinct("data_ref").alias("data_refs")
-    )
-    return picked.join(found, ["og_id", "confidence_tier", "func"], "left").select("og_id", "confidence_tier", "func", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("instructions", "calls", "data_refs")))
+def review_selection(rows: DataFrame) -> DataFrame:
+    """Medium and review rows whose existing id is no match: og_id, kind, confidence_tier, target (the address ae_rva)."""
+    return rows.where(F.col("confidence_tier").isin("medium", "review") & (F.col("existing_ae_id_status") != "match")).select("og_id", "kind", "confidence_tier", F.col("ae_rva").alias("target"))
+
+
+def function_evidence(rows: DataFrame, instructions: DataFrame, functions: DataFrame, strings: DataFrame, names: DataFrame) -> DataFrame:
+    """review_selection() of functions with what the function at the target holds; status not_a_function where there is none.
+
+    instructions: ea, func (a start_ea), text, callee and data_ref (addresses); functions: start_ea, end_ea, name; strings: ea, text;
+    names: ea. Lists are bounded by a function, those of references to it by the selection: only its functions are looked at.
+    """
+    placed = containing(rows.where("kind = 'function'"), functions.select("start_ea", "end_ea", "name"), "target")
+    picked = placed.select(F.col("start_ea").alias("func")).where("func IS NOT NULL").distinct()
+    own = instructions.join(picked, "func", "left_semi").join(strings.select(F.col("ea").alias("data_ref"), F.col("text").alias("string")), "data_ref", "left")
+    listed = lambda target: F.array_sort(F.collect_list(F.when(F.col(target).isNotNull(), F.struct(F.col("ea").alias("from_rva"), F.col(target).alias("rva")))))
+    held = own.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("ea", "text"))).alias("i"), listed("callee").alias("calls"), listed("data_ref").alias("data_refs"), F.array_sort(F.collect_set("string")).alias("strings"))
+    held = held.withColumn("instructions", F.col("i.text")).drop("i")
+    callers = instructions.select(F.col("func").alias("caller"), F.col("callee").alias("func")).join(picked, "func", "left_semi").groupBy("func").agg(F.array_sort(F.collect_list("caller")).alias("callers"))
+    to = instructions.select(F.col("ea").alias("from_rva"), F.col("data_ref").alias("func")).join(picked, "func", "left_semi")
+    owned = nearest(to, names.select(F.col("ea").alias("owner_rva")).distinct(), "from_rva", "owner_rva", forward=False, within=OWNER_DISTANCE)
+    incoming = owned.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("from_rva", "owner_rva", F.floor((F.col("from_rva") - F.col("owner_rva")) / 8).alias("slot")))).alias("incoming_data_refs"))
+    out = placed.withColumnRenamed("start_ea", "func").join(held, "func", "left").join(callers, "func", "left").join(incoming, "func", "left")
+    return out.select(
+        "og_id", "confidence_tier", "target", F.when(F.col("func").isNull(), "not_a_function").otherwise("ok").alias("status"), F.col("func").alias("start_rva"), (F.col("end_ea") - F.col("func")).alias("size"), "name",
+        "instructions", "calls", "data_refs", "strings", "callers", "incoming_data_refs",
+    )
+
+
+def global_evidence(rows: DataFrame, words: DataFrame, instructions: DataFrame) -> DataFrame:
+    """review_selection() of globals with the first 64 bytes at the target (hex, from 8-byte words; "" if one is unknown) and the references to it (from_rva, function, text)."""
+    picked = rows.where("kind <> 'function'")
+    at = picked.select("target").distinct()
+    swapped = lambda q: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(q), 16, "0"), F.lit("(..)"), F.lit(1))), "")
+    each = at.select("target", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("n")).join(words.select("ea", "qword"), F.col("ea") == F.col("target") + 8 * F.col("n"))
+    held = each.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("n", F.lower(swapped(F.col("qword"))).alias("hex")))).alias("l"))
+    held = held.where(F.size("l") == 8).select("target", F.array_join(F.col("l.hex"), "").alias("first_64_bytes"))
+    refs = instructions.select(F.col("data_ref").alias("target"), F.col("ea").alias("from_rva"), F.col("func").alias("function_rva"), "text").join(at, "target", "left_semi")
+    refs = refs.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("from_rva", "function_rva", "text"))).alias("xrefs"))
+    return picked.join(held, "target", "left").join(refs, "target", "left").select("og_id", "confidence_tier", "target", F.coalesce("first_64_bytes", F.lit("")).alias("first_64_bytes"), "xrefs")
 
 
 TOKEN = r"REL::ID\s*\(\s*(\d+)\s*\)"
@@ -158,8 +196,30 @@ def id_tokens(lines: DataFrame, spaces: bool = True) -> DataFrame:
     return lines.select(F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("id"), "file", "line", use_kind(F.col("text")).alias("kind")).select(F.col("id").try_cast("bigint").alias("og_id"), "file", "line", "kind")
 
 
+def select_replacements(report: DataFrame, root: str, tiers: tuple[str, ...] = ("high",), include_existing: bool = False) -> DataFrame:
+    """(og_id, new_id, file) of the rows of a resolved report that are to be applied, one for each place named in locations.
+
+    Rows of the tiers, or (include_existing) whose existing id matches; of these only resolved_unique ones to be replaced by id alone.
+    A place is `root/include/..:line` or `root/src/..:line`; a selected row without one is an error.
+    """
+    chosen = F.col("confidence_tier").isin(list(tiers))
+    if include_existing:
+        chosen = F.coalesce(chosen, F.lit(False)) | F.coalesce(F.col("existing_ae_id_status") == "match", F.lit(False))
+    rows = report.where(chosen & (F.col("address_library_status") == "resolved_unique") & (F.coalesce("replacement_strategy", F.lit("id_only")) == "id_only"))
+    files = F.array_distinct(F.regexp_extract_all(F.coalesce("locations", F.lit("")), F.lit(f"({re.escape(root)}/(?:include|src)/[^,:]+):[0-9]+"), F.lit(1)))
+    lost = F.raise_error(F.concat(F.lit("no source location for "), F.col("og_id").cast("string"))).cast("array<string>")
+    return rows.select("og_id", F.col("official_ae_id").alias("new_id"), F.explode(F.when(F.size(files) == 0, lost).otherwise(files)).alias("file"))
+
+
+def replacement_summary(selected: DataFrame, applied: DataFrame) -> DataFrame:
+    """(metric, value): selected rows, files affected, tokens replaced, mappings already applied; what a dry run reports."""
+    return selected.agg(F.count_distinct("og_id").alias("value")).select(F.lit("selected_rows").alias("metric"), "value").unionAll(
+        long_metrics(applied.agg(F.count_if("changed").alias("files_affected"), F.coalesce(F.sum("replaced"), F.lit(0)).alias("tokens_replaced"), F.coalesce(F.sum("already"), F.lit(0)).alias("already_applied")))
+    )
+
+
 def apply_ids(files: DataFrame, resolved: DataFrame) -> DataFrame:
-    """files (file, text) with id tokens replaced, all at once: file, text, replaced, already; conflicting new ids are an error.
+    """files (file, text) with id tokens replaced, all at once: file, text, replaced, already, changed; conflicting new ids are an error.
 
     resolved: (og_id, new_id, file). A file that holds neither the old nor the new token of one of its rows is an error.
     """
@@ -167,12 +227,14 @@ def apply_ids(files: DataFrame, resolved: DataFrame) -> DataFrame:
     sure = each.withColumn("new_id", F.when(F.col("new_id") != F.col("_other"), F.raise_error(F.concat(F.lit("conflicting new ids for "), F.col("og_id").cast("string"))).cast("bigint")).otherwise(F.col("new_id")))
     maps = sure.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct(F.col("og_id").cast("string"), F.col("new_id").cast("string")))).alias("ids"))
     j = files.join(maps, "file")
-    token = lambda i: F.concat(F.lit(r"REL::ID\s*\(\s*"), i, F.lit(r"\s*\)"))
+    token = lambda i: F.concat(F.lit(r"REL::ID\(\s*"), i, F.lit(r"\s*\)"))
     olds = F.map_keys("ids")
     there = lambda i: F.rlike("text", token(i))
     lost = F.exists(olds, lambda o: ~there(o) & ~there(F.element_at("ids", o)))
     # pieces between tokens, and the tokens' ids, zipped back together
-    pieces, ids = F.split("text", r"REL::ID\s*\(\s*\d+\s*\)", -1), F.regexp_extract_all("text", F.lit(TOKEN), F.lit(1))
-    new = F.array_join(F.zip_with(pieces, ids, lambda p, i: F.concat(p, F.when(i.isNull(), "").otherwise(F.concat(F.lit("REL::ID("), F.coalesce(F.element_at("ids", i), i), F.lit(")"))))), "")
+    pieces, tokens = F.split("text", r"REL::ID\(\s*\d+\s*\)", -1), F.regexp_extract_all("text", F.lit(r"REL::ID\(\s*\d+\s*\)"), F.lit(0))
+    ids = F.transform(tokens, lambda t: F.regexp_extract(t, r"\d+", 0))
+    renewed = F.transform(tokens, lambda t: F.coalesce(F.concat(F.lit("REL::ID("), F.try_element_at("ids", F.regexp_extract(t, r"\d+", 0)), F.lit(")")), t))
+    new = F.array_join(F.zip_with(pieces, renewed, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
     text = F.when(lost, F.raise_error(F.concat(F.lit("a token stands in neither form in "), F.col("file"))).cast("string")).otherwise(new)
-    return j.select("file", text.alias("_new"), F.size(F.filter(ids, lambda i: F.map_contains_key("ids", i))).alias("replaced"), F.size(F.filter(olds, lambda o: ~there(o) & there(F.element_at("ids", o)))).alias("already")).withColumnRenamed("_new", "text")
+    return j.select("file", text.alias("_new"), (new != F.col("text")).alias("changed"), F.size(F.filter(ids, lambda i: F.map_contains_key("ids", i))).alias("replaced"), F.size(F.filter(olds, lambda o: ~there(o) & there(F.element_at("ids", o)))).alias("already")).select("file", F.col("_new").alias("text"), "replaced", "already", "changed")

@@ -14,27 +14,65 @@ INSTRUCTION_GATE, SIZE_GATE, NAME_GATE, MNEMONIC_GATE = 0.25, 0.20, 0.72, 0.45
 LEAST_CONTEXT, NEAR_TIE, UNKNOWN_QUALITY, EXACT_FACTOR, MAPPED_PENALTY = 0.58, 0.015, 0.5, 1.5, 0.025
 
 
+def _class(side: str) -> Column:
+    """A number for what the count branch looks at: functions of equal counts, sizes and mnemonics are one class (by a 64-bit hash)."""
+    entries = F.sort_array(F.map_entries(F.coalesce(f"{side}_mnemonics", F.create_map().cast("map<string,bigint>"))))
+    return F.xxhash64(F.coalesce(f"{side}_instruction_count", F.lit(0)), F.coalesce(f"{side}_size", F.lit(0)), entries)
+
+
+def _sides(targets: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFrame, Column, Column]:
+    t = targets.select(*(F.col(c).alias(f"t_{c}") for c in targets.columns)).withColumn("_t", _class("t"))
+    f = functions.select(*(F.col(c).alias(f"f_{c}") for c in functions.columns)).withColumn("_f", _class("f"))
+    close = (closeness(F.col("t_instruction_count"), F.col("f_instruction_count")) >= INSTRUCTION_GATE) & (closeness(F.col("t_size"), F.col("f_size")) >= SIZE_GATE)
+    return t, f, close, F.coalesce(F.col("t_semantic_sha256") == F.col("f_semantic_sha256"), F.lit(False))
+
+
+def near_classes(t: DataFrame, f: DataFrame, close: Column) -> DataFrame:
+    """(_t, _f): the pairs of classes whose counts are close and whose mnemonics are similar; each pair of classes is judged once.
+
+    Closeness of at least 1/4 and 1/5 keeps pairs within one step of the logarithms to base 4 and 5, so classes meet on those.
+    """
+    log = lambda c, base: F.when(F.coalesce(c, F.lit(0)) == 0, -1).otherwise(F.floor(F.log(float(base), F.abs(c).cast("double")) + 1e-9)).cast("int")
+    step = lambda b: F.explode(F.when(b < 0, F.array(b)).otherwise(F.sequence(F.greatest(b - 1, F.lit(0)), b + 1)))
+    empty = F.create_map().cast("map<string,bigint>")
+    one = lambda rows, s: rows.groupBy(f"_{s}").agg(F.struct(F.first(f"{s}_instruction_count").alias("n"), F.first(f"{s}_size").alias("z"), F.first(F.map_entries(F.coalesce(f"{s}_mnemonics", empty))).alias("m")).alias("x")).select(
+        f"_{s}", F.col("x.n").alias(f"{s}_instruction_count"), F.col("x.z").alias(f"{s}_size"), F.map_from_entries("x.m").alias(f"{s}_mnemonics")
+    )
+    a = one(t, "t").withColumns({"_tn": norm(F.col("t_mnemonics"))}).withColumn("_a", step(log(F.col("t_instruction_count"), 4))).withColumn("_b", step(log(F.col("t_size"), 5)))
+    b = one(f, "f").withColumns({"_fn": norm(F.col("f_mnemonics")), "_a2": log(F.col("f_instruction_count"), 4), "_b2": log(F.col("f_size"), 5)})
+    similar = cosine(F.col("t_mnemonics"), F.col("f_mnemonics"), (F.col("_tn"), F.col("_fn"))) >= MNEMONIC_GATE
+    return a.join(b, (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))).where(close & similar).select("_t", "_f")
+
+
 def gated_candidates(targets: DataFrame, functions: DataFrame) -> DataFrame:
     """(target, candidate) pairs of functions that pass the gates, without comparing all pairs.
 
     Both sides have rva, name, instruction_count, size, mnemonics (map), semantic_sha256. A pair is eligible if the hashes are equal; or
-    both counts are close enough and the mnemonics are similar; or they are not and the names are. Closeness of at least 1/4 and 1/5
-    keeps pairs within one step of the logarithms to base 4 and 5, so the count branch meets on those; the name branch meets on the
-    named functions only, whose names it compares in distinct pairs within lengths that can reach the gate.
+    both counts are close enough and the mnemonics are similar (near_classes()); or they are not close and the names are similar; the
+    name branch meets on the named functions only, whose names it compares in distinct pairs within lengths that can reach the gate.
     """
-    t = targets.select(*(F.col(c).alias(f"t_{c}") for c in targets.columns))
-    f = functions.select(*(F.col(c).alias(f"f_{c}") for c in functions.columns))
-    log = lambda c, base: F.when(F.coalesce(c, F.lit(0)) == 0, -1).otherwise(F.floor(F.log(float(base), F.abs(c).cast("double")) + 1e-9)).cast("int")
-    step = lambda b: F.explode(F.when(b < 0, F.array(b)).otherwise(F.sequence(F.greatest(b - 1, F.lit(0)), b + 1)))
-    close = (closeness(F.col("t_instruction_count"), F.col("f_instruction_count")) >= INSTRUCTION_GATE) & (closeness(F.col("t_size"), F.col("f_size")) >= SIZE_GATE)
-    same = F.coalesce(F.col("t_semantic_sha256") == F.col("f_semantic_sha256"), F.lit(False))
+    t, f, close, same = _sides(targets, functions)
     equal = t.join(f, F.col("t_semantic_sha256") == F.col("f_semantic_sha256"))
-    empty = F.create_map().cast("map<string,bigint>")
-    own = lambda side: norm(F.coalesce(f"{side}_mnemonics", empty))
-    near = t.withColumn("_tn", own("t")).withColumn("_a", step(log(F.col("t_instruction_count"), 4))).withColumn("_b", step(log(F.col("t_size"), 5))).join(
-        f.withColumn("_fn", own("f")).withColumn("_a2", log(F.col("f_instruction_count"), 4)).withColumn("_b2", log(F.col("f_size"), 5)), (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))
-    ).where(~same & close & (cosine(F.col("t_mnemonics"), F.col("f_mnemonics"), (F.col("_tn"), F.col("_fn"))) >= MNEMONIC_GATE)).drop("_a", "_b", "_a2", "_b2", "_tn", "_fn")
-    return equal.unionAll(near).unionAll(_by_name(t, f, close, same))
+    near = t.join(near_classes(t, f, close), "_t").join(f, "_f").where(~same)
+    columns = [c for c in (*t.columns, *f.columns) if c not in ("_t", "_f")]
+    return equal.select(columns).unionAll(near.select(columns)).unionAll(_by_name(t, f, close, same).select(columns))
+
+
+def gate_counts(targets: DataFrame, functions: DataFrame) -> DataFrame:
+    """(t_rva, candidates, total): how many candidates gated_candidates() gives each target (0 if none), and the sum of their rvas, without writing the pairs out.
+
+    Equal hashes and classes are counted as groups, so a function that very many others equal costs no more than any other.
+    """
+    t, f, close, same = _sides(targets, functions)
+    near = near_classes(t, f, close)
+    held = lambda keys: f.groupBy(*keys).agg(F.count("*").alias("candidates"), F.sum("f_rva").alias("total"))
+    by_class = near.join(held(["_f"]), "_f").groupBy("_t").agg(F.sum("candidates").alias("candidates"), F.sum("total").alias("total"))
+    far = t.select("t_semantic_sha256", "_t").distinct().join(held(["f_semantic_sha256", "_f"]), F.col("t_semantic_sha256") == F.col("f_semantic_sha256")).join(near, ["_t", "_f"], "left_anti")
+    by_hash = far.groupBy("t_semantic_sha256", "_t").agg(F.sum("candidates").alias("candidates"), F.sum("total").alias("total"))
+    named = _by_name(t, f, close, same).groupBy("t_rva").agg(F.count("*").alias("candidates"), F.sum("f_rva").alias("total"))
+    found = t.join(by_class, "_t").select("t_rva", "candidates", "total").unionAll(t.join(by_hash, ["t_semantic_sha256", "_t"]).select("t_rva", "candidates", "total")).unionAll(named)
+    found = found.unionAll(t.select("t_rva", F.lit(0).cast("bigint").alias("candidates"), F.lit(0).cast("bigint").alias("total")))
+    return found.groupBy("t_rva").agg(F.sum("candidates").alias("candidates"), F.sum("total").alias("total"))
 
 
 def _by_name(t: DataFrame, f: DataFrame, close: Column, same: Column) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from symbridge.operators.intervals import containing, nearest
+
 CONTEXT_RADIUS = 3
 PRECEDING = 12
 MOST_SLOTS = 512
@@ -31,18 +33,21 @@ def semantic_hash(instructions: DataFrame) -> DataFrame:
 
 
 def reference_sets(instructions: DataFrame, strings: DataFrame) -> DataFrame:
-    """By func: distinct calls, jumps, data_refs and strings, by address; a data reference to a string is no data reference."""
+    """By func: distinct calls (code references of call instructions), jumps (all others), data_refs and strings, by address; a data reference to a string is no data reference."""
     refs = instructions.join(strings.select(F.col("ea").alias("data_ref"), F.lit(True).alias("is_string")), "data_ref", "left")
+    call = F.coalesce(F.col("mnemonic").startswith("call"), F.lit(False))
     listed = lambda c, cond: F.array_sort(F.collect_set(F.when(cond, F.col(c))))
     return refs.groupBy("func").agg(
-        listed("callee", F.col("mnemonic").startswith("call")).alias("calls"), listed("callee", F.col("mnemonic").startswith("j")).alias("jumps"),
-        listed("data_ref", F.col("is_string").isNull()).alias("data_refs"), listed("data_ref", F.col("is_string")).alias("strings"),
-    )
+        listed("callee", call).alias("calls"), listed("callee", ~call).alias("jumps"), listed("data_ref", F.col("is_string").isNull()).alias("data_refs"), listed("data_ref", F.col("is_string")).alias("strings")
+    )
 
 
-def callers(instructions: DataFrame) -> DataFrame:
-    """By callee: the distinct functions that call it, by address."""
-    return instructions.where(F.col("mnemonic").startswith("call")).groupBy(F.col("callee").alias("func")).agg(F.array_sort(F.collect_set("func")).alias("callers"))
+def incoming(instructions: DataFrame) -> DataFrame:
+    """By func: callers (distinct functions with any code reference to it) and incoming_data_refs (distinct addresses, ea, with a data reference to it), by address."""
+    code = instructions.where("callee IS NOT NULL").groupBy(F.col("callee").alias("func")).agg(F.array_sort(F.collect_set("func")).alias("callers"))
+    data = instructions.where("data_ref IS NOT NULL").groupBy(F.col("data_ref").alias("func")).agg(F.array_sort(F.collect_set("ea")).alias("incoming_data_refs"))
+    none = F.array().cast("array<bigint>")
+    return code.join(data, "func", "full").select("func", *(F.coalesce(c, none).alias(c) for c in ("callers", "incoming_data_refs")))
 
 
 def cfg_metrics(blocks: DataFrame) -> DataFrame:
@@ -107,15 +112,33 @@ def coreference_votes(og_refs: DataFrame, ae_refs: DataFrame, targets: DataFrame
     return kept.withColumn("base_weight", 1.0 / F.greatest(F.lit(1), F.col("n_refs")) + 0.35)
 
 
+def _word_number(ea: Column) -> Column:
+    """Numbers addresses so that those 8 bytes apart are neighbours, whatever their alignment."""
+    rest = F.pmod(ea, F.lit(8))
+    return (rest - 4) * (1 << 61) + F.call_function("div", ea - rest, F.lit(8)) + (1 << 60)
+
+
 def slot_runs(starts: DataFrame, words: DataFrame, is_code, most: int = MOST_SLOTS) -> DataFrame:
-    """By start: how many consecutive 8-byte words from it are code addresses, at most `most`. words (ea, qword)."""
-    slots = starts.select("start").distinct().select("start", F.explode(F.sequence(F.lit(0), F.lit(most - 1))).alias("slot"))
-    held = slots.join(words.where(is_code).select("ea", "qword"), F.col("ea") == F.col("start") + 8 * F.col("slot"), "left")
-    return held.groupBy("start").agg(F.coalesce(F.min(F.when(F.col("qword").isNull(), F.col("slot"))), F.lit(most)).alias("slots"))
+    """By start: how many consecutive 8-byte words from it are code addresses, at most `most`. words (ea, qword).
 
+    A run ends at the nearest word after it that holds no code address, so no start is expanded into its slots.
+    """
+    number = starts.select("start").distinct().withColumn("_n", _word_number(F.col("start")))
+    code = words.where(is_code).select(_word_number(F.col("ea")).alias("_n")).distinct()
+    ends = code.select((F.col("_n") + 1).alias("_n")).join(code, "_n", "left_anti").withColumnRenamed("_n", "_end")
+    inside = nearest(number.join(code, "_n", "left_semi").select("start", "_n"), ends, "_n", "_end", forward=True)
+    runs = inside.select("start", F.least(F.lit(most), F.col("_end") - F.col("_n")).cast("int").alias("slots"))
+    return runs.unionAll(number.join(code, "_n", "left_anti").select("start", F.lit(0).alias("slots")))
 
-def slot_dump(tables: DataFrame, names: DataFrame, words: DataFrame, slots: int = 32) -> DataFrame:
-    """(table, slot, target) of the first slots of named tables; the address comes from names, else the table's fallback_rva."""
+
+def slot_dump(tables: DataFrame, names: DataFrame, words: DataFrame, functions: DataFrame, slots: int = 32) -> DataFrame:
+    """(name, slot, target, function, function_name) of the first slots of named tables; the address comes from names, else the table's fallback_rva.
+
+    function is the start of the function (start_ea, end_ea) that holds the target, else the target; function_name the name there, or "".
+    """
     placed = tables.join(names.select("name", F.col("ea").alias("named_ea")), "name", "left").withColumn("start", F.coalesce("named_ea", "fallback_rva"))
     each = placed.select("name", "start", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    return each.join(words.select("ea", F.col("qword").alias("target")), F.col("ea") == F.col("start") + 8 * F.col("slot"), "left").select("name", "slot", "target")
+    held = each.join(words.select("ea", F.col("qword").alias("target")), F.col("ea") == F.col("start") + 8 * F.col("slot"), "left").select("name", "slot", "target")
+    inside = containing(held, functions.select("start_ea", "end_ea"), "target").select("name", "slot", "target", F.coalesce("start_ea", "target").alias("function"))
+    named = names.groupBy(F.col("ea").alias("function")).agg(F.min("name").alias("function_name"))
+    return inside.join(named, "function", "left").select("name", "slot", "target", "function", F.coalesce("function_name", F.lit("")).alias("function_name"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.functions.scalars import parse_decimal, parse_hex
-from symbridge.operators.lookups import last_wins
+from symbridge.functions.scalars import clean_text, parse_decimal, parse_hex
+from symbridge.operators.lookups import dense_numbers, last_wins
 
 # The image base of the match files, the number of their header lines, and their name.
 IMAGE_BASE = 0x140000000
@@ -45,16 +45,27 @@ def match_pairs(files: DataFrame) -> DataFrame:
     return each.select(version(1).alias("lver"), version(4).alias("rver"), rva(0).alias("lrva"), rva(1).alias("rrva")).where("lrva IS NOT NULL AND rrva IS NOT NULL")
 
 
-def pair_table(spark: SparkSession, path: str) -> DataFrame:
-    """row (record number + 2), name, og_rva, og_id, ae_rva, ae_id of the pair table, one small `;` file with a byte-order mark."""
-    return pair_rows(spark.read.text(path, wholetext=True))
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """rows of freshly read files with number: 0, 1, .. in the order of file names and of rows within a file."""
+    placed = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return dense_numbers(placed, ["_file", "_block", "_at"]).drop("_file", "_block", "_at")
 
 
-def pair_rows(files: DataFrame) -> DataFrame:
-    file = files.select(F.lit("").alias("file"), F.regexp_replace("value", "^﻿", "").alias("value"))
-    fields = "Name string, OG_Addr string, OG_REL_ID string, AE_221_Addr string, AE_221_REL_ID string"
-    rows = lines(file).where("line > 1 AND text <> ''").select((F.col("line")).cast("int").alias("row"), F.from_csv("text", fields, {"sep": ";"}).alias("r"))
-    return rows.select("row", F.coalesce("r.Name", F.lit("")).alias("name"), parse_hex(F.col("r.OG_Addr")).alias("og_rva"), parse_decimal(F.col("r.OG_REL_ID")).alias("og_id"), parse_hex(F.col("r.AE_221_Addr")).alias("ae_rva"), parse_decimal(F.col("r.AE_221_REL_ID")).alias("ae_id"))
+def pair_table(spark: SparkSession, path: str) -> DataFrame:
+    """row (record number + 2), name, og_rva, og_id, ae_rva, ae_id of the pair table: `;` text with a byte-order mark and a header, in one file or in parts.
+
+    Records are numbered, not lines: blank lines do not count and a quoted field may hold line breaks. Names are freed of NULs and of
+    white space around them; a column that the header lacks is read as empty.
+    """
+    raw = spark.read.csv(path, sep=";", header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    plain = [c.strip("\ufeff").strip('"') for c in raw.columns]
+    numbered = in_file_order(raw)
+    of = lambda name: F.col(f"`{raw.columns[plain.index(name)]}`") if name in plain else F.lit(None).cast("string")
+    name = F.regexp_replace(clean_text(of("Name")), r"(?U)^\s+|\s+$", "")
+    return numbered.select(
+        (F.col("number") + 2).cast("int").alias("row"), name.alias("name"), parse_hex(of("OG_Addr")).alias("og_rva"), parse_decimal(of("OG_REL_ID")).alias("og_id"),
+        parse_hex(of("AE_221_Addr")).alias("ae_rva"), parse_decimal(of("AE_221_REL_ID")).alias("ae_id"),
+    )
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -111,6 +122,19 @@ def header_lines(constants: DataFrame, tables: bool = False) -> DataFrame:
     return constants.select("name", line.alias("line"))
 
 
+def write_header(constants: DataFrame, namespace: str, path: str, tables: bool = False) -> None:
+    """An ID header as a folder of text parts in order: its opening, a line a constant sorted by name, its closing."""
+    fixed = lambda order, text: constants.sparkSession.createDataFrame([(order, "", text)], "part int, name string, value string")
+    opening = f"#pragma once\n\nnamespace RE\n{{\n\tnamespace {namespace}\n\t{{"
+    body = header_lines(constants, tables).select(F.lit(1).alias("part"), "name", F.concat(F.lit("\t\t"), "line").alias("value"))
+    body.unionAll(fixed(0, opening)).unionAll(fixed(2, "\t}\n}")).orderBy("part", "name").select("value").write.text(path)
+
+
+def read_header(spark: SparkSession, path: str) -> DataFrame:
+    """number (from 0) and text of the lines of a written header."""
+    return in_file_order(spark.read.text(path)).select("number", F.col("value").alias("text"))
+
+
 OVERRIDE = "og_id bigint, ae_rva string, confidence_tier string, evidence string, replacement_strategy string, allow_candidate_correction string"
 
 

@@ -170,6 +170,8 @@ def test_blocked_candidates_equal_all_pairs(spark):
             if a[5] is not None and a[5] == b[5] or (name(a[1], b[1]) >= 0.72 if close(a[2], b[2]) < 0.25 or close(a[3], b[3]) < 0.2 else cos(a[4], b[4]) >= 0.45):
                 want.add((a[0], b[0]))
     assert got == want
+    counts = {r["t_rva"]: (r["candidates"], r["total"]) for r in matching.gate_counts(df.where("rva < 12"), df).collect()}
+    assert counts == {a[0]: (sum(x == a[0] for x, _ in want), sum(y for x, y in want if x == a[0])) for a in fs[:12]}
 
 
 def test_last_wins_on_a_hot_key(spark):
@@ -233,6 +235,24 @@ def test_source_tree_and_headers(spark, tmp_path):
     assert header == {"A": [("id", 3)], "B": [("id", 2), ("offset", 16)]}
 
 
+def test_pair_table_numbers_records(spark, tmp_path):
+    text = '\ufeffName;OG_Addr;OG_REL_ID;AE_221_Addr;AE_221_REL_ID\r\n a\0b ;0x10;1;20;2\r\n\r\n"two\n\nlines";;x;zz;0x3\r\n"say ""hi"";";30;;;\r\n'
+    (tmp_path / "pairs.csv").write_bytes(text.encode())
+    got = sorted(tuple(r) for r in listings.pair_table(spark, str(tmp_path / "pairs.csv")).collect())
+    assert got == [(2, "ab", 16, 1, 32, 2), (3, "two\n\nlines", None, None, None, 3), (4, 'say "hi";', 48, None, None, None)]
+
+
+def test_replacements_are_selected_by_tier_match_and_place(spark):
+    schema = "og_id bigint, official_ae_id bigint, confidence_tier string, existing_ae_id_status string, address_library_status string, replacement_strategy string, locations string"
+    one = (1, 11, "high", "conflict", "resolved_unique", None, "lib/src/a.cpp:3,lib/src/a.cpp:9,other/b.cpp:1,lib/include/c.h:2")
+    rows_ = [one, (2, 12, "medium", "match", "resolved_unique", "id_only", "lib/src/a.cpp:1"), (3, 13, "high", "match", "resolved_aliases", "id_only", ""), (4, 14, "high", None, "resolved_unique", "rewrite_global_pointer", ""), (5, 15, None, None, "resolved_unique", None, "")]
+    report = spark.createDataFrame(rows_, schema)
+    assert rows(decisions.select_replacements(report, "lib")) == [(1, 11, "lib/include/c.h"), (1, 11, "lib/src/a.cpp")]
+    assert len(rows(decisions.select_replacements(report, "lib", ("high",), include_existing=True))) == 3
+    with pytest.raises(Exception, match="no source location"):
+        decisions.select_replacements(spark.createDataFrame([(*one[:6], "other/b.cpp:1")], schema), "lib").collect()
+
+
 def test_overrides_checks(spark, tmp_path):
     assert listings.read_overrides(spark, None).count() == 0
     (tmp_path / "o.csv").write_text("og_id;ae_rva;confidence_tier;evidence;replacement_strategy;allow_candidate_correction\n1;0x10;high;e;id_only;no\n1;0x20;high;e;id_only;no\n")

@@ -1,6 +1,11 @@
 """Every registered query against its SQL on the smallest tables, and the plans at large."""
 
+import itertools
+import re
+from difflib import SequenceMatcher
+
 import pytest
+from pyspark.sql import functions as F
 
 from symbridge.jobs import ORACLES, QUERIES
 from tests.conftest import SF
@@ -17,6 +22,65 @@ def test_without_sql_runs(spark, key):
     assert QUERIES[key](spark, SF).count() > 0
 
 
+def ratio(a, b, junk=True):
+    return 1.0 if a == b else SequenceMatcher(None, a, b, autojunk=junk).ratio()
+
+
+def test_sequence_ratios_of_all_turns_are_difflibs(spark):
+    turns = {(r["conv_id"], r["turn"]): r["text"] or "" for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    got = {(r["conv_id"], r["turn"]): r["ratio"] for r in QUERIES["m4_sequence_ratio"](spark, SF).collect()}
+    assert got == {k: pytest.approx(ratio(t, turns[k[0], k[1] + 1]), abs=1e-6) for k, t in turns.items() if (k[0], k[1] + 1) in turns}
+
+
+def test_name_similarities_are_difflibs(spark):
+    kind = r"^(?:qword|dword|word|byte|unk|off|stru|asc|loc|sub)_[0-9a-f]+$"
+    pair = lambda n: re.sub(r"\s+", "", re.sub(r"0x[0-9a-f]+|[0-9a-f]{7,}", "#", re.sub(r"^(?:j_|nullsub_|sub_)[0-9a-f]+$", "", n.lower())))
+    reference = lambda n: re.sub(r"[^a-z0-9_]+", "", re.sub(r"[0-9a-f]{7,}", "#", re.sub(kind, "", n.lower())))
+    plain = lambda n: re.sub(r"[^a-z0-9_]+", "", n.lower())
+    names = {r["p_partkey"]: (r["p_name"], f"sub_{r['p_partkey']:X}" if r["p_partkey"] % 4 == 0 else f"{r['p_type']} {r['p_name']}") for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    got = QUERIES["m5_name_similarity"](spark, SF).collect()
+    assert len(got) == len(names)
+    for r in got:
+        a, b = names[r["p_partkey"]]
+        x, y, u, v = pair(a), pair(b), reference(a), reference(b)
+        assert r["pair"] == pytest.approx(0.5 if not x and not y else 0.25 if not x or not y else ratio(x, y), abs=1e-6)
+        assert r["reference"] == pytest.approx(ratio(u, v) if u and v else 0.0, abs=1e-6)
+        assert r["strict"] == pytest.approx(0.0 if re.match(kind, a.lower()) or re.match(kind, b.lower()) else ratio(plain(a), plain(b)), abs=1e-6)
+
+
+def test_context_scores_are_difflibs(spark):
+    from symbridge.jobs.registry import view
+
+    by = {}
+    for r in view(spark, SF, "instr").collect():
+        by.setdefault(r["func"], {})[r["idx"]] = (r["sig"], r["mnemonic"])
+    want = {}
+    for f, old in by.items():
+        new = by.get(f + 1)
+        if f % 2 == 0 and new:
+            window = lambda b, i: [b[k][0] for k in range(max(0, i - 3), min(len(b), i + 4))]
+            for i, j in itertools.product(old, new):
+                place = abs(i / max(1, len(old) - 1) - j / max(1, len(new) - 1))
+                score = 0.4 * ratio(old[i][0], new[j][0]) + 0.35 * ratio(window(old, i), window(new, j)) + 0.2 * max(0, 1 - place) + 0.05 * (old[i][1] == new[j][1])
+                want[f, i, j] = pytest.approx(min(1, score + 0.15) if f % 3 == 0 and i == j else score, abs=2e-6)
+    assert {(r["func"], r["idx"], r["new_idx"]): r["score"] for r in QUERIES["m8_context_score"](spark, SF).collect()} == want
+
+
+def test_decompile_scores_are_difflibs(spark):
+    from symbridge.functions.scalars import mnemonic_sequence, normalize_pseudocode
+
+    c = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text", normalize_pseudocode(F.col("text")).alias("p"), mnemonic_sequence(F.split("text", "\n")).alias("m")).collect()
+    turns = {(r["conv_id"], r["turn"]): r for r in c}
+    near = lambda a, b: 1.0 if a == b == 0 else min(a, b) / max(a, b)
+    want = {}
+    for k, a in turns.items():
+        if b := turns.get((k[0], k[1] + 1)):
+            s, t = set(a["text"].split(" ")), set(b["text"].split(" "))
+            lines = near(len(a["text"].split("\n")), len(b["text"].split("\n")))
+            want[k] = pytest.approx(0.35 * ratio(a["p"], b["p"], False) + 0.3 * ratio(a["m"], b["m"], False) + 0.15 * near(len(a["text"]), len(b["text"])) + 0.1 * lines + 0.1 * len(s & t) / len(s | t), abs=2e-6)
+    assert {(r["conv_id"], r["turn"]): r["score"] for r in QUERIES["m9_decompile_score"](spark, SF).collect()} == want
+
+
 @pytest.mark.parametrize("key", ["j7_ceiling_lookup", "j10_containing_function", "j15_gated_candidates", "p17_ranges", "a8_coverage_report", "w11_dense_groups"])
 def test_no_cartesian_product(spark, key):
     plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
