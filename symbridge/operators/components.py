@@ -7,17 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symbridge.sources.folders import new_folder
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut off from its lineage, on the storage of spark.checkpoint.dir (a local folder where that is unset, with a local master only)."""
-    context = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    """df cut off from its lineage: written to the storage that driver and executors share, once, and read again."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b", cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:

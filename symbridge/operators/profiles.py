@@ -16,14 +16,12 @@ MOST_SLOTS = 512
 def count_maps(instructions: DataFrame, columns: dict[str, str]) -> DataFrame:
     """By func: instruction_count, and for each (out, column) a map of the column's values to counts; empty values are left out.
 
-    Counts are aggregated by (func, value) before the maps are built.
+    Instructions are read once: all columns are counted by (func, column, value) together before the maps are built.
     """
-    total = instructions.groupBy("func").agg(F.count("*").alias("instruction_count"))
-    for out, column in columns.items():
-        counts = instructions.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("func", column).count()
-        maps = counts.groupBy("func").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(column, "count")))).alias(out))
-        total = total.join(maps, "func", "left").withColumn(out, F.coalesce(out, F.create_map().cast("map<string,bigint>")))
-    return total
+    each = F.array(F.struct(F.lit(0).alias("of"), F.lit("").alias("value")), *(F.struct(F.lit(i).alias("of"), F.col(c).alias("value")) for i, c in enumerate(columns.values(), 1)))
+    counts = instructions.select("func", F.explode(each).alias("e")).select("func", "e.*").where("of = 0 OR value <> ''").groupBy("func", "of", "value").count()
+    held = lambda i: F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("of") == i, F.struct("value", "count")))))
+    return counts.groupBy("func").agg(F.sum(F.when(F.col("of") == 0, F.col("count"))).alias("instruction_count"), *(held(i).alias(out) for i, out in enumerate(columns, 1)))
 
 
 def semantic_hash(instructions: DataFrame) -> DataFrame:
