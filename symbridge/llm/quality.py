@@ -186,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees | Non
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(list(matrix), pa.list_(pa.float64()))], names=["quality", "f"])
 
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # at most `sample` ids
-    held = known.select("quality", "text").mapInArrow(rows, "quality int, f array<double>").limit(2 * sample).collect()
+    held = known.select("quality", "text").mapInArrow(rows, "quality int, f array<double>").orderBy("quality", "f").limit(2 * sample).collect()  # in order, so that trees are the same each time
     good = np.array([r["quality"] >= 1 for r in held], float)
     return train(np.array([r["f"] for r in held]), good) if 0 < good.sum() < len(good) else None
 

@@ -102,8 +102,8 @@ def invalid(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     fields = schemas.groupBy(F.col("tool").alias("name")).agg(F.sort_array(F.collect_list(F.struct("field", "type", "required"))).alias("fields"))
     value = calls.select("call_id", "name", F.try_parse_json("arguments").alias("value")).join(F.broadcast(fields), "name", "left")  # at most MOST_FIELDS fields
     rows = value.select("call_id", "fields", "value", F.regexp_extract(F.coalesce(F.schema_of_variant("value"), F.lit("")), r"^(\w*)", 1).alias("kind"))
-    each = rows.where("fields IS NOT NULL AND kind = 'OBJECT'").select("call_id", "value", F.explode("fields").alias("f"))
-    got = each.select("call_id", "f.*", F.try_variant_get("value", F.concat(F.lit("$['"), F.col("f.field"), F.lit("']")), "variant").alias("got"))
+    each = rows.where("fields IS NOT NULL AND kind = 'OBJECT'").select("call_id", F.try_variant_get("value", F.lit("$"), "map<string,variant>").alias("held"), F.explode("fields").alias("f"))
+    got = each.select("call_id", "f.*", F.try_element_at("held", F.col("f.field")).alias("got"))
     typed = got.select("call_id", "field", "type", "required", F.regexp_extract(F.coalesce(F.schema_of_variant("got"), F.lit("VOID")), r"^(\w+)", 1).alias("kind"))
     fits = reduce(Column.__or__, [(F.col("type") == t) & F.col("kind").isin(kinds) for t, kinds in TYPES.items()])
     fault = F.when(F.col("kind") == "VOID", F.when(F.col("required"), F.concat(F.lit("missing:"), F.col("field")))).when(~fits, F.concat(F.lit("type:"), F.col("field")))

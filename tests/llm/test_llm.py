@@ -3,21 +3,25 @@
 import collections
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from symbridge.llm import decontamination, language_model, licenses, near_duplicates, packing, pii, quality, substrings, tool_calls, warc
 from symbridge.llm.queries import ORACLES, QUERIES
+from symbridge.llm.textops import slices
 from tests.conftest import SF
 from tests.oracle import same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that the operators use within themselves.
 EXTRA = ("_id", "key", "kind", "bucket", "start", "train", "_f1", "words", "low", "length", "f1", "leaf")
@@ -78,6 +82,47 @@ def test_pipeline_on_the_smallest_tables(spark):
     assert {n for n, _ in corpus_pipeline.STAGES} == {"quality_rules", "near_duplicates", "decontamination", "personal_data", "packing"}
 
 
+def test_pipeline_equals_brute_force_stage_by_stage(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    spark.catalog.clearCache()
+    kept = {r["doc_id"] for r in quality.judge(docs, quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))).where("kept").collect()}
+    table = [tuple(r) for r in docs.select(*DOCS_COLUMNS).collect() if r["doc_id"] in kept]
+    low = {c for _, c, _ in expected_links(table)}
+    table = [r for r in table if r[0] in low]
+    bench = [(r[0], tidy(r[1])) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    bad = {d for d, _ in aligned([(r[0], tidy(r[1])) for r in table], bench)}
+    table = [r for r in table if r[0] not in bad]
+    field = pii.fit(spark.createDataFrame(table, docs.select(*DOCS_COLUMNS).schema))
+    tokenizer = packing.Encoder(packing.default_tokenizer()).tokenizer
+    want = {r[0]: [*tokenizer.encode(pii.redacted(r[1], pii.spans([r[1]], field)[0][1]), add_special_tokens=False).ids, 1] for r in table}
+    pieces = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, SF).collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"], r["ids_crc32"]))
+    assert set(pieces) == set(want)
+    for d, ids in want.items():
+        end = 0
+        for start, length, crc in sorted(pieces[d]):
+            assert start == end and crc == zlib.crc32(np.array(ids[start : start + length], "<u4").tobytes())
+            end += length
+        assert end == len(ids)
+
+
+def test_pipeline_run_on_nulls_and_repeats(spark, tmp_path):
+    import corpus_pipeline
+
+    odd = spark.createDataFrame(rows(), DOCS)
+    odd = odd.unionAll(odd).withColumn("text", F.when(F.col("doc_id") == 1, F.concat("text", F.lit(" unlike"), F.repeat(F.lit(" anything that has been said before"), 40_000))).otherwise(F.col("text")))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("benchmark", "labels"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0 if t == "labels" else 50).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert got and len({(r["doc_id"], r["start"]) for r in got}) == len(got)
+    odd.limit(0).write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark, docs, empty):
     import corpus_pipeline
 
@@ -116,6 +161,18 @@ def test_tool_calls(spark):
     assert got["gone"]["errors"] == "no_call"
 
 
+def test_fields_with_quotes_and_clashing_columns(spark):
+    fields = ["it's", 'a "b"', "x.y", "$"]
+    schemas = spark.createDataFrame([("f", n, "integer", True) for n in fields], "tool string, field string, type string, required boolean").withColumn("kind", F.lit(1))
+    whole = json.dumps({n: 1 for n in fields})
+    calls = spark.createDataFrame([(1, 0, "a", "f", whole), (1, 1, "b", "f", json.dumps({n: "no" for n in fields})), (1, 2, "c", "f", "{}")], "conv_id long, turn long, call_id string, name string, arguments string")
+    for c in ("level", "needed", "errors", "canonical"):
+        calls = calls.withColumn(c, F.lit("x"))
+    results = spark.createDataFrame([(1, 3, i, "ok") for i in "abc"], "conv_id long, turn long, call_id string, content string").withColumn("n_calls", F.lit(5))
+    got = {r["call_id"]: r["errors"] for r in tool_calls.link(calls, results, schemas).collect()}
+    assert got == {"a": "", "b": ",".join(sorted(f"type:{n}" for n in fields)), "c": ",".join(sorted(f"missing:{n}" for n in fields))}
+
+
 def test_tool_calls_edges(spark):
     c = spark.createDataFrame([(None, 0, "user", "x"), (1, None, "assistant", "y"), (2, 0, "user", None), (2, 0, "user", None), (3, 1, "assistant", "z")], "conv_id long, turn long, role string, text string")
     got = tool_calls.link(*tool_calls.exchanges(c), tool_calls.exchange_schemas(spark)).collect()
@@ -135,6 +192,8 @@ def test_decontamination(spark):
     d = [(1, "pre " + item + " post"), (2, typo), (3, other), (4, None), (5, ""), (6, item.upper().replace(" ", "\n")), (7, item[:60]), (8, "é" * 50 + item), (None, item), (9, "x " + short + " y"), (2, typo)]
     docs = spark.createDataFrame(d, "doc_id long, text string")
     bench = spark.createDataFrame([(10, item), (11, None), (12, ""), (13, "tiny"), (14, short)], "item_id long, text string")
+    for c in ("item_id", "start", "edits", "_page"):
+        docs = docs.withColumn(c, F.lit("x"))
     got = decontamination.contaminated(docs, bench).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 10), (2, 10), (6, 10), (8, 10), (None, 10), (9, 14)}
     one = next(r for r in got if r["doc_id"] == 8)
@@ -212,11 +271,14 @@ def test_decontamination_equals_alignment_of_every_window():
             assert min(least_edits(item[a : a + 80], text) for a in range(221)) <= 4
 
 
-def test_decontamination_query_equals_alignment(spark):
-    tidy = lambda t: re.sub(r"[\x09-\x0D]", " ", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    docs, bench = ([(r[0], tidy(r[1])) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c, "text").collect()] for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+def tidy(text):
+    return re.sub(r"[\x09-\x0D]", " ", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def aligned(docs, bench):
+    """(document, item) of all pairs in which a region of the item stands in the document within its edits."""
     grams = {x: {t[i : i + 12] for i in range(len(t) - 11)} for x, t in bench}
-    want = set()
+    out = set()
     for d, t in docs:
         own = {t[i : i + 12] for i in range(len(t) - 11)}
         for x, item in bench:
@@ -224,7 +286,13 @@ def test_decontamination_query_equals_alignment(spark):
             k = min(w // 20, max(0, (w + 1) // 12 - 1))
             if len(item) >= 12 and len(own & grams[x]) >= (w + 1 - 12 * (k + 1)) / 3:  # far under the lemma's bound, which counts repeats
                 if any(item[a : a + w] in t for a in range(len(item) - w + 1)) or any(least_edits(item[a : a + w], t) <= k for a in range(len(item) - w + 1)):
-                    want.add((d, x))
+                    out.add((d, x))
+    return out
+
+
+def test_decontamination_query_equals_alignment(spark):
+    docs, bench = ([(r[0], tidy(r[1])) for r in spark.read.parquet(f"{SF}/{t}.parquet").select(c, "text").collect()] for t, c in (("documents", "doc_id"), ("benchmark", "item_id")))
+    want = aligned(docs, bench)
     got = {(r["doc_id"], r["item_id"]) for r in QUERIES["op2_decontamination"](spark, SF).collect()}
     assert got == want and want
 
@@ -554,6 +622,27 @@ def test_trees_are_monotonic_and_accurate():
     assert (np.diff(trees.score(line).reshape(20, 50), axis=1) <= 1e-12).all()
 
 
+def test_flat_trees_equal_a_walk_and_decide_what_is_kept(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    trees = quality.fit(docs, labels)
+    again = quality.fit(docs.repartition(5), labels.repartition(3))
+    assert (trees.value == again.value).all() and (trees.threshold == again.threshold).all()
+
+    def walk(row, node):
+        while trees.left[node] != node:
+            node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        return trees.value[node]
+
+    table = docs.orderBy("doc_id").limit(150).collect()
+    column = pa.array([r["text"] for r in table])
+    matrix = np.concatenate([quality.statistics(raw, at)[1] for _, _, raw, at in slices(column)])
+    want = [1 / (1 + math.exp(-trees.start - sum(walk(row, root) for root in trees.roots))) for row in matrix]
+    got = {r["doc_id"]: r for r in quality.judge(docs, trees).collect()}
+    for r, w in zip(table, want, strict=True):
+        assert got[r["doc_id"]]["score"] == pytest.approx(w) and got[r["doc_id"]]["kept"] == (not got[r["doc_id"]]["base_failed"] and w >= quality.KEEP_AT)
+
+
 def test_held_out_accuracy(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
@@ -580,6 +669,15 @@ def test_encoder_equals_the_library():
         assert list(ids) == e.tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_equals_the_library_on_all_documents(spark):
+    e = packing.Encoder(packing.default_tokenizer())
+    rng = random.Random(9)
+    body = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    body += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xA0, 0x3000), rng.randrange(0x1F300, 0x1F700)])) for _ in range(rng.randrange(40))) for _ in range(3000)]
+    for t, ids in zip(body, e.encode(body), strict=True):
+        assert list(ids) == e.tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(spark, docs, empty):
     got = packing.pack(docs, packing.default_tokenizer(), window=64).collect()
     e = packing.Encoder(packing.default_tokenizer())
