@@ -1,4 +1,4 @@
-"""The four workloads end to end, as functions from tables to tables."""
+"""The workloads end to end, as functions from tables to tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbridge.functions import similarity as m
-from symbridge.operators import components, decisions, lookups, matching, metadata
+from symbridge.operators import components, decisions, lookups, matching, metadata, profiles
 from symbridge.sources import address_library, listings
 
 
@@ -46,6 +46,54 @@ def audit_sources(source_lines: DataFrame, comparison: DataFrame, library: DataF
     }
 
 
+def context_scores(xrefs: DataFrame, old: DataFrame, new: DataFrame, accesses: DataFrame, pairs: DataFrame, quality: DataFrame) -> DataFrame:
+    """best_access()'s input from exports: every access of a paired new function, scored against every reference to a target in the old one.
+
+    xrefs (og_id, func, idx) of the targets, old and new instructions (func, idx, sig, mnemonic), accesses (func, idx, target) of the new side
+    (calls and jumps for functions, data references for globals), pairs (row, og_rva, ae_rva), quality (pair_row, pair_score, exact).
+    Signatures and windows are compared once for each distinct pair of them.
+    """
+    columns = ["func", "idx", "sig", "window", "mnemonic", "position"]
+    found = profiles.anchors(xrefs, profiles.contexts(old).select(columns), pairs)
+    placed = accesses.join(profiles.contexts(new).select(columns), ["func", "idx"])
+    each = profiles.access_candidates(found, placed).join(quality.select("pair_row", "exact"), "pair_row", "left")
+    each = m.sequence_ratio(m.sequence_ratio(each, "sig", "new_sig", "_sig"), "window", "new_window", "_window")
+    same = F.coalesce("exact", F.lit(False)) & (F.col("idx") == F.col("new_idx"))
+    score = m.context_score(F.col("_sig"), F.col("_window"), F.col("position"), F.col("new_position"), F.col("mnemonic") == F.col("new_mnemonic"), same)
+    site = F.concat_ws(":", *(F.col(c).cast("string") for c in ("og_id", "func", "idx", "pair_row")))  # a function of several pairs is an anchor for each
+    return each.select(site.alias("xref"), "og_id", "pair_row", F.col("new_target").alias("candidate"), score.alias("score"))
+
+
+def semantic_scores(targets: DataFrame, functions: DataFrame, mapped: DataFrame) -> DataFrame:
+    """semantic_top()'s input from profiles: the candidates of each target among all functions, scored as pairs are.
+
+    Both sides: rva, name, instruction_count, size, basic_block_count, cfg_edge_count, mnemonics and instruction_shapes (maps),
+    semantic_sha256, and arrays of strings calls, callers, strings, member_offsets; targets also og_id. mapped (rva): functions taken by others.
+    """
+    j = m.name_similarity(matching.gated_candidates(targets, functions), "t_name", "f_name", "_name")
+    of = lambda f, c: f(F.col(f"t_{c}"), F.col(f"f_{c}"))
+    parts = {
+        "name": F.col("_name"), "size": of(m.closeness, "size"), "instruction": of(m.closeness, "instruction_count"), "cfg": (of(m.closeness, "basic_block_count") + of(m.closeness, "cfg_edge_count")) / 2,
+        "mnemonic": of(m.cosine, "mnemonics"), "shape": of(m.cosine, "instruction_shapes"), **{c: of(m.jaccard, c) for c in ("calls", "callers", "strings", "member_offsets")},
+    }
+    exact = F.coalesce((F.col("t_semantic_sha256") != "") & (F.col("t_semantic_sha256") == F.col("f_semantic_sha256")), F.lit(False))
+    scored = j.select(F.col("t_og_id").alias("og_id"), F.col("f_rva").alias("candidate"), m.weighted(parts, m.PAIR_WEIGHTS).alias("score"), exact.alias("exact_hash"))
+    taken = mapped.select(F.col("rva").alias("candidate"), F.lit(True).alias("_taken")).distinct()
+    return scored.join(taken, "candidate", "left").withColumn("mapped_to_other", F.coalesce("_taken", F.lit(False))).drop("_taken")
+
+
+def rank_candidates(targets: DataFrame, functions: DataFrame, mapped: DataFrame, calls: DataFrame, data: DataFrame, quality: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
+    """From exports to the ten best candidates: semantic (all targets against all functions), call (calls: context_scores() of functions) and data (of globals).
+
+    names (og_id, candidate, name_score) of globals; a pair without is 0.
+    """
+    semantic = matching.semantic_top(semantic_scores(targets, functions, mapped))
+    best = semantic.where("rank = 1").select("og_id", F.col("candidate").alias("semantic_rva"))
+    called = matching.call_context_top(matching.votes(matching.best_access(calls, quality)), targets.select("og_id").join(best, "og_id", "left"))
+    voted = matching.votes(matching.best_access(data, quality)).join(names, ["og_id", "candidate"], "left").withColumn("name_score", F.coalesce("name_score", F.lit(0.0)))
+    return {"semantic": semantic, "call": called, "data": matching.global_context_top(voted)}
+
+
 def map_unmatched(scored: DataFrame, call_scored: DataFrame, data_scored: DataFrame, quality: DataFrame, used: DataFrame, confirmed: DataFrame, special: DataFrame, library: DataFrame, overrides: DataFrame) -> DataFrame:
     """From scored candidates to resolved ids: top lists, choices, consolidation, overrides, resolution.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symbridge.functions import scalars as s
+from symbridge.jobs import workloads
 from symbridge.functions import similarity as m
 from symbridge.operators import components, decisions, intervals, lookups, matching, profiles
 from symbridge.sources import address_library, listings
@@ -296,6 +297,30 @@ def test_score_and_audit_workload(spark):
     assert rows(out["changes"].select("og_id", "og_only_offsets", "ae_only_offsets")) == [(2, "0x8", "0x10")]
 
 
+def test_exports_to_ranked_candidates(spark):
+    code = {1: ["push:1", "call:7", "mov:1", "ret:0"], 2: ["mov:1", "call:7", "call:7", "ret:0"]}
+    old = spark.createDataFrame([(f, i, sig, sig.split(":")[0]) for f, sigs in code.items() for i, sig in enumerate(sigs)], "func bigint, idx bigint, sig string, mnemonic string")
+    new = old.withColumn("func", F.col("func") + 100)
+    xrefs = spark.createDataFrame([(50, 1, 1), (50, 2, 1), (51, 2, 2)], "og_id bigint, func bigint, idx bigint")
+    accesses = spark.createDataFrame([(101, 1, 900), (102, 1, 900), (102, 2, 901)], "func bigint, idx bigint, target bigint")
+    pairs = spark.createDataFrame([(2, 1, 101), (3, 2, 102)], "row int, og_rva bigint, ae_rva bigint")
+    quality = spark.createDataFrame([(2, 0.9, True), (3, 0.8, False)], "pair_row int, pair_score double, exact boolean")
+    scored = workloads.context_scores(xrefs, old, new, accesses, pairs, quality)
+    best = {(r["og_id"], r["pair_row"]): max((x["score"], x["candidate"]) for x in scored.collect() if (x["og_id"], x["pair_row"]) == (r["og_id"], r["pair_row"])) for r in scored.collect()}
+    assert best == {(50, 2): (1.0, 900), (50, 3): (1.0, 900), (51, 3): (1.0, 901)}
+    schema = "og_id bigint, rva bigint, name string, instruction_count bigint, size bigint, basic_block_count bigint, cfg_edge_count bigint, mnemonics map<string,bigint>, instruction_shapes map<string,bigint>, semantic_sha256 string, calls array<string>, callers array<string>, strings array<string>, member_offsets array<string>"
+    row = lambda i, rva, name, n, sha, calls: (i, rva, name, n, n * 4, 2, 1, {"mov": n, "ret": 1}, {"mov:1": n}, sha, calls, [], [], [])
+    targets = spark.createDataFrame([row(50, 10, "Alpha", 9, "x", ["1"]), row(51, 11, "sub_11", 30, "y", ["2"])], schema)
+    functions = spark.createDataFrame([row(None, 900, "Alpha", 9, "x", ["1"]), row(None, 901, "sub_99", 28, "z", ["2"]), row(None, 902, "Beta", 8, "w", [])], schema).drop("og_id")
+    mapped = spark.createDataFrame([(902,)], "rva bigint")
+    names = spark.createDataFrame([(50, 900, 1.0)], "og_id bigint, candidate bigint, name_score double")
+    got = workloads.rank_candidates(targets, functions, mapped, scored, scored, quality, names)
+    top = {r["og_id"]: (r["candidate"], r["confidence"]) for r in got["semantic"].where("rank = 1").collect()}
+    assert top[50] == (900, "exact_unique") and top[51][0] == 901
+    assert {(r["og_id"], r["candidate"], r["agrees"]) for r in got["call"].where("rank = 1").collect()} == {(50, 900, True), (51, 901, True)}
+    assert {r["og_id"]: r["confidence"] for r in got["data"].where("rank = 1").collect()}[50] == "strong_name"
+
+
 def test_build_libraries(spark, tmp_path):
     from symbridge.jobs import workloads
 
