@@ -42,7 +42,7 @@ def compared_uses(uses: DataFrame, comparison: DataFrame) -> DataFrame:
 
 
 def usage(uses: DataFrame) -> DataFrame:
-    """By id: usage_count, the sorted distinct kinds and the `file:line` places, joined by commas."""
+    """By id: usage_count, the sorted distinct kinds and the `file:line` places, joined by commas; places are as many as a source tree names one id."""
     place = F.struct("file", "line")
     return uses.groupBy("og_id").agg(
         F.count("*").alias("usage_count"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"),
@@ -65,8 +65,8 @@ def rva_of(ids: DataFrame, library: DataFrame) -> DataFrame:
 
 
 def aliases(library: DataFrame) -> DataFrame:
-    """By rva: its ids in file order, and the first, which is the official one."""
-    listed = library.groupBy("rva").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("l"))
+    """By rva: its ids in file order, and the first, which is the official one; entries without an rva are left out, so lists hold true aliases only."""
+    listed = library.where("rva IS NOT NULL").groupBy("rva").agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("l"))
     return listed.select("rva", F.col("l.id").alias("ids"), F.col("l")[0]["id"].alias("official_id"))
 
 
