@@ -85,6 +85,7 @@ def is_generic(name: Column) -> Column:
 
 
 def segment_class(name: Column) -> Column:
+    # fixed values: the words of segment names and their classes
     low = F.lower(F.coalesce(name, F.lit("")))
     has = lambda *words: reduce(Column.__or__, [low.contains(w) for w in words])
     return F.when(has("text"), "code").when(has("idata", "extern"), "import").when(has("rdata", "const"), "readonly").when(has("data", "bss"), "data").otherwise(low)
@@ -106,16 +107,20 @@ def decode_type_string(text: Column) -> Column:
     return F.when(text.startswith(".?A") & text.endswith("@@") & (F.length(text) >= 7) & (F.size(body) > 0), F.array_join(F.reverse(body), "::"))
 
 
+# What pseudocode is freed of, in this order.
+PSEUDOCODE = (
+    (r"(?ms)//.*?$|/\*.*?\*/", " "),
+    (r"(?U)\b(?:sub|loc|off|unk|byte|word|dword|qword|xmmword)_[0-9A-Fa-f]+\b", "SYMBOL"),
+    (r"(?U)\b(?:0x[0-9A-Fa-f]+|[0-9]+(?:LL|i64|ui64|u)?)\b", "NUMBER"),
+    (r"(?U)\b(?:v|a|result|this)[0-9]*\b", "VAR"),
+    (r"(?U)\s+", ""),
+)
+
+
 def normalize_pseudocode(text: Column) -> Column:
     """Pseudocode without comments, names of addresses, numbers, temporaries and white space, lower case."""
     out = F.coalesce(text, F.lit(""))
-    for pattern, by in (
-        (r"(?ms)//.*?$|/\*.*?\*/", " "),
-        (r"(?U)\b(?:sub|loc|off|unk|byte|word|dword|qword|xmmword)_[0-9A-Fa-f]+\b", "SYMBOL"),
-        (r"(?U)\b(?:0x[0-9A-Fa-f]+|[0-9]+(?:LL|i64|ui64|u)?)\b", "NUMBER"),
-        (r"(?U)\b(?:v|a|result|this)[0-9]*\b", "VAR"),
-        (r"(?U)\s+", ""),
-    ):
+    for pattern, by in PSEUDOCODE:
         out = F.regexp_replace(out, pattern, by)
     return F.lower(out)
 
