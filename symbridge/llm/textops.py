@@ -20,19 +20,19 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
 SLICE_BYTES = 1 << 21
+#: Bytes that are hashed at once.
+PIECE = 1 << 16
 
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLICE_BYTES + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.cumprod(have, dtype=np.uint64)
-    return have[:n]
+    """base**0 .. base**(n-1) modulo 2**64, n up to PIECE."""
+    if base not in _powers:
+        each = np.full(PIECE, base, np.uint64)
+        each[0] = 1
+        _powers[base] = np.cumprod(each, dtype=np.uint64)
+    return _powers[base][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -101,11 +101,31 @@ class Words:
         return len(self.start)
 
     def prints(self) -> np.ndarray:
-        """A fingerprint (uint64) of each word."""
+        """A fingerprint (uint64) of each word. Bytes are taken PIECE at a time, so a very long text needs little beside its words."""
         n = len(self.raw)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:], dtype=np.uint64)
-        return mixed((total[self.end] - total[self.start]) * powers(INVERSE, n + 1)[self.start])
+        begins, ends = np.zeros(len(self), np.uint64), np.zeros(len(self), np.uint64)
+        from_, to, before = 0, 0, np.uint64(0)
+        for low in range(0, n, PIECE):
+            high = min(n, low + PIECE)
+            total = np.empty(high - low + 1, np.uint64)
+            total[0] = before
+            total[1:] = self.raw[low:high]
+            total[1:] += np.uint64(1)
+            total[1:] *= powers(BASE, high - low) * np.uint64(pow(BASE, low, 2**64))
+            np.cumsum(total, out=total)
+            a, b = np.searchsorted(self.start, high, "left"), np.searchsorted(self.end, high, "right")
+            start = self.start[from_:a] - low
+            # the sum from a word's start to its end, moved to the start of the text
+            begins[from_:a], ends[to:b] = total[start], total[self.end[to:b] - low]
+            from_, to, before = a, b, total[-1]
+        return mixed((ends - begins) * self._inverse())
+
+    def _inverse(self) -> np.ndarray:
+        """INVERSE to the power of each word's start."""
+        high, low = np.divmod(self.start, PIECE)
+        piece = np.full(int(high[-1]) + 1 if len(high) else 1, pow(INVERSE, PIECE, 2**64), np.uint64)
+        piece[0] = 1
+        return powers(INVERSE, PIECE)[low] * np.cumprod(piece, dtype=np.uint64)[high]
 
     def grams(self, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """(fingerprints, first words) of the n-word runs that lie in one row, in order."""

@@ -7,6 +7,7 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from symbridge.llm import decontamination, language_model, licenses, near_duplicates, packing, pii, quality, substrings, tool_calls, warc
+from symbridge.llm import decontamination, language_model, licenses, near_duplicates, packing, pii, quality, substrings, textops, tool_calls, warc
 from symbridge.llm.queries import ORACLES, QUERIES
 from symbridge.llm.textops import slices
 from tests.conftest import SF
@@ -786,3 +787,28 @@ def test_one_of_each(docs, empty):
     kept = [-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect()]
     assert len(kept) == len(set(kept)) and set(kept) == classes
     assert near_duplicates.one_of_each(empty).count() == 0 and near_duplicates.join(empty).count() == 0
+
+
+def test_fingerprints_do_not_depend_on_pieces(monkeypatch):
+    texts = ["", "a", "x" * 700, "ab cd  ef", " lead", "trail ", "é 漢字 \n" * 40, None, "x" * 700 + " ab"]
+    column = pa.array(texts + ["".join(random.Random(i).choices("ab \t", k=50 * i)) for i in range(20)])
+    raw, at = textops.utf8(column)
+    whole = textops.Words(raw, at).prints()
+    for piece in (1, 2, 7, 64):
+        monkeypatch.setattr(textops, "PIECE", piece)
+        monkeypatch.setattr(textops, "_powers", {})
+        assert (textops.Words(raw, at).prints() == whole).all()
+    by_word = {}
+    for print_, word in zip(whole.tolist(), (w for t in column.to_pylist() for w in words(t)), strict=True):
+        assert by_word.setdefault(word, print_) == print_
+    assert len(set(by_word.values())) == len(by_word)
+
+
+def test_a_very_long_text_is_hashed_in_little_memory():
+    raw = np.frombuffer(b"some words and more of them, " * 700_000, np.uint8)  # 20 MB
+    found = textops.Words(raw, np.array([0, len(raw)]))
+    tracemalloc.start()
+    prints = found.prints()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(np.unique(prints)) == 6 and peak < 8 * prints.nbytes
