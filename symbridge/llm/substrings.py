@@ -8,8 +8,9 @@ Burrows-Wheeler transform of its segments and searches the segments backward: ea
 WINDOW the interval widens to that of the first WINDOW words, so it always holds all places of the window at hand. Where a place
 before this one exists, the window is reported.
 
-A minimiser with more than `HOT` distinct segments (a passage that very many documents share, each with other words around it) is
-dealt out window by window, by the window's own fingerprint, so that it spreads over all shards.
+A minimiser that occurs more than `HOT` times (a passage that very many documents share, each with other words around it) is dealt
+out window by window, by the window's own fingerprint, so that it spreads over all shards. The first pass, which counts the
+minimisers, tells which these are, so distinct segments are never gathered or joined by minimiser to find out.
 
 Word and window identity is by 64-bit fingerprints. Windows are judged on the input; all covered words are removed.
 
@@ -99,18 +100,24 @@ def _ask(n_segments: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each bucket's minimisers in a segment, those that occur more than once in the corpus."""
-    if not (rows := columns_of(batches)):
-        return
-    _, of, asked, counted = rows
-    keys, counts = merged(asked, counted)
-    again = keys[counts > 1]
-    by: dict[int, list[bytes]] = {}
-    for b, k in zip(of, asked, strict=True):
-        by.setdefault(b, []).append(k)
-    told = [pack(mine[np.isin(mine, again, assume_unique=True)]) for mine in (np.unique(unpack(k)) for k in by.values())]
-    yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), *(pa.array(np.full(len(by), x), pa.int32()) for x in (0, rows[0][0])), pa.array(told, pa.binary())], names=["bucket", "kind", "part", "data"])
+def _repeated(hot: int):
+    """Of each bucket's minimisers in a segment, those that occur more than once in the corpus (kind 0), and more than `hot` times (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (rows := columns_of(batches)):
+            return
+        segment, of, asked, counted = rows
+        keys, counts = merged(asked, counted)
+        by: dict[int, list[bytes]] = {}
+        for b, k in zip(of, asked, strict=True):
+            by.setdefault(b, []).append(k)
+        mine = [np.unique(unpack(k)) for k in by.values()]
+        for kind, over in enumerate((1, hot)):
+            often = keys[counts > over]
+            told = [pack(m[np.isin(m, often, assume_unique=True)]) for m in mine]
+            yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), *(pa.array(np.full(len(by), x), pa.int32()) for x in (kind, segment[0])), pa.array(told, pa.binary())], names=["bucket", "kind", "part", "data"])
+
+    return run
 
 
 def joined(raw: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +141,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def none(k: int, n: int) -> pa.Array:
         return pa.nulls(n, kinds[k])
 
-    def work(rows: pa.RecordBatch, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def work(rows: pa.RecordBatch, keys: np.ndarray, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
         ids, marks = rows.column("_id"), rows.column("key")
         for a, b, raw, at in slices(rows.column("text")):
             found = Segments(raw, at)
@@ -158,14 +165,14 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts = [whole[x:y] for x, y in zip(start[first].tolist(), end[last].tolist(), strict=True)]
                 row = pa.array(a + found.row[mine])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ones(len(mine)), pa.int32()), ids.take(row), marks.take(row), pa.array(first - words.first[found.row[mine]], pa.int32()), pa.array(found.n[mine], pa.int32()), pa.array(found.mini[mine].view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string()), none(7, len(mine)), none(8, len(mine))],
+                    [pa.array(1 + np.isin(found.mini[mine], hot), pa.int32()), ids.take(row), marks.take(row), pa.array(first - words.first[found.row[mine]], pa.int32()), pa.array(found.n[mine], pa.int32()), pa.array(found.mini[mine].view(np.int64)), pa.array(texts, pa.binary()).cast(pa.string()), none(7, len(mine)), none(8, len(mine))],
                     names=names,
                 )
 
     for answers, documents in dealt(batches):
-        keys = unpack(answers.get(0, []))  # sorted, as segments are in order
+        keys, hot = (unpack(answers.get(kind, [])) for kind in (0, 1))  # sorted, as segments are in order
         for rows in documents:
-            yield from work(rows, keys)
+            yield from work(rows, keys, hot)
 
 
 class WaveletMatrix:
@@ -309,16 +316,14 @@ def _rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def removals(marked: DataFrame) -> DataFrame:
-    """(_id, key, a, b): ranges of words covered by windows that start earlier elsewhere; marked has the segments (kind 1)."""
+    """(_id, key, a, b): ranges of words covered by windows that start earlier elsewhere; marked has the segments (kind 1, and 2 where the minimiser is hot)."""
     place = F.struct("_id", "key", "start")
-    each = marked.where("kind = 1").select("_id", "key", "start", "n", "mini", "words", F.xxhash64("mini", "words").alias("same"))
-    firsts = each.groupBy("same").agg(F.min(F.struct("_id", "key", "start", "n", "mini", "words")).alias("f")).select("same", "f.*")
+    each = marked.where("kind > 0").select("_id", "key", "start", "n", "mini", "words", "kind", F.xxhash64("mini", "words").alias("same"))
+    firsts = each.groupBy("same").agg(F.min(F.struct("_id", "key", "start", "n", "mini", "words", "kind")).alias("f")).select("same", "f.*")
     firsts = materialise(firsts, "segments")
     later = each.select("_id", "key", "start", "n", "same").join(firsts.select("same", place.alias("place")), "same").where(F.struct("_id", "key", "start") != F.col("place"))
-    hot = firsts.groupBy("mini").count().where(F.col("count") > HOT).select("mini", F.lit(True).alias("hot"))
-    dealt = firsts.join(hot, "mini", "left")
-    cold = dealt.where("hot IS NULL").select(F.col("mini").alias("route"), "_id", "key", "start", "words")
-    parts = dealt.where("hot").select("_id", "key", "start", F.split("words", " ").alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    cold = firsts.where("kind = 1").select(F.col("mini").alias("route"), "_id", "key", "start", "words")
+    parts = firsts.where("kind = 2").select("_id", "key", "start", F.split("words", " ").alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     window = F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ")
     windows = parts.select("_id", "key", (F.col("start") + F.col("i")).cast("int").alias("start"), window.alias("words"))
     windows = materialise(windows.select("_id", "key", "start", "words", F.xxhash64("words").alias("route")), "windows")
@@ -336,7 +341,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     n, n_buckets = segments(n_bytes // 2), buckets(docs.sparkSession, n_bytes)
     rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("_id", "text", F.xxhash64("text").alias("key"), bucket(n_buckets))
     asked = rows.select("text", "bucket").mapInArrow(_ask(n), _ASKED)
-    answers = by_segment(asked, n).mapInArrow(_repeated, "bucket int, kind int, part int, data binary")
+    answers = by_segment(asked, n).mapInArrow(_repeated(HOT), "bucket int, kind int, part int, data binary")
     marked = materialise(beside_answers(rows, answers, ["_id", "key", "text"], n_buckets).mapInArrow(_mark, _MARKED), "marked")
     runs = removals(marked).groupBy("_id", "key").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the document
     held = marked.where("kind = 0 AND words IS NOT NULL").select("_id", "key", "words")
