@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symbridge.llm import licenses, near_duplicates, substrings, tool_calls, warc
+from symbridge.llm import centroids, licenses, lines, near_duplicates, substrings, tool_calls, vector_codes, warc
 from symbridge.llm.decontamination import op2_decontamination
 from symbridge.llm.language_model import op5_language_model
 from symbridge.llm.licenses import op7_license_scan
@@ -26,6 +26,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_packing": op9_packing,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_centroid_clustering": centroids.op11_centroid_clustering,
+    "op12_vector_codes": vector_codes.op12_vector_codes,
+    "op13_line_dedup": lines.op13_line_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_tool_calls": tool_calls.ORACLE,
@@ -33,4 +36,7 @@ ORACLES: dict[str, str] = {
     "op4_substring_dedup": substrings.ORACLE,
     "op7_license_scan": licenses.ORACLE,
     "op10_near_duplicates": near_duplicates.ORACLE,
+    "op11_centroid_clustering": centroids.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
+    "op13_line_dedup": lines.ORACLE,
 }

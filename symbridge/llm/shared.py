@@ -45,3 +45,25 @@ def id_in(name: str = "doc_id") -> Column:
 
 def id_out(column: Column) -> Column:
     return F.nullif(column, F.lit(NULL_ID))
+
+
+#: Rows of a looked-up table that may be broadcast: all of them where there are no more, else those of its most frequent keys.
+MOST_LOOKED_UP = 50_000
+MOST_HOT = 4096
+
+
+def looked_up(rows: DataFrame, keyed: DataFrame, keys: list[str], values: list[str], count: str = "n") -> DataFrame:
+    """rows with the values (null where there are none) of keyed, which has a row a key and tells in `count` how many rows have it.
+
+    A small keyed table is broadcast. Of a larger one only the MOST_HOT most frequent keys are, so no other key has more than that share
+    of the rows; rows of hot keys are dealt out by all their columns in the join with the rest.
+    """
+    keyed = materialise(keyed.select(*keys, F.struct(*values).alias("_found"), F.col(count).alias("_n")), "keys")
+    told = lambda df: df.select("*", *(F.col("_found")[v].alias(v) for v in values)).drop("_found", "_spread", "_hot", "_n")
+    if keyed.count() <= MOST_LOOKED_UP:
+        return told(rows.join(F.broadcast(keyed.drop("_n")), keys, "left"))
+    hot = keyed.orderBy(F.desc("_n"), *keys).limit(MOST_HOT).select(*keys, F.col("_found").alias("_hot"))
+    marked = rows.join(F.broadcast(hot), keys, "left")
+    marked = marked.withColumn("_spread", F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(0))
+    both = marked.join(keyed.drop("_n").withColumn("_spread", F.lit(0).cast("long")), [*keys, "_spread"], "left")
+    return told(both.withColumn("_found", F.coalesce("_hot", "_found")))
