@@ -10,6 +10,7 @@ from symbridge.jobs.registry import query, view
 from symbridge.operators import decisions, intervals
 from symbridge.sources import address_library, listings
 from symbridge.sources.folders import new_folder
+from symbridge.sources.ordered_files import write_text
 
 _LIBS = "SELECT concat('1-10-', CAST(id % 3 AS VARCHAR), '-0') AS version, id, rva FROM lib"
 
@@ -49,12 +50,14 @@ def s3(spark, d):
     """SELECT '1.10.' || (c_nationkey % 5) || '.0' AS lver, '1.11.' || (c_nationkey % 5) || '.0' AS rver, c_custkey * 16 AS lrva, c_custkey * 32 AS rrva FROM customer WHERE c_custkey % 11 <> 0""",
 )
 def s4(spark, d):
-    c = view(spark, d, "customer")
+    c, folder = view(spark, d, "customer"), new_folder(spark, "matches")
     hexed = lambda k: F.hex(F.col("c_custkey") * k + listings.IMAGE_BASE)
     line = F.when(F.col("c_custkey") % 11 == 0, hexed(16)).otherwise(F.concat_ws("\t", hexed(16), hexed(32), F.lit("more")))
-    body = c.groupBy((F.col("c_nationkey") % 5).alias("n")).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
-    files = body.select(F.format_string("1.10.%d_1.11.%d.txt", "n", "n").alias("file"), F.concat(F.repeat(F.lit("header\n"), listings.HEADER_LINES), "body").alias("value"))
-    return listings.match_pairs(files).select(*(F.concat_ws(".", *(F.col(f"{v}.{p}").cast("string") for p in ("major", "minor", "build", "sub"))).alias(v) for v in ("lver", "rver")), "lrva", "rrva")
+    for n in range(5):
+        rows = c.where(F.col("c_nationkey") % 5 == n).select("c_custkey", line.alias("line"))
+        write_text(rows, "line", f"{folder}/1.10.{n}_1.11.{n}.txt", ["c_custkey"], head="header\n" * listings.HEADER_LINES)
+    write_text(c.select("c_name"), "c_name", f"{folder}/notes.txt", [])
+    return listings.match_files(spark, folder).select(*(F.concat_ws(".", *(F.col(f"{v}.{p}").cast("string") for p in ("major", "minor", "build", "sub"))).alias(v) for v in ("lver", "rver")), "lrva", "rrva")
 
 
 @query(
@@ -63,13 +66,13 @@ def s4(spark, d):
         CASE WHEN c_custkey % 7 <> 0 THEN c_custkey * 32 END AS ae_rva, c_custkey + 1000 AS ae_id FROM customer""",
 )
 def s5(spark, d):
-    folder, k = new_folder(spark, "pairs"), F.col("c_custkey")
+    path, k = f"{new_folder(spark, 'pairs')}/pairs.csv", F.col("c_custkey")
     name = F.when(k % 50 == 0, F.concat(F.lit(" "), "c_name", F.lit('\n\ntwo "words";'))).otherwise(F.col("c_name"))
-    rows = view(spark, d, "customer").repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select(
-        name.alias("﻿Name"), F.concat(F.lit("0x"), F.hex(k * 16)).alias("OG_Addr"), F.when(k % 5 == 0, "").otherwise(k.cast("string")).alias("OG_REL_ID"), F.when(k % 7 == 0, "zz").otherwise(F.hex(k * 32)).alias("AE_221_Addr"), (k + 1000).cast("string").alias("AE_221_REL_ID")
+    rows = view(spark, d, "customer").select(
+        name.alias("Name"), F.concat(F.lit("0x"), F.hex(k * 16)).alias("OG_Addr"), F.when(k % 5 == 0, "").otherwise(k.cast("string")).alias("OG_REL_ID"), F.when(k % 7 == 0, "zz").otherwise(F.hex(k * 32)).alias("AE_221_Addr"), (k + 1000).cast("string").alias("AE_221_REL_ID"), "c_custkey"
     )
-    rows.write.option("emptyValue", "").option("escape", '"').csv(folder, sep=";", header=True)
-    return listings.pair_table(spark, folder)
+    listings.write_report(rows, rows.columns[:-1], path, ["c_custkey"])
+    return listings.pair_table(spark, path)
 
 
 @query("s6_function_records", "SELECT CAST(c_custkey AS INTEGER) AS row, c_name AS name, c_custkey * 3 AS size, CAST(c_custkey % 3 + 1 AS BIGINT) AS mnemonics FROM customer")
@@ -86,8 +89,12 @@ def s6(spark, d):
 def s7(spark, d):
     folder = new_folder(spark, "report")
     rows = view(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, "yes").otherwise("no").alias("positive"), F.when(F.col("c_nationkey") != 3, s.render_rva(F.col("c_custkey") * 16)).alias("rva"), F.lit(1).alias("extra"))
-    listings.write_report(rows, ["id", "name", "positive", "rva"], folder)
-    return listings.read_report(spark, folder, ["id", "name", "positive", "rva"])
+    fields, parts = ["id", "name", "positive", "rva"], []
+    for sep, mark, half in ((";", True, F.col("id") % 2 == 0), (",", False, F.col("id") % 2 == 1)):  # both forms of a report
+        path = f"{folder}/report{len(parts)}.csv"
+        listings.write_report(rows.where(half), fields, path, ["id"], sep, mark)
+        parts.append(listings.read_report(spark, path, fields, sep))
+    return parts[0].unionAll(parts[1])
 
 
 @query(
@@ -127,9 +134,9 @@ _TABLE = "CASE WHEN k % 3 = 0 THEN 'inline constexpr std::array<REL::Offset, 2>
 def s10(spark, d):
     constants, out = listings.parse_header(_header(spark, d)), []
     for space in ("RTTI", "VTABLE"):
-        folder = new_folder(spark, "header")
-        listings.write_header(constants, space, folder, tables=space == "VTABLE")
-        out.append(listings.read_header(spark, folder).select(F.lit(space).alias("space"), "number", "text"))
+        path = f"{new_folder(spark, 'header')}/{space}_IDs.h"
+        listings.write_header(constants, space, path, tables=space == "VTABLE")
+        out.append(listings.read_header(spark, path).select(F.lit(space).alias("space"), "number", "text"))
     return out[0].unionAll(out[1])
 
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symbridge.functions.scalars import clean_text, parse_decimal, parse_hex
+from symbridge.operators.components import checkpointed
 from symbridge.operators.lookups import dense_numbers, last_wins
+from symbridge.sources.ordered_files import write_text
 
 # The image base of the match files, the number of their header lines, and their name.
 IMAGE_BASE = 0x140000000
@@ -51,16 +58,55 @@ def in_file_order(rows: DataFrame) -> DataFrame:
     return dense_numbers(placed, ["_file", "_block", "_at"]).drop("_file", "_block", "_at")
 
 
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """file, number (from 0 over all files; a file's header has none) and text of the records of `"`-quoted text with a header, in one file or in parts.
+
+    A line begins a record if an even number of quotes stands before it in its file. Lines are read in splits; the parity of each split
+    is a sum over the splits before it (a row a split), so no task reads a whole file, and only records of several lines are put together.
+    Blank records do not count. Quotes stand only in quoted fields, doubled inside; records end at a line feed, or a return and a line feed.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    spot, split = ["_file", "_block"], W.partitionBy("_file", "_block").orderBy("_at")
+    quotes = raw.withColumn("_quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    past = lambda c, by: F.coalesce(F.sum(c).over(by.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    odd = quotes.groupBy(spot).agg(F.sum("_quotes").alias("n")).select(*spot, past("n", W.partitionBy("_file")).alias("_before"))  # a row a split
+    open_ = F.col("_before") + F.coalesce(F.sum("_quotes").over(split.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = checkpointed(quotes.join(odd, spot).withColumn("_starts", open_ % 2 == 0).where(~(F.col("_starts") & F.col("value").isin("", "\r"))))
+    starts = marked.groupBy(spot).agg(F.count_if("_starts").alias("n"))
+    placed = starts.select(*spot, past("n", W.partitionBy()).alias("_records"), ((past("n", W.partitionBy("_file")) == 0) & (F.col("n") > 0)).cast("int").alias("_header"))  # a row a split
+    placed = placed.select(*spot, "_records", (F.sum("_header").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, 0))).alias("_headers"), "_header")
+    own = F.count_if("_starts").over(split.rowsBetween(W.unboundedPreceding, W.currentRow))
+    each = marked.join(placed, spot).withColumn("_own", own).withColumn("_record", F.col("_records") + F.col("_own")).withColumn("_is_header", (F.col("_header") == 1) & (F.col("_own") == 1))
+    # a record that goes on in the next split has its headers counted there too, so its number is taken where it starts
+    number = F.when(F.col("_starts") & ~F.col("_is_header"), F.col("_record") - F.col("_headers") - 1)
+    each = each.select("_file", "_block", "_at", "value", "_starts", "_quotes", "_record", number.alias("number"))
+    whole = F.col("_starts") & (F.col("_quotes") % 2 == 0)
+    several = each.where(~whole).groupBy("_file", "_record").agg(F.max("number").alias("number"), F.array_sort(F.collect_list(F.struct("_block", "_at", "value"))).alias("l"))
+    records = each.where(whole).select("_file", "number", "value").unionAll(several.select("_file", "number", F.array_join(F.col("l.value"), "\n").alias("value")))
+    return records.select(F.col("_file").alias("file"), "number", F.regexp_replace("value", r"\r\z", "").alias("text"))
+
+
+def quoted_table(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
+    """number and the columns (strings) that the header names, of quoted text in one file or in parts with equal headers."""
+    records = quoted_records(spark, path)
+    head = records.where("number IS NULL").orderBy("file").first()
+    names = [] if head is None else next(csv.reader([head["text"].removeprefix("\ufeff")], delimiter=sep))
+    if not names:
+        return spark.createDataFrame([], "number bigint")
+    fields = F.from_csv("text", ", ".join(f"c{i} string" for i in range(len(names))), {"sep": sep, "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"})
+    return records.where("number IS NOT NULL").select("number", fields.alias("f")).select("number", *(F.col(f"f.c{i}").alias(n) for i, n in enumerate(names)))
+
+
 def pair_table(spark: SparkSession, path: str) -> DataFrame:
     """row (record number + 2), name, og_rva, og_id, ae_rva, ae_id of the pair table: `;` text with a byte-order mark and a header, in one file or in parts.
 
     Records are numbered, not lines: blank lines do not count and a quoted field may hold line breaks. Names are freed of NULs and of
-    white space around them; a column that the header lacks is read as empty.
+    white space around them; a column that the header lacks is read as empty. A file is read by many tasks.
     """
-    raw = spark.read.csv(path, sep=";", header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    plain = [c.strip("\ufeff").strip('"') for c in raw.columns]
-    numbered = in_file_order(raw)
-    of = lambda name: F.col(f"`{raw.columns[plain.index(name)]}`") if name in plain else F.lit(None).cast("string")
+    numbered = quoted_table(spark, path)
+    of = lambda name: F.col(name) if name in numbered.columns else F.lit(None).cast("string")
     name = F.regexp_replace(clean_text(of("Name")), r"(?U)^\s+|\s+$", "")
     return numbered.select(
         (F.col("number") + 2).cast("int").alias("row"), name.alias("name"), parse_hex(of("OG_Addr")).alias("og_rva"), parse_decimal(of("OG_REL_ID")).alias("og_id"),
@@ -77,15 +123,30 @@ def write_records(records: DataFrame, path: str) -> None:
     records.write.json(path)
 
 
-def write_report(rows: DataFrame, fields: list[str], path: str) -> None:
-    """A `;` report with a byte-order mark and header in each part, the given fields in order, NULL as nothing; other columns are left out."""
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias("﻿" + c if i == 0 else c) for i, c in enumerate(fields)]
-    rows.select(*named).write.option("emptyValue", "").csv(path, sep=";", header=True)
+MARK = "\ufeff"
+
+
+def quoted_line(fields: list[Column], sep: str) -> Column:
+    """A record of quoted text: fields with the separator, a quote or a line break are quoted; NULL is nothing."""
+    plain = [F.coalesce(f.cast("string"), F.lit("")) for f in fields]
+    shown = [F.when(f.rlike(f'[{re.escape(sep)}"\r\n]'), F.concat(F.lit('"'), F.replace(f, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(f) for f in plain]
+    return F.concat_ws(sep, *shown) if len(shown) > 1 else F.when(shown[0] == "", '""').otherwise(shown[0])
+
+
+def write_report(rows: DataFrame, fields: list[str], path: str, order: list[str] | None = None, sep: str = ";", mark: bool = True) -> None:
+    """A report in one file: a byte-order mark (or none), the header, and a record a row in the order given, the fields in theirs; other columns are left out.
+
+    Records are written by many tasks and joined in order (ordered_files); a report without rows has its header. No order: that of the rows.
+    """
+    out = io.StringIO()
+    csv.writer(out, delimiter=sep).writerow(fields)
+    lines_ = rows.withColumn("_line", quoted_line([F.col(c) for c in fields], sep))
+    write_text(lines_, "_line", path, order or [], head=(MARK if mark else "") + out.getvalue(), ending="\r\n")
 
 
-def read_report(spark: SparkSession, path: str, fields: list[str]) -> DataFrame:
-    schema = ", ".join(f"`{c}` string" for c in fields)
-    return spark.read.schema(schema).option("enforceSchema", "true").csv(path, sep=";", header=True)
+def read_report(spark: SparkSession, path: str, fields: list[str], sep: str = ";") -> DataFrame:
+    table = quoted_table(spark, path, sep)
+    return table.select(*(F.col(c) if c in table.columns else F.lit(None).cast("string").alias(c) for c in fields))
 
 
 def source_lines(spark: SparkSession, path: str, generated: bool = True) -> DataFrame:
@@ -123,11 +184,10 @@ def header_lines(constants: DataFrame, tables: bool = False) -> DataFrame:
 
 
 def write_header(constants: DataFrame, namespace: str, path: str, tables: bool = False) -> None:
-    """An ID header as a folder of text parts in order: its opening, a line a constant sorted by name, its closing."""
-    fixed = lambda order, text: constants.sparkSession.createDataFrame([(order, "", text)], "part int, name string, value string")
-    opening = f"#pragma once\n\nnamespace RE\n{{\n\tnamespace {namespace}\n\t{{"
-    body = header_lines(constants, tables).select(F.lit(1).alias("part"), "name", F.concat(F.lit("\t\t"), "line").alias("value"))
-    body.unionAll(fixed(0, opening)).unionAll(fixed(2, "\t}\n}")).orderBy("part", "name").select("value").write.text(path)
+    """An ID header as one text file: its opening, a line a constant sorted by name, its closing."""
+    head = f"#pragma once\n\nnamespace RE\n{{\n\tnamespace {namespace}\n\t{{\n"
+    body = header_lines(constants, tables).select("name", F.concat(F.lit("\t\t"), "line").alias("value"))
+    write_text(body, "value", path, ["name"], head=head, tail="\t}\n}\n")
 
 
 def read_header(spark: SparkSession, path: str) -> DataFrame:
