@@ -88,6 +88,51 @@ def name_similarity(pairs: DataFrame, left: str, right: str, out: str, form: str
     ).drop("_a", "_b", "_s", "_none", "_low")
 
 
+def _letters(name: Column) -> Column:
+    """The characters of a name, each with how many of it stand before in their sorted list: equal bags of characters are equal sets. The rarer (higher) first."""
+    each = F.array_sort(F.filter(F.split(name, ""), lambda c: c != ""))
+    number = F.transform(F.array(each), lambda l: F.transform(l, lambda c, i: F.concat(F.lpad((i + 1 - F.array_position(l, c)).cast("string"), 5, "0"), c)))[0]
+    return F.sort_array(number, asc=False)
+
+
+def name_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left, right, _a, _b): the distinct names of two sides whose normal forms _a, _b may have a ratio of at least `least`, over 0.
+
+    A ratio r of strings of lengths a and b has r (a + b) / 2 matched characters, so their bags of characters share as many, and b is within
+    a factor of r / (2 - r) of a. Bags are sets of numbered characters in one order, rare ones first: a pair must share one of the
+    first of each (prefix filter), and then as many as it needs, which is counted before any sequence is matched.
+    """
+    factor = least / (2 - least)
+
+    def side(names: DataFrame, name: str, form: str) -> DataFrame:
+        return names.select(name, pair_name(F.col(name)).alias(form)).where(F.col(form) != "").distinct()
+
+    def letters(rows: DataFrame, form: str) -> DataFrame:
+        own = rows.select(form).distinct().withColumn(f"{form}n", F.length(form)).withColumn(f"{form}s", _letters(F.col(form)))
+        return own.select(form, f"{form}n", f"{form}s", F.explode(_prefix(form, least)).alias("_letter"))
+
+    a, b = side(left, "left", "_a"), side(right, "right", "_b")
+    x, y = letters(a, "_a"), letters(b, "_b")
+    fits = (F.col("_bn") >= F.ceil(F.col("_an") * factor - 1e-9)) & (F.col("_bn") <= F.floor(F.col("_an") / factor + 1e-9))
+    # a pair is taken at the first letter that both prefixes share, so it comes once
+    first = F.array_max(F.array_intersect(_prefix("_a", least), _prefix("_b", least)))
+    shared = F.size(F.array_intersect("_as", "_bs"))
+    met = x.join(y, "_letter").where(fits & (F.col("_letter") == first) & (shared >= (F.col("_an") + F.col("_bn")) * (least / 2) - 1e-9)).select("_a", "_b")
+    return a.select("left", "_a").join(met, "_a").join(b.select("right", "_b"), "_b").select("left", "right", "_a", "_b")
+
+
+def _prefix(form: str, least: float) -> Column:
+    """The first letters of a bag, of which a partner of any length must share one."""
+    n = F.col(f"{form}n")
+    need = F.ceil((n + F.ceil(n * (least / (2 - least)) - 1e-9)) * (least / 2) - 1e-9)
+    return F.slice(f"{form}s", F.lit(1), F.greatest(n - need + 1, F.lit(1)).cast("int"))
+
+
+def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left, right): the pairs of distinct names of two sides whose pair similarity is at least `least` (over 0.5, so neither is generic)."""
+    return sequence_ratio(name_candidates(left, right, least), "_a", "_b", "_ratio_").where(F.col("_ratio_") >= least).select("left", "right")
+
+
 def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     out = F.lit(0.0)
     for name, weight in weights.items():

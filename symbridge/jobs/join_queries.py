@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbridge.jobs import registry
@@ -127,29 +127,47 @@ def j14(spark, d):
     return profiles.access_candidates(_anchors(spark, d)[1], accesses).select("og_id", "func", "idx", F.col("new_target").alias("candidate"), "new_idx")
 
 
-@query("j15_gated_candidates")
-def j15(spark, d):
+def _profiled(spark: SparkSession, d: str) -> DataFrame:
     i = view(spark, d, "instr")
     p = profiles.count_maps(i, {"mnemonics": "mnemonic"}).join(profiles.semantic_hash(i), "func").join(view(spark, d, "func"), "func")
     name = F.when(F.col("func") % 500 == 3, F.concat(F.lit("name of "), F.col("func").cast("string"))).otherwise(F.col("name"))
     p = p.select("func", F.col("func").alias("rva"), name.alias("name"), F.when(F.col("func") % 500 == 3, F.lit(1_000_000)).otherwise(F.col("end_ea") - F.col("start_ea")).alias("size"), "instruction_count", "mnemonics", "semantic_sha256")
-    p = components.checkpointed(p)  # looked at once for each branch and side
+    return components.checkpointed(p)  # looked at once for each branch and side
+
+
+@query("j15_gated_candidates")
+def j15(spark, d):
+    p = _profiled(spark, d)
     return matching.gate_counts(p, p).select(F.col("t_rva").alias("target"), "candidates", "total")
 
 
+@query("j15_ten_most_similar")
+def j15_ten(spark, d):
+    p = _profiled(spark, d)
+    return matching.ten_most_similar(p, p).select(F.col("t_rva").alias("target"), F.col("f_rva").alias("candidate"), "cosine", "rank")
+
+
 # functions of a size of their own (func % 500 = 3) are close to one another only, by size; where their instruction counts are not, their names, "name of" and a number that ends in 3, are similar
-registry.ORACLES["j15_gated_candidates"] = (
+_GATED = (
     f"WITH instr AS ({registry.VIEWS['instr']}), mn AS (SELECT func, mnemonic AS v, count(*) AS n FROM instr GROUP BY 1, 2), "
     "p AS (SELECT func, func % 500 = 3 AS big, sum(n) AS c, sqrt(sum(n * n)) AS norm, list(struct_pack(v := v, n := n) ORDER BY v) AS m FROM mn SEMI JOIN orders ON o_orderkey = func GROUP BY 1), "
     "h AS (SELECT func, string_agg(sig, ',' ORDER BY idx) AS h FROM instr GROUP BY 1), "
     "k AS (SELECT dense_rank() OVER (ORDER BY big, c, norm, m) AS k, * FROM p JOIN h USING (func)), "
     "classes AS (SELECT k, any_value(big) AS big, any_value(c) AS c, any_value(norm) AS norm, any_value(m) AS m, count(*) AS n, sum(func) AS s FROM k GROUP BY k), "
-    "near AS (SELECT a.k AS a, b.k AS b, b.n, b.s FROM classes a JOIN classes b ON a.big = b.big AND CASE WHEN least(a.c, b.c) / CAST(greatest(a.c, b.c) AS DOUBLE) < 0.25 THEN a.big ELSE "
-    "list_sum([coalesce(list_extract(list_filter(b.m, lambda y: y.v = x.v), 1).n, 0) * x.n for x in a.m]) / (a.norm * b.norm) >= 0.45 END), "
-    "sums AS (SELECT a AS k, sum(n) AS n, sum(s) AS s FROM near GROUP BY 1), "
+    "met AS (SELECT a.k AS a, b.k AS b, b.n, b.s, a.big AND b.big AS big, a.big = b.big AS same, least(a.c, b.c) / CAST(greatest(a.c, b.c) AS DOUBLE) AS share, list_sum([coalesce(list_extract(list_filter(b.m, lambda y: y.v = x.v), 1).n, 0) * x.n for x in a.m]) / (a.norm * b.norm) AS cosine FROM classes a, classes b), "
+    "near AS (SELECT * FROM met WHERE same AND CASE WHEN share < 0.25 THEN big ELSE cosine >= 0.45 END)"
+)
+registry.ORACLES["j15_gated_candidates"] = (
+    _GATED + ", sums AS (SELECT a AS k, sum(n) AS n, sum(s) AS s FROM near GROUP BY 1), "
     "far AS (SELECT x.func, count(*) AS n, sum(y.func) AS s FROM k x JOIN k y ON x.h = y.h AND x.big <> y.big GROUP BY 1) "
     "SELECT k.func AS target, CAST(coalesce(sums.n, 0) + coalesce(far.n, 0) AS BIGINT) AS candidates, CAST(coalesce(sums.s, 0) + coalesce(far.s, 0) AS BIGINT) AS total FROM k LEFT JOIN sums USING (k) LEFT JOIN far USING (func)"
 )
+registry.ORACLES["j15_ten_most_similar"] = (
+    _GATED + ", members AS (SELECT k, func FROM k QUALIFY row_number() OVER (PARTITION BY k ORDER BY func DESC) <= 10), "
+    "ten AS (SELECT near.a AS k, func AS candidate, round(cosine, 12) AS cosine FROM near JOIN members ON members.k = near.b QUALIFY row_number() OVER (PARTITION BY near.a ORDER BY round(cosine, 12) DESC, func DESC) <= 10), "
+    "found AS (SELECT func AS target, candidate, cosine FROM k JOIN ten USING (k) UNION ALL SELECT x.func, y.func, round(cosine, 12) FROM k x JOIN k y ON x.h = y.h AND x.big <> y.big JOIN met ON met.a = x.k AND met.b = y.k) "
+    "SELECT target, candidate, cosine, CAST(row_number() OVER (PARTITION BY target ORDER BY cosine DESC, candidate DESC) AS INTEGER) AS rank FROM found QUALIFY rank <= 10"
+)
 
 
 @query(

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from symbridge.functions.similarity import closeness, cosine, name_similarity, norm
+from symbridge.functions.similarity import closeness, cosine, similar_names
+from symbridge.operators.components import checkpointed
 
 TOP = 10
 # The gates of whole-database candidates and of context votes.
@@ -28,34 +29,79 @@ def _sides(targets: DataFrame, functions: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def near_classes(t: DataFrame, f: DataFrame, close: Column) -> DataFrame:
-    """(_t, _f): the pairs of classes whose counts are close and whose mnemonics are similar; each pair of classes is judged once.
+    """(_t, _f, cosine): the pairs of classes whose counts are close and whose mnemonics are similar; each pair of classes is judged once.
 
-    Closeness of at least 1/4 and 1/5 keeps pairs within one step of the logarithms to base 4 and 5, so classes meet on those.
+    Closeness of at least 1/4 and 1/5 keeps pairs within one step of the logarithms to base 4 and 5. Mnemonics are an inverted index:
+    a posting for each mnemonic of a class, with its steps, so classes meet on a mnemonic and steps alone, and their products are summed
+    (in integers, so in any order) as pairs of numbers. A pair without a common mnemonic has cosine 0, or 1 where both have none at all.
     """
     log = lambda c, base: F.when(F.coalesce(c, F.lit(0)) == 0, -1).otherwise(F.floor(F.log(float(base), F.abs(c).cast("double")) + 1e-9)).cast("int")
     step = lambda b: F.explode(F.when(b < 0, F.array(b)).otherwise(F.sequence(F.greatest(b - 1, F.lit(0)), b + 1)))
-    empty = F.create_map().cast("map<string,bigint>")
-    one = lambda rows, s: rows.groupBy(f"_{s}").agg(F.struct(F.first(f"{s}_instruction_count").alias("n"), F.first(f"{s}_size").alias("z"), F.first(F.map_entries(F.coalesce(f"{s}_mnemonics", empty))).alias("m")).alias("x")).select(
-        f"_{s}", F.col("x.n").alias(f"{s}_instruction_count"), F.col("x.z").alias(f"{s}_size"), F.map_from_entries("x.m").alias(f"{s}_mnemonics")
-    )
-    a = one(t, "t").withColumns({"_tn": norm(F.col("t_mnemonics"))}).withColumn("_a", step(log(F.col("t_instruction_count"), 4))).withColumn("_b", step(log(F.col("t_size"), 5)))
-    b = one(f, "f").withColumns({"_fn": norm(F.col("f_mnemonics")), "_a2": log(F.col("f_instruction_count"), 4), "_b2": log(F.col("f_size"), 5)})
-    similar = cosine(F.col("t_mnemonics"), F.col("f_mnemonics"), (F.col("_tn"), F.col("_fn"))) >= MNEMONIC_GATE
-    return a.join(b, (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))).where(close & similar).select("_t", "_f")
+    none = F.struct(F.lit(None).cast("string").alias("key"), F.lit(0).cast("bigint").alias("value"))
+
+    def postings(rows: DataFrame, s: str) -> DataFrame:
+        listed = F.map_entries(F.coalesce(f"{s}_mnemonics", F.create_map().cast("map<string,bigint>")))
+        one = rows.groupBy(f"_{s}").agg(F.struct(F.first(f"{s}_instruction_count").alias("n"), F.first(f"{s}_size").alias("z"), F.first(listed).alias("m")).alias("x"))
+        square = F.aggregate("x.m", F.lit(0).cast("bigint"), lambda a, e: a + e["value"] * e["value"])
+        each = one.select(f"_{s}", F.col("x.n").alias(f"{s}_instruction_count"), F.col("x.z").alias(f"{s}_size"), square.alias(f"_{s}2"), F.explode(F.when(F.size("x.m") == 0, F.array(none)).otherwise(F.col("x.m"))).alias("e"))
+        return each.select("*", F.col("e.key").alias(f"_{s}m"), F.col("e.value").alias(f"_{s}w")).drop("e")
+
+    a = postings(t, "t").withColumn("_a", step(log(F.col("t_instruction_count"), 4))).withColumn("_b", step(log(F.col("t_size"), 5)))
+    b = postings(f, "f").withColumns({"_a2": log(F.col("f_instruction_count"), 4), "_b2": log(F.col("f_size"), 5)})
+    met = a.join(b, F.col("_tm").eqNullSafe(F.col("_fm")) & (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2")) & close)
+    dots = met.groupBy("_t", "_f").agg(F.sum(F.col("_tw") * F.col("_fw")).alias("_dot"), F.first("_t2").alias("_t2"), F.first("_f2").alias("_f2"), F.bool_and(F.col("_tm").isNull()).alias("_none"))
+    similar = F.when(F.col("_none"), 1.0).when((F.col("_t2") == 0) | (F.col("_f2") == 0), 0.0).otherwise(F.col("_dot") / (F.sqrt("_t2") * F.sqrt("_f2")))
+    return dots.select("_t", "_f", similar.alias("cosine")).where(F.col("cosine") >= MNEMONIC_GATE)
+
+
+#: Targets that are broadcast to the pairs with all their columns; beyond it pairs are shuffled to them.
+MOST_TARGETS = 5000
 
 
 def gated_candidates(targets: DataFrame, functions: DataFrame) -> DataFrame:
     """(target, candidate) pairs of functions that pass the gates, without comparing all pairs.
 
-    Both sides have rva, name, instruction_count, size, mnemonics (map), semantic_sha256. A pair is eligible if the hashes are equal; or
-    both counts are close enough and the mnemonics are similar (near_classes()); or they are not close and the names are similar; the
-    name branch meets on the named functions only, whose names it compares in distinct pairs within lengths that can reach the gate.
+    Both sides have rva (unique among functions), name, instruction_count, size, mnemonics (map), semantic_sha256. A pair is eligible if
+    the hashes are equal; or both counts are close enough and the mnemonics are similar (near_classes()); or they are not close and the
+    names are similar (similar_names()). Pairs are found and shuffled as addresses; the columns of both sides join them at the end, those
+    of up to MOST_TARGETS targets by broadcast.
     """
     t, f, close, same = _sides(targets, functions)
-    equal = t.join(f, F.col("t_semantic_sha256") == F.col("f_semantic_sha256"))
-    near = t.join(near_classes(t, f, close), "_t").join(f, "_f").where(~same)
-    columns = [c for c in (*t.columns, *f.columns) if c not in ("_t", "_f")]
-    return equal.select(columns).unionAll(near.select(columns)).unionAll(_by_name(t, f, close, same).select(columns))
+    ids = lambda df: df.select("t_rva", "f_rva")
+    a, b = t.select("t_rva", "_t", "t_semantic_sha256"), f.select("f_rva", "_f", "f_semantic_sha256")
+    equal = ids(a.join(b, F.col("t_semantic_sha256") == F.col("f_semantic_sha256")))
+    near = ids(a.join(near_classes(t, f, close).drop("cosine"), "_t").join(b, "_f").where(~same))
+    pairs = equal.unionAll(near).unionAll(ids(_by_name(t, f, close, same))).distinct()
+    few = F.broadcast if targets.limit(MOST_TARGETS + 1).count() <= MOST_TARGETS else lambda df: df
+    return pairs.join(f.drop("_f"), "f_rva").join(few(t.drop("_t")), "t_rva").select(*(c for c in (*t.columns, *f.columns) if c not in ("_t", "_f")))
+
+
+def ten_most_similar(targets: DataFrame, functions: DataFrame, top: int = TOP) -> DataFrame:
+    """(t_rva, f_rva, cosine, rank): of the gated candidates of each target the ten of the most similar mnemonics, then of the highest address.
+
+    Functions of one class are equal here, so only the highest ten addresses of a class can be among a target's ten, and only ten of the
+    members of all classes that are near a target's class: what is written grows with the targets, not with the pairs.
+    """
+    t, f, close, same = _sides(targets, functions)
+    best = lambda df, keys, by: df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col("_n") <= top).drop("_n")
+    shown = F.round("cosine", 12).alias("cosine")  # equal cosines of different classes may differ in their last bits
+    order = [F.desc("cosine"), F.desc("f_rva")]
+    near = checkpointed(near_classes(t, f, close))
+    members = best(f.select("_f", "f_rva"), ["_f"], [F.desc("f_rva")])
+    by_class = best(near.select("_t", "_f", shown).join(members, "_f").select("_t", "f_rva", "cosine"), ["_t"], order)
+    # equal hashes whose classes are not near, a pair of classes once
+    hashes = f.select(F.col("f_semantic_sha256").alias("t_semantic_sha256"), "_f").distinct()
+    far = t.select("t_semantic_sha256", "_t").distinct().join(hashes, "t_semantic_sha256").join(near, ["_t", "_f"], "left_anti")
+    empty = F.create_map().cast("map<string,bigint>")
+    maps = lambda df, s: df.groupBy(f"_{s}").agg(F.first(F.map_entries(F.coalesce(f"{s}_mnemonics", empty))).alias(f"_{s}m"))
+    classes = far.select("_t", "_f").distinct().join(maps(t, "t"), "_t").join(maps(f, "f"), "_f")
+    judged = classes.select("_t", "_f", F.round(cosine(F.map_from_entries("_tm"), F.map_from_entries("_fm")), 12).alias("cosine"))
+    held = best(f.select(F.col("f_semantic_sha256").alias("t_semantic_sha256"), "_f", "f_rva"), ["t_semantic_sha256", "_f"], [F.desc("f_rva")])
+    by_hash = best(far.join(judged, ["_t", "_f"]).join(held, ["t_semantic_sha256", "_f"]).select("t_semantic_sha256", "_t", "f_rva", "cosine"), ["t_semantic_sha256", "_t"], order)
+    named = _by_name(t, f, close, same).select("t_rva", "f_rva", F.round(cosine(F.col("t_mnemonics"), F.col("f_mnemonics")), 12).alias("cosine"))
+    pick = ["t_rva", "f_rva", "cosine"]
+    found = t.select("t_rva", "_t").join(by_class, "_t").select(pick).unionAll(t.select("t_rva", "t_semantic_sha256", "_t").join(by_hash, ["t_semantic_sha256", "_t"]).select(pick)).unionAll(named.select(pick))
+    return found.withColumn("rank", F.row_number().over(W.partitionBy("t_rva").orderBy(*order))).where(F.col("rank") <= top)
 
 
 def gate_counts(targets: DataFrame, functions: DataFrame) -> DataFrame:
@@ -64,7 +110,7 @@ def gate_counts(targets: DataFrame, functions: DataFrame) -> DataFrame:
     Equal hashes and classes are counted as groups, so a function that very many others equal costs no more than any other.
     """
     t, f, close, same = _sides(targets, functions)
-    near = near_classes(t, f, close)
+    near = checkpointed(near_classes(t, f, close).drop("cosine"))
     held = lambda keys: f.groupBy(*keys).agg(F.count("*").alias("candidates"), F.sum("f_rva").alias("total"))
     by_class = near.join(held(["_f"]), "_f").groupBy("_t").agg(F.sum("candidates").alias("candidates"), F.sum("total").alias("total"))
     far = t.select("t_semantic_sha256", "_t").distinct().join(held(["f_semantic_sha256", "_f"]), F.col("t_semantic_sha256") == F.col("f_semantic_sha256")).join(near, ["_t", "_f"], "left_anti")
@@ -76,14 +122,8 @@ def gate_counts(targets: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 def _by_name(t: DataFrame, f: DataFrame, close: Column, same: Column) -> DataFrame:
-    from symbridge.functions.scalars import pair_name
-
-    # a ratio r of strings of lengths a, b needs 2 min / (a + b) >= r, so b lies within a factor of r / (2 - r) of a
-    factor = NAME_GATE / (2 - NAME_GATE)
-    a = t.select("t_name", F.length(pair_name(F.col("t_name"))).alias("_n")).where("_n > 0").distinct()
-    a = a.select("t_name", F.explode(F.sequence(F.ceil(F.col("_n") * factor).cast("int"), F.floor(F.col("_n") / factor).cast("int"))).alias("_len"))
-    b = f.select("f_name", F.length(pair_name(F.col("f_name"))).alias("_len")).where("_len > 0").distinct()
-    named = name_similarity(a.join(b, "_len").drop("_len"), "t_name", "f_name", "_score").where(F.col("_score") >= NAME_GATE).drop("_score")
+    a, b = t.select(F.col("t_name").alias("left")).distinct(), f.select(F.col("f_name").alias("right")).distinct()
+    named = similar_names(a, b, NAME_GATE).select(F.col("left").alias("t_name"), F.col("right").alias("f_name"))
     return t.join(named, "t_name").join(f, "f_name").where(~same & ~close).select(*t.columns, *f.columns)
 
 
