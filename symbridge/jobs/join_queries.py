@@ -185,16 +185,21 @@ def j17(spark, d):
 
 @query(
     "j18_overrides",
-    """SELECT o_orderkey AS og_id, CASE WHEN p_partkey IS NULL THEN o_custkey WHEN p_partkey % 2 = 0 THEN p_partkey + 5 ELSE o_custkey END AS ae_rva, o_custkey AS original_ae_rva, CASE WHEN p_partkey IS NULL THEN 'medium' ELSE 'high' END AS confidence_tier,
-        CASE WHEN p_partkey IS NULL THEN 'yes' ELSE 'no' END AS manual_review, CASE WHEN p_partkey IS NULL THEN 'candidate' ELSE 'override' END AS resolution_source FROM orders LEFT JOIN part ON p_partkey = o_orderkey AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0)""",
+    """SELECT o_orderkey AS og_id, CASE WHEN p_partkey IS NULL THEN o_custkey WHEN p_partkey % 2 = 0 THEN p_partkey + 5 ELSE o_custkey END AS ae_rva, o_custkey AS original_ae_rva,
+        CASE WHEN p_partkey IS NULL THEN 'medium' WHEN p_partkey % 5 = 0 THEN 'review' ELSE 'high' END AS confidence_tier, CASE WHEN p_partkey IS NULL THEN 'e' WHEN p_partkey % 7 = 0 THEN 'targeted_override' ELSE 'reviewed' END AS evidence,
+        CASE WHEN p_partkey IS NULL THEN 'yes' ELSE 'no' END AS manual_review, CASE WHEN p_partkey IS NULL THEN 'proposed_report' ELSE 'targeted_override' END AS resolution_source, CASE WHEN p_partkey % 11 = 0 THEN 'offset' ELSE 'id_only' END AS replacement_strategy
+        FROM orders LEFT JOIN part ON p_partkey = o_orderkey AND (p_partkey % 2 = 0 OR p_partkey % 3 = 0)""",
 )
 def j18(spark, d):
     rows = view(spark, d, "orders").select(F.col("o_orderkey").alias("og_id"), F.col("o_custkey").alias("ae_rva"), F.lit("medium").alias("confidence_tier"), F.lit("e").alias("evidence"), F.lit("yes").alias("manual_review"))
     p = view(spark, d, "part").where("p_partkey % 2 = 0 OR p_partkey % 3 = 0").select(F.col("p_partkey").alias("og_id"))
     right = p.join(view(spark, d, "orders").select(F.col("o_orderkey").alias("og_id"), "o_custkey"), "og_id")
-    even = F.col("og_id") % 2 == 0
-    overrides = right.select("og_id", F.when(even, F.col("og_id") + 5).otherwise(F.col("o_custkey")).alias("ae_rva"), F.lit("high").alias("confidence_tier"), F.lit("reviewed").alias("evidence"), F.lit("id_only").alias("replacement_strategy"), F.when(even, "yes").otherwise("no").alias("allow_candidate_correction"))
-    return lookups.apply_overrides(rows, overrides).select("og_id", "ae_rva", "original_ae_rva", "confidence_tier", "manual_review", "resolution_source")
+    k = F.col("og_id")
+    overrides = right.select(
+        "og_id", F.when(k % 2 == 0, k + 5).otherwise(F.col("o_custkey")).alias("ae_rva"), F.when(k % 5 == 0, "review").when(k % 3 == 0, "high").alias("confidence_tier"), F.when(k % 7 != 0, "reviewed").alias("evidence"),
+        F.when(k % 11 == 0, "offset").when(k % 13 == 0, "id_only").alias("replacement_strategy"), F.when(k % 2 == 0, F.when(k % 4 == 0, "YES").otherwise("yes")).otherwise("no").alias("allow_candidate_correction"),
+    )
+    return lookups.apply_overrides(rows, overrides)
 
 
 _HEADERS = """cur AS (SELECT 'n' || (p_partkey % 700) AS name, p_partkey AS slot, CASE WHEN p_size % 9 = 0 THEN p_partkey + 100000 ELSE p_partkey END AS value FROM part WHERE p_partkey % 11 <> 0),
@@ -289,12 +294,12 @@ def j24(spark, d):
 @query(
     "j25_inspection_set",
     """SELECT DISTINCT f.start_ea FROM func f JOIN (SELECT c_custkey * 4096 + 8 AS ea FROM customer) p ON p.ea >= f.start_ea AND p.ea < f.end_ea
-        UNION SELECT f.start_ea FROM func f JOIN (SELECT o_orderkey * 512 AS ea FROM orders WHERE o_custkey * 4096 + 8 IN (SELECT c_custkey * 4096 + 8 FROM customer) AND o_orderkey % 3 = 0) x ON x.ea >= f.start_ea AND x.ea < f.end_ea UNION SELECT start_ea FROM func WHERE func % 97 = 0""",
+        UNION SELECT f.start_ea FROM func f JOIN (SELECT o_orderkey * 512 AS ea FROM orders WHERE o_custkey * 4096 + 8 IN (SELECT c_custkey * 4096 + 8 FROM customer)) x ON x.ea >= f.start_ea AND x.ea < f.end_ea UNION SELECT start_ea FROM func WHERE func % 97 = 0""",
     "func",
 )
 def j25(spark, d):
     points = view(spark, d, "customer").select((F.col("c_custkey") * 4096 + 8).alias("ea"))
-    xrefs = view(spark, d, "orders").where("o_orderkey % 3 = 0").select((F.col("o_orderkey") * 512).alias("from_ea"), (F.col("o_custkey") * 4096 + 8).alias("to_ea"))
+    xrefs = view(spark, d, "orders").select((F.col("o_orderkey") * 512).alias("from_ea"), (F.col("o_custkey") * 4096 + 8).alias("to_ea"))
     f = view(spark, d, "func")
     return metadata.inspection_set(points, xrefs, f.select("start_ea", "end_ea"), f.where("func % 97 = 0"))
 

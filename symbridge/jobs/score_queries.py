@@ -252,7 +252,8 @@ def _best(spark, d):
     return matching.best_access(view(spark, d, "votesrc"), quality)
 
 
-_VOTES = "SELECT og_id, candidate, round(sum(weight), 6) AS vote_score, count(*) AS matched, count(*) FILTER (exact) AS exact_matched, count(DISTINCT pair_row) AS unique_pair_rows, round(avg(top), 4) AS mean_score FROM best GROUP BY 1, 2"
+_VOTES = """SELECT og_id, candidate, (2 * sum(CAST(round(weight * 1e9) AS BIGINT)) + 1000) // 2000 / 1e6 AS vote_score, count(*) AS matched, count(*) FILTER (exact) AS exact_matched, count(DISTINCT pair_row) AS unique_pair_rows,
+    (2 * sum(CAST(round(top * 1e9) AS BIGINT)) + count(*) * 100000) // (count(*) * 200000) / 1e4 AS mean_score, 'n' || candidate || '_' || max(xref) AS ae_name FROM best GROUP BY 1, 2"""
 
 
 @query("w3_best_access")
@@ -262,12 +263,13 @@ def w3(spark, d):
 
 @query("a10_votes")
 def a10(spark, d):
-    return matching.votes(_best(spark, d)).withColumn("mean_score", F.round("mean_score", 3))
+    best = _best(spark, d).withColumn("ae_name", F.concat_ws("_", F.concat(F.lit("n"), "candidate"), "xref"))  # the last reference's is kept
+    return matching.votes(best, ("ae_name",))
 
 
 _V = f"WITH votesrc AS ({registry.VIEWS['votesrc']})" + _BEST
 registry.ORACLES["w3_best_access"] = _V + " SELECT xref, og_id, pair_row, candidate, round(top, 6) AS top, exact, round(weight, 6) AS weight FROM best"
-registry.ORACLES["a10_votes"] = _V + f" SELECT * REPLACE (round(mean_score, 3) AS mean_score) FROM ({_VOTES})"
+registry.ORACLES["a10_votes"] = _V + " " + _VOTES
 
 
 def _top_votes(spark, d):
@@ -332,11 +334,11 @@ registry.ORACLES["j16_coreference_votes"] = _I + " SELECT row_no AS row, target,
 def a11(spark, d):
     cast = _coreference(spark, d)
     common = matching.common_value(cast.select("target", "row", "og_name").distinct(), "target", "og_name", "row")
-    return matching.coreference_totals(cast).join(common, "target").withColumn("vote_score", F.round("vote_score", 4))
+    return matching.coreference_totals(cast, ("ae_name",)).join(common, "target")
 
 
-_TOTALS = "SELECT target, candidate, round(sum(weight), 6) AS vote_score, count(DISTINCT row_no) AS unique_anchor_count, count(*) FILTER (n_refs = 1) AS single_candidate_anchors FROM cast_ GROUP BY 1, 2"
-registry.ORACLES["a11_coreference_totals"] = _I + f" SELECT target, candidate, round(vote_score, 4) AS vote_score, unique_anchor_count, single_candidate_anchors, 'n' || (target % 3) AS og_name FROM ({_TOTALS})"
+_TOTALS = "SELECT target, candidate, (2 * sum(CAST(round(weight * 1e9) AS BIGINT)) + 1000) // 2000 / 1e6 AS vote_score, count(DISTINCT row_no) AS unique_anchor_count, count(*) FILTER (n_refs = 1) AS single_candidate_anchors FROM cast_ GROUP BY 1, 2"
+registry.ORACLES["a11_coreference_totals"] = _I + f" SELECT target, candidate, vote_score, unique_anchor_count, single_candidate_anchors, 'n' || (candidate % 3) AS ae_name, 'n' || (target % 3) AS og_name FROM ({_TOTALS})"
 
 
 @query("w7_coreference_top10")

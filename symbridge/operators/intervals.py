@@ -81,32 +81,32 @@ def _spot(cuts: list[int]):
 def nearest(keys: DataFrame, rows: DataFrame, key: str, at: str, forward: bool, buckets: int | None = None, within: int | None = None) -> DataFrame:
     """keys with the columns of the row of the smallest `at` >= key (forward) or of the largest `at` <= key, at most `within` away.
 
-    Keys and rows meet in ranges that hold about as many of them each (cut at percentiles, which are computed at once); each range also
-    carries the nearest row of the ranges beyond it, so a window never spans more than a range. `at` is unique among rows. A null
-    key has no nearest row.
+    Distinct keys and addresses meet in ranges that hold about as many of them each (cut at percentiles, which are computed at once); each range also
+    carries the nearest address of the ranges beyond it, so a window never spans more than a range. Keys and rows then join their
+    addresses, by equality, so a key that very many have is looked up once and Spark may split its join. `at` is unique among rows. A
+    null key has no nearest row.
     """
     spark = keys.sparkSession
     n = buckets or min(MOST_BUCKETS, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = keys.select(F.col(key).cast("bigint").alias("_at")).where("_at IS NOT NULL").distinct().withColumn("_row", F.lit(None).cast("bigint"))
+    mixed = asked.unionAll(rows.select(F.col(at).cast("bigint").alias("_at"), F.col(at).cast("bigint").alias("_row")))
     shares = F.array(*(F.lit(i / n) for i in range(1, n)))
-    spread = rows.select(F.col(at).cast("bigint").alias("_at")).unionAll(keys.select(F.col(key).cast("bigint"))).agg(F.percentile_approx("_at", shares, 10_000)).first()[0] if n > 1 else []
+    spread = mixed.agg(F.percentile_approx("_at", shares, 10_000)).first()[0] if n > 1 else []
     spot = _spot(sorted(set(spread or [])))
-    payload = F.struct(*rows.columns)
-    dealt = rows.select(F.col(at).alias("_at"), F.lit(1).alias("_is_row"), payload.alias("_row"), F.lit(None).cast(keys.schema).alias("_key"))
-    edge = dealt.groupBy(spot(F.col("_at")).alias("_bucket")).agg((F.min_by if forward else F.max_by)("_row", "_at").alias("_edge"))  # at most n rows
+    mixed = mixed.withColumn("_bucket", spot(F.col("_at")))
+    edge = mixed.where("_row IS NOT NULL").groupBy("_bucket").agg((F.min if forward else F.max)("_row").alias("_edge"))  # at most n rows
     # frames that only grow, so that each window is one pass: forward looks back along descending addresses
     turn = F.desc if forward else F.asc
     beyond = W.orderBy(turn("_bucket")).rowsBetween(W.unboundedPreceding, -1)
     carry = spark.range(n).select(F.col("id").cast("int").alias("_bucket")).join(edge, "_bucket", "left").select("_bucket", F.last("_edge", True).over(beyond).alias("_carry"))
-    asked = keys.select(F.col(key).alias("_at"), F.lit(0).alias("_is_row"), F.lit(None).cast(dealt.schema["_row"].dataType).alias("_row"), F.struct(*keys.columns).alias("_key"))
-    mixed = asked.unionAll(dealt).withColumn("_bucket", spot(F.col("_at")))
-    window = W.partitionBy("_bucket").orderBy(turn("_at"), F.desc("_is_row")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = F.last("_row", True).over(window)
-    hit = mixed.withColumn("_found", found).where("_is_row = 0").join(F.broadcast(carry), "_bucket", "left").withColumn("_found", F.coalesce("_found", "_carry"))
-    near = F.col("_at").isNotNull()
+    window = W.partitionBy("_bucket").orderBy(turn("_at"), F.asc_nulls_last("_row")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    hit = mixed.withColumn("_found", F.last("_row", True).over(window)).where("_row IS NULL").join(F.broadcast(carry), "_bucket", "left")
+    found = hit.select("_at", F.coalesce("_found", "_carry").alias("_found")).where("_found IS NOT NULL")
     if within is not None:
-        near &= F.abs(F.col(f"_found.{at}") - F.col("_at")) <= within
-    hit = hit.withColumn("_found", F.when(near, F.col("_found")))
-    return hit.select("_key.*", *(F.col(f"_found.{c}").alias(c) for c in rows.columns))
+        found = found.where(F.abs(F.col("_found") - F.col("_at")) <= within)
+    whole = found.join(rows.select(F.struct(*rows.columns).alias("_whole"), F.col(at).cast("bigint").alias("_found")), "_found").select("_at", "_whole")
+    asked_all = keys.select(F.struct(*keys.columns).alias("_key"), F.col(key).cast("bigint").alias("_at"))
+    return asked_all.join(whole, "_at", "left").select("_key.*", *(F.col(f"_whole.{c}").alias(c) for c in rows.columns))
 
 
 def in_ranges(functions: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -91,17 +91,22 @@ def coalesced_ids(addresses: DataFrame, library: DataFrame, pairs: DataFrame) ->
 
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Candidates with reviewed overrides: rva, tier, evidence and strategy replaced; an rva that differs from a candidate's needs allow_candidate_correction = yes."""
-    o = overrides.select("og_id", *(F.col(c).alias(f"o_{c}") for c in ("ae_rva", "confidence_tier", "evidence", "replacement_strategy", "allow_candidate_correction")))
+    """Candidates with reviewed overrides: rva, tier, evidence and strategy replaced; where the override tells none, tier high and evidence targeted_override.
+
+    An override of a candidate must have an address, and one that differs from the candidate's needs allow_candidate_correction = yes,
+    in any case; else it is an error. resolution_source tells targeted_override or proposed_report.
+    """
+    o = overrides.select("og_id", F.lit(True).alias("_given"), *(F.col(c).alias(f"o_{c}") for c in ("ae_rva", "confidence_tier", "evidence", "replacement_strategy", "allow_candidate_correction")))
     j = rows.join(o, "og_id", "left")
-    given = F.col("o_ae_rva").isNotNull()
-    clash = given & F.col("ae_rva").isNotNull() & (F.col("ae_rva") != F.col("o_ae_rva")) & (F.coalesce("o_allow_candidate_correction", F.lit("no")) != "yes")
-    rva = F.when(clash, F.raise_error(F.concat(F.lit("override conflicts with the candidate of id "), F.col("og_id").cast("string"))).cast("bigint")).when(given, F.col("o_ae_rva")).otherwise(F.col("ae_rva"))
+    given, shown = F.coalesce("_given", F.lit(False)), F.col("og_id").cast("string")
+    clash = F.col("ae_rva").isNotNull() & (F.col("ae_rva") != F.col("o_ae_rva")) & (F.coalesce(F.lower("o_allow_candidate_correction"), F.lit("no")) != "yes")
+    fault = F.when(F.col("o_ae_rva").isNull(), F.concat(F.lit("override without an address: "), shown)).when(clash, F.concat(F.lit("override conflicts with the candidate of id "), shown))
+    rva = F.when(given & fault.isNotNull(), F.raise_error(fault).cast("bigint")).when(given, F.col("o_ae_rva")).otherwise(F.col("ae_rva"))
     pick = lambda new, old: F.when(given, new).otherwise(old)
     return j.select(
         *(F.col(c) for c in rows.columns if c not in ("ae_rva", "confidence_tier", "evidence", "manual_review")), F.col("ae_rva").alias("original_ae_rva"), rva.alias("ae_rva"),
-        pick(F.col("o_confidence_tier"), F.col("confidence_tier")).alias("confidence_tier"), pick(F.col("o_evidence"), F.col("evidence")).alias("evidence"),
-        pick(F.lit("no"), F.col("manual_review")).alias("manual_review"), pick(F.lit("override"), F.lit("candidate")).alias("resolution_source"),
+        pick(F.coalesce("o_confidence_tier", F.lit("high")), F.col("confidence_tier")).alias("confidence_tier"), pick(F.coalesce("o_evidence", F.lit("targeted_override")), F.col("evidence")).alias("evidence"),
+        pick(F.lit("no"), F.col("manual_review")).alias("manual_review"), pick(F.lit("targeted_override"), F.lit("proposed_report")).alias("resolution_source"),
         F.coalesce("o_replacement_strategy", F.lit("id_only")).alias("replacement_strategy"),
     )
 

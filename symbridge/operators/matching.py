@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from symbridge.functions.similarity import closeness, cosine, similar_names
+from symbridge.functions.similarity import closeness, cosine, name_similarity, similar_names
 from symbridge.operators.components import checkpointed
 
 TOP = 10
@@ -127,33 +127,69 @@ def _by_name(t: DataFrame, f: DataFrame, close: Column, same: Column) -> DataFra
     return t.join(named, "t_name").join(f, "f_name").where(~same & ~close).select(*t.columns, *f.columns)
 
 
-def best_access(scored: DataFrame, quality: DataFrame) -> DataFrame:
-    """The one access of each reference: xref, og_id, pair_row, candidate, top, weight, exact.
+def best_access(scored: DataFrame, quality: DataFrame, descriptor: tuple[str, ...] = ()) -> DataFrame:
+    """The one access of each reference: xref, og_id, pair_row, candidate, top, weight, exact, and the descriptor columns of the best access.
 
-    scored: (xref, og_id, pair_row, candidate, score). A reference is dropped if its best score is under .58 or if accesses within .015 of
-    the best lead to different candidates. quality: (pair_row, pair_score, exact); a pair without counts as (.5, not exact).
+    scored: (xref, og_id, pair_row, candidate, score, descriptor columns). A reference is dropped if its best score is under .58 or if accesses
+    within .015 of the best lead to different candidates. quality: (pair_row, pair_score, exact); a pair without counts as (.5, not exact).
     """
     top = scored.withColumn("top", F.max("score").over(W.partitionBy("xref")))
     near = top.where((F.col("top") >= LEAST_CONTEXT) & (F.col("top") - F.col("score") <= NEAR_TIE))
-    one = near.groupBy("xref", "og_id", "pair_row").agg(F.min("candidate").alias("candidate"), F.max("candidate").alias("_other"), F.max("top").alias("top")).where("candidate = _other").drop("_other")
+    told = [F.max_by(F.struct(*descriptor), F.struct("score", *descriptor)).alias("_told")] if descriptor else []
+    one = near.groupBy("xref", "og_id", "pair_row").agg(F.min("candidate").alias("candidate"), F.max("candidate").alias("_other"), F.max("top").alias("top"), *told).where("candidate = _other").drop("_other")
     judged = one.join(quality, "pair_row", "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
     factor = F.when(F.col("exact"), EXACT_FACTOR).otherwise(F.greatest(F.lit(UNKNOWN_QUALITY), F.coalesce("pair_score", F.lit(UNKNOWN_QUALITY))))
-    return judged.withColumn("weight", F.col("top") * factor).drop("pair_score")
+    judged = judged.withColumn("weight", F.col("top") * factor).drop("pair_score")
+    return judged.select("*", "_told.*").drop("_told") if descriptor else judged
 
 
-def votes(best: DataFrame) -> DataFrame:
-    """By (og_id, candidate): vote_score (6 digits), matched, exact, unique pair rows, mean_score (4 digits)."""
-    return best.groupBy("og_id", "candidate").agg(
-        F.round(F.sum("weight"), 6).alias("vote_score"), F.count("*").alias("matched"), F.count_if("exact").alias("exact_matched"),
-        F.count_distinct("pair_row").alias("unique_pair_rows"), F.round(F.avg("top"), 4).alias("mean_score"),
+#: Scores are added as whole numbers of this part of 1, so that a sum does not depend on the order of its terms.
+FIXED = 1_000_000_000
+
+
+def fixed(score: Column) -> Column:
+    return F.round(score * FIXED).cast("bigint")
+
+
+def fixed_sum(score: Column, digits: int) -> Column:
+    """The sum of scores, rounded half up to so many digits."""
+    return _rounded(F.sum(fixed(score)), FIXED // 10**digits) / 10**digits
+
+
+def fixed_mean(score: Column, digits: int) -> Column:
+    """The mean of scores, rounded half up to so many digits."""
+    return _rounded(F.sum(fixed(score)), F.count(score) * (FIXED // 10**digits)) / 10**digits
+
+
+def _rounded(n: Column, unit: Column | int) -> Column:
+    """n / unit to the nearest whole number; n is not negative."""
+    unit = F.lit(unit).cast("bigint")
+    return F.call_function("div", 2 * n + unit, 2 * unit)
+
+
+def votes(best: DataFrame, descriptor: tuple[str, ...] = ()) -> DataFrame:
+    """By (og_id, candidate): vote_score (6 digits), matched, exact, unique pair rows, mean_score (4 digits), and the descriptor columns of the last reference (xref)."""
+    told = [F.max_by(F.struct(*descriptor), "xref").alias("_told")] if descriptor else []
+    out = best.groupBy("og_id", "candidate").agg(
+        fixed_sum(F.col("weight"), 6).alias("vote_score"), F.count("*").alias("matched"), F.count_if("exact").alias("exact_matched"),
+        F.count_distinct("pair_row").alias("unique_pair_rows"), fixed_mean(F.col("top"), 4).alias("mean_score"), *told,
     )
+    return out.select("*", "_told.*").drop("_told") if descriptor else out
 
 
-def coreference_totals(cast: DataFrame) -> DataFrame:
-    """By (target, candidate) of votes with weight and n_refs: vote_score, candidate anchors, single-candidate anchors."""
-    return cast.groupBy("target", "candidate").agg(
-        F.round(F.sum("weight"), 6).alias("vote_score"), F.count_distinct("row").alias("unique_anchor_count"), F.count_if(F.col("n_refs") == 1).alias("single_candidate_anchors")
-    )
+def named_votes(voted: DataFrame, targets: DataFrame) -> DataFrame:
+    """votes() with their descriptor ae_name, and name_score (4 digits): the strict similarity to the target's name; targets (og_id, og_name)."""
+    both = voted.join(targets.select("og_id", "og_name"), "og_id", "left")
+    return name_similarity(both, "og_name", "ae_name", "_score", form="strict").withColumn("name_score", F.round("_score", 4)).drop("_score")
+
+
+def coreference_totals(cast: DataFrame, descriptor: tuple[str, ...] = ()) -> DataFrame:
+    """By (target, candidate) of votes with weight and n_refs: vote_score, candidate anchors, single-candidate anchors, and the descriptor columns of the last anchor (row)."""
+    told = [F.max_by(F.struct(*descriptor), "row").alias("_told")] if descriptor else []
+    out = cast.groupBy("target", "candidate").agg(
+        fixed_sum(F.col("weight"), 6).alias("vote_score"), F.count_distinct("row").alias("unique_anchor_count"), F.count_if(F.col("n_refs") == 1).alias("single_candidate_anchors"), *told
+    )
+    return out.select("*", "_told.*").drop("_told") if descriptor else out
 
 
 def common_value(hits: DataFrame, key: str, value: str, order: str) -> DataFrame:
