@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from symbridge.jobs.registry import query, view
 from symbridge.jobs.score_queries import LAST_CMP, USAGE
 from symbridge.operators import components, decisions, intervals, lookups, matching, metadata, profiles
 from symbridge.operators.decisions import function_choice, global_choice
+from symbridge.sources import rewrites
+from symbridge.sources.folders import new_folder
+from symbridge.sources.ordered_files import write_texts
 
 
 def _uses(spark, d) -> DataFrame:
@@ -480,72 +485,79 @@ registry.ORACLES["a15_library_stats"] = (
 _LIST = "coalesce(array_to_string(list_sort(list({c})), ','), '')"
 
 
-@query(
-    "d5_review_evidence",
-    f"""SELECT * FROM (WITH picked AS (SELECT o_orderkey AS og_id, CASE o_orderkey % 4 WHEN 1 THEN 'medium' ELSE 'review' END AS confidence_tier, CASE WHEN o_orderkey % 5 < 4 THEN 'function' ELSE 'data' END AS kind, CASE WHEN o_orderkey % 5 < 4 THEN o_custkey * 1024 + o_orderkey % 60 ELSE o_custkey * 8 END AS target
+def _evidence_sql(side: str, function: str, data: str) -> str:
+    return f"""SELECT * FROM (WITH picked AS (SELECT o_orderkey AS og_id, o_custkey AS official_ae_id, 'sym' || o_orderkey AS symbol_name, 'e' || (o_orderkey % 3) AS match_evidence, CASE o_orderkey % 4 WHEN 1 THEN 'medium' ELSE 'review' END AS confidence_tier, CASE WHEN o_orderkey % 5 < 4 THEN 'function' ELSE 'data' END AS kind, CASE WHEN o_orderkey % 5 < 4 THEN {function} ELSE {data} END AS target
             FROM orders WHERE o_orderkey % 4 IN (1, 2) AND o_orderkey % 3 <> 0),
-        i AS (SELECT func * 1024 AS func, func * 1024 + idx * 16 AS ea, sig, callee * 1024 AS callee, data_ref * 1024 AS data_ref FROM instr), strings AS (SELECT s_suppkey * 1024 AS ea, s_name AS text FROM supplier WHERE s_suppkey % 10 = 0), owners AS (SELECT c_custkey * 4096 AS ea FROM customer),
-        own AS (SELECT func, string_agg(sig, ' ' ORDER BY ea) AS instructions, {_LIST.format(c="ea || '>' || callee")} AS calls, {_LIST.format(c="ea || '>' || data_ref")} AS data_refs, coalesce(array_to_string(list_sort(list_distinct(list(text))), ','), '') AS strings FROM (SELECT i.*, s.text FROM i LEFT JOIN strings s ON s.ea = data_ref) GROUP BY func),
-        callers AS (SELECT callee AS func, {_LIST.format(c="func")} AS callers FROM i GROUP BY 1),
-        refs AS (SELECT data_ref AS func, {_LIST.format(c="shown")} AS incoming FROM (SELECT i.data_ref, i.ea || ':' || coalesce(CAST(CASE WHEN i.ea - o.ea <= 8192 THEN o.ea END AS VARCHAR), '') || ':' || coalesce(CAST(CASE WHEN i.ea - o.ea <= 8192 THEN (i.ea - o.ea) // 8 END AS VARCHAR), '') AS shown FROM i ASOF LEFT JOIN owners o ON i.ea >= o.ea) GROUP BY 1),
+        i AS (SELECT func * 1024 AS func, func * 1024 + idx * 16 AS ea, sig, callee * 1024 AS callee, data_ref * 1024 AS data_ref FROM instr), strings AS (SELECT s_suppkey * 1024 AS ea, s_name AS text FROM supplier WHERE s_suppkey % 10 = 0), owners AS (SELECT c_custkey * 4096 AS ea, c_name AS name FROM customer),
+        own AS (SELECT func, string_agg(sig, ' ' ORDER BY ea) AS instructions, {_LIST.format(c="ea || '>' || callee || ':' || coalesce(cn, '')")} AS calls, {_LIST.format(c="ea || '>' || data_ref || ':' || coalesce(dn, '')")} AS data_refs, coalesce(array_to_string(list_sort(list_distinct(list(text))), ','), '') AS strings
+            FROM (SELECT i.*, s.text, c.name AS cn, d.name AS dn FROM i LEFT JOIN strings s ON s.ea = data_ref LEFT JOIN owners c ON c.ea = callee LEFT JOIN owners d ON d.ea = data_ref) GROUP BY func),
+        callers AS (SELECT callee AS func, {_LIST.format(c="func || ':' || coalesce(name, '')")} AS callers FROM i LEFT JOIN owners o ON o.ea = func GROUP BY 1),
+        refs AS (SELECT data_ref AS func, {_LIST.format(c="shown")} AS incoming FROM (SELECT i.data_ref, i.ea || ':' || coalesce(CASE WHEN i.ea - o.ea <= 8192 THEN o.ea || ':' || o.name || ':' || (i.ea - o.ea) // 8 END, '::') AS shown FROM i ASOF LEFT JOIN owners o ON i.ea >= o.ea) GROUP BY 1),
         bytes AS (SELECT p.target, string_agg(array_to_string(list_reverse(regexp_extract_all(lpad(lower(hex(w.qword)), 16, '0'), '..')), ''), '' ORDER BY n) AS b FROM (SELECT DISTINCT target FROM picked WHERE kind <> 'function') p, unnest(range(0, 8)) AS t(n) JOIN words w ON w.ea = p.target + 8 * n GROUP BY 1 HAVING count(*) = 8),
-        xrefs AS (SELECT data_ref AS target, {_LIST.format(c="ea || '>' || func || '>' || sig")} AS x FROM i GROUP BY 1)
-        SELECT og_id, kind, confidence_tier, target, CASE WHEN f.start_ea IS NULL THEN 'not_a_function' ELSE 'ok' END AS status, f.end_ea - f.start_ea AS size, coalesce(instructions, '') AS instructions, coalesce(calls, '') AS calls, coalesce(data_refs, '') AS data_refs, coalesce(strings, '') AS strings,
+        xrefs AS (SELECT data_ref AS target, {_LIST.format(c="ea || '>' || func || ':' || coalesce(name, '') || '>' || sig")} AS x FROM (SELECT i.*, f.name FROM i LEFT JOIN func f ON f.start_ea = i.func) GROUP BY 1)
+        SELECT '{side}' AS side, og_id, official_ae_id, symbol_name, match_evidence, kind, confidence_tier, target, CASE WHEN f.start_ea IS NULL THEN 'not_a_function' ELSE 'ok' END AS status, f.end_ea - f.start_ea AS size, f.name, '' AS segment, coalesce(instructions, '') AS instructions, coalesce(calls, '') AS calls, coalesce(data_refs, '') AS data_refs, coalesce(strings, '') AS strings,
             coalesce(callers, '') AS callers, coalesce(incoming, '') AS incoming, '' AS first_64_bytes FROM (SELECT * FROM picked WHERE kind = 'function') p LEFT JOIN func f ON target >= f.start_ea AND target < f.end_ea LEFT JOIN own ON own.func = f.start_ea LEFT JOIN callers c ON c.func = f.start_ea LEFT JOIN refs ON refs.func = f.start_ea
-        UNION ALL SELECT og_id, kind, confidence_tier, p.target, 'ok', NULL, '', '', '', '', '', coalesce(x, ''), coalesce(b, '') FROM (SELECT * FROM picked WHERE kind <> 'function') p LEFT JOIN bytes USING (target) LEFT JOIN xrefs ON xrefs.target = p.target)""",
-    "instr", "func", "words",
-)
+        UNION ALL SELECT '{side}', og_id, official_ae_id, symbol_name, match_evidence, kind, confidence_tier, p.target, 'ok', NULL, o.name, coalesce(s.name, ''), '', '', '', '', '', coalesce(x, ''), coalesce(b, '') FROM (SELECT * FROM picked WHERE kind <> 'function') p LEFT JOIN bytes USING (target) LEFT JOIN xrefs ON xrefs.target = p.target
+            LEFT JOIN owners o ON o.ea = p.target LEFT JOIN segs s ON p.target >= s.start_ea AND p.target < s.end_ea)"""
+
+
+@query("d5_review_evidence", " UNION ALL ".join(_evidence_sql(*x) for x in (("ae221", "o_custkey * 1024 + o_orderkey % 60", "o_custkey * 8"), ("og", "o_custkey * 2048 + o_orderkey % 60", "o_custkey * 16"))), "instr", "func", "words", "segs")
 def d5(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    function = k % 5 < 4
+    at = lambda n: F.when(k % 5 < 4, c * (1024 * n) + k % 60).otherwise(c * (8 * n))
     rows = view(spark, d, "orders").select(
-        k.alias("og_id"), F.when(function, "function").otherwise("data").alias("kind"), F.when(function, c * 1024 + k % 60).otherwise(c * 8).alias("ae_rva"),
+        k.alias("og_id"), c.alias("official_ae_id"), F.concat(F.lit("sym"), k).alias("symbol_name"), F.when(k % 5 < 4, "function").otherwise("data").alias("kind"), at(1).alias("ae_rva"), at(2).alias("og_rva"), F.concat(F.lit("e"), k % 3).alias("evidence"),
         F.element_at(F.array(*map(F.lit, ["high", "medium", "review", "unresolved"])), (k % 4 + 1).cast("int")).alias("confidence_tier"), F.when(k % 3 == 0, "match").otherwise("conflict").alias("existing_ae_id_status"),
     )
     f = F.col("func") * 1024
     i = view(spark, d, "instr").select(f.alias("func"), (f + F.col("idx") * 16).alias("ea"), F.col("sig").alias("text"), (F.col("callee") * 1024).alias("callee"), (F.col("data_ref") * 1024).alias("data_ref"))
     strings = view(spark, d, "supplier").where("s_suppkey % 10 = 0").select((F.col("s_suppkey") * 1024).alias("ea"), F.col("s_name").alias("text"))
-    names = view(spark, d, "customer").select((F.col("c_custkey") * 4096).alias("ea"))
-    picked = decisions.review_selection(rows)
+    names = view(spark, d, "customer").select((F.col("c_custkey") * 4096).alias("ea"), F.col("c_name").alias("name"))
+    functions = view(spark, d, "func").select("start_ea", "end_ea", "name")
     text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
-    joined = lambda list_, sep, *fields: F.coalesce(F.array_join(F.array_sort(F.transform(list_, lambda e: F.concat_ws(sep, *(text(e[x]) for x in fields)))), ","), F.lit(""))
-    plain = lambda list_: F.coalesce(F.array_join(list_.cast("array<string>"), ","), F.lit(""))
-    a = decisions.function_evidence(picked, i, view(spark, d, "func").select("start_ea", "end_ea", "name"), strings, names)
-    a = a.select(
-        "og_id", F.lit("function").alias("kind"), "confidence_tier", "target", "status", "size", F.coalesce(F.array_join("instructions", " "), F.lit("")).alias("instructions"), joined(F.col("calls"), ">", "from_rva", "rva").alias("calls"),
-        joined(F.col("data_refs"), ">", "from_rva", "rva").alias("data_refs"), plain(F.col("strings")).alias("strings"), plain(F.col("callers")).alias("callers"), joined(F.col("incoming_data_refs"), ":", "from_rva", "owner_rva", "slot").alias("incoming"), F.lit("").alias("first_64_bytes"),
-    )
-    b = decisions.global_evidence(picked, view(spark, d, "words"), i)
-    none = F.lit("")
-    b = b.select("og_id", F.lit("data").alias("kind"), "confidence_tier", "target", F.lit("ok").alias("status"), F.lit(None).cast("bigint").alias("size"), none.alias("instructions"), none.alias("calls"), none.alias("data_refs"), none.alias("strings"), none.alias("callers"), joined(F.col("xrefs"), ">", "from_rva", "function_rva", "text").alias("incoming"), "first_64_bytes")
-    return a.unionAll(b)
+    joined = lambda list_, shown: F.coalesce(F.array_join(F.array_sort(F.transform(list_, shown)), ","), F.lit(""))
+    to = lambda e: F.concat(text(e["from_rva"]), F.lit(">"), text(e["rva"]), F.lit(":"), text(e["name"]))
+    none, told = F.lit(""), ["side", "og_id", "official_ae_id", "symbol_name", "match_evidence", "kind", "confidence_tier", "target", "status"]
+    out = []
+    for side in ("ae221", "og"):
+        picked = decisions.review_selection(rows, side)
+        a = decisions.function_evidence(picked, i, functions, strings, names)
+        out.append(a.select(
+            *told, "size", "name", none.alias("segment"), F.coalesce(F.array_join("instructions", " "), none).alias("instructions"), joined(F.col("calls"), to).alias("calls"), joined(F.col("data_refs"), to).alias("data_refs"), joined(F.col("strings"), text).alias("strings"),
+            joined(F.col("callers"), lambda e: F.concat(text(e["rva"]), F.lit(":"), text(e["name"]))).alias("callers"), joined(F.col("incoming_data_refs"), lambda e: F.concat_ws(":", *(text(e[x]) for x in ("from_rva", "owner_rva", "owner_name", "slot")))).alias("incoming"), none.alias("first_64_bytes"),
+        ))
+        b = decisions.global_evidence(picked, view(spark, d, "words"), i, functions, names, view(spark, d, "segs"))
+        ref = lambda e: F.concat(text(e["from_rva"]), F.lit(">"), text(e["function_rva"]), F.lit(":"), text(e["function_name"]), F.lit(">"), text(e["text"]))
+        out.append(b.select(*told, F.lit(None).cast("bigint").alias("size"), "name", F.coalesce("segment", none).alias("segment"), *(none.alias(c) for c in ("instructions", "calls", "data_refs", "strings", "callers")), joined(F.col("xrefs"), ref).alias("incoming"), "first_64_bytes"))
+    return reduce(DataFrame.unionAll, out)
+
+
+_APPLIED = "SELECT o_orderkey AS k, 'proj/src/f' || o_custkey || '.cpp' AS file, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 1 AND (o_orderkey % 4 IN (0, 1) OR o_orderkey % 11 = 0) AS chosen FROM orders"
 
 
 @query(
     "d6_apply_ids",
-    """WITH r AS (SELECT o_orderkey AS k, 'proj/src/f' || o_custkey || '.cpp' AS file, o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 1 AND (o_orderkey % 4 IN (0, 1) OR o_orderkey % 11 = 0) AS chosen FROM orders)
-        SELECT file, string_agg('a = REL::ID(' || CASE WHEN chosen OR k % 13 = 0 THEN k + 100000000 ELSE k END || ');', chr(10) ORDER BY k) AS text, CAST(count(*) FILTER (chosen AND k % 13 <> 0) AS INTEGER) AS replaced, CAST(count(*) FILTER (chosen AND k % 13 = 0) AS INTEGER) AS already,
-            count(*) FILTER (chosen AND k % 13 <> 0) > 0 AS changed FROM r GROUP BY file HAVING count(*) FILTER (chosen) > 0
-        UNION ALL SELECT 'selected_rows', '', CAST(count(*) AS INTEGER), NULL, NULL FROM r WHERE chosen UNION ALL SELECT 'tokens_replaced', '', CAST(count(*) AS INTEGER), NULL, NULL FROM r WHERE chosen AND k % 13 <> 0
-        UNION ALL SELECT 'already_applied', '', CAST(count(*) AS INTEGER), NULL, NULL FROM r WHERE chosen AND k % 13 = 0 UNION ALL SELECT 'files_affected', '', CAST(count(DISTINCT file) AS INTEGER), NULL, NULL FROM r WHERE chosen AND k % 13 <> 0""",
+    f"""WITH r AS ({_APPLIED})
+        SELECT file, string_agg('a = REL::ID(' || CASE WHEN chosen OR k % 13 = 0 THEN k + 100000000 || '' ELSE ' ' || k || ' ' END || ');' || chr(10), '' ORDER BY k) AS text, CAST(NULL AS BIGINT) AS value FROM r GROUP BY file
+        UNION ALL SELECT 'selected_rows', '', CAST(sum(CASE WHEN k % 17 = 0 THEN 2 ELSE 1 END) AS BIGINT) FROM r WHERE chosen UNION ALL SELECT 'tokens_replaced', '', count(*) FROM r WHERE chosen AND k % 13 <> 0
+        UNION ALL SELECT 'already_applied', '', count(*) FROM r WHERE chosen AND k % 13 = 0 UNION ALL SELECT 'files_affected', '', count(DISTINCT file) FROM r WHERE chosen AND k % 13 <> 0""",
 )
 def d6(spark, d):
-    k = F.col("o_orderkey")
-    file = F.concat(F.lit("proj/src/f"), F.col("o_custkey").cast("string"), F.lit(".cpp"))
+    k, tree = F.col("o_orderkey"), new_folder(spark, "tree")
+    name = F.concat(F.lit("f"), F.col("o_custkey").cast("string"), F.lit(".cpp"))
+    file = F.concat(F.lit("proj/src/"), name)
     line = F.concat(F.lit("a = REL::ID("), F.when(k % 13 == 0, F.concat((k + 100_000_000).cast("string"))).otherwise(F.concat(F.lit(" "), k.cast("string"), F.lit(" "))), F.lit(");"))
     o = view(spark, d, "orders")
-    files = o.groupBy(file.alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"))  # a customer's orders are few
+    write_texts(o.select(name.alias("file"), line.alias("line"), "o_orderkey"), "file", "line", f"{tree}/proj/src", ["o_orderkey"])
     report = o.select(
         k.alias("og_id"), (k + 100_000_000).alias("official_ae_id"), F.element_at(F.array(*map(F.lit, ["high", "medium", "review", "unresolved"])), (k % 4 + 1).cast("int")).alias("confidence_tier"), F.when(k % 11 == 0, "match").otherwise("conflict").alias("existing_ae_id_status"),
         F.when(k % 3 == 0, "resolved_aliases").otherwise("resolved_unique").alias("address_library_status"), F.when(k % 5 == 0, "rewrite_global_pointer").when(k % 2 == 0, "id_only").alias("replacement_strategy"),
         F.concat(F.lit("elsewhere/x.cpp:1,"), file, F.lit(":"), k.cast("string"), F.lit(","), file, F.lit(":7")).alias("locations"),
     ).where(k % 7 != 1)
-    selected = decisions.select_replacements(report, "proj", ("high", "medium"), include_existing=True)
-    applied = decisions.apply_ids(files, selected)
-    text = F.regexp_replace("text", r"REL::ID\( (\d+) \)", "REL::ID($1)")
-    out = applied.select("file", text.alias("text"), "replaced", "already", "changed")
-    totals = decisions.replacement_summary(selected, applied).select(F.col("metric").alias("file"), F.lit("").alias("text"), F.col("value").cast("int").alias("replaced"), F.lit(None).cast("int").alias("already"), F.lit(None).cast("boolean").alias("changed"))
-    return out.unionAll(totals)
+    report = report.unionAll(report.where("og_id % 17 = 0"))  # a repeated row counts, and replaces nothing more
+    told = rewrites.apply_report(spark, report, tree, "proj", ("high", "medium"), include_existing=True, apply=True)
+    after = rewrites.read_sources(spark, tree, "proj").select("file", "text", F.lit(None).cast("bigint").alias("value"))
+    return after.unionAll(told.select(F.col("metric").alias("file"), F.lit("").alias("text"), "value"))
 
 
 @query("d7_id_tokens", "SELECT og_id, file, line, kind FROM uses", "uses")

@@ -9,6 +9,7 @@ from symbridge.functions import similarity as m
 from symbridge.functions.scalars import complete_pairs, mnemonic_sequence, normalize_pseudocode
 from symbridge.jobs.registry import query, view
 from symbridge.operators import decisions, lookups, matching, metadata, profiles
+from symbridge.operators.components import checkpointed
 
 CLOSE = "CASE WHEN coalesce({a}, 0) = 0 AND coalesce({b}, 0) = 0 THEN 1.0 ELSE least(abs(coalesce({a}, 0)), abs(coalesce({b}, 0))) / CAST(greatest(abs(coalesce({a}, 0)), abs(coalesce({b}, 0))) AS DOUBLE) END"
 
@@ -73,9 +74,10 @@ def m5(spark, d):
 
 def _scored(spark, d) -> DataFrame:
     """Scored pairs of functions (og, og + 1) with all ten parts; names are equal or generic, so only built-in functions decide."""
-    p = _profiles(spark, d).join(profiles.semantic_hash(view(spark, d, "instr")), "func").join(view(spark, d, "func"), "func").withColumn("size", F.col("end_ea") - F.col("start_ea"))
-    refs = view(spark, d, "instr").groupBy("func").agg(F.collect_set((F.col("data_ref") % 5).cast("string")).alias("refs"), F.collect_set((F.col("callee") % 7).cast("string")).alias("called"))
-    p = p.join(refs, "func")
+    i = profiles.clustered(view(spark, d, "instr").select("func", "idx", "mnemonic", "sig", "callee", "data_ref"))
+    refs = i.groupBy("func").agg(F.collect_set((F.col("data_ref") % 5).cast("string")).alias("refs"), F.collect_set((F.col("callee") % 7).cast("string")).alias("called"))
+    p = profiles.count_maps(i, {"mnemonics": "mnemonic", "instruction_shapes": "sig"}).join(profiles.semantic_hash(i), "func").join(refs, "func")
+    p = checkpointed(p.join(view(spark, d, "func"), "func").withColumn("size", F.col("end_ea") - F.col("start_ea")))
     side = lambda n: F.struct(*p.columns).alias(n)
     pairs = p.where("func % 2 = 0").select("func", side("og")).join(p.where("func % 2 = 1").select((F.col("func") - 1).alias("func"), side("ae")), "func")
     pairs = m.name_similarity(pairs.withColumn("_x", F.col("og.name")).withColumn("_y", F.col("ae.name")), "_x", "_y", "name_score")

@@ -10,7 +10,7 @@ from symbridge.jobs.registry import query, view
 from symbridge.operators import decisions, intervals
 from symbridge.sources import address_library, listings
 from symbridge.sources.folders import new_folder
-from symbridge.sources.ordered_files import write_text
+from symbridge.sources.ordered_files import write_text, write_texts
 
 _LIBS = "SELECT concat('1-10-', CAST(id % 3 AS VARCHAR), '-0') AS version, id, rva FROM lib"
 
@@ -53,9 +53,8 @@ def s4(spark, d):
     c, folder = view(spark, d, "customer"), new_folder(spark, "matches")
     hexed = lambda k: F.hex(F.col("c_custkey") * k + listings.IMAGE_BASE)
     line = F.when(F.col("c_custkey") % 11 == 0, hexed(16)).otherwise(F.concat_ws("\t", hexed(16), hexed(32), F.lit("more")))
-    for n in range(5):
-        rows = c.where(F.col("c_nationkey") % 5 == n).select("c_custkey", line.alias("line"))
-        write_text(rows, "line", f"{folder}/1.10.{n}_1.11.{n}.txt", ["c_custkey"], head="header\n" * listings.HEADER_LINES)
+    n = F.col("c_nationkey") % 5
+    write_texts(c.select(F.format_string("1.10.%d_1.11.%d.txt", n, n).alias("file"), line.alias("line"), "c_custkey"), "file", "line", folder, ["c_custkey"], head="header\n" * listings.HEADER_LINES)
     write_text(c.select("c_name"), "c_name", f"{folder}/notes.txt", [])
     return listings.match_files(spark, folder).select(*(F.concat_ws(".", *(F.col(f"{v}.{p}").cast("string") for p in ("major", "minor", "build", "sub"))).alias(v) for v in ("lver", "rver")), "lrva", "rrva")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,15 +50,21 @@ def linked_groups(links: DataFrame) -> DataFrame:
     return roots.select("node.*", F.col("root.version").alias("_v"), F.col("root.rva").alias("_r")).join(numbers, ["_v", "_r"]).select("version", "rva", "number")
 
 
+#: Rounds of a pointer closure that are kept as tables of their own before they are put together.
+MOST_ROUNDS = 16
+
+
 def pointer_closure(starts: DataFrame, words: DataFrame, slot: int = 8) -> DataFrame:
     """All addresses that lead to the start set: ea - slot of every word whose value is in the set, until it grows no more.
 
     starts (ea), words (ea, qword).
     """
-    known = checkpointed(starts.select("ea").distinct())
-    edge = known
-    while not edge.isEmpty():
-        more = words.join(edge.select(F.col("ea").alias("qword")), "qword", "left_semi").select((F.col("ea") - slot).alias("ea")).distinct()
-        edge = checkpointed(more.join(known, "ea", "left_anti"))
-        known = checkpointed(known.unionAll(edge))
-    return known
+    found = [checkpointed(starts.select("ea").distinct())]
+    while not found[-1].isEmpty():
+        more = words.join(found[-1].select(F.col("ea").alias("qword")), "qword", "left_semi").select((F.col("ea") - slot).alias("ea")).distinct()
+        for known in found:  # each round writes its own addresses alone
+            more = more.join(known, "ea", "left_anti")
+        found.append(checkpointed(more))
+        if len(found) > MOST_ROUNDS:
+            found = [checkpointed(reduce(DataFrame.unionAll, found[:-1])), found[-1]]
+    return reduce(DataFrame.unionAll, found)

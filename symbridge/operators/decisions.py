@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbridge.operators.intervals import containing, nearest
-from symbridge.operators.lookups import aliases, last_wins
+from symbridge.operators.lookups import aliases, first_wins, last_wins
 
 # Fixed value: how far before an address its named owner may lie.
 OWNER_DISTANCE = 0x2000
@@ -144,36 +144,51 @@ def offset_changes(rows: DataFrame) -> DataFrame:
     return rows.where(differ).select("row", shown(F.array_intersect(a, b)).alias("common_offsets"), shown(F.array_except(a, b)).alias("og_only_offsets"), shown(F.array_except(b, a)).alias("ae_only_offsets"))
 
 
-def review_selection(rows: DataFrame) -> DataFrame:
-    """Medium and review rows whose existing id is no match: og_id, kind, confidence_tier, target (the address ae_rva)."""
-    return rows.where(F.col("confidence_tier").isin("medium", "review") & (F.col("existing_ae_id_status") != "match")).select("og_id", "kind", "confidence_tier", F.col("ae_rva").alias("target"))
+#: What review records tell of their candidate beside the evidence.
+REVIEWED = ("og_id", "official_ae_id", "symbol_name", "kind", "confidence_tier", "match_evidence", "side", "target")
+
+
+def review_selection(rows: DataFrame, side: str = "ae221") -> DataFrame:
+    """Medium and review rows whose existing id is no match, as REVIEWED: target is their address on the side (og: og_rva, else ae_rva)."""
+    picked = rows.where(F.col("confidence_tier").isin("medium", "review") & (F.coalesce("existing_ae_id_status", F.lit("")) != "match"))
+    return picked.select("og_id", "official_ae_id", "symbol_name", "kind", "confidence_tier", F.col("evidence").alias("match_evidence"), F.lit(side).alias("side"), F.col("og_rva" if side == "og" else "ae_rva").alias("target"))
 
 
 def function_evidence(rows: DataFrame, instructions: DataFrame, functions: DataFrame, strings: DataFrame, names: DataFrame) -> DataFrame:
     """review_selection() of functions with what the function at the target holds; status not_a_function where there is none.
 
-    instructions: ea, func (a start_ea), text, callee and data_ref (addresses); functions: start_ea, end_ea, name; strings: ea, text;
-    names: ea. Lists are bounded by a function, those of references to it by the selection: only its functions are looked at.
+    instructions: ea, func (a start_ea), text, callee and data_ref (addresses); functions: start_ea, end_ea, name and further columns
+    (type, pseudocode); strings: ea, text; names: ea, name. References carry the name at their address, incoming ones their nearest
+    owner. Lists are bounded by a function, those of references to it by the selection: only its functions are looked at.
     """
-    placed = containing(rows.where("kind = 'function'"), functions.select("start_ea", "end_ea", "name"), "target")
+    placed = containing(rows.where("kind = 'function'"), functions, "target")
     picked = placed.select(F.col("start_ea").alias("func")).where("func IS NOT NULL").distinct()
+    called = first_wins(names.select("ea", "name"), ["ea"], ["name"])
+    at = lambda c: called.select(F.col("ea").alias(c), F.col("name").alias(f"{c}_name"))
     own = instructions.join(picked, "func", "left_semi").join(strings.select(F.col("ea").alias("data_ref"), F.col("text").alias("string")), "data_ref", "left")
-    listed = lambda target: F.array_sort(F.collect_list(F.when(F.col(target).isNotNull(), F.struct(F.col("ea").alias("from_rva"), F.col(target).alias("rva")))))
+    own = own.join(at("callee"), "callee", "left").join(at("data_ref"), "data_ref", "left")
+    listed = lambda target: F.array_sort(F.collect_list(F.when(F.col(target).isNotNull(), F.struct(F.col("ea").alias("from_rva"), F.col(target).alias("rva"), F.col(f"{target}_name").alias("name")))))
     held = own.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("ea", "text"))).alias("i"), listed("callee").alias("calls"), listed("data_ref").alias("data_refs"), F.array_sort(F.collect_set("string")).alias("strings"))
     held = held.withColumn("instructions", F.col("i.text")).drop("i")
-    callers = instructions.select(F.col("func").alias("caller"), F.col("callee").alias("func")).join(picked, "func", "left_semi").groupBy("func").agg(F.array_sort(F.collect_list("caller")).alias("callers"))
+    callers = instructions.select(F.col("func").alias("caller"), F.col("callee").alias("func")).join(picked, "func", "left_semi").join(at("caller"), "caller", "left")
+    callers = callers.groupBy("func").agg(F.array_sort(F.collect_list(F.struct(F.col("caller").alias("rva"), F.col("caller_name").alias("name")))).alias("callers"))
     to = instructions.select(F.col("ea").alias("from_rva"), F.col("data_ref").alias("func")).join(picked, "func", "left_semi")
-    owned = nearest(to, names.select(F.col("ea").alias("owner_rva")).distinct(), "from_rva", "owner_rva", forward=False, within=OWNER_DISTANCE)
-    incoming = owned.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("from_rva", "owner_rva", F.floor((F.col("from_rva") - F.col("owner_rva")) / 8).alias("slot")))).alias("incoming_data_refs"))
+    owned = nearest(to, called.select(F.col("ea").alias("owner_rva"), F.col("name").alias("owner_name")), "from_rva", "owner_rva", forward=False, within=OWNER_DISTANCE)
+    slot = F.floor((F.col("from_rva") - F.col("owner_rva")) / 8).alias("slot")
+    incoming = owned.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("from_rva", "owner_rva", "owner_name", slot))).alias("incoming_data_refs"))
     out = placed.withColumnRenamed("start_ea", "func").join(held, "func", "left").join(callers, "func", "left").join(incoming, "func", "left")
+    more = [c for c in functions.columns if c not in ("start_ea", "end_ea")]
     return out.select(
-        "og_id", "confidence_tier", "target", F.when(F.col("func").isNull(), "not_a_function").otherwise("ok").alias("status"), F.col("func").alias("start_rva"), (F.col("end_ea") - F.col("func")).alias("size"), "name",
+        *REVIEWED, F.when(F.col("func").isNull(), "not_a_function").otherwise("ok").alias("status"), F.col("func").alias("start_rva"), F.col("end_ea").alias("end_rva"), (F.col("end_ea") - F.col("func")).alias("size"), *more,
         "instructions", "calls", "data_refs", "strings", "callers", "incoming_data_refs",
     )
 
 
-def global_evidence(rows: DataFrame, words: DataFrame, instructions: DataFrame) -> DataFrame:
-    """review_selection() of globals with the first 64 bytes at the target (hex, from 8-byte words; "" if one is unknown) and the references to it (from_rva, function, text)."""
+def global_evidence(rows: DataFrame, words: DataFrame, instructions: DataFrame, functions: DataFrame, names: DataFrame, segments: DataFrame) -> DataFrame:
+    """review_selection() of globals with the name and segment at the target, its first 64 bytes (hex, from 8-byte words; "" if one is unknown) and the references to it.
+
+    names: ea, name; segments: name, start_ea, end_ea; functions: start_ea, name. A reference tells from_rva, function_rva, function_name and text.
+    """
     picked = rows.where("kind <> 'function'")
     at = picked.select("target").distinct()
     swapped = lambda q: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(q), 16, "0"), F.lit("(..)"), F.lit(1))), "")
@@ -181,8 +196,21 @@ def global_evidence(rows: DataFrame, words: DataFrame, instructions: DataFrame)
     held = each.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("n", F.lower(swapped(F.col("qword"))).alias("hex")))).alias("l"))
     held = held.where(F.size("l") == 8).select("target", F.array_join(F.col("l.hex"), "").alias("first_64_bytes"))
     refs = instructions.select(F.col("data_ref").alias("target"), F.col("ea").alias("from_rva"), F.col("func").alias("function_rva"), "text").join(at, "target", "left_semi")
-    refs = refs.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("from_rva", "function_rva", "text"))).alias("xrefs"))
-    return picked.join(held, "target", "left").join(refs, "target", "left").select("og_id", "confidence_tier", "target", F.coalesce("first_64_bytes", F.lit("")).alias("first_64_bytes"), "xrefs")
+    refs = refs.join(functions.select(F.col("start_ea").alias("function_rva"), F.col("name").alias("function_name")), "function_rva", "left")
+    refs = refs.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("from_rva", "function_rva", "function_name", "text"))).alias("xrefs"))
+    named = first_wins(names.select(F.col("ea").alias("target"), "name"), ["target"], ["name"]).join(at, "target", "left_semi")
+    inside = first_wins(containing(at, segments.select(F.col("name").alias("segment"), "start_ea", "end_ea"), "target", how="inner").select("target", "start_ea", "segment"), ["target"], ["start_ea", "segment"]).select("target", "segment")
+    out = picked.join(held, "target", "left").join(refs, "target", "left").join(named, "target", "left").join(inside, "target", "left")
+    return out.select(*REVIEWED, F.lit("ok").alias("status"), "name", "segment", F.coalesce("first_64_bytes", F.lit("")).alias("first_64_bytes"), "xrefs")
+
+
+def evidence_lines(evidence: DataFrame) -> DataFrame:
+    """og_id, side and line of evidence as JSON records: what REVIEWED tells, the address in hex, and all else as the record's evidence."""
+    from symbridge.functions.scalars import render_rva
+
+    rest = F.struct(*(c for c in evidence.columns if c not in REVIEWED))
+    record = F.struct("kind", "side", "og_id", "official_ae_id", "symbol_name", "confidence_tier", "match_evidence", render_rva(F.col("target")).alias("target_rva"), rest.alias("evidence"))
+    return evidence.select("og_id", "side", F.to_json(record, {"ignoreNullFields": "false"}).alias("line"))
 
 
 TOKEN = r"REL::ID\s*\(\s*(\d+)\s*\)"
@@ -197,7 +225,7 @@ def id_tokens(lines: DataFrame, spaces: bool = True) -> DataFrame:
 
 
 def select_replacements(report: DataFrame, root: str, tiers: tuple[str, ...] = ("high",), include_existing: bool = False) -> DataFrame:
-    """(og_id, new_id, file) of the rows of a resolved report that are to be applied, one for each place named in locations.
+    """(og_id, new_id, file, place) of the rows of a resolved report that are to be applied, one for each file named in locations; a row's first has place 0.
 
     Rows of the tiers, or (include_existing) whose existing id matches; of these only resolved_unique ones to be replaced by id alone.
     A place is `root/include/..:line` or `root/src/..:line`; a selected row without one is an error.
@@ -208,12 +236,12 @@ def select_replacements(report: DataFrame, root: str, tiers: tuple[str, ...] = (
     rows = report.where(chosen & (F.col("address_library_status") == "resolved_unique") & (F.coalesce("replacement_strategy", F.lit("id_only")) == "id_only"))
     files = F.array_distinct(F.regexp_extract_all(F.coalesce("locations", F.lit("")), F.lit(f"({re.escape(root)}/(?:include|src)/[^,:]+):[0-9]+"), F.lit(1)))
     lost = F.raise_error(F.concat(F.lit("no source location for "), F.col("og_id").cast("string"))).cast("array<string>")
-    return rows.select("og_id", F.col("official_ae_id").alias("new_id"), F.explode(F.when(F.size(files) == 0, lost).otherwise(files)).alias("file"))
+    return rows.select("og_id", F.col("official_ae_id").alias("new_id"), F.posexplode(F.when(F.size(files) == 0, lost).otherwise(files)).alias("place", "file")).select("og_id", "new_id", "file", "place")
 
 
 def replacement_summary(selected: DataFrame, applied: DataFrame) -> DataFrame:
-    """(metric, value): selected rows, files affected, tokens replaced, mappings already applied; what a dry run reports."""
-    return selected.agg(F.count_distinct("og_id").alias("value")).select(F.lit("selected_rows").alias("metric"), "value").unionAll(
+    """(metric, value): selected rows of the report, files affected, tokens replaced, mappings already applied; what a dry run reports."""
+    return selected.agg(F.count_if(F.col("place") == 0).alias("value")).select(F.lit("selected_rows").alias("metric"), "value").unionAll(
         long_metrics(applied.agg(F.count_if("changed").alias("files_affected"), F.coalesce(F.sum("replaced"), F.lit(0)).alias("tokens_replaced"), F.coalesce(F.sum("already"), F.lit(0)).alias("already_applied")))
     )
 

@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from symbridge.operators.intervals import containing, nearest
+from symbridge.sources.folders import new_folder
 
 CONTEXT_RADIUS = 3
 PRECEDING = 12
 MOST_SLOTS = 512
 
 
+def clustered(instructions: DataFrame, buckets: int | None = None) -> DataFrame:
+    """instructions as a table of the shared folder that is bucketed by func and sorted by idx: what is grouped or windowed by func after it is not shuffled again."""
+    spark, name = instructions.sparkSession, f"instructions_{uuid.uuid4().hex}"
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = instructions.repartition(n, "func").write.bucketBy(n, "func").sortBy("func", "idx")
+    rows.option("path", new_folder(spark, "clustered")).saveAsTable(name)
+    return spark.table(name)
+
+
 def count_maps(instructions: DataFrame, columns: dict[str, str]) -> DataFrame:
     """By func: instruction_count, and for each (out, column) a map of the column's values to counts; empty values are left out.
 
@@ -105,8 +117,9 @@ def coreference_votes(og_refs: DataFrame, ae_refs: DataFrame, targets: DataFrame
     """
     total = ae_refs.groupBy("row").agg(F.count("*").alias("n_refs"))
     hits = og_refs.join(targets.select(F.col("rva")), "rva", "left_semi").select("row", F.col("rva").alias("target"), F.col("segment_class").alias("og_class"), F.col("name").alias("og_name"))
-    each = hits.join(ae_refs.select("row", F.col("rva").alias("candidate"), F.col("segment_class").alias("ae_class"), F.col("name").alias("ae_name")), "row").join(total, "row")
-    kept = each.where((F.col("og_class") == "") | (F.col("og_class") == F.col("ae_class")))
+    more = [F.col("segment").alias("ae_segment")] if "segment" in ae_refs.columns else []
+    each = hits.join(ae_refs.select("row", F.col("rva").alias("candidate"), F.col("segment_class").alias("ae_class"), F.col("name").alias("ae_name"), *more), "row").join(total, "row")
+    kept = each.where((F.coalesce("og_class", F.lit("")) == "") | (F.col("og_class") == F.col("ae_class")))
     return kept.withColumn("base_weight", 1.0 / F.greatest(F.lit(1), F.col("n_refs")) + 0.35)
 
 

@@ -110,15 +110,18 @@ class OrderedWriter(DataSourceArrowWriter):
 
 
 class TextWriter(OrderedWriter):
-    """Lines (file, value), each with the ending; head and tail as they are."""
+    """Lines, each with the ending, of one named file or of the file that stands before them; head and tail as they are."""
 
-    def __init__(self, folder: str, name: str, head: str, tail: str, ending: str):
+    def __init__(self, folder: str, name: str | None, head: str, tail: str, ending: str):
         super().__init__(folder)
-        self.always, self.opening, self.closing, self.ending = (name,), head.encode(), tail.encode(), ending
+        self.always, self.opening, self.closing, self.ending = () if name is None else (name,), head.encode(), tail.encode(), ending
 
     def pieces(self, batch: pa.RecordBatch) -> Iterator[tuple[str, bytes, int]]:
-        if len(batch):
-            yield self.always[0], (self.ending.join(batch.column(0).to_pylist()) + self.ending).encode(), len(batch)
+        *named, values = (c.to_pylist() for c in batch.columns)
+        files = named[0] if named else self.always * len(values)
+        cuts = [i for i in range(len(files)) if i == 0 or files[i] != files[i - 1]] + [len(files)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield files[a], (self.ending.join(values[a:b]) + self.ending).encode(), b - a
 
     def head(self, file: str, entries: int) -> bytes:
         return self.opening
@@ -128,7 +131,7 @@ class TextWriter(OrderedWriter):
 
 
 class OrderedText(DataSource):
-    """Writes value (string) as the lines of one text file; options name, head, tail and ending."""
+    """Writes value (string) as the lines of one text file, or (file, value) as those of many; options name, head, tail and ending."""
 
     @classmethod
     def name(cls) -> str:
@@ -136,7 +139,7 @@ class OrderedText(DataSource):
 
     def writer(self, schema, overwrite: bool) -> TextWriter:
         o = self.options
-        return TextWriter(o["path"], o["name"], o.get("head", ""), o.get("tail", ""), o.get("ending", "\n"))
+        return TextWriter(o["path"], o.get("name"), o.get("head", ""), o.get("tail", ""), o.get("ending", "\n"))
 
 
 def write_text(lines: DataFrame, value: str, path: str, order: list[str], head: str = "", tail: str = "", ending: str = "\n") -> None:
@@ -145,3 +148,10 @@ def write_text(lines: DataFrame, value: str, path: str, order: list[str], head:
     lines.sparkSession.dataSource.register(OrderedText)
     folder, _, name = path.rpartition("/")
     rows.select(lines[value].alias("value")).write.format("ordered_text").options(name=name, head=head, tail=tail, ending=ending).mode("append").save(folder)
+
+
+def write_texts(lines: DataFrame, file: str, value: str, folder: str, order: list[str], head: str = "", tail: str = "", ending: str = "\n") -> None:
+    """A text file in the folder for each value of the column `file` (a name), of its lines in the order of other columns."""
+    lines.sparkSession.dataSource.register(OrderedText)
+    rows = lines.repartitionByRange(file, *order).sortWithinPartitions(file, *order).select(lines[file].alias("file"), lines[value].alias("value"))
+    rows.write.format("ordered_text").options(head=head, tail=tail, ending=ending).mode("append").save(folder)
