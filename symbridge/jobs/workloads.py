@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symbridge.functions import scalars
 from symbridge.functions import similarity as m
 from symbridge.operators import components, decisions, lookups, matching, metadata, profiles
 from symbridge.sources import address_library, listings
@@ -51,17 +52,22 @@ def context_scores(xrefs: DataFrame, old: DataFrame, new: DataFrame, accesses: D
 
     xrefs (og_id, func, idx) of the targets, old and new instructions (func, idx, sig, mnemonic), accesses (func, idx, target) of the new side
     (calls and jumps for functions, data references for globals), pairs (row, og_rva, ae_rva), quality (pair_row, pair_score, exact).
-    Signatures and windows are compared once for each distinct pair of them.
+    Signatures and windows are compared once for each distinct pair of them. Of globals, xrefs tell og_segment and accesses name and
+    segment of their target; accesses of another class of segments are left out, and names and segments go along as ae_name, ae_segment.
     """
     columns = ["func", "idx", "sig", "window", "mnemonic", "position"]
     found = profiles.anchors(xrefs, profiles.contexts(old).select(columns), pairs)
     placed = accesses.join(profiles.contexts(new).select(columns), ["func", "idx"])
     each = profiles.access_candidates(found, placed).join(quality.select("pair_row", "exact"), "pair_row", "left")
+    if "og_segment" in xrefs.columns:  # globals are looked for in the class of their segment
+        wanted = scalars.segment_class(F.coalesce("og_segment", F.lit("")))
+        each = each.where((wanted == "") | (wanted == scalars.segment_class(F.coalesce("new_segment", F.lit("")))))
     each = m.sequence_ratio(m.sequence_ratio(each, "sig", "new_sig", "_sig"), "window", "new_window", "_window")
     same = F.coalesce("exact", F.lit(False)) & (F.col("idx") == F.col("new_idx"))
     score = m.context_score(F.col("_sig"), F.col("_window"), F.col("position"), F.col("new_position"), F.col("mnemonic") == F.col("new_mnemonic"), same)
     site = F.concat_ws(":", *(F.col(c).cast("string") for c in ("og_id", "func", "idx", "pair_row")))  # a function of several pairs is an anchor for each
-    return each.select(site.alias("xref"), "og_id", "pair_row", F.col("new_target").alias("candidate"), score.alias("score"))
+    told = [F.col(f"new_{c}").alias(f"ae_{c}") for c in ("name", "segment") if c in accesses.columns]
+    return each.select(site.alias("xref"), "og_id", "pair_row", F.col("new_target").alias("candidate"), score.alias("score"), *told)
 
 
 def semantic_scores(targets: DataFrame, functions: DataFrame, mapped: DataFrame) -> DataFrame:
@@ -82,18 +88,71 @@ def semantic_scores(targets: DataFrame, functions: DataFrame, mapped: DataFrame)
     return scored.join(taken, "candidate", "left").withColumn("mapped_to_other", F.coalesce("_taken", F.lit(False))).drop("_taken")
 
 
-def rank_candidates(targets: DataFrame, functions: DataFrame, mapped: DataFrame, calls: DataFrame, data: DataFrame, quality: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
+def rank_candidates(targets: DataFrame, functions: DataFrame, mapped: DataFrame, calls: DataFrame, data: DataFrame, quality: DataFrame, globals_: DataFrame) -> dict[str, DataFrame]:
     """From exports to the ten best candidates: semantic (all targets against all functions), call (calls: context_scores() of functions) and data (of globals).
 
-    names (og_id, candidate, name_score) of globals; a pair without is 0.
+    globals_ (og_id, og_name): their names are compared with those of the candidates, which data tells as ae_name, ae_segment.
     """
     semantic = matching.semantic_top(semantic_scores(targets, functions, mapped))
     best = semantic.where("rank = 1").select("og_id", F.col("candidate").alias("semantic_rva"))
     called = matching.call_context_top(matching.votes(matching.best_access(calls, quality)), targets.select("og_id").join(best, "og_id", "left"))
-    voted = matching.votes(matching.best_access(data, quality)).join(names, ["og_id", "candidate"], "left").withColumn("name_score", F.coalesce("name_score", F.lit(0.0)))
+    told = ("ae_name", "ae_segment")
+    voted = matching.named_votes(matching.votes(matching.best_access(data, quality, told), told), globals_)
     return {"semantic": semantic, "call": called, "data": matching.global_context_top(voted)}
 
 
+def rank_coreferences(og: DataFrame, ae: DataFrame, targets: DataFrame) -> DataFrame:
+    """The ten best candidates of globals (targets: og_id, rva) by what paired functions refer to, and an unresolved row for a target without; from two exports of records.
+
+    Each pair whose old function refers to a target votes for what its new one refers to in the same class of segments: a share, a bonus, and
+    twice the similarity of names. Names and segments of a target are the most common ones of its references, the first seen on a tie.
+    """
+    pairs = lookups.pair_exports(og, ae, strict=True).where("og.function.status = 'ok' AND ae.function.status = 'ok'")
+    refs = lambda side: pairs.select("row", F.explode(f"{side}.function.data_refs").alias("r")).select("row", "r.rva", F.coalesce("r.name", F.lit("")).alias("name"), F.coalesce("r.segment", F.lit("")).alias("segment"))
+    one = lambda rows: lookups.last_wins(rows, ["row", "rva"], ["name", "segment"]).withColumn("segment_class", scalars.segment_class(F.col("segment")))
+    old, new = components.checkpointed(one(refs("og"))), components.checkpointed(one(refs("ae")))
+    hits = old.join(targets.select("rva").distinct(), "rva", "left_semi").select(F.col("rva").alias("target"), "row", F.col("name").alias("og_name"), F.col("segment").alias("og_segment"))
+    cast = m.name_similarity(profiles.coreference_votes(old, new, targets), "og_name", "ae_name", "_name", form="reference").withColumn("weight", F.col("base_weight") + 2 * F.col("_name"))
+    told = hits.groupBy("target").agg(F.count_distinct("row").alias("anchor_count"))
+    for c in ("og_name", "og_segment"):
+        told = told.join(matching.common_value(hits, "target", c, "row"), "target")
+    totals = matching.coreference_totals(cast, ("ae_name", "ae_segment")).join(told, "target")
+    named = m.name_similarity(totals, "og_name", "ae_name", "_name", form="reference").withColumn("name_score", F.round("_name", 4)).drop("_name")
+    best = matching.coreference_top(named)
+    out = targets.select("og_id", F.col("rva").alias("target")).join(best, "target", "left")
+    return out.withColumn("confidence", F.coalesce("confidence", F.lit("unresolved"))).withColumn("anchor_count", F.when(F.col("rank").isNull(), 0).otherwise(F.col("anchor_count")))
+
+
+def compare_decompiles(old: DataFrame, new: DataFrame) -> DataFrame:
+    """A comparison of the evidence of both sides by og_id; a candidate on one side only is an error.
+
+    Both: decisions.REVIEWED, name, size, pseudocode, instructions, calls, strings, first_64_bytes (null where they do not apply). Functions are scored by
+    pseudocode, mnemonics, size, numbers of calls and strings; globals by their first bytes.
+    """
+    parts = ("target", "name", "size", "pseudocode", "instructions", "calls", "strings", "first_64_bytes")
+    j = lookups.equal_key_join(old.select(*(c for c in decisions.REVIEWED if c not in ("target", "side")), F.struct(*parts).alias("o")), new.select("og_id", F.struct(*parts).alias("n")), "og_id")
+    function, text = F.col("kind") == "function", lambda c: F.when(function, F.coalesce(c, F.lit(""))).otherwise("")
+    j = j.withColumns({"_po": text(scalars.normalize_pseudocode(F.col("o.pseudocode"))), "_pn": text(scalars.normalize_pseudocode(F.col("n.pseudocode"))), "_mo": text(scalars.mnemonic_sequence(F.col("o.instructions"))), "_mn": text(scalars.mnemonic_sequence(F.col("n.instructions")))})
+    j = j.withColumns({"_bo": F.when(function, "").otherwise(F.coalesce("o.first_64_bytes", F.lit(""))), "_bn": F.when(function, "").otherwise(F.coalesce("n.first_64_bytes", F.lit("")))})
+    for a, b, name in (("_po", "_pn", "pseudocode_ratio"), ("_mo", "_mn", "mnemonic_ratio"), ("_bo", "_bn", "_bytes")):
+        j = m.sequence_ratio(j, a, b, name, junk=False)
+    count = lambda c: F.coalesce(F.size(c), F.lit(0))
+    only = lambda c: F.when(function, c)
+    size, calls, strings = m.closeness(F.col("o.size"), F.col("n.size")), m.closeness(count("o.calls"), count("n.calls")), m.jaccard(F.col("o.strings"), F.col("n.strings"))
+    score = F.when(function, m.decompile_score(F.col("pseudocode_ratio"), F.col("mnemonic_ratio"), size, calls, strings)).otherwise(F.col("_bytes"))
+    return j.select(
+        "og_id", "official_ae_id", "confidence_tier", "kind", "match_evidence", "symbol_name", F.col("o.target").alias("og_rva"), F.col("n.target").alias("ae_rva"), F.col("o.name").alias("og_name"), F.col("n.name").alias("ae_name"), F.col("o.size").alias("og_size"), F.col("n.size").alias("ae_size"),
+        *(only(F.round(c, 6)).alias(n) for c, n in ((F.col("pseudocode_ratio"), "pseudocode_ratio"), (F.col("mnemonic_ratio"), "mnemonic_ratio"), (size, "size_ratio"), (calls, "call_count_ratio"), (strings, "string_jaccard"))), F.round(score, 6).alias("combined_score"),
+    )
+
+
+def decompile_summary(compared: DataFrame) -> DataFrame:
+    """(metric, value): candidates, functions, and functions by bands of their score."""
+    functions = compared.where("kind = 'function'")
+    counts = compared.agg(F.count("*").alias("candidates_compared"), F.count_if(F.col("kind") == "function").alias("functions_compared"))
+    return decisions.long_metrics(counts).unionAll(decisions.score_bands(functions, "combined_score"))
+
+
 def map_unmatched(scored: DataFrame, call_scored: DataFrame, data_scored: DataFrame, quality: DataFrame, used: DataFrame, confirmed: DataFrame, special: DataFrame, library: DataFrame, overrides: DataFrame) -> DataFrame:
     """From scored candidates to resolved ids: top lists, choices, consolidation, overrides, resolution.
 

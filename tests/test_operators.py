@@ -194,6 +194,10 @@ def test_override_conflict_fails(spark):
     o = "og_id bigint, ae_rva bigint, confidence_tier string, evidence string, replacement_strategy string, allow_candidate_correction string"
     with pytest.raises(Exception, match="override conflicts"):
         lookups.apply_overrides(candidates, spark.createDataFrame([(1, 6, "high", "r", "id_only", "no")], o)).collect()
+    with pytest.raises(Exception, match="without an address: 1"):
+        lookups.apply_overrides(candidates, spark.createDataFrame([(1, None, "high", "r", "id_only", "yes")], o)).collect()
+    got = lookups.apply_overrides(candidates, spark.createDataFrame([(1, 6, None, None, None, "Yes"), (9, None, None, None, None, None)], o)).collect()
+    assert [(r["ae_rva"], r["confidence_tier"], r["evidence"], r["replacement_strategy"], r["resolution_source"], r["manual_review"]) for r in got] == [(6, "high", "targeted_override", "id_only", "targeted_override", "no")]
     got = lookups.apply_overrides(candidates, spark.createDataFrame([(1, 6, "high", "r", "id_only", "yes")], o)).first()
     assert (got["ae_rva"], got["original_ae_rva"], got["confidence_tier"]) == (6, 5, "high")
 
@@ -248,7 +252,7 @@ def test_replacements_are_selected_by_tier_match_and_place(spark):
     one = (1, 11, "high", "conflict", "resolved_unique", None, "lib/src/a.cpp:3,lib/src/a.cpp:9,other/b.cpp:1,lib/include/c.h:2")
     rows_ = [one, (2, 12, "medium", "match", "resolved_unique", "id_only", "lib/src/a.cpp:1"), (3, 13, "high", "match", "resolved_aliases", "id_only", ""), (4, 14, "high", None, "resolved_unique", "rewrite_global_pointer", ""), (5, 15, None, None, "resolved_unique", None, "")]
     report = spark.createDataFrame(rows_, schema)
-    assert rows(decisions.select_replacements(report, "lib")) == [(1, 11, "lib/include/c.h"), (1, 11, "lib/src/a.cpp")]
+    assert rows(decisions.select_replacements(report, "lib").drop("place")) == [(1, 11, "lib/include/c.h"), (1, 11, "lib/src/a.cpp")]
     assert len(rows(decisions.select_replacements(report, "lib", ("high",), include_existing=True))) == 3
     with pytest.raises(Exception, match="no source location"):
         decisions.select_replacements(spark.createDataFrame([(*one[:6], "other/b.cpp:1")], schema), "lib").collect()
@@ -302,7 +306,7 @@ def test_exports_to_ranked_candidates(spark):
     old = spark.createDataFrame([(f, i, sig, sig.split(":")[0]) for f, sigs in code.items() for i, sig in enumerate(sigs)], "func bigint, idx bigint, sig string, mnemonic string")
     new = old.withColumn("func", F.col("func") + 100)
     xrefs = spark.createDataFrame([(50, 1, 1), (50, 2, 1), (51, 2, 2)], "og_id bigint, func bigint, idx bigint")
-    accesses = spark.createDataFrame([(101, 1, 900), (102, 1, 900), (102, 2, 901)], "func bigint, idx bigint, target bigint")
+    accesses = spark.createDataFrame([(101, 1, 900, "Alpha", ".data"), (102, 1, 900, "Alpha", ".data"), (102, 2, 901, "sub_99", ".data")], "func bigint, idx bigint, target bigint, name string, segment string")
     pairs = spark.createDataFrame([(2, 1, 101), (3, 2, 102)], "row int, og_rva bigint, ae_rva bigint")
     quality = spark.createDataFrame([(2, 0.9, True), (3, 0.8, False)], "pair_row int, pair_score double, exact boolean")
     scored = workloads.context_scores(xrefs, old, new, accesses, pairs, quality)
@@ -313,12 +317,17 @@ def test_exports_to_ranked_candidates(spark):
     targets = spark.createDataFrame([row(50, 10, "Alpha", 9, "x", ["1"]), row(51, 11, "sub_11", 30, "y", ["2"])], schema)
     functions = spark.createDataFrame([row(None, 900, "Alpha", 9, "x", ["1"]), row(None, 901, "sub_99", 28, "z", ["2"]), row(None, 902, "Beta", 8, "w", [])], schema).drop("og_id")
     mapped = spark.createDataFrame([(902,)], "rva bigint")
-    names = spark.createDataFrame([(50, 900, 1.0)], "og_id bigint, candidate bigint, name_score double")
-    got = workloads.rank_candidates(targets, functions, mapped, scored, scored, quality, names)
+    globals_ = spark.createDataFrame([(50, "Alpha"), (51, "sub_3")], "og_id bigint, og_name string")
+    got = workloads.rank_candidates(targets, functions, mapped, scored, scored, quality, globals_)
     top = {r["og_id"]: (r["candidate"], r["confidence"]) for r in got["semantic"].where("rank = 1").collect()}
     assert top[50] == (900, "exact_unique") and top[51][0] == 901
     assert {(r["og_id"], r["candidate"], r["agrees"]) for r in got["call"].where("rank = 1").collect()} == {(50, 900, True), (51, 901, True)}
-    assert {r["og_id"]: r["confidence"] for r in got["data"].where("rank = 1").collect()}[50] == "strong_name"
+    data = {r["og_id"]: r for r in got["data"].where("rank = 1").collect()}
+    assert (data[50]["confidence"], data[50]["ae_name"], data[50]["ae_segment"], data[50]["name_score"]) == ("strong_name", "Alpha", ".data", 1.0)
+    assert data[51]["name_score"] == 0.0
+    in_text = workloads.context_scores(xrefs.withColumn("og_segment", F.lit(".text")), old, new, accesses, pairs, quality)
+    in_data = workloads.context_scores(xrefs.withColumn("og_segment", F.lit(".bss")), old, new, accesses, pairs, quality)
+    assert in_text.count() == 0 and in_data.count() == scored.count()
 
 
 def test_build_libraries(spark, tmp_path):
