@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on rows with nulls, empty and long texts, ties, repeats and clashing columns."""
 
 import collections
+import dataclasses
 import hashlib
 import itertools
 import json
@@ -408,6 +409,22 @@ def test_model_beats_the_base_on_held_out_documents(spark):
     assert got[0] > got[1]
 
 
+def test_scores_come_from_the_filter(spark, docs):
+    split = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 != 2
+    model = language_model.learn(docs.where(split))
+    assert set(model.table.columns) == {"what", "segment", "keys", "data", "total", "kinds", "once", "twice"}  # no pair's count is kept
+    full = {(r["doc_id"], r["n_tokens"]): r for r in language_model.score_with(model, docs, split).collect()}
+    blank = F.when(F.col("what") == language_model.FILTER, F.expr("unhex(repeat('00', octet_length(data)))")).otherwise(F.col("data"))
+    empty_ = {(r["doc_id"], r["n_tokens"]): r for r in language_model.score_with(dataclasses.replace(model, table=model.table.withColumn("data", blank)), docs, split).collect()}
+    assert set(full) == set(empty_)
+    for k, r in full.items():
+        assert r["base_score"] == empty_[k]["base_score"]
+    assert sum(r["score"] for r in full.values()) > sum(r["score"] for r in empty_.values())
+    assert sum(full[k]["score"] != empty_[k]["score"] for k in full) > 100
+    lone = language_model.score_with(model, docs.where("doc_id = 8"), F.lit(False)).first()  # a model scores other documents than it has seen
+    assert lone["score"] == pytest.approx(full[(8, lone["n_tokens"])]["score"])
+
+
 def test_language_model_edges(empty, docs):
     assert language_model.score(empty, F.lit(True)).count() == 0
     assert language_model.score(docs, F.lit(False)).where("n_known <> 0 OR base_score <> 0").count() == 0
@@ -416,7 +433,7 @@ def test_language_model_edges(empty, docs):
 def test_filter_counts_are_powers_of_two_below():
     keys = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.arange(1, 5001)
-    f = language_model.Filter(keys, counts)
+    f = language_model.Filter.read(language_model.Filter.of(keys, counts).written())
     got = f.counts(keys)
     floor = 2.0 ** np.floor(np.log2(counts))
     assert (got >= floor).all() and (got == floor).mean() > 0.999
