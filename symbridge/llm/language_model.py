@@ -2,10 +2,10 @@
 
 Learning: training documents' words and pairs are counted over the whole corpus, by segments of the fingerprint space. Word counts stay
 exact. A pair counted c times enters its segment's filter once for each level 1 .. 1 + floor(log2 c), and the counts are dropped: the
-model is a table on shared storage (`learn`) that holds words, filters, and what their pairs take from each first word. A filter takes
-`BITS` bits an entry, however many there are, so false positives do not rise with the corpus.
+model on shared storage (`learn`) is a file for each filter, and a table of words and of what the pairs take from each first word. A filter
+takes `BITS` bits an entry, however many there are, so false positives do not rise with the corpus.
 
-Scoring: each bucket of documents sends its distinct words and pairs to their segments, where the filter is read beside them and asked for
+Scoring: each bucket of documents sends its distinct words and pairs to their segments, whose tasks read their filter and ask it for
 level after level until one is missing, so a count is read as a power of two not above it (or, rarely, above: a false positive). The
 answers come back in the order of the keys, which the bucket's task finds again, so keys travel one way only. Filters are read by the tasks
 of their segments and not broadcast, since they grow with the corpus.
@@ -24,6 +24,7 @@ counted each. Empty table: no rows. No training document: counts are 0 and every
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, dealt, merged, narrow, pack, packed, segments, text_bytes, unpack
-from symbridge.llm.shared import id_in, id_out, materialise, table
+from symbridge.llm.shared import id_in, id_out, materialise, shared_dir, table
 from symbridge.llm.textops import LOWER, Words, mixed, slices, unmixed
 
 BITS = 24
@@ -46,8 +47,8 @@ KEY_SHARE = 3
 END, START = (int(x) for x in mixed(np.array([1, 2], np.uint64)))
 #: The bits of a pair that its filter knows.
 ASKED = np.uint64(0xFFFFFFFFFFFF0000)
-#: Kinds of rows: asked or counted words and pairs; words with counts, sums by first word, and filters of the model.
-UNI, PAIR, WORDS, CONTEXT, FILTER = range(5)
+#: Kinds of rows: asked or counted words and pairs; words with counts and sums by first word of the model.
+UNI, PAIR, WORDS, CONTEXT = range(4)
 
 #: counts: how often each key was seen, or the bucket that asks for it.
 _ROWS = "segment int, what int, keys binary, counts binary"
@@ -172,6 +173,29 @@ class Filter:
         """The filter as bytes, its size a multiple of 8, as BITS is."""
         return np.packbits(self.bits).tobytes()
 
+    def store(self, folder: str, segment: int) -> None:
+        """Writes the segment's file; a repeated task replaces it by an equal one."""
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        part = f"{root}/_{uuid.uuid4().hex}"
+        with files.open_output_stream(part, compression=None) as out:
+            out.write(self.written())
+        files.move(part, f"{root}/filter-{segment}")
+
+    @classmethod
+    def load(cls, folder: str, segment: int) -> Filter | None:
+        """The segment's filter; none if nothing was learned there."""
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder)
+        path = f"{root}/filter-{segment}"
+        if files.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with files.open_input_stream(path, compression=None) as data:
+            return cls.read(data.read())
+
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """The largest power of two whose level, and all below, hold each key; 0 if none does."""
         out, open_, level = np.zeros(len(keys)), np.arange(len(keys)), 1
@@ -199,8 +223,8 @@ def _by_bucket(buckets_: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, n
     return b, x, np.flatnonzero(np.diff(b)) + 1
 
 
-def _learn(n_segments: int):
-    """Of a segment: the sums of its words and pairs, its words with their counts, its filter, and what it takes from the pairs' first words."""
+def _learn(n_segments: int, folder: str):
+    """Of a segment: the sums of its words and pairs, its words with their counts, and what it takes from the pairs' first words; its filter goes to the folder."""
     shift = np.uint64(32 - (n_segments - 1).bit_length())
     names = [c.split()[0] for c in _MODEL.split(", ")]
     kinds = [pa.int32()] * 2 + [pa.binary()] * 2 + [pa.int64()] * 4
@@ -216,7 +240,7 @@ def _learn(n_segments: int):
                 out.append((WORDS, segment, pack(keys), pack(counts), 0, 0, 0, 0))
                 continue
             learned = Filter.of(keys & ASKED, counts)
-            out.append((FILTER, segment, None, learned.written(), 0, 0, 0, 0))
+            learned.store(folder, segment)
             heads, of = np.unique(contexts(keys), return_inverse=True)
             kinds_, sums = np.bincount(of, minlength=len(heads)), np.bincount(of, learned.counts(keys & ASKED), len(heads)).astype(np.int64)
             goal = (heads >> shift).astype(np.int64)
@@ -228,7 +252,7 @@ def _learn(n_segments: int):
     return run
 
 
-def _answer(discount: float, docs: int):
+def _answer(discount: float, docs: int, folder: str):
     """Of a segment: for each bucket that asks, its words' counts and back-off masses, and how its pairs are read from the filter, in the order of the keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,8 +288,8 @@ def _answer(discount: float, docs: int):
             out += [(int(o), UNI, segment, pack(np.concatenate([held[k], mass[k].view(np.int64)]))) for o, k in zip(b[[0, *cut]], np.split(x, cut), strict=True)]
         keys, b, x, cut = asked(PAIR)
         if len(b):
-            filters = of(FILTER, 3)
-            read = Filter.read(filters[0]).counts(keys) if filters else np.zeros(len(keys))
+            learned = Filter.load(folder, segment)
+            read = np.zeros(len(keys)) if learned is None else learned.counts(keys)
             code = levels(read).astype(np.uint8)  # 0 for 0, else 1 + log2
             out += [(int(o), PAIR, segment, c.tobytes()) for o, c in zip(b[[0, *cut]], np.split(code[x], cut), strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate([pa.int32()] * 3 + [pa.binary()])], names=["bucket", "kind", "part", "data"])
@@ -309,9 +333,10 @@ def _score(total: int, kinds: int, discount: float):
 
 @dataclass(frozen=True)
 class Model:
-    """A learned model: its table (_MODEL) by so many segments, and its sums."""
+    """A learned model: its table (_MODEL) and the folder of its filters, by so many segments, and its sums."""
 
     table: DataFrame
+    filters: str
     segments: int
     total: int
     kinds: int
@@ -327,12 +352,13 @@ def learn(docs: DataFrame, n: int | None = None) -> Model:
     """A model of the documents, in n segments (as many as their texts ask for)."""
     n = n or segments(KEY_SHARE * text_bytes(docs))
     counted = _text(docs).select("text", F.lit(0).alias("bucket")).mapInArrow(_count(n), _ROWS)
-    held = materialise(by_segment(counted, n).mapInArrow(_learn(n), _MODEL), "model")
+    filters = shared_dir(docs.sparkSession, "filters")
+    held = materialise(by_segment(counted, n).mapInArrow(_learn(n, filters), _MODEL), "model")
     stats = {r["what"]: r for r in held.where(F.col("what").isin(UNI, PAIR)).groupBy("what").agg(*(F.sum(c).alias(c) for c in ("total", "kinds", "once", "twice"))).collect()}
     uni, both = stats.get(UNI), stats.get(PAIR)
     total, kinds = (uni["total"], uni["kinds"]) if uni else (0, 0)
     once, twice = (both["once"], both["twice"]) if both else (0, 0)
-    return Model(held, n, total, kinds, once / (once + 2 * twice) if once else 0.5, docs.count())
+    return Model(held, filters, n, total, kinds, once / (once + 2 * twice) if once else 0.5, docs.count())
 
 
 def score_with(model: Model, docs: DataFrame, train) -> DataFrame:
@@ -341,8 +367,8 @@ def score_with(model: Model, docs: DataFrame, train) -> DataFrame:
     rows = docs.select(id_in().alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), train.alias("train"))
     rows = rows.select("_id", "text", "train", bucket(n_buckets))
     asked = rows.select("text", "bucket").mapInArrow(_ask(n), _ROWS)
-    known = model.table.where(F.col("what").isin(WORDS, CONTEXT, FILTER)).select("segment", "what", "keys", F.col("data").alias("counts"))
-    answers = by_segment(asked.unionAll(known), n).mapInArrow(_answer(model.discount, model.documents), _ANSWERS)
+    known = model.table.where(F.col("what").isin(WORDS, CONTEXT)).select("segment", "what", "keys", F.col("data").alias("counts"))
+    answers = by_segment(asked.unionAll(known), n).mapInArrow(_answer(model.discount, model.documents, model.filters), _ANSWERS)
     scored = beside_answers(rows, answers, ["_id", "text", "train"], n_buckets).mapInArrow(
         _score(model.total, model.kinds, model.discount), "_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

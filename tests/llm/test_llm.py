@@ -414,8 +414,10 @@ def test_scores_come_from_the_filter(spark, docs):
     model = language_model.learn(docs.where(split))
     assert set(model.table.columns) == {"what", "segment", "keys", "data", "total", "kinds", "once", "twice"}  # no pair's count is kept
     full = {(r["doc_id"], r["n_tokens"]): r for r in language_model.score_with(model, docs, split).collect()}
-    blank = F.when(F.col("what") == language_model.FILTER, F.expr("unhex(repeat('00', octet_length(data)))")).otherwise(F.col("data"))
-    empty_ = {(r["doc_id"], r["n_tokens"]): r for r in language_model.score_with(dataclasses.replace(model, table=model.table.withColumn("data", blank)), docs, split).collect()}
+    for segment in range(model.segments):
+        if learned := language_model.Filter.load(model.filters, segment):
+            language_model.Filter(np.zeros(learned.size, bool)).store(model.filters + "-blank", segment)
+    empty_ = {(r["doc_id"], r["n_tokens"]): r for r in language_model.score_with(dataclasses.replace(model, filters=model.filters + "-blank"), docs, split).collect()}
     assert set(full) == set(empty_)
     for k, r in full.items():
         assert r["base_score"] == empty_[k]["base_score"]
