@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symbridge.functions.scalars import is_generic, pair_name, reference_name
+from symbridge.functions.sequences import ratios
 
 # The weights of the function-pair, context and decompile scores, and the class bounds.
 PAIR_WEIGHTS = {"name": 0.08, "size": 0.08, "instruction": 0.10, "cfg": 0.10, "mnemonic": 0.14, "shape": 0.18, "calls": 0.14, "callers": 0.07, "strings": 0.06, "member_offsets": 0.05}
@@ -55,26 +55,35 @@ def jaccard(a: Column, b: Column) -> Column:
 def _ratios(junk: bool):
     def run(left: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for a, b in left:
-            yield pd.Series([1.0 if x is y or (len(x) == len(y) and list(x) == list(y)) else SequenceMatcher(None, x, y, autojunk=junk).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
+            # each distinct pair of a batch once; a null side gives null
+            keys = [None if x is None or y is None else (x, y) if isinstance(x, str) else (tuple(x), tuple(y)) for x, y in zip(a, b, strict=True)]
+            todo = list(dict.fromkeys(k for k in keys if k is not None))
+            found = dict(zip(todo, ratios([x for x, _ in todo], [y for _, y in todo], junk), strict=True))
+            yield pd.Series([None if k is None else found[k] for k in keys], dtype=float)
 
     return F.pandas_udf(run, "double")
 
 
-def sequence_ratio(pairs: DataFrame, left: str, right: str, out: str, junk: bool = True) -> DataFrame:
+def sequence_ratio(pairs: DataFrame, left: str, right: str, out: str, junk: bool = True, distinct: bool = True) -> DataFrame:
     """pairs with the ratio of matching elements of two columns (strings, or arrays of strings), the order of the two mattering.
 
-    Equal sides are 1 without a look; every other distinct pair is compared once, in Arrow batches, and joined back. junk: elements
+    Equal sides are 1 without a look. Other pairs are compared in Arrow batches: distinct ones, once, and joined back; or (distinct=False, for
+    short sequences, whose comparison costs less than a shuffle) in their rows, those of a batch once. junk: elements
     of a right side of 200 or more that make up over 1 % are not anchors.
     """
     rows = pairs.withColumn("_l", F.coalesce(left, F.lit(""))) if dict(pairs.dtypes)[left] == "string" else pairs.withColumn("_l", F.col(left))
     rows = rows.withColumn("_r", F.coalesce(right, F.lit("")) if dict(pairs.dtypes)[right] == "string" else F.col(right))
-    todo = rows.where(F.col("_l") != F.col("_r")).select("_l", "_r").distinct()
+    same = F.col("_l") == F.col("_r")
+    if not distinct:
+        ask = lambda c: F.when(~same, F.col(c))
+        return rows.withColumn(out, F.when(same, 1.0).otherwise(_ratios(junk)(ask("_l"), ask("_r")))).drop("_l", "_r")
+    todo = rows.where(~same).select("_l", "_r").distinct()
     found = todo.withColumn("_ratio", _ratios(junk)("_l", "_r"))
-    return rows.join(found, ["_l", "_r"], "left").withColumn(out, F.when(F.col("_l") == F.col("_r"), 1.0).otherwise(F.col("_ratio"))).drop("_l", "_r", "_ratio")
+    return rows.join(found, ["_l", "_r"], "left").withColumn(out, F.when(same, 1.0).otherwise(F.col("_ratio"))).drop("_l", "_r", "_ratio")
 
 
-def name_similarity(pairs: DataFrame, left: str, right: str, out: str, form: str = "pair") -> DataFrame:
-    """Similarity of names. pair: .5 if both, .25 if one is generic or empty; reference: 0 then; strict: 0 if one is generic."""
+def name_similarity(pairs: DataFrame, left: str, right: str, out: str, form: str = "pair", distinct: bool = True) -> DataFrame:
+    """Similarity of names. pair: .5 if both, .25 if one is generic or empty; reference: 0 then; strict: 0 if one is generic. distinct as in sequence_ratio()."""
     normal = pair_name if form == "pair" else reference_name
     rows = pairs.withColumn("_a", normal(F.col(left)) if form != "strict" else F.regexp_replace(F.lower(F.coalesce(left, F.lit(""))), "[^a-z0-9_]+", ""))
     rows = rows.withColumn("_b", normal(F.col(right)) if form != "strict" else F.regexp_replace(F.lower(F.coalesce(right, F.lit(""))), "[^a-z0-9_]+", ""))
@@ -83,7 +92,7 @@ def name_similarity(pairs: DataFrame, left: str, right: str, out: str, form: str
         none = none | is_generic(F.col(left)) | is_generic(F.col(right))
     low = F.when((F.col("_a") == "") & (F.col("_b") == ""), 0.5).otherwise(0.25) if form == "pair" else F.lit(0.0)
     rows = rows.withColumn("_none", none).withColumn("_a", F.when(none, "").otherwise(F.col("_a"))).withColumn("_b", F.when(none, "").otherwise(F.col("_b")))
-    return sequence_ratio(rows.withColumn("_low", low if form != "pair" else F.when(none, F.when((pair_name(F.col(left)) == "") & (pair_name(F.col(right)) == ""), 0.5).otherwise(0.25))), "_a", "_b", "_s").withColumn(
+    return sequence_ratio(rows.withColumn("_low", low if form != "pair" else F.when(none, F.when((pair_name(F.col(left)) == "") & (pair_name(F.col(right)) == ""), 0.5).otherwise(0.25))), "_a", "_b", "_s", distinct=distinct).withColumn(
         out, F.when(F.col("_none"), F.col("_low")).otherwise(F.col("_s"))
     ).drop("_a", "_b", "_s", "_none", "_low")
 

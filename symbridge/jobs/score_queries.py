@@ -80,7 +80,7 @@ def _scored(spark, d) -> DataFrame:
     p = checkpointed(p.join(view(spark, d, "func"), "func").withColumn("size", F.col("end_ea") - F.col("start_ea")))
     side = lambda n: F.struct(*p.columns).alias(n)
     pairs = p.where("func % 2 = 0").select("func", side("og")).join(p.where("func % 2 = 1").select((F.col("func") - 1).alias("func"), side("ae")), "func")
-    pairs = m.name_similarity(pairs.withColumn("_x", F.col("og.name")).withColumn("_y", F.col("ae.name")), "_x", "_y", "name_score")
+    pairs = m.name_similarity(pairs.withColumn("_x", F.col("og.name")).withColumn("_y", F.col("ae.name")), "_x", "_y", "name_score", distinct=False)
     of = lambda f, c: f(F.col(f"og.{c}"), F.col(f"ae.{c}"))
     parts = {
         "name": F.col("name_score"), "size": of(m.closeness, "size"), "instruction": of(m.closeness, "instruction_count"), "cfg": of(m.closeness, "instruction_count"), "mnemonic": of(m.cosine, "mnemonics"),
@@ -121,10 +121,11 @@ registry.ORACLES["m7_classify"] = (
 
 @query("m8_context_score")
 def m8(spark, d):
-    c = profiles.contexts(view(spark, d, "instr"))
+    c = profiles.contexts(profiles.clustered(view(spark, d, "instr").select("func", "idx", "sig", "mnemonic")))
+    c = checkpointed(c.select("func", "sig", "window", "position", "mnemonic", "idx"))  # looked at for both sides
     a = c.where("func % 2 = 0").select("func", "sig", "window", "position", "mnemonic", "idx")
     b = c.where("func % 2 = 1").select((F.col("func") - 1).alias("func"), *(F.col(x).alias(f"new_{x}") for x in ("sig", "window", "position", "mnemonic", "idx")))
-    j = m.sequence_ratio(m.sequence_ratio(a.join(b, "func"), "sig", "new_sig", "s"), "window", "new_window", "w")
+    j = m.sequence_ratio(m.sequence_ratio(a.join(b, "func"), "sig", "new_sig", "s", distinct=False), "window", "new_window", "w", distinct=False)
     score = m.context_score(F.col("s"), F.col("w"), F.col("position"), F.col("new_position"), F.col("mnemonic") == F.col("new_mnemonic"), (F.col("func") % 3 == 0) & (F.col("idx") == F.col("new_idx")))
     return j.select("func", "idx", "new_idx", F.round(score, 6).alias("score"))
 

@@ -2,21 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from symbridge.functions import scalars
 from symbridge.functions import similarity as m
 from symbridge.operators import components, decisions, lookups, matching, metadata, profiles
-from symbridge.sources import address_library, listings
+from symbridge.sources import address_library, listings, ordered_files
 
 
-def score_pairs(og: DataFrame, ae: DataFrame) -> DataFrame:
-    """Comparison report of two exports of function records (schema of listings.FUNCTION_RECORD), a row a pair."""
-    j = lookups.pair_exports(og, ae).where("missing_side IS NULL")
+# The fields of the comparison and member reports and the lines of the summary, which other programs read.
+COMPARISON_FIELDS = [
+    "csv_row", "csv_name", "og_id", "ae_id", "og_rva", "ae_rva", "og_status", "ae_status", "classification", "score", "exact_semantic_hash", "og_name", "ae_name", "name_score", "size_score", "instruction_score", "cfg_score",
+    "mnemonic_score", "shape_score", "calls_score", "callers_score", "strings_score", "member_offsets_score", "og_size", "ae_size", "og_instructions", "ae_instructions", "og_blocks", "ae_blocks", "og_calls", "ae_calls",
+]
+MEMBER_FIELDS = ["csv_row", "csv_name", "og_id", "ae_id", "score", "common_offsets", "og_only_offsets", "ae_only_offsets"]
+SUMMARY_LINES = {
+    "og_records": "OG records", "ae_records": "AE records", "compared": "Compared rows", "exact_semantics": "Exact semantic hash", "strong": "Strong matches", "likely": "Likely matches", "review": "Needs review",
+    "suspect": "Suspect matches", "unresolved": "Unresolved functions", "missing_side": "Missing export side", "offset_changes": "Rows with object/member displacement changes",
+}
+
+
+def _scored_pairs(og: DataFrame, ae: DataFrame) -> DataFrame:
+    """score_pairs() and, with missing_side, the rows of one side only."""
+    j = lookups.pair_exports(og, ae)
     o, a = (lambda c: F.col(f"og.function.{c}")), (lambda c: F.col(f"ae.function.{c}"))
-    name = lambda f: F.coalesce(f("demangled_name"), f("raw_name"))
-    j = m.name_similarity(j.withColumn("og_name", name(o)).withColumn("ae_name", name(a)), "og_name", "ae_name", "name_score")
+    name = lambda f: F.coalesce(f("demangled_name"), f("raw_name"), F.lit(""))
+    j = m.name_similarity(j.withColumn("og_name", name(o)).withColumn("ae_name", name(a)), "og_name", "ae_name", "name_score", distinct=False)
     of = lambda f, c: f(o(c), a(c))
     parts = {
         "name": F.col("name_score"), "size": of(m.closeness, "size"), "instruction": of(m.closeness, "instruction_count"),
@@ -29,13 +41,46 @@ def score_pairs(og: DataFrame, ae: DataFrame) -> DataFrame:
     exact = F.coalesce((o("semantic_sha256") != "") & (o("semantic_sha256") == a("semantic_sha256")), F.lit(False))
     scores = {k: F.when(ok, v).otherwise(0.0) for k, v in parts.items()}
     score = F.when(ok, m.weighted(parts, m.PAIR_WEIGHTS)).otherwise(0.0)
+    both = lambda short, c: [o(c).alias(f"og_{short}"), a(c).alias(f"ae_{short}")]
     return j.select(
         F.col("row").alias("csv_row"), F.col("og.csv_name").alias("csv_name"), F.col("og.og_id").alias("og_id"), F.col("og.ae_id").alias("ae_id"), F.col("og.og_rva").alias("og_rva"), F.col("og.ae_rva").alias("ae_rva"),
         m.classify(score, exact, ok).alias("classification"), F.round(score, 4).alias("score"), (exact & ok).alias("exact_semantic_hash"), *(F.round(v, 4).alias(f"{k}_score") for k, v in scores.items()),
-        m.offset_values(o("object_displacements")).alias("og_offsets"), m.offset_values(a("object_displacements")).alias("ae_offsets"),
+        m.offset_values(o("object_displacements")).alias("og_offsets"), m.offset_values(a("object_displacements")).alias("ae_offsets"), *both("status", "status"), "og_name", "ae_name", *both("size", "size"),
+        *both("instructions", "instruction_count"), *both("blocks", "basic_block_count"), *(F.coalesce(F.size(f("calls")), F.lit(0)).alias(f"{side}_calls") for side, f in (("og", o), ("ae", a))), "missing_side",
     )
 
 
+def score_pairs(og: DataFrame, ae: DataFrame) -> DataFrame:
+    """Comparison report of two exports of function records (schema of listings.FUNCTION_RECORD), a row a pair."""
+    return _scored_pairs(og, ae).where("missing_side IS NULL").drop("missing_side")
+
+
+def compare_exports(og: DataFrame, ae: DataFrame, folder: str) -> dict[str, int]:
+    """Writes comparison.csv, suspects.csv and members.csv (by row) and summary.txt of two exports to the folder; the summary's counts.
+
+    The pairs are scored in one pass, which also counts them (an observation), and written once; the reports are cut from that.
+    """
+    told, spark = Observation(), og.sparkSession
+    kept, changed = F.col("missing_side").isNull(), (F.size(F.array_except("og_offsets", "ae_offsets")) > 0) | (F.size(F.array_except("ae_offsets", "og_offsets")) > 0)
+    changed = changed & (F.col("og_status") == "ok") & (F.col("ae_status") == "ok")
+    counts = {
+        "og_records": ~F.col("missing_side").eqNullSafe("og"), "ae_records": ~F.col("missing_side").eqNullSafe("ae"), "compared": kept, **{c: kept & (F.col("classification") == c) for c in ("exact_semantics", "strong", "likely", "review", "suspect", "unresolved")},
+        "missing_side": ~kept, "offset_changes": kept & F.coalesce(changed, F.lit(False)),
+    }
+    seen = _scored_pairs(og, ae).observe(told, *(F.count_if(c).alias(n) for n, c in counts.items()))
+    rows = components.checkpointed(seen.where(kept).withColumn("_changed", F.coalesce(changed, F.lit(False))))
+    digits = [F.format_string("%.4f", c).alias(c) if c == "score" or c.endswith("_score") else F.when(F.col(c), "yes").otherwise("no").alias(c) if c == "exact_semantic_hash" else scalars.render_rva(F.col(c)).alias(c) if c.endswith("_rva") else F.col(c) for c in COMPARISON_FIELDS]
+    shown = rows.select(*digits)
+    listings.write_report(shown, COMPARISON_FIELDS, f"{folder}/comparison.csv", ["csv_row"])
+    listings.write_report(decisions.split_suspects(shown)[0], COMPARISON_FIELDS, f"{folder}/suspects.csv", ["csv_row"])
+    members = decisions.offset_changes(rows.where("_changed").withColumnRenamed("csv_row", "row")).withColumnRenamed("row", "csv_row").join(shown.select("csv_row", "csv_name", "og_id", "ae_id", "score"), "csv_row")
+    listings.write_report(members, MEMBER_FIELDS, f"{folder}/members.csv", ["csv_row"])
+    out = {n: int(told.get[n]) for n in counts}
+    lines = spark.createDataFrame([(i, f"{text}: {out[n]}") for i, (n, text) in enumerate(SUMMARY_LINES.items())], "at int, line string")
+    ordered_files.write_text(lines, "line", f"{folder}/summary.txt", ["at"])
+    return out
+
+
 def audit_sources(source_lines: DataFrame, comparison: DataFrame, library: DataFrame) -> dict[str, DataFrame]:
     """uses, unmapped queue, suspect split, coverage and summaries of a source tree's ids."""
     uses = decisions.id_tokens(source_lines)
@@ -52,7 +97,7 @@ def context_scores(xrefs: DataFrame, old: DataFrame, new: DataFrame, accesses: D
 
     xrefs (og_id, func, idx) of the targets, old and new instructions (func, idx, sig, mnemonic), accesses (func, idx, target) of the new side
     (calls and jumps for functions, data references for globals), pairs (row, og_rva, ae_rva), quality (pair_row, pair_score, exact).
-    Signatures and windows are compared once for each distinct pair of them. Of globals, xrefs tell og_segment and accesses name and
+    Signatures and windows are short, so they are compared where they meet. Of globals, xrefs tell og_segment and accesses name and
     segment of their target; accesses of another class of segments are left out, and names and segments go along as ae_name, ae_segment.
     """
     columns = ["func", "idx", "sig", "window", "mnemonic", "position"]
@@ -62,7 +107,7 @@ def context_scores(xrefs: DataFrame, old: DataFrame, new: DataFrame, accesses: D
     if "og_segment" in xrefs.columns:  # globals are looked for in the class of their segment
         wanted = scalars.segment_class(F.coalesce("og_segment", F.lit("")))
         each = each.where((wanted == "") | (wanted == scalars.segment_class(F.coalesce("new_segment", F.lit("")))))
-    each = m.sequence_ratio(m.sequence_ratio(each, "sig", "new_sig", "_sig"), "window", "new_window", "_window")
+    each = m.sequence_ratio(m.sequence_ratio(each, "sig", "new_sig", "_sig", distinct=False), "window", "new_window", "_window", distinct=False)
     same = F.coalesce("exact", F.lit(False)) & (F.col("idx") == F.col("new_idx"))
     score = m.context_score(F.col("_sig"), F.col("_window"), F.col("position"), F.col("new_position"), F.col("mnemonic") == F.col("new_mnemonic"), same)
     site = F.concat_ws(":", *(F.col(c).cast("string") for c in ("og_id", "func", "idx", "pair_row")))  # a function of several pairs is an anchor for each
@@ -146,11 +191,21 @@ def compare_decompiles(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
-def decompile_summary(compared: DataFrame) -> DataFrame:
-    """(metric, value): candidates, functions, and functions by bands of their score."""
-    functions = compared.where("kind = 'function'")
-    counts = compared.agg(F.count("*").alias("candidates_compared"), F.count_if(F.col("kind") == "function").alias("functions_compared"))
-    return decisions.long_metrics(counts).unionAll(decisions.score_bands(functions, "combined_score"))
+#: Counters of a decompile comparison, by bands of the functions' scores.
+DECOMPILE_COUNTS = {
+    "candidates_compared": "true", "functions_compared": "kind = 'function'", "at_least_085": "kind = 'function' AND combined_score >= 0.85", "at_least_070": "kind = 'function' AND combined_score >= 0.70",
+    "under_050": "kind = 'function' AND combined_score < 0.50",
+}
+
+
+def report_decompiles(old: DataFrame, new: DataFrame, path: str) -> dict[str, int]:
+    """Writes compare_decompiles() as one report by og_id and gives its counts, which the same pass observes."""
+    told = Observation()
+    compared = compare_decompiles(old, new).observe(told, *(F.count_if(F.expr(c)).alias(n) for n, c in DECOMPILE_COUNTS.items()))
+    digits = [F.format_string("%.6f", c).alias(c) if c.endswith(("_ratio", "_jaccard", "_score")) else scalars.render_rva(F.col(c)).alias(c) if c.endswith("_rva") else F.col(c) for c in compared.columns]
+    shown = components.checkpointed(compared.select(*(F.when(F.col(c).isNotNull(), d).alias(c) for c, d in zip(compared.columns, digits, strict=True))))
+    listings.write_report(shown, shown.columns, path, ["og_id"])
+    return {n: int(told.get[n]) for n in DECOMPILE_COUNTS}
 
 
 def map_unmatched(scored: DataFrame, call_scored: DataFrame, data_scored: DataFrame, quality: DataFrame, used: DataFrame, confirmed: DataFrame, special: DataFrame, library: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,42 @@ def test_decompile_scores_are_difflibs(spark):
     assert {(r["conv_id"], r["turn"]): r["score"] for r in QUERIES["m9_decompile_score"](spark, SF).collect()} == want
 
 
+def test_decompile_comparison_is_difflibs(spark):
+    from symbridge.functions.scalars import mnemonic_sequence, normalize_pseudocode
+
+    c = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "text", normalize_pseudocode(F.col("text")).alias("p"), mnemonic_sequence(F.split("text", "\n")).alias("m")).collect()
+    turns = {(r["conv_id"], r["turn"]): r for r in c if r["text"] is not None}
+    near = lambda a, b: 1.0 if a == b == 0 else min(a, b) / max(a, b)
+    want = {}
+    for k, a in turns.items():
+        if b := turns.get((k[0], k[1] + 1)):
+            if k[1] % 2:
+                first = lambda t: t["text"][:64].encode().hex()
+                want[k[0] * 1000 + k[1]] = pytest.approx(ratio(first(a), first(b), False), abs=2e-6)
+            else:
+                s, t = set(a["text"].split(" ")), set(b["text"].split(" "))
+                calls = near(a["text"].count(",") + 1, b["text"].count(",") + 1)
+                want[k[0] * 1000 + k[1]] = pytest.approx(0.35 * ratio(a["p"], b["p"], False) + 0.3 * ratio(a["m"], b["m"], False) + 0.15 * near(len(a["text"]), len(b["text"])) + 0.1 * calls + 0.1 * len(s & t) / len(s | t), abs=2e-6)
+    assert {r["og_id"]: r["combined_score"] for r in QUERIES["m9_decompile_comparison"](spark, SF).collect()} == want
+
+
+def test_batched_ratios_are_difflibs():
+    import random
+
+    from symbridge.functions import sequences
+
+    rng = random.Random(9)
+    word = lambda k, n: "".join(rng.choices("abcdefgh"[:k], k=n))
+    pairs = [(word(k := rng.randint(1, 8), rng.choice([0, 1, 3, 9, 30, 63, 64, 65, 150])), word(k, rng.choice([0, 1, 5, 12, 40, 64, 70]))) for _ in range(6000)]
+    pairs += [(word(5, rng.randint(100, 260)), word(5, rng.randint(190, 320))) for _ in range(150)]
+    pairs += [(a, "".join(c for c in a if rng.random() < 0.9)) for a in (word(8, rng.randint(0, 64)) for _ in range(2000))] + [("é\U0001f600x", "\U0001f600é"), ("", "")]
+    for junk in (True, False):
+        got = sequences.ratios([a for a, _ in pairs], [b for _, b in pairs], junk)
+        assert got.tolist() == [SequenceMatcher(None, a, b, autojunk=junk).ratio() for a, b in pairs]
+    lists = [([rng.choice(["mov", "add", "ret", "x" * 20]) for _ in range(rng.randint(0, 9))], [rng.choice(["mov", "add", "jmp"]) for _ in range(rng.randint(0, 9))]) for _ in range(2000)]
+    assert sequences.ratios([np.array(a, object) for a, _ in lists], [np.array(b, object) for _, b in lists]).tolist() == [SequenceMatcher(None, a, b).ratio() for a, b in lists]
+
+
 @pytest.mark.parametrize("key", ["j7_ceiling_lookup", "j10_containing_function", "j15_gated_candidates", "p17_ranges", "a8_coverage_report", "w11_dense_groups"])
 def test_no_cartesian_product(spark, key):
     plan = QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()

@@ -9,6 +9,7 @@ from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from symbridge.jobs import discovery, records, workloads
 from symbridge.operators import decisions, intervals, matching
@@ -50,6 +51,29 @@ def test_function_records(spark):
     assert report == {2: ("exact_semantics", 1.0), 3: ("exact_semantics", 1.0), 4: ("unresolved", 0.0), 6: ("exact_semantics", 1.0)}
 
 
+def test_comparison_and_its_summary_come_from_one_pass(spark, tmp_path):
+    import csv
+
+    schema = StructType.fromDDL(listings.FUNCTION_RECORD)
+    base = {"status": "ok", "demangled_name": "A;b", "size": 40, "instruction_count": 9, "mnemonics": {"mov": 9}, "instruction_shapes": {"mov:": 9}, "semantic_sha256": "h", "object_displacements": {"8": 1, "16": 1}, "basic_block_count": 2, "cfg_edge_count": 1}
+    make = lambda row, side, **more: {"row": row, "side": side, "csv_name": f"n{row}", "og_rva": row * 16, "ae_rva": row * 32, "og_id": row, "ae_id": row + 100, "function": base | more}
+    og = spark.createDataFrame([make(3, "og"), make(2, "og"), make(4, "og"), make(5, "og"), make(9, "og")], schema)
+    ae = spark.createDataFrame([make(2, "ae"), make(3, "ae", semantic_sha256="x", object_displacements={"8": 1, "32": 1}), make(4, "ae", status="no_function"), make(5, "ae", semantic_sha256="y", size=4, instruction_count=1, mnemonics={"b": 1}, instruction_shapes={"c": 1}, basic_block_count=9, demangled_name="zz")], schema)
+    counts = workloads.compare_exports(og, ae, f"file://{tmp_path}")
+    assert counts == {"og_records": 5, "ae_records": 4, "compared": 4, "exact_semantics": 1, "strong": 1, "likely": 0, "review": 0, "suspect": 1, "unresolved": 1, "missing_side": 1, "offset_changes": 1}
+    with open(tmp_path / "comparison.csv", encoding="utf-8-sig", newline="") as f:
+        rows = list(csv.DictReader(f, delimiter=";"))
+    assert list(rows[0]) == workloads.COMPARISON_FIELDS and [r["csv_row"] for r in rows] == ["2", "3", "4", "5"]
+    assert (rows[0]["score"], rows[0]["exact_semantic_hash"], rows[0]["og_rva"], rows[0]["og_name"], rows[0]["og_calls"]) == ("1.0000", "yes", "0x20", "A;b", "0")
+    assert (rows[2]["classification"], rows[2]["score"], rows[2]["ae_status"]) == ("unresolved", "0.0000", "no_function")
+    with open(tmp_path / "members.csv", encoding="utf-8-sig", newline="") as f:
+        assert [(r["csv_row"], r["common_offsets"], r["og_only_offsets"], r["ae_only_offsets"]) for r in csv.DictReader(f, delimiter=";")] == [("3", "0x8", "0x10", "0x20")]
+    with open(tmp_path / "suspects.csv", encoding="utf-8-sig", newline="") as f:
+        assert [r["csv_row"] for r in csv.DictReader(f, delimiter=";")] == ["4", "5"]
+    summary = (tmp_path / "summary.txt").read_text().splitlines()
+    assert summary[0] == "OG records: 5" and summary[-1] == "Rows with object/member displacement changes: 1"
+
+
 def test_records_survive_their_file(spark, tmp_path):
     pairs = spark.createDataFrame([(2, "p", 0x1004, 10, 0x9000, 20)], PAIRS)
     e = lambda ddl: spark.createDataFrame([], ddl)
@@ -158,7 +182,7 @@ def test_coreferences_from_records(spark):
         assert mine[0]["og_name"] in {n for n, k in names_.items() if k == max(names_.values())}
 
 
-def test_decompile_comparison(spark):
+def test_decompile_comparison(spark, tmp_path):
     ddl = "og_id bigint, official_ae_id bigint, symbol_name string, kind string, confidence_tier string, match_evidence string, side string, target bigint, name string, size bigint, pseudocode string, instructions array<string>, calls array<bigint>, strings array<string>, first_64_bytes string"
     f = lambda i, code, ins, calls, strs, size=40: (i, i + 1, f"s{i}", "function", "medium", "e", "og", i * 16, f"n{i}", size, code, ins, calls, strs, None)
     g = lambda i, b: (i, i + 1, f"s{i}", "data", "review", "e", "og", i * 16, f"n{i}", None, None, None, None, None, b)
@@ -171,7 +195,10 @@ def test_decompile_comparison(spark):
     assert got[1]["combined_score"] == pytest.approx(0.35 + 0.3 * mn + 0.15 * 0.8 + 0.05 + 0.05, abs=1e-6)
     assert got[2]["combined_score"] == 1.0 and got[3]["combined_score"] == 0.0
     assert got[4]["pseudocode_ratio"] is None and got[4]["combined_score"] == round(SequenceMatcher(None, "00ff" * 32, "00fe" * 32, autojunk=False).ratio(), 6) and got[5]["combined_score"] == 0.0
-    assert {r["metric"]: r["value"] for r in workloads.decompile_summary(out).collect()} == {"candidates_compared": 5, "functions_compared": 3, "at_least_085": 1, "at_least_070": 2, "under_050": 1}
+    told = workloads.report_decompiles(spark.createDataFrame(old, ddl), spark.createDataFrame(new, ddl), f"file://{tmp_path}/decompiles.csv")
+    assert told == {"candidates_compared": 5, "functions_compared": 3, "at_least_085": 1, "at_least_070": 2, "under_050": 1}
+    report = (tmp_path / "decompiles.csv").read_bytes().decode("utf-8-sig").split("\r\n")
+    assert report[0].startswith("og_id;official_ae_id;") and len(report) == 7 and report[4].startswith("4;5;review;data;e;s4;0x40;0x40;n4;n4;;;;;;;;0.")
     with pytest.raises(Exception, match="one side only"):
         workloads.compare_decompiles(spark.createDataFrame(old[:2], ddl), spark.createDataFrame(new, ddl)).collect()
 
