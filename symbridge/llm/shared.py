@@ -52,13 +52,14 @@ MOST_LOOKED_UP = 50_000
 MOST_HOT = 4096
 
 
-def looked_up(rows: DataFrame, keyed: DataFrame, keys: list[str], values: list[str], count: str = "n") -> DataFrame:
-    """rows with the values (null where there are none) of keyed, which has a row a key and tells in `count` how many rows have it.
+def looked_up(rows: DataFrame, keyed: DataFrame, keys: list[str], values: list[str], count: str = "n", held: bool = False) -> DataFrame:
+    """rows with the values (null where there are none) of keyed, which has a row a key and tells in `count` how many rows have it; held: keyed is a written table.
 
     A small keyed table is broadcast. Of a larger one only the MOST_HOT most frequent keys are, so no other key has more than that share
     of the rows; rows of hot keys are dealt out by all their columns in the join with the rest.
     """
-    keyed = materialise(keyed.select(*keys, F.struct(*values).alias("_found"), F.col(count).alias("_n")), "keys")
+    keyed = keyed.select(*keys, F.struct(*values).alias("_found"), F.col(count).alias("_n"))
+    keyed = keyed if held else materialise(keyed, "keys")
     told = lambda df: df.select("*", *(F.col("_found")[v].alias(v) for v in values)).drop("_found", "_spread", "_hot", "_n")
     if keyed.count() <= MOST_LOOKED_UP:
         return told(rows.join(F.broadcast(keyed.drop("_n")), keys, "left"))

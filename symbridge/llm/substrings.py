@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, dealt, merged, pack, packed, segments, text_bytes, unpack
-from symbridge.llm.shared import id_in, id_out, materialise, table
+from symbridge.llm.shared import id_in, id_out, looked_up, materialise, table
 from symbridge.llm.textops import BREAKS, Words, slices
 
 WINDOW = 20
@@ -319,18 +319,21 @@ def removals(marked: DataFrame) -> DataFrame:
     """(_id, key, a, b): ranges of words covered by windows that start earlier elsewhere; marked has the segments (kind 1, and 2 where the minimiser is hot)."""
     place = F.struct("_id", "key", "start")
     each = marked.where("kind > 0").select("_id", "key", "start", "n", "mini", "words", "kind", F.xxhash64("mini", "words").alias("same"))
-    firsts = each.groupBy("same").agg(F.min(F.struct("_id", "key", "start", "n", "mini", "words", "kind")).alias("f")).select("same", "f.*")
+    firsts = each.groupBy("same").agg(F.min(F.struct("_id", "key", "start", "n", "mini", "words", "kind")).alias("f"), F.count("*").alias("times")).select("same", "times", "f.*")
     firsts = materialise(firsts, "segments")
-    later = each.select("_id", "key", "start", "n", "same").join(firsts.select("same", place.alias("place")), "same").where(F.struct("_id", "key", "start") != F.col("place"))
+    # only segments that occur again are looked up; places of one that very many have are told by broadcast, and not gathered
+    known = lambda df, key: df.where("times > 1").select(key, place.alias("place"), "times")
+    apart = F.struct("_id", "key", "start") != F.col("place")
+    later = looked_up(each.select("_id", "key", "start", "n", "same"), known(firsts, "same"), ["same"], ["place"], "times", held=True).where(apart)
     cold = firsts.where("kind = 1").select(F.col("mini").alias("route"), "_id", "key", "start", "words")
     parts = firsts.where("kind = 2").select("_id", "key", "start", F.split("words", " ").alias("w"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     window = F.array_join(F.slice("w", F.col("i") + 1, WINDOW), " ")
     windows = parts.select("_id", "key", (F.col("start") + F.col("i")).cast("int").alias("start"), window.alias("words"))
     windows = materialise(windows.select("_id", "key", "start", "words", F.xxhash64("words").alias("route")), "windows")
-    single = windows.groupBy("route").agg(F.min(F.struct("_id", "key", "start", "words")).alias("f")).select("route", "f.*")
-    elsewhere = windows.join(single.select("route", place.alias("place")), "route").where(F.struct("_id", "key", "start") != F.col("place"))
+    single = materialise(windows.groupBy("route").agg(F.min(F.struct("_id", "key", "start", "words")).alias("f"), F.count("*").alias("times")).select("route", "times", "f.*"), "single")
+    elsewhere = looked_up(windows.select("_id", "key", "start", "route"), known(single, "route"), ["route"], ["place"], "times", held=True).where(apart)
     shards = max(1, -(-(firsts.count() + windows.count() // 2) * 30 // SHARD_WORDS))
-    found = cold.unionByName(single).repartition(max(shards, 1), "route").select("_id", "key", "start", "words").mapInArrow(_shard, "_id long, key long, a int, b int")
+    found = cold.unionByName(single.drop("times")).repartition(max(shards, 1), "route").select("_id", "key", "start", "words").mapInArrow(_shard, "_id long, key long, a int, b int")
     cover = lambda df, n: df.select("_id", "key", F.col("start").alias("a"), (F.col("start") + n + WINDOW - 1).cast("int").alias("b"))
     return found.unionAll(cover(later, F.col("n"))).unionAll(cover(elsewhere, F.lit(1)))
 
