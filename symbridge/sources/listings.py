@@ -38,14 +38,30 @@ def lines(files: DataFrame) -> DataFrame:
     return files.select("file", cut.alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file (its name), line (from 1) and text of text files, which are read in splits: the lines before a split are a sum over those before it (a row a split)."""
+    raw = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value"
+    )
+    splits = raw.groupBy("_file", "_block").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = raw.join(splits.select("_file", "_block", (before - F.col("_first") + 1).alias("_shift")), ["_file", "_block"])
+    return placed.select("file", (F.col("_at") + F.col("_shift")).alias("line"), F.regexp_replace("value", r"\r\z", "").alias("text"))
+
+
 def match_files(spark: SparkSession, path: str) -> DataFrame:
-    """lver, rver, lrva, rrva of the version-pair match files of a folder."""
-    return match_pairs(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value"))
+    """lver, rver, lrva, rrva of the version-pair match files of a folder, each read by as many tasks as it has splits."""
+    return _matches(numbered_lines(spark, path))
 
 
 def match_pairs(files: DataFrame) -> DataFrame:
-    """lver, rver, lrva, rrva of match files (file, value); other files, short lines and bad numbers are left out."""
-    each = lines(files.where(F.col("file").rlike(MATCH_NAME))).where(F.col("line") > HEADER_LINES).withColumn("f", F.split("text", "\t"))
+    """match_files() of whole files (file, value)."""
+    return _matches(lines(files.where(F.col("file").rlike(MATCH_NAME))))
+
+
+def _matches(each: DataFrame) -> DataFrame:
+    """The matches of lines (file, line, text); other files, short lines and bad numbers are left out."""
+    each = each.where(F.col("file").rlike(MATCH_NAME) & (F.col("line") > HEADER_LINES)).withColumn("f", F.split("text", "\t"))
     part = lambda i: F.regexp_extract("file", MATCH_NAME, i).cast("int")
     version = lambda a: F.struct(part(a).alias("major"), part(a + 1).alias("minor"), part(a + 2).alias("build"), F.lit(0).alias("sub"))
     rva = lambda i: parse_hex(F.get("f", F.lit(i))) - IMAGE_BASE

@@ -125,6 +125,25 @@ def test_quoted_records_across_splits(spark, tmp_path, split):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("split", ["61", "128m"])
+def test_match_files_across_splits(spark, tmp_path, split):
+    at = lambda v: f"{listings.IMAGE_BASE + v:X}"
+    want = []
+    for n in range(3):
+        lines = [f"{at(99)}\t{at(98)}"] * listings.HEADER_LINES + [f"{at(n * 100 + i)}\t{at(i * 7)}" for i in range(40)]
+        want += [(n, n * 100 + i, i * 7) for i in range(40)]
+        (tmp_path / f"1.{n}.0_1.{n + 1}.0.txt").write_bytes((["\n", "\r\n"][n % 2].join(lines) + "\n" * (n % 2)).encode())
+    (tmp_path / "other.txt").write_text("x\n" * 60)
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = sorted((r["lver"]["minor"], r["lrva"], r["rrva"]) for r in listings.match_files(spark, f"file://{tmp_path}").collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(want)
+
+
 def test_no_quoted_records(spark, tmp_path):
     (tmp_path / "x.csv").write_text("\n\n")
     assert listings.quoted_table(spark, f"file://{tmp_path}").count() == 0
