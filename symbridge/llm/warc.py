@@ -1,6 +1,7 @@
 """Dictionary-compressed WARC archives: a trained Zstandard dictionary in a leading skippable frame, each record its own frame.
 
-Equal payloads are stored once: of the pages with one payload that of the largest page_id is a response, the others revisit it. Each
+Equal payloads are stored once: of the pages with one payload that of the largest page_id is a response, the others revisit it. Which that is
+is looked up by the digests of repeated payloads (`shared.looked_up`), so a payload that very many pages have is not gathered. Each
 task writes its rows, ordered by page, to archives of bounded size on shared storage (written under a temporary name, then moved, so
 a repeated task replaces its archives by equal ones), and the archives are read back as binary files.
 
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symbridge.llm.shared import shared_dir, table
+from symbridge.llm.shared import looked_up, shared_dir, table
 
 SAMPLE = 400
 SAMPLE_BYTES = 16_384
@@ -111,8 +112,8 @@ def write(pages: DataFrame, folder: str) -> int:
     """Writes archives of pages (page_id, url, html) to the folder; the number of records."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     hashed = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    largest = hashed.groupBy("sha").agg(F.max("page_id").alias("largest"))
-    dealt = hashed.join(largest, "sha").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).alias("refers_to"))
+    repeated = hashed.groupBy("sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1")
+    dealt = looked_up(hashed, repeated, ["sha"], ["largest"]).select("page_id", "url", "html", F.when(F.col("page_id") < F.col("largest"), F.col("largest")).alias("refers_to"))
     written = dealt.sortWithinPartitions("page_id", "url", "html").mapInArrow(_write(folder, dictionary(rows)), "records long")
     return written.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).collect()[0]["n"]
 
