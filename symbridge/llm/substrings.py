@@ -175,44 +175,62 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield from work(rows, keys, hot)
 
 
+class Bits:
+    """A bit vector with the number of ones before each block of 64 bits: half a bit more for each bit."""
+
+    def __init__(self, bits: np.ndarray):
+        held = np.zeros((len(bits) // 64 + 1) * 8, np.uint8)
+        packed_ = np.packbits(bits.astype(np.uint8), bitorder="little")
+        held[: len(packed_)] = packed_
+        self.blocks = held.view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.blocks))[:-1]]).astype(np.uint32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """The ones before each place."""
+        block = at >> 6
+        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[block].astype(np.int64) + np.bitwise_count(self.blocks[block] & mask)
+
+    def select(self, number: np.ndarray) -> np.ndarray:
+        """The place of each one, by its number from 0."""
+        block = np.searchsorted(self.before, number, "right") - 1
+        word, rest, low = self.blocks[block], number - self.before[block].astype(np.int64), np.zeros(len(number), np.int64)
+        for width in (32, 16, 8, 4, 2, 1):
+            ones = np.bitwise_count((word >> low.astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            go = ones <= rest
+            rest, low = np.where(go, rest - ones, rest), np.where(go, low + width, low)
+        return (block << 6) + low
+
+
 class WaveletMatrix:
-    """Ranks of symbols in a sequence, a bit vector with block counts for each bit of a symbol."""
+    """Ranks of symbols in a sequence: a bit vector for each bit of a symbol, from the highest."""
 
     def __init__(self, symbols: np.ndarray, kinds: int):
-        self.depth, self.levels = max(1, int(kinds - 1).bit_length()), []
-        n, now = len(symbols), symbols
-        start = np.zeros(kinds, np.int64)
-        every = np.arange(kinds)
-        for level in reversed(range(self.depth)):
-            bit = (now >> level) & 1
-            packed_ = np.zeros((n // 64 + 1) * 8, np.uint8)
-            bits = np.packbits(bit.astype(np.uint8), bitorder="little")
-            packed_[: len(bits)] = bits
-            blocks = packed_.view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(blocks))[:-1]]).astype(np.int64)
-            zeros = n - int(bit.sum())
-            self.levels.append((level, blocks, before, zeros))
-            ones = self._ones(blocks, before, start)
+        depth, self.levels, now = max(1, int(kinds - 1).bit_length()), [], symbols
+        start, every = np.zeros(kinds, np.int64), np.arange(kinds)
+        for level in reversed(range(depth)):
+            bit = ((now >> level) & 1).astype(bool)
+            bits, zeros = Bits(bit), len(now) - int(bit.sum())
+            self.levels.append((level, bits, zeros))
+            ones = bits.rank(start)
             start = np.where((every >> level) & 1, zeros + ones, start - ones)
-            now = np.concatenate([now[bit == 0], now[bit == 1]])
+            now = np.concatenate([now[~bit], now[bit]])
         self.start = start
 
-    @staticmethod
-    def _ones(blocks: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
-        block = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return before[block] + np.bitwise_count(blocks[block] & mask)
-
     def rank(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before its place."""
-        for level, blocks, before, zeros in self.levels:
-            ones = self._ones(blocks, before, at)
+        for level, bits, zeros in self.levels:
+            ones = bits.rank(at)
             at = np.where((symbols >> level) & 1, zeros + ones, at - ones)
         return at - self.start[symbols]
 
 
 class FMIndex:
-    """A Burrows-Wheeler index of segments of word numbers (1..), each closed by 0, sorted to a depth over WINDOW."""
+    """A compressed Burrows-Wheeler index of segments of word numbers (1..), each closed by 0, sorted to a depth over WINDOW.
+
+    Held are the wavelet matrix, a bit for each suffix that begins another first WINDOW words, a bit for each such group of several, and the
+    first place of those groups; suffixes themselves and their groups are dropped when these are made.
+    """
 
     def __init__(self, text: np.ndarray, kinds: int):
         n = len(text)
@@ -227,7 +245,6 @@ class FMIndex:
             rank = np.empty(n, np.int64)
             rank[order] = fresh
             depth *= 2
-        self.suffix = order
         rest, same = WINDOW, np.ones(n - 1, bool)
         # neighbours in order that agree on their first WINDOW words, told from the ranks at powers of two
         shift = 0
@@ -237,17 +254,27 @@ class FMIndex:
                 ranks[:n] = kept[power]
                 same &= ranks[order[1:] + shift] == ranks[order[:-1] + shift]
                 rest, shift = rest - power, shift + power
-        self.group = np.concatenate([[0], np.cumsum(~same)])
-        self.low = np.flatnonzero(np.concatenate([[True], ~same]))
-        self.high = np.append(self.low[1:], n)
-        self.earliest = np.minimum.reduceat(order, self.low)
+        begins = np.concatenate([[True], ~same, [True]])
+        low = np.flatnonzero(begins[:-1])
+        several = np.diff(np.append(low, n)) > 1
+        self.begins, self.several = Bits(begins), Bits(several)
+        self.first = np.minimum.reduceat(order, low)[several].astype(np.int32)
         self.bwt = WaveletMatrix(text[order - 1], kinds)
-        self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])[:-1]
+        self.less = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])[:-1].astype(np.int32)
 
     def backward(self, words: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The intervals of patterns with one more word before them."""
         return self.less[words] + self.bwt.rank(words, low), self.less[words] + self.bwt.rank(words, high)
 
+    def widened(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(low, high, first place) of the interval of the first WINDOW words at each place; the first place of a lone one is beyond all."""
+        group = self.begins.rank(low + 1) - 1
+        low, high = self.begins.select(group), self.begins.select(group + 1)
+        first = np.full(len(low), np.iinfo(np.int32).max, np.int64)
+        many = np.flatnonzero(high - low > 1)
+        first[many] = self.first[self.several.rank(group[many])]
+        return low, high, first
+
 
 def repeated_windows(text: np.ndarray, kinds: int, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which places of text begin a window that also begins earlier; segments (first, length) are streamed backward, all at once."""
@@ -261,9 +288,8 @@ def repeated_windows(text: np.ndarray, kinds: int, first: np.ndarray, length: np
         at = first[:n] + length[:n] - 1 - step
         low, high = index.backward(text[at], low, high)
         if step >= WINDOW - 1:
-            group = index.group[low]
-            low, high = index.low[group], index.high[group]
-            out[at] = (high - low > 1) & (index.earliest[group] < at)
+            low, high, earliest = index.widened(low)
+            out[at] = earliest < at
     return out
 
 
