@@ -65,6 +65,7 @@ def looked_up(rows: DataFrame, keyed: DataFrame, keys: list[str], values: list[s
         return told(rows.join(F.broadcast(keyed.drop("_n")), keys, "left"))
     hot = keyed.orderBy(F.desc("_n"), *keys).limit(MOST_HOT).select(*keys, F.col("_found").alias("_hot"))
     marked = rows.join(F.broadcast(hot), keys, "left")
-    marked = marked.withColumn("_spread", F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(0))
-    both = marked.join(keyed.drop("_n").withColumn("_spread", F.lit(0).cast("long")), [*keys, "_spread"], "left")
+    # the hash of the keys, or for rows of hot keys one of all their columns, is a key of its own, so that these are dealt out evenly
+    marked = marked.withColumn("_spread", F.when(F.col("_hot").isNotNull(), F.xxhash64(*rows.columns)).otherwise(F.xxhash64(*keys)))
+    both = marked.join(keyed.drop("_n").withColumn("_spread", F.xxhash64(*keys)), [*keys, "_spread"], "left")
     return told(both.withColumn("_found", F.coalesce("_hot", "_found")))

@@ -186,6 +186,22 @@ def test_state_goes_through_a_shared_table(spark):
     assert vectors.unpacked(vectors.packed(x[:0].reshape(0, 64)), "<i8", 16, 4).shape == (0, 16, 4)
 
 
+def test_rows_of_hot_keys_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(shared, "MOST_LOOKED_UP", 0)
+    monkeypatch.setattr(shared, "MOST_HOT", 1)
+    rows = spark.range(30_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), "id")
+    keyed = rows.groupBy("k").agg(F.max("id").alias("v"), F.count("*").alias("n")).where("k % 20 <> 0")
+    out = shared.looked_up(rows, keyed, ["k"], ["v"])
+    assert out.columns == ["k", "id", "v"]
+    assert out.agg(F.count("*"), F.count("v"), F.count_if(F.col("v") == 29_999)).first() == (30_000, 28_500, 27_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shared.looked_up(rows, keyed, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
+        assert all("_spread" in line for line in plan.splitlines() if "Exchange hashpartitioning" in line) and "Exchange hashpartitioning" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 # 13 lines
 
 DOCS = "doc_id long, text string"
