@@ -14,12 +14,16 @@ from symbridge.sources.folders import new_folder
 CONTEXT_RADIUS = 3
 PRECEDING = 12
 MOST_SLOTS = 512
+BUCKETS_A_CORE = 8
 
 
 def clustered(instructions: DataFrame, buckets: int | None = None) -> DataFrame:
-    """instructions as a table of the shared folder that is bucketed by func and sorted by idx: what is grouped or windowed by func after it is not shuffled again."""
+    """instructions as a table of the shared folder that is bucketed by func and sorted by idx: what is grouped or windowed by func after it is not shuffled again.
+
+    A bucket is a task: there are as many as shuffle partitions, but no more than some for each core, unless told.
+    """
     spark, name = instructions.sparkSession, f"instructions_{uuid.uuid4().hex}"
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets or min(int(spark.conf.get("spark.sql.shuffle.partitions")), BUCKETS_A_CORE * spark.sparkContext.defaultParallelism)
     rows = instructions.repartition(n, "func").write.bucketBy(n, "func").sortBy("func", "idx")
     rows.option("path", new_folder(spark, "clustered")).saveAsTable(name)
     return spark.table(name)

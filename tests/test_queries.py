@@ -125,6 +125,11 @@ def test_no_cartesian_product(spark, key):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_pair_scores_come_from_few_scans_and_shuffles(spark):
+    plan = QUERIES["m6_pair_score"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall("FileScan", plan)) <= 3 and len(re.findall("Exchange ", plan)) <= 4
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["w10_first_last_wins"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan
