@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from symbridge.llm.dictionaries import beside_answers, bucket, buckets, by_segment, columns_of, dealt, merged, pack, packed, segments, text_bytes, unpack
 from symbridge.llm.shared import id_in, id_out, looked_up, materialise, table
-from symbridge.llm.textops import BREAKS, Words, slices
+from symbridge.llm.textops import BREAKS, Words, mixed, slices
 
 WINDOW = 20
 GRAM = 8
@@ -70,7 +70,8 @@ class Segments:
         ends = np.append(self.first[1:], count)
         filled = np.concatenate([[0], np.cumsum(whole)])
         self.n = filled[ends] - filled[self.first]
-        self.mini, self.row = least[self.first], words.row[self.first]
+        # the smallest fingerprints are all small, so they are mixed again to be spread over the segments
+        self.mini, self.row = mixed(least[self.first]), words.row[self.first]
 
 
 def _ask(n_segments: int):
