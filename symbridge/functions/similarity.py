@@ -38,11 +38,11 @@ def dot(a: Column, b: Column) -> Column:
     return _total(F.transform(F.map_entries(a), lambda e: e["value"].cast("double") * F.coalesce(F.try_element_at(b, e["key"]), F.lit(0)).cast("double")))
 
 
-def cosine(a: Column, b: Column, norms: tuple[Column, Column] | None = None) -> Column:
-    """Cosine of two maps of counts; 1 if both are empty, 0 if one is or has norm 0. norms: theirs, where a row meets many others."""
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two maps of counts; 1 if both are empty, 0 if one is or has norm 0."""
     empty = F.create_map().cast("map<string,bigint>")
     a, b = F.coalesce(a, empty), F.coalesce(b, empty)
-    x, y = norms or (norm(a), norm(b))
+    x, y = norm(a), norm(b)
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((x == 0) | (y == 0), 0.0).otherwise(dot(a, b) / (x * y))
 
 
