@@ -39,8 +39,11 @@ def _scored_pairs(og: DataFrame, ae: DataFrame) -> DataFrame:
     }
     ok = F.coalesce((o("status") == "ok") & (a("status") == "ok"), F.lit(False))
     exact = F.coalesce((o("semantic_sha256") != "") & (o("semantic_sha256") == a("semantic_sha256")), F.lit(False))
-    scores = {k: F.when(ok, v).otherwise(0.0) for k, v in parts.items()}
-    score = F.when(ok, m.weighted(parts, m.PAIR_WEIGHTS)).otherwise(0.0)
+    # a column each, so that what is used often is worked out once
+    j = j.withColumns({f"_{k}": F.when(ok, v).otherwise(0.0) for k, v in parts.items()})
+    scores = {k: F.col(f"_{k}") for k in parts}
+    j = j.withColumn("_score", m.weighted(scores, m.PAIR_WEIGHTS))
+    score = F.col("_score")
     both = lambda short, c: [o(c).alias(f"og_{short}"), a(c).alias(f"ae_{short}")]
     return j.select(
         F.col("row").alias("csv_row"), F.col("og.csv_name").alias("csv_name"), F.col("og.og_id").alias("og_id"), F.col("og.ae_id").alias("ae_id"), F.col("og.og_rva").alias("og_rva"), F.col("og.ae_rva").alias("ae_rva"),
