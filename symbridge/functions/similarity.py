@@ -139,7 +139,7 @@ def _prefix(form: str, least: float) -> Column:
 
 def similar_names(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(left, right): the pairs of distinct names of two sides whose pair similarity is at least `least` (over 0.5, so neither is generic)."""
-    return sequence_ratio(name_candidates(left, right, least), "_a", "_b", "_ratio_").where(F.col("_ratio_") >= least).select("left", "right")
+    return sequence_ratio(name_candidates(left, right, least), "_a", "_b", "_ratio_", distinct=False).where(F.col("_ratio_") >= least).select("left", "right")
 
 
 def weighted(parts: dict[str, Column], weights: dict[str, float]) -> Column:

@@ -88,7 +88,9 @@ def ten_most_similar(targets: DataFrame, functions: DataFrame, top: int = TOP) -
     order = [F.desc("cosine"), F.desc("f_rva")]
     near = checkpointed(near_classes(t, f, close))
     members = best(f.select("_f", "f_rva"), ["_f"], [F.desc("f_rva")])
-    by_class = best(near.select("_t", "_f", shown).join(members, "_f").select("_t", "f_rva", "cosine"), ["_t"], order)
+    # every class has a member, so the ten best are of the classes whose cosine is among the ten largest of a target's class
+    nearest = near.select("_t", "_f", shown).withColumn("_n", F.rank().over(W.partitionBy("_t").orderBy(F.desc("cosine")))).where(F.col("_n") <= top).drop("_n")
+    by_class = best(nearest.join(members, "_f").select("_t", "f_rva", "cosine"), ["_t"], order)
     # equal hashes whose classes are not near, a pair of classes once
     hashes = f.select(F.col("f_semantic_sha256").alias("t_semantic_sha256"), "_f").distinct()
     far = t.select("t_semantic_sha256", "_t").distinct().join(hashes, "t_semantic_sha256").join(near, ["_t", "_f"], "left_anti")
