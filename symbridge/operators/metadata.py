@@ -15,10 +15,15 @@ MOST_BASES = 512
 DROPPED_IDS = (25921, 950502)
 
 
+def unbroadcast(words: DataFrame) -> DataFrame:
+    """words of a memory, or rows made of them, whose joins sort both sides: words that are unpacked from few rows look small enough to Spark to be broadcast through the driver."""
+    return words.hint("merge")
+
+
 def locators(types: DataFrame, dwords: DataFrame) -> DataFrame:
     """(type, descriptor, locator): the descriptor stands before its name string; a word that holds its address is a locator's field."""
     d = types.select("type", (F.col("ea") - NAME_OFFSET).alias("descriptor"))
-    return d.join(dwords.select(F.col("dword").alias("descriptor"), (F.col("ea") - LOCATOR_FIELD).alias("locator")), "descriptor")
+    return d.join(unbroadcast(dwords).select(F.col("dword").alias("descriptor"), (F.col("ea") - LOCATOR_FIELD).alias("locator")), "descriptor")
 
 
 def valid_locators(found: DataFrame, dwords: DataFrame, readonly: Column) -> DataFrame:
@@ -26,7 +31,7 @@ def valid_locators(found: DataFrame, dwords: DataFrame, readonly: Column) -> Dat
 
     readonly is a condition on a column named ea.
     """
-    rows = dwords.withColumn("_readonly", readonly)
+    rows = unbroadcast(dwords).withColumn("_readonly", readonly)
     field = lambda name, offset: rows.select((F.col("ea") - offset).alias("locator"), F.col("dword").alias(name))
     inside = rows.select(F.col("ea").alias("_ea"), "_readonly").where("_readonly").select("_ea")
     j = found.join(inside, F.col("locator") == F.col("_ea"), "left_semi")
@@ -38,14 +43,14 @@ def valid_locators(found: DataFrame, dwords: DataFrame, readonly: Column) -> Dat
 
 def locators_before_pointers(found: DataFrame, dwords: DataFrame, readonly: Column) -> DataFrame:
     """The other test of a locator: the word after the one that holds the descriptor points into read-only data (readonly: a condition on a column named ea)."""
-    after = dwords.select((F.col("ea") - LOCATOR_FIELD - 4).alias("locator"), F.col("dword").alias("ea")).where(readonly)
+    after = unbroadcast(dwords).select((F.col("ea") - LOCATOR_FIELD - 4).alias("locator"), F.col("dword").alias("ea")).where(readonly)
     return found.join(after.select("locator"), "locator", "left_semi").select(*found.columns)
 
 
 def table_counts(found: DataFrame, qwords: DataFrame, strict: bool = True) -> DataFrame:
     """By type: how many locators and tables it has; strict: different numbers are an error."""
     tables = tables_of(found, qwords).groupBy("type").agg(F.count("*").alias("tables"))
-    counts = found.groupBy("type").agg(F.count("*").alias("locators")).join(tables, "type", "left").withColumn("tables", F.coalesce("tables", F.lit(0)))
+    counts = found.groupBy("type").agg(F.count("*").alias("locators")).join(unbroadcast(tables), "type", "left").withColumn("tables", F.coalesce("tables", F.lit(0)))
     if strict:
         lost = F.raise_error(F.concat(F.lit("failed to find the tables of "), F.col("type").cast("string"))).cast("bigint")
         counts = counts.withColumn("tables", F.when(F.col("tables") != F.col("locators"), lost).otherwise(F.col("tables")))
@@ -54,7 +59,7 @@ def table_counts(found: DataFrame, qwords: DataFrame, strict: bool = True) -> Da
 
 def tables_of(found: DataFrame, qwords: DataFrame) -> DataFrame:
     """Locators with the tables that follow the words pointing at them; null words are never joined."""
-    return found.join(qwords.where("qword <> 0").select(F.col("qword").alias("locator"), (F.col("ea") + TABLE_AFTER).alias("table")), "locator")
+    return found.join(unbroadcast(qwords).where("qword <> 0").select(F.col("qword").alias("locator"), (F.col("ea") + TABLE_AFTER).alias("table")), "locator")
 
 
 def suffix_keys(names: DataFrame, known: DataFrame) -> DataFrame:

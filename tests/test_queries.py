@@ -125,6 +125,12 @@ def test_no_cartesian_product(spark, key):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("key", ["j21_type_chain", "j22_valid_locators"])
+def test_words_of_a_memory_are_not_broadcast(spark, key):
+    # some ten words are unpacked from each row, so their size looks like that of the rows
+    assert "BroadcastExchange" not in QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pair_scores_come_from_few_scans_and_shuffles(spark):
     plan = QUERIES["m6_pair_score"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("FileScan", plan)) <= 3 and len(re.findall("Exchange ", plan)) <= 4
