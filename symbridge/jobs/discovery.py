@@ -40,11 +40,11 @@ def discover_types(strings: DataFrame, dwords: DataFrame, qwords: DataFrame, seg
     types = checkpointed(types.select("ea", "name", F.col("ea").alias("type"), sanitize(F.col("name")).alias("key"), (F.col("ea") - metadata.NAME_OFFSET).alias("rva")))
     aligned = dwords.where(F.col("ea") % 4 == 0)
     valid = metadata.valid_locators(metadata.locators(types.select("type", "ea"), aligned.where(readonly(F.col("ea")))), aligned, readonly(F.col("ea")))
-    valid = checkpointed(valid.select("type", "locator").distinct())
+    valid = metadata.unbroadcast(checkpointed(valid.select("type", "locator").distinct()))
     tables = metadata.tables_of(valid, qwords.where((F.col("ea") % 8 == 0) & stored(F.col("ea")))).select("type", "table").distinct()
-    slots = profiles.slot_runs(tables.select(F.col("table").alias("start")), qwords, code(F.col("qword"))).where("slots > 0").select(F.col("start").alias("table"), "slots")
+    slots = profiles.slot_runs(tables.select(F.col("table").alias("start")), metadata.unbroadcast(qwords), code(F.col("qword"))).where("slots > 0").select(F.col("start").alias("table"), "slots")
     of = lambda df: types.drop("ea").join(df, "type")
-    return {"types": types.drop("ea"), "locators": of(valid), "tables": checkpointed(of(tables.join(slots, "table")))}
+    return {"types": types.drop("ea"), "locators": of(valid), "tables": metadata.unbroadcast(checkpointed(of(tables.join(metadata.unbroadcast(slots), "table"))))}
 
 
 def returned_targets(starts: DataFrame, instructions: DataFrame, data) -> DataFrame:
@@ -110,7 +110,7 @@ def headers(found: dict[str, DataFrame], engine: DataFrame, library: DataFrame,
     types, tables = found["types"], found["tables"]
     engine = engine.where("rva IS NOT NULL")
     addresses = types.select("rva").unionAll(tables.select("table")).unionAll(engine.select("rva")).distinct()
-    ids = checkpointed(lookups.coalesced_ids(addresses, library, pairs).select("rva", "id"))
+    ids = metadata.unbroadcast(checkpointed(lookups.coalesced_ids(addresses, library, pairs).select("rva", "id")))
     with_id = lambda rows: rows.join(ids, "rva", "left").select("name", "slot", "rva", "id")
     constants = lambda parts: metadata.relocation_kinds(with_id(parts), mode).select("name", F.transform("values", lambda v: F.struct(F.col("kind").alias("kind"), v.alias("value"))).alias("values"))
     entries = tables.groupBy("type", F.col("key").alias("name"), "rva").agg(F.count("*").alias("tables"), F.sum("slots").alias("slots"))

@@ -125,7 +125,7 @@ def test_no_cartesian_product(spark, key):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("key", ["j21_type_chain", "j22_valid_locators"])
+@pytest.mark.parametrize("key", ["j21_type_chain", "j22_valid_locators", "s10_discovered_headers"])
 def test_words_of_a_memory_are_not_broadcast(spark, key):
     # some ten words are unpacked from each row, so their size looks like that of the rows
     assert "BroadcastExchange" not in QUERIES[key](spark, SF)._jdf.queryExecution().executedPlan().toString()
