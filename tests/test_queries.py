@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from symbridge.jobs import ORACLES, QUERIES
 from tests.conftest import SF
-from tests.oracle import same
+from tests.oracle import TABLES, same
 
 
 @pytest.mark.parametrize("key", sorted(ORACLES))
@@ -125,6 +125,23 @@ def test_no_cartesian_product(spark, key):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.fixture(scope="module")
+def long_keys(spark, tmp_path_factory):
+    """sf0.001 eight times, with keys of orders of one to seven digits."""
+    folder, copies = str(tmp_path_factory.mktemp("long_keys")), spark.range(8).select(F.when(F.col("id") > 0, 990_000 + F.col("id") * 1501).otherwise(0).alias("by"))
+    for table, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        rows = spark.read.parquet(f"{SF}/{table}.parquet")
+        rows.crossJoin(copies).withColumn(key, F.col(key) + F.col("by")).select(rows.columns).write.parquet(f"{folder}/{table}.parquet")
+    for table in set(TABLES) - {"orders", "lineitem"}:
+        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{folder}/{table}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("key", ["j15_gated_candidates", "j15_ten_most_similar"])
+def test_candidates_equal_sql_with_long_keys(spark, long_keys, key):
+    same(spark, QUERIES[key], ORACLES[key], long_keys)
+
+
 @pytest.mark.parametrize("key", ["j21_type_chain", "j22_valid_locators", "s10_discovered_headers"])
 def test_words_of_a_memory_are_not_broadcast(spark, key):
     # some ten words are unpacked from each row, so their size looks like that of the rows
