@@ -135,9 +135,14 @@ def header_diff(current: DataFrame, generated: DataFrame, library: DataFrame) ->
 
 
 def key_differences(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(key, side) of keys that stand on one side only."""
-    left, right = a.select(key).distinct(), b.select(key).distinct()
-    return left.join(right, key, "left_anti").withColumn("side", F.lit("left")).unionAll(right.join(left, key, "left_anti").withColumn("side", F.lit("right")))
+    """(key, side) of keys that stand on one side only; a null key equals none.
+
+    Both sides are reduced together by one aggregate, so neither is held by a join.
+    """
+    both = a.select(key, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionAll(b.select(key, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    told = both.groupBy(key).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    alone = lambda own, other, side: F.when((F.col(own) == 1) & ((F.col(other) == 0) | F.col(key).isNull()), side)
+    return told.select(key, F.explode(F.array_compact(F.array(alone("_a", "_b", "left"), alone("_b", "_a", "right")))).alias("side"))
 
 
 def equal_key_join(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

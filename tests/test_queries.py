@@ -153,6 +153,15 @@ def test_pair_scores_come_from_few_scans_and_shuffles(spark):
     assert len(re.findall("FileScan", plan)) <= 3 and len(re.findall("Exchange ", plan)) <= 4
 
 
+def test_key_differences_are_one_aggregate(spark):
+    from symbridge.operators.lookups import key_differences
+
+    a, b = (spark.createDataFrame([(k,) for k in keys], "k bigint") for keys in ([1, 1, 2, None, None], [2, 3, None]))
+    out = key_differences(a, b, "k")
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "left"), (3, "right"), (None, "left"), (None, "right")]
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = QUERIES["w10_first_last_wins"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "o_totalprice" not in plan
