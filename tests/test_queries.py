@@ -153,6 +153,20 @@ def test_pair_scores_come_from_few_scans_and_shuffles(spark):
     assert len(re.findall("FileScan", plan)) <= 3 and len(re.findall("Exchange ", plan)) <= 4
 
 
+def test_labels_of_components_are_not_broadcast(spark):
+    from symbridge.operators.components import checkpointed, components
+
+    plans = []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return checkpointed(df)
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "a bigint, b bigint")
+    assert sorted(map(tuple, components(links, cut=cut).collect())) == [(1, 1), (2, 1), (3, 1), (5, 5), (6, 5)]
+    assert not [p for p in plans if "BroadcastExchange" in p]
+
+
 def test_key_differences_are_one_aggregate(spark):
     from symbridge.operators.lookups import key_differences
 
