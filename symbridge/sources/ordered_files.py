@@ -1,17 +1,21 @@
 """Single files written by many tasks: a data source whose tasks write parts and whose commit joins them in order.
 
-Rows come range-partitioned and sorted. Each task appends its rows to one part for each file that it meets, under a staging folder beside
-the files. Commit puts each file together (head, parts in the order of the tasks, tail), in chunks of bounded size and several files at
-once, and gives the files their names when all are whole; abort removes the staging folder, so no file is ever half there. A file has
-one writer by its nature, so its bytes pass the commit's copy once; nothing of them is held.
+Rows come range-partitioned and sorted by file, so only the first and the last file of a task may have rows in others. Each task appends
+the rows of these to a part each, under a staging folder beside the files; the files between it puts together itself, and lists them in a
+file of the staging folder, so what a task tells the driver does not grow with its files. Commit puts the shared files together (head, parts
+in the order of the tasks, tail), in chunks of bounded size and several files at once, and gives all files their names when all are
+whole; abort removes the staging folder, so no file is ever half there. Of a shared file the bytes pass the commit's copy once; nothing of them is held.
 """
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from itertools import islice
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,14 +24,25 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 CHUNK = 8 << 20
 FILES_AT_ONCE = 8
+#: Entries of a task's list that the commit holds at once.
+LISTED_AT_ONCE = 10_000
+
+
+def in_turn(store, lists: list[str]) -> Iterator[list]:
+    """The entries of lists (a JSON value a line) of a store, some thousands at a time."""
+    for path in lists:
+        with store.open_input_stream(path, compression=None) as data, io.TextIOWrapper(data, "utf-8") as lines:
+            while some := [json.loads(x) for x in islice(lines, LISTED_AT_ONCE)]:
+                yield some
 
 
 @dataclass
 class Parts(WriterCommitMessage):
-    """What a task has written: (file, path of the part, entries), in its order."""
+    """What a task has written: (file, path of the part, entries) of the files it may share, in its order, and where it lists the whole ones (whole file, file)."""
 
     task: int
     parts: list[tuple[str, str, int]] = field(default_factory=list)
+    listed: str | None = None
 
 
 class OrderedWriter(DataSourceArrowWriter):
@@ -58,46 +73,90 @@ class OrderedWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Parts:
         store, _, staging = self._store()
         store.create_dir(staging, recursive=True)
-        told, out = Parts(TaskContext.get().partitionId()), None
+        told, now, out, listing = Parts(TaskContext.get().partitionId()), None, None, None
+        held: list[bytes] = []
+
+        def flush() -> None:
+            nonlocal out, held
+            out = out or store.open_output_stream(now[1], compression=None)
+            out.write(b"".join(held))
+            held = []
+
+        def close(last: bool) -> None:
+            nonlocal out, held, listing
+            if last or not told.parts or now[0] in self.always:
+                flush()
+                told.parts.append(now)
+            else:
+                whole = f"{staging}/whole-{uuid.uuid4().hex}"
+                if out is None:  # it is held as a whole
+                    with store.open_output_stream(whole, compression=None) as file:
+                        file.write(b"".join([self.head(now[0], now[2]), *held, self.tail(now[0])]))
+                else:
+                    flush()
+                    out.close()
+                    self._join(store, whole, now[0], [now[1:]])
+                if listing is None:
+                    told.listed = f"{staging}/list-{uuid.uuid4().hex}"
+                    listing = store.open_output_stream(told.listed, compression=None)
+                listing.write((json.dumps([whole, now[0]]) + "\n").encode())
+                out, held = None, []
+                return
+            out.close()
+            out = None
+
+        size = 0
         for batch in iterator:
             for file, data, entries in self.pieces(batch):
-                if not told.parts or told.parts[-1][0] != file:
-                    if out is not None:
-                        out.close()
-                    told.parts.append((file, f"{staging}/part-{uuid.uuid4().hex}", 0))
-                    out = store.open_output_stream(told.parts[-1][1], compression=None)
-                out.write(data)
-                told.parts[-1] = (*told.parts[-1][:2], told.parts[-1][2] + entries)
-        if out is not None:
-            out.close()
+                if now is None or now[0] != file:
+                    if now is not None:
+                        close(False)
+                    now, size = (file, f"{staging}/part-{uuid.uuid4().hex}", 0), 0
+                held.append(data)
+                size += len(data)
+                if size > CHUNK:
+                    flush()
+                    size = 0
+                now = (*now[:2], now[2] + entries)
+        if now is not None:
+            close(True)
+        if listing is not None:
+            listing.close()
         return told
 
+    def _join(self, store, whole: str, file: str, parts: list[tuple[str, int]]) -> None:
+        """The file of its parts (path, entries), which are removed."""
+        with store.open_output_stream(whole, compression=None) as out:
+            out.write(self.head(file, sum(n for _, n in parts)))
+            for path, _ in parts:
+                with store.open_input_stream(path, compression=None) as part:
+                    while data := part.read(CHUNK):
+                        out.write(data)
+                store.delete_file(path)
+            out.write(self.tail(file))
+
     def commit(self, messages: list[Parts | None]) -> None:
         store, root, staging = self._store()
         store.create_dir(staging, recursive=True)
         files: dict[str, list[tuple[str, int]]] = {f: [] for f in self.always}
-        for m in sorted((m for m in messages if m is not None), key=lambda m: m.task):
+        told = sorted((m for m in messages if m is not None), key=lambda m: m.task)
+        for m in told:
             for file, path, entries in m.parts:
                 files.setdefault(file, []).append((path, entries))
 
         def join(numbered: tuple[int, str]) -> tuple[str, str]:
             number, file = numbered
             whole = f"{staging}/whole-{number}"
-            with store.open_output_stream(whole, compression=None) as out:
-                out.write(self.head(file, sum(n for _, n in files[file])))
-                for path, _ in files[file]:
-                    with store.open_input_stream(path, compression=None) as part:
-                        while data := part.read(CHUNK):
-                            out.write(data)
-                    store.delete_file(path)
-                out.write(self.tail(file))
+            self._join(store, whole, file, files[file])
             return whole, file
 
         try:
             with ThreadPoolExecutor(FILES_AT_ONCE) as pool:
+                name = lambda entry: store.move(entry[0], f"{root}/{entry[1]}")
                 done = list(pool.map(join, enumerate(files)))
-            for whole, file in done:
-                store.move(whole, f"{root}/{file}")
+                list(pool.map(name, done))
+                for some in in_turn(store, [m.listed for m in told if m.listed]):
+                    list(pool.map(name, some))
         finally:
             store.delete_dir(staging)
 

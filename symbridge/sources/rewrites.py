@@ -2,17 +2,21 @@
 
 New texts are staged beside the tree by many tasks, each with the digest of the text that it replaces. When all are staged, every original is
 digested again: if one has changed meanwhile, nothing is written. Then each staged file is moved over its original, so that a file is
-old or new and never half; a move that is repeated after a loss finds its work done. Abort removes the staging folder.
+old or new and never half; a move that is repeated after a loss finds its work done. Abort removes the staging folder. The driver holds
+neither the files' names nor their states: tasks list the tree, a folder each, and list what they staged in the staging folder.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import os
 import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +25,19 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from symbridge.operators import decisions
 from symbridge.operators.components import checkpointed
+from symbridge.sources.ordered_files import in_turn
 
 FILES_AT_ONCE = 16
+#: Names, or bytes of contents, in a batch.
+NAMES_AT_ONCE = 10_000
+BYTES_AT_ONCE = 4 << 20
 
 
 @dataclass
 class Staged(WriterCommitMessage):
-    """(path, staged path, digest of the original) of a task's files."""
+    """Where a task lists its files: path, staged path and digest of the original."""
 
-    files: list[tuple[str, str, str]] = field(default_factory=list)
+    listed: str | None = None
 
 
 class Rewriter(DataSourceArrowWriter):
@@ -45,20 +53,21 @@ class Rewriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, staging = self._store()
         store.create_dir(staging, recursive=True)
-        told = Staged()
-        for batch in iterator:
-            for path, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                staged = f"{staging}/{uuid.uuid4().hex}"
-                with store.open_output_stream(staged, compression=None) as out:
-                    out.write(text.encode())
-                told.files.append((path, staged, digest))
-        return told
+        listed = f"{staging}/list-{uuid.uuid4().hex}"
+        with store.open_output_stream(listed, compression=None) as listing:
+            for batch in iterator:
+                for path, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    staged = f"{staging}/{uuid.uuid4().hex}"
+                    with store.open_output_stream(staged, compression=None) as out:
+                        out.write(text.encode())
+                    listing.write((json.dumps([path, staged, digest]) + "\n").encode())
+        return Staged(listed)
 
     def commit(self, messages: list[Staged | None]) -> None:
         from pyarrow import fs
 
         store, staging = self._store()
-        files = [f for m in messages if m is not None for f in m.files]
+        lists = [m.listed for m in messages if m is not None]
 
         def same(f: tuple[str, str, str]) -> bool:
             with store.open_input_stream(_path(f[0]), compression=None) as data:
@@ -66,10 +75,14 @@ class Rewriter(DataSourceArrowWriter):
 
         try:
             with ThreadPoolExecutor(FILES_AT_ONCE) as pool:
-                changed = [f[0] for f, ok in zip(files, pool.map(same, files), strict=True) if not ok]
+                changed, first = 0, None
+                for files in in_turn(store, lists):
+                    for f, ok in zip(files, pool.map(same, files), strict=True):
+                        changed, first = changed + (not ok), first if ok else first or f[0]
                 if changed:
-                    raise ValueError(f"{len(changed)} files have changed meanwhile, the first is {changed[0]}; nothing was written")
-                list(pool.map(lambda f: store.move(f[1], _path(f[0])), files))
+                    raise ValueError(f"{changed} files have changed meanwhile, the first is {first}; nothing was written")
+                for files in in_turn(store, lists):
+                    list(pool.map(lambda f: store.move(f[1], _path(f[0])), files))
         finally:
             if store.get_file_info(staging).type != fs.FileType.NotFound:
                 store.delete_dir(staging)
@@ -100,11 +113,76 @@ class RewrittenFiles(DataSource):
         return Rewriter(self.options["path"])
 
 
+def _entries(store, folder: str) -> Iterator[tuple[str, bool]]:
+    """(name, whether it is a folder) of what is in a folder; hidden entries are left out, as Spark's own readers do."""
+    from pyarrow import fs
+
+    if store.type_name == "local":  # one at a time, however many there are
+        with os.scandir(folder) as found:
+            each = ((e.name, e.is_dir()) for e in found)
+            yield from (e for e in each if not _hidden(e[0]))
+    else:
+        each = ((f.base_name, f.type == fs.FileType.Directory) for f in store.get_file_info(fs.FileSelector(folder)))
+        yield from (e for e in each if not _hidden(e[0]))
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or (name.startswith("_") and "=" not in name) or name.endswith("._COPYING_")
+
+
+def tree_files(spark: SparkSession, folder: str) -> DataFrame:
+    """at: the files below a folder (a URI), as paths from it. Tasks list it a level at a time, a folder each; the names are kept on shared storage."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        names, folders = [], []
+        make = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(folders, pa.bool_())], ["at", "folder"])
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                for name, is_folder in _entries(store, root + at):
+                    names.append(f"{at}/{name}")
+                    folders.append(is_folder)
+                    if len(names) == NAMES_AT_ONCE:
+                        yield make()
+                        names, folders = [], []
+        if names:
+            yield make()
+
+    level, found = spark.range(1).select(F.lit("").alias("at")).coalesce(1), []
+    while True:
+        found.append(checkpointed(level.mapInArrow(listed, "at string, folder boolean")))
+        below = found[-1].where("folder").select("at")
+        if below.isEmpty():
+            return reduce(DataFrame.unionAll, found).where("NOT folder").select("at")
+        level = below.repartition(spark.sparkContext.defaultParallelism, "at")
+
+
 def read_sources(spark: SparkSession, folder: str, root: str) -> DataFrame:
     """path (URI), file (root/include/.. or root/src/.., as locations name it), text and digest of the files of a source tree in the folder."""
-    files = spark.read.option("recursiveFileLookup", "true").format("binaryFile").load(folder)
-    file = F.regexp_extract("path", f"/({re.escape(root)}/(?:include|src)/.+)$", 1)
-    return files.select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"), file.alias("file"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("digest")).where("file <> ''")
+    base = "file://" + folder if folder.startswith("/") else re.sub("^file:/+", "file:///", folder)
+    base = base.rstrip("/")
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            at, data, size = 0, [], 0
+            for n, name in enumerate(batch.column(0).to_pylist(), 1):
+                with store.open_input_stream(top + name, compression=None) as file:
+                    data.append(file.read())
+                size += len(data[-1])
+                if size >= BYTES_AT_ONCE or n == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(at, n - at).columns, pa.array(data, pa.binary())], ["at", "file", "content"])
+                    at, data, size = n, [], 0
+
+    file = F.regexp_extract(F.concat(F.lit(base), "at"), f"/({re.escape(root)}/(?:include|src)/.+)$", 1)
+    # dealt by name into a set number of tasks: names are short, their files are not
+    files = tree_files(spark, base).select("at", file.alias("file")).where("file <> ''").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "at")
+    read = files.mapInArrow(contents, "at string, file string, content binary")
+    return read.select(F.concat(F.lit(base), "at").alias("path"), "file", F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("digest"))
 
 
 def apply_report(spark: SparkSession, report: DataFrame, folder: str, root: str, tiers: tuple[str, ...] = ("high",), include_existing: bool = False, apply: bool = False) -> DataFrame:

@@ -148,3 +148,40 @@ def test_no_quoted_records(spark, tmp_path):
     (tmp_path / "x.csv").write_text("\n\n")
     assert listings.quoted_table(spark, f"file://{tmp_path}").count() == 0
     assert listings.pair_table(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_what_tasks_tell_does_not_grow_with_their_files(tmp_path, monkeypatch):
+    """A task of thousands of small files tells the driver two parts and a list's place; the files are all there, in order, large ones too."""
+    import pickle
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(ordered_files, "CHUNK", 1000)
+    writer = ordered_files.TextWriter(f"file://{tmp_path}/out", None, "<", ">", "\n")
+    lines = sorted((f"f{k % 2000:04}", k) for k in range(4000)) + [("g", k) for k in range(5000)] + [("h", k) for k in range(9000, 9500)]
+    told = []
+    for task, (a, b) in enumerate([(0, 3001), (3001, 9100), (9100, 9500)]):  # the second begins within f1500, the third within h
+        monkeypatch.setattr(ordered_files, "TaskContext", SimpleNamespace(get=lambda task=task: SimpleNamespace(partitionId=lambda: task)))
+        batches = [pa.RecordBatch.from_pylist([{"file": f, "value": str(v)} for f, v in lines[i : min(i + 700, b)]]) for i in range(a, b, 700)]
+        told.append(writer.write(iter(batches)))
+    assert all(len(pickle.dumps(m)) < 2000 for m in told)
+    writer.commit(told[::-1])
+    want = {}
+    for f, v in lines:
+        want[f] = want.get(f, "<") + f"{v}\n"
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {f: t + ">" for f, t in want.items()}
+
+
+def test_a_tree_is_listed_by_tasks(eight, tmp_path):
+    """The files, hidden ones aside, are those of Spark's own reader, and no file of the tree is in the driver's index."""
+    from symbridge.sources import rewrites
+
+    for at in ("Lib/src/a.cpp", "Lib/src/deep/er/b c%20é.cpp", "Lib/include/x=1/c.h", "Lib/other/d.h", "Lib/src/_e.cpp", "Lib/src/.f.cpp", "Lib/src/_x=y.cpp", "Lib/.git/src/g.cpp", "Lib/src/_tmp/h.cpp", "more/Lib/src/i.cpp", "empty.txt"):
+        (tmp_path / at).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / at).write_text(f"text of {at}", newline="")
+    got = rewrites.read_sources(eight, f"file://{tmp_path}", "Lib")
+    assert "binaryFile" not in got._jdf.queryExecution().toString()
+    files = eight.read.option("recursiveFileLookup", "true").format("binaryFile").load(f"file://{tmp_path}")
+    want = files.select(F.regexp_replace("path", "^file:/+", "file:///"), F.regexp_extract("path", "/(Lib/(?:include|src)/.+)$", 1).alias("file"), F.decode("content", "UTF-8"), F.sha2("content", 256)).where("file <> ''")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 5
