@@ -370,3 +370,18 @@ def test_migrate_headers(spark):
     lines, status = workloads.migrate_headers(source, parts, library)
     assert rows(lines.select("line")) == [("inline constexpr std::array<REL::ID, 1> A{ REL::ID(5) };",), ("inline constexpr std::array<REL::Offset, 1> B{ REL::Offset(0x30) };",)]
     assert rows(status.select("name", "status")) == [("A", "replace_with_ae_ids"), ("B", "new_in_ae_export"), ("Gone", "name_missing_and_old_id_absent")]
+
+
+def test_slot_runs_at_the_edges_of_blocks(spark):
+    """Runs over masks and blocks, of any alignment and sign, against counting; no start or word is sorted or looked up by itself."""
+    rng = random.Random(3)
+    at = [base + 8 * i for base in (0, 3, -8 * 700, 8 * 511, 1 << 40, -(1 << 63)) for i in range(1400) if rng.random() < 0.995] + [8 * i for i in range(3000, 3000 + 520)] + [(1 << 63) - 8 * i for i in range(1, 5)]
+    words = {a: (2 if rng.random() < 0.99 else 0) for a in at}
+    starts = sorted(set(rng.sample(at, 1500) + [0, 8, 8 * 63, 8 * 64, 8 * 511, 8 * 512, -8, 8 * 3000, 8 * 3007, 1 << 50]))
+    df = spark.createDataFrame([(a,) for a in starts] * 2 + [(None,)], "start bigint")
+    w = spark.createDataFrame([*words.items(), (None, 2)], "ea bigint, qword bigint")
+    for most in (512, 5, 64, 700):
+        run = lambda a: next((i for i in range(most) if words.get(a + 8 * i, 0) <= 1), most)  # noqa: B023, E731
+        got = profiles.slot_runs(df, w, F.col("qword") > 1, most)
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(a, run(a)) for a in starts] + [(None, 0)], key=str), most
