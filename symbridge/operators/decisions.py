@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from symbridge.operators.components import checkpointed
 from symbridge.operators.intervals import containing, nearest
 from symbridge.operators.lookups import aliases, first_wins, last_wins
 
@@ -154,33 +155,40 @@ def review_selection(rows: DataFrame, side: str = "ae221") -> DataFrame:
     return picked.select("og_id", "official_ae_id", "symbol_name", "kind", "confidence_tier", F.col("evidence").alias("match_evidence"), F.lit(side).alias("side"), F.col("og_rva" if side == "og" else "ae_rva").alias("target"))
 
 
-def function_evidence(rows: DataFrame, instructions: DataFrame, functions: DataFrame, strings: DataFrame, names: DataFrame) -> DataFrame:
+#: Lists of a function that its evidence tells.
+EVIDENCE = ("instructions", "calls", "data_refs", "strings", "callers", "incoming_data_refs")
+
+
+def function_evidence(rows: DataFrame, instructions: DataFrame, functions: DataFrame, strings: DataFrame, names: DataFrame, shown: dict[str, Column] | None = None) -> DataFrame:
     """review_selection() of functions with what the function at the target holds; status not_a_function where there is none.
 
     instructions: ea, func (a start_ea), text, callee and data_ref (addresses); functions: start_ea, end_ea, name and further columns
     (type, pseudocode); strings: ea, text; names: ea, name. References carry the name at their address, incoming ones their nearest
-    owner. Lists are bounded by a function, those of references to it by the selection: only its functions are looked at.
+    owner. Lists are bounded by a function, those of references to it by the selection: only its functions are looked at. Rows of
+    both sides may come together; a function is then looked at once. shown: other forms of the lists (by name, columns on EVIDENCE), made
+    once for each function, not for each row on it.
     """
-    placed = containing(rows.where("kind = 'function'"), functions, "target")
+    placed = checkpointed(containing(rows.where("kind = 'function'"), functions, "target"))
     picked = placed.select(F.col("start_ea").alias("func")).where("func IS NOT NULL").distinct()
     called = first_wins(names.select("ea", "name"), ["ea"], ["name"])
     at = lambda c: called.select(F.col("ea").alias(c), F.col("name").alias(f"{c}_name"))
     own = instructions.join(picked, "func", "left_semi").join(strings.select(F.col("ea").alias("data_ref"), F.col("text").alias("string")), "data_ref", "left")
     own = own.join(at("callee"), "callee", "left").join(at("data_ref"), "data_ref", "left")
-    listed = lambda target: F.array_sort(F.collect_list(F.when(F.col(target).isNotNull(), F.struct(F.col("ea").alias("from_rva"), F.col(target).alias("rva"), F.col(f"{target}_name").alias("name")))))
-    held = own.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("ea", "text"))).alias("i"), listed("callee").alias("calls"), listed("data_ref").alias("data_refs"), F.array_sort(F.collect_set("string")).alias("strings"))
+    listed = lambda target: F.sort_array(F.collect_list(F.when(F.col(target).isNotNull(), F.struct(F.col("ea").alias("from_rva"), F.col(target).alias("rva"), F.col(f"{target}_name").alias("name")))))
+    held = own.groupBy("func").agg(F.sort_array(F.collect_list(F.struct("ea", "text"))).alias("i"), listed("callee").alias("calls"), listed("data_ref").alias("data_refs"), F.sort_array(F.collect_set("string")).alias("strings"))
     held = held.withColumn("instructions", F.col("i.text")).drop("i")
     callers = instructions.select(F.col("func").alias("caller"), F.col("callee").alias("func")).join(picked, "func", "left_semi").join(at("caller"), "caller", "left")
-    callers = callers.groupBy("func").agg(F.array_sort(F.collect_list(F.struct(F.col("caller").alias("rva"), F.col("caller_name").alias("name")))).alias("callers"))
-    to = instructions.select(F.col("ea").alias("from_rva"), F.col("data_ref").alias("func")).join(picked, "func", "left_semi")
+    callers = callers.groupBy("func").agg(F.sort_array(F.collect_list(F.struct(F.col("caller").alias("rva"), F.col("caller_name").alias("name")))).alias("callers"))
+    to = checkpointed(instructions.select(F.col("ea").alias("from_rva"), F.col("data_ref").alias("func")).join(picked, "func", "left_semi"))  # nearest() looks at it thrice
     owned = nearest(to, called.select(F.col("ea").alias("owner_rva"), F.col("name").alias("owner_name")), "from_rva", "owner_rva", forward=False, within=OWNER_DISTANCE)
     slot = F.floor((F.col("from_rva") - F.col("owner_rva")) / 8).alias("slot")
-    incoming = owned.groupBy("func").agg(F.array_sort(F.collect_list(F.struct("from_rva", "owner_rva", "owner_name", slot))).alias("incoming_data_refs"))
-    out = placed.withColumnRenamed("start_ea", "func").join(held, "func", "left").join(callers, "func", "left").join(incoming, "func", "left")
+    incoming = owned.groupBy("func").agg(F.sort_array(F.collect_list(F.struct("from_rva", "owner_rva", "owner_name", slot))).alias("incoming_data_refs"))
+    lists = held.join(callers, "func", "full").join(incoming, "func", "full")
+    lists = lists.select("func", *((shown or {}).get(c, F.col(c)).alias(c) for c in EVIDENCE))
+    out = placed.withColumnRenamed("start_ea", "func").join(lists, "func", "left")
     more = [c for c in functions.columns if c not in ("start_ea", "end_ea")]
     return out.select(
-        *REVIEWED, F.when(F.col("func").isNull(), "not_a_function").otherwise("ok").alias("status"), F.col("func").alias("start_rva"), F.col("end_ea").alias("end_rva"), (F.col("end_ea") - F.col("func")).alias("size"), *more,
-        "instructions", "calls", "data_refs", "strings", "callers", "incoming_data_refs",
+        *REVIEWED, F.when(F.col("func").isNull(), "not_a_function").otherwise("ok").alias("status"), F.col("func").alias("start_rva"), F.col("end_ea").alias("end_rva"), (F.col("end_ea") - F.col("func")).alias("size"), *more, *EVIDENCE,
     )
 
 
@@ -193,11 +201,11 @@ def global_evidence(rows: DataFrame, words: DataFrame, instructions: DataFrame,
     at = picked.select("target").distinct()
     swapped = lambda q: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(q), 16, "0"), F.lit("(..)"), F.lit(1))), "")
     each = at.select("target", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("n")).join(words.select("ea", "qword"), F.col("ea") == F.col("target") + 8 * F.col("n"))
-    held = each.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("n", F.lower(swapped(F.col("qword"))).alias("hex")))).alias("l"))
+    held = each.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("n", F.lower(swapped(F.col("qword"))).alias("hex")))).alias("l"))
     held = held.where(F.size("l") == 8).select("target", F.array_join(F.col("l.hex"), "").alias("first_64_bytes"))
     refs = instructions.select(F.col("data_ref").alias("target"), F.col("ea").alias("from_rva"), F.col("func").alias("function_rva"), "text").join(at, "target", "left_semi")
     refs = refs.join(functions.select(F.col("start_ea").alias("function_rva"), F.col("name").alias("function_name")), "function_rva", "left")
-    refs = refs.groupBy("target").agg(F.array_sort(F.collect_list(F.struct("from_rva", "function_rva", "function_name", "text"))).alias("xrefs"))
+    refs = refs.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("from_rva", "function_rva", "function_name", "text"))).alias("xrefs"))
     named = first_wins(names.select(F.col("ea").alias("target"), "name"), ["target"], ["name"]).join(at, "target", "left_semi")
     inside = first_wins(containing(at, segments.select(F.col("name").alias("segment"), "start_ea", "end_ea"), "target", how="inner").select("target", "start_ea", "segment"), ["target"], ["start_ea", "segment"]).select("target", "segment")
     out = picked.join(held, "target", "left").join(refs, "target", "left").join(named, "target", "left").join(inside, "target", "left")

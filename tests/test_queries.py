@@ -203,3 +203,8 @@ def test_counts_of_a_function_are_dealt_once(spark):
     finally:
         profiles.clustered = table
     assert [len(re.findall(r"\bExchange ", p)) for p in seen] == [1, 1] and all("REPARTITION_BY_NUM" in p for p in seen)
+
+
+def test_evidence_numbers_instructions_once(spark):
+    plan = QUERIES["d5_review_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan  # its lists read what was numbered, once for both sides

@@ -295,3 +295,16 @@ def test_grouping_clustered_instructions_shuffles_nothing(spark):
         assert "Exchange hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
     same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
     assert same(profiles.contexts(i), profiles.contexts(code)) and same(profiles.semantic_hash(i), profiles.semantic_hash(code))
+
+
+def test_evidence_of_both_sides_looks_at_a_function_once(spark):
+    rows = spark.createDataFrame([(1, 11, "s", "function", "review", "ev", "conflict", 1001, 1002), (2, 12, "t", "function", "medium", "ev", None, 5000, 2000)],
+        "og_id bigint, official_ae_id bigint, symbol_name string, kind string, confidence_tier string, evidence string, existing_ae_id_status string, ae_rva bigint, og_rva bigint")
+    picked = decisions.review_selection(rows, "ae221").unionAll(decisions.review_selection(rows, "og"))
+    code = spark.createDataFrame([(1000, 1000, "b", 2000, 3000), (1000, 1004, "a", 2000, None), (2000, 2000, "c", None, 1000)], "func bigint, ea bigint, text string, callee bigint, data_ref bigint")
+    functions, names = spark.createDataFrame([(1000, 1010, "f"), (2000, 2010, "g")], "start_ea bigint, end_ea bigint, name string"), spark.createDataFrame([(2000, "g")], "ea bigint, name string")
+    shown = {"instructions": F.array_join("instructions", " "), "calls": F.size("calls"), "callers": F.array_join(F.col("callers.rva").cast("array<string>"), ",")}
+    out = decisions.function_evidence(picked, code, functions, spark.createDataFrame([(3000, "text")], "ea bigint, text string"), names, shown)
+    got = {(r["side"], r["og_id"]): (r["status"], r["name"], r["instructions"], r["calls"], r["strings"], r["callers"], [tuple(x) for x in r["incoming_data_refs"] or []]) for r in out.collect()}
+    f = ("ok", "f", "b a", 2, ["text"], None, [(2000, 2000, "g", 0)])
+    assert got == {("ae221", 1): f, ("og", 1): f, ("og", 2): ("ok", "g", "c", 0, [], "1000,1000", []), ("ae221", 2): ("not_a_function", None, None, None, None, None, [])}
