@@ -46,13 +46,15 @@ def s6_records(spark, d):
     strings = view(spark, d, "supplier").where("s_suppkey % 10 = 0").select((F.col("s_suppkey") * 1024).alias("ea"), F.col("s_name").alias("text"))
     names = view(spark, d, "customer").select((F.col("c_custkey") * 4096).alias("ea"), F.col("c_name").alias("name"))
     segments = spark.createDataFrame([(".text", 0, 1 << 40)], "name string, start_ea bigint, end_ea bigint")
-    r = records.function_records(pairs, "og", functions, _addressed(spark, d), block.select("func_ea", "start_ea", F.array("start_ea").alias("successors")), block, strings, names, segments)
-    shown = lambda x: F.concat_ws(":", x["rva"].cast("string"), x["name"], F.size(x["csv"]).cast("string"))
-    joined = lambda c, f=shown: F.coalesce(F.array_join(F.array_sort(F.transform(f"function.{c}", f)), ","), F.lit("")).alias(c)
-    maps = F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries("function.mnemonics")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","), F.lit(""))
+    told = lambda x: F.concat_ws(":", x["rva"].cast("string"), x["name"], F.size(x["csv"]).cast("string"))
+    joined = lambda c, f=told: F.array_join(F.sort_array(F.transform(c, f)), ",")
+    maps = F.array_join(F.transform(F.sort_array(F.map_entries("mnemonics")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    shown = {"mnemonics": maps, **{c: joined(c) for c in records.LISTS}, "strings": joined("strings", lambda x: x["text"])}
+    r = records.function_records(pairs, "og", functions, _addressed(spark, d), block.select("func_ea", "start_ea", F.array("start_ea").alias("successors")), block, strings, names, segments, shown)
+    given = lambda c, name=None: F.coalesce(f"function.{c}", F.lit("")).alias(name or c)
     return r.select(
-        "row", "og_id", "function.status", "function.start_rva", "function.size", F.col("function.instruction_count").alias("instructions"), F.col("function.semantic_sha256").alias("sha"), maps.alias("mnemonics"),
-        *(joined(c) for c in ("calls", "jumps", "data_refs", "callers")), joined("strings", lambda x: x["text"]), joined("incoming_data_refs").alias("incoming"),
+        "row", "og_id", "function.status", "function.start_rva", "function.size", F.col("function.instruction_count").alias("instructions"), F.col("function.semantic_sha256").alias("sha"), given("mnemonics"),
+        *(given(c) for c in ("calls", "jumps", "data_refs", "callers")), given("strings"), given("incoming_data_refs", "incoming"),
     )
 
 

@@ -46,6 +46,12 @@ def test_function_records(spark):
     g = got[3]["function"]
     assert [c["rva"] for c in g["callers"]] == [0x1000] and g["calls"] == [] and g["chunk_count"] == 1 and g["size"] == 0x10 and g["basic_block_count"] == 0
     whole = records.function_records(pairs, "og", functions, instructions, blocks, chunks, strings, names, segments)
+    shown = records.function_records(pairs, "og", functions, instructions, blocks, chunks, strings, names, segments, {"calls": F.size("calls"), "mnemonics": F.array_join(F.sort_array(F.map_keys("mnemonics")), ",")})
+    assert {r["row"]: (r["calls"], r["mnemonics"]) for r in shown.select("row", "function.calls", "function.mnemonics").collect()} == {2: (1, "call,jmp,mov"), 3: (0, "ret"), 4: (None, None), 6: (0, "ret")}
+    overlapping = segments.unionAll(spark.createDataFrame([(".late", 0x1800, 0x4000), (".also", 0x5000, 0x5001)], SEGMENTS))
+    used = spark.createDataFrame([(0x2000,), (0x5000,), (0x9000,), (0x2000,)], "rva bigint")
+    told = {r["rva"]: (r["reference"]["name"], r["reference"]["segment"], len(r["reference"]["csv"])) for r in records.references(used, names, overlapping, pairs, "og_rva").collect()}
+    assert told == {0x2000: ("f2", ".text", 3), 0x5000: ("g_Data", ".also", 0), 0x9000: ("", "", 0)}
     other = whole.withColumn("side", F.lit("ae"))
     report = {r["csv_row"]: (r["classification"], r["score"]) for r in workloads.score_pairs(whole, other).collect()}
     assert report == {2: ("exact_semantics", 1.0), 3: ("exact_semantics", 1.0), 4: ("unresolved", 0.0), 6: ("exact_semantics", 1.0)}
