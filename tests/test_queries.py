@@ -205,6 +205,27 @@ def test_counts_of_a_function_are_dealt_once(spark):
     assert [len(re.findall(r"\bExchange ", p)) for p in seen] == [1, 1] and all("REPARTITION_BY_NUM" in p for p in seen)
 
 
+def test_long_pairs_are_matched_together(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from symbridge.functions import sequences
+
+    rng = random.Random(3)
+    text = lambda k, n: "".join(rng.choices("abcdefghijklmnopqrst"[:k], k=n))
+    old = [text(rng.randint(1, 20), rng.choice([65, 129, 254, 255, 400, 900])) for _ in range(60)]
+    pairs = [(a, text(20, 300)) for a in old] + [(a, a[: len(a) // 3] + "Z" + a[len(a) // 3 :]) for a in old] + [("ab" * 300, "ba" * 310), ("\U0001f600" * 70 + "x", "x" + "\U0001f600" * 90), ("a" * 500, "b")]
+    want = [SequenceMatcher(None, a, b, autojunk=False).ratio() for a, b in pairs]
+    monkeypatch.setattr(sequences, "SequenceMatcher", None)  # none of these is matched by itself
+    assert sequences.ratios([a for a, _ in pairs], [b for _, b in pairs], False).tolist() == want
+    twice = pairs + [(None, "a"), ("a", None), ("", ""), ("", "a")] + pairs[::-1]
+    got = sequences.column_ratios(pa.array([a for a, _ in twice]), pa.array([b for _, b in twice]), False)
+    assert got.to_pylist() == [*want, None, None, 1.0, 0.0, *want[::-1]]
+    lists = sequences.column_ratios(pa.array([None, ["a", "b", None], [], ["q"], ["x", "y", "x"]])[1:], pa.array([["a"], ["b", None, "a"], [], None, ["y", "x"]])[1:])
+    assert lists.to_pylist() == [pytest.approx(4 / 6), 1.0, None, pytest.approx(0.8)]
+
+
 def test_evidence_numbers_instructions_once(spark):
     plan = QUERIES["d5_review_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan  # its lists read what was numbered, once for both sides
