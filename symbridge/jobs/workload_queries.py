@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symbridge.jobs import discovery, records, workloads
 from symbridge.jobs.registry import query, view
+from symbridge.operators.components import checkpointed
 from symbridge.sources import listings
 from symbridge.sources.folders import new_folder
 
@@ -125,6 +126,7 @@ def w7_workload(spark, d):
 def s7_workload(spark, d):
     """Functions as their own new side: all equal but for a member offset and the hash of every fifth, and a missing function in every 13th."""
     f = view(spark, d, "instr").groupBy("func").agg(F.count("*").alias("n"), F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("sig"))), 256).alias("sha"))
+    f = checkpointed(f)  # looked at for both sides
     k = F.col("func")
 
     def side(name: str, modulus: int):

@@ -73,9 +73,9 @@ def compare_exports(og: DataFrame, ae: DataFrame, folder: str) -> dict[str, int]
     seen = _scored_pairs(og, ae).observe(told, *(F.count_if(c).alias(n) for n, c in counts.items()))
     rows = components.checkpointed(seen.where(kept).withColumn("_changed", F.coalesce(changed, F.lit(False))))
     digits = [F.format_string("%.4f", c).alias(c) if c == "score" or c.endswith("_score") else F.when(F.col(c), "yes").otherwise("no").alias(c) if c == "exact_semantic_hash" else scalars.render_rva(F.col(c)).alias(c) if c.endswith("_rva") else F.col(c) for c in COMPARISON_FIELDS]
-    shown = rows.select(*digits)
-    listings.write_report(shown, COMPARISON_FIELDS, f"{folder}/comparison.csv", ["csv_row"])
-    listings.write_report(decisions.split_suspects(shown)[0], COMPARISON_FIELDS, f"{folder}/suspects.csv", ["csv_row"])
+    shown, in_order = rows.select(*digits), rows.repartitionByRange("csv_row").sortWithinPartitions("csv_row").select(*digits)  # text is made after sorting
+    listings.write_report(in_order, COMPARISON_FIELDS, f"{folder}/comparison.csv")
+    listings.write_report(decisions.split_suspects(in_order)[0], COMPARISON_FIELDS, f"{folder}/suspects.csv")
     members = decisions.offset_changes(rows.where("_changed").withColumnRenamed("csv_row", "row")).withColumnRenamed("row", "csv_row").join(shown.select("csv_row", "csv_name", "og_id", "ae_id", "score"), "csv_row")
     listings.write_report(members, MEMBER_FIELDS, f"{folder}/members.csv", ["csv_row"])
     out = {n: int(told.get[n]) for n in counts}

@@ -156,8 +156,9 @@ def write_report(rows: DataFrame, fields: list[str], path: str, order: list[str]
     """
     out = io.StringIO()
     csv.writer(out, delimiter=sep).writerow(fields)
-    lines_ = rows.withColumn("_line", quoted_line([F.col(c) for c in fields], sep))
-    write_text(lines_, "_line", path, order or [], head=(MARK if mark else "") + out.getvalue(), ending="\r\n")
+    # lines are made of rows in order: finding the ranges to sort them by would make them too
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    write_text(ordered.select(quoted_line([F.col(c) for c in fields], sep).alias("_line")), "_line", path, [], head=(MARK if mark else "") + out.getvalue(), ending="\r\n")
 
 
 def read_report(spark: SparkSession, path: str, fields: list[str], sep: str = ";") -> DataFrame:

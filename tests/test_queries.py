@@ -229,3 +229,16 @@ def test_long_pairs_are_matched_together(monkeypatch):
 def test_evidence_numbers_instructions_once(spark):
     plan = QUERIES["d5_review_evidence"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan  # its lists read what was numbered, once for both sides
+
+
+def test_reports_make_text_after_sorting(spark, monkeypatch):
+    from symbridge.sources import listings
+
+    plans = []
+    write = listings.write_text
+    monkeypatch.setattr(listings, "write_text", lambda lines, *rest, **more: (plans.append(lines._jdf.queryExecution().optimizedPlan().toString()), write(lines, *rest, **more)))
+    QUERIES["s7_comparison_workload"](spark, SF)
+    assert len(plans) == 3
+    for plan in plans:  # from the last step to the first
+        assert "concat_ws" in plan and "concat_ws" not in plan[plan.index("RepartitionByExpression") :]
+    assert all("format_string" not in plan[plan.index("RepartitionByExpression") :] for plan in plans[:2])
