@@ -105,7 +105,7 @@ def w7_workload(spark, d):
     ref, k = F.col("data_ref"), F.col("func")
     refs = view(spark, d, "instr").select((k - k % 2).cast("int").alias("row"), (k % 2).alias("new"), F.struct(ref.alias("rva"), F.concat(F.lit("n"), ref % 3).alias("name"), F.when(ref % 2 == 0, ".data").otherwise(".rdata").alias("segment")).alias("r")).distinct()
     side = lambda n: refs.where(F.col("new") == n).groupBy("row").agg(F.struct(F.lit("ok").alias("status"), F.collect_list("r").alias("data_refs")).alias("function"))
-    og, ae = side(0), side(1)
+    og, ae = checkpointed(side(0)), checkpointed(side(1))  # exports, which are read more than once
     s = F.col("s_suppkey")
     targets = view(spark, d, "supplier").where("s_suppkey % 9 < 2").select((s + 5000).alias("og_id"), F.when(s % 9 == 0, s).otherwise(-s).alias("rva"))
     both = og.select("row").join(ae.select("row"), "row")

@@ -242,3 +242,12 @@ def test_reports_make_text_after_sorting(spark, monkeypatch):
     for plan in plans:  # from the last step to the first
         assert "concat_ws" in plan and "concat_ws" not in plan[plan.index("RepartitionByExpression") :]
     assert all("format_string" not in plan[plan.index("RepartitionByExpression") :] for plan in plans[:2])
+
+
+def test_coreferences_read_exports_that_were_cut(spark, monkeypatch):
+    from symbridge.jobs import workloads
+
+    sides, rank = [], workloads.rank_coreferences
+    monkeypatch.setattr(workloads, "rank_coreferences", lambda og, ae, targets: (sides.extend([og, ae]), rank(og, ae, targets))[1])
+    QUERIES["w7_coreference_workload"](spark, SF)
+    assert all("l_orderkey" not in side._jdf.queryExecution().optimizedPlan().toString() for side in sides)
