@@ -385,3 +385,37 @@ def test_slot_runs_at_the_edges_of_blocks(spark):
         got = profiles.slot_runs(df, w, F.col("qword") > 1, most)
         assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(tuple, got.collect()), key=str) == sorted([(a, run(a)) for a in starts] + [(None, 0)], key=str), most
+
+
+@pytest.mark.parametrize("sizes", [(1 << 13, 1 << 19), (40, 64), (45, 200)])
+def test_conflicts_name_the_other_high_ids(spark, monkeypatch, sizes):
+    """Against all pairs: ids with rows of several tiers, rows without an rva or evidence, and texts dealt as long and as short ones."""
+    monkeypatch.setattr(decisions, "LONG", sizes[0])
+    monkeypatch.setattr(decisions, "TEXTS", sizes[1])
+    rng = random.Random(5)
+    given = [(rng.randrange(60), rng.choice([None, 1, 2, 2, 2, 3, 4, 5, 6]), rng.choice(["high", "medium", "review", "unresolved"]), rng.choice(["a", "b", "", None])) for _ in range(150)]
+    given += [(900, 7, "high", "a"), (900, 7, "medium", "a"), (901, 8, "medium", "a"), (None, 2, "review", "a")]
+    want = []
+    for i, rva, tier, evidence in given:
+        others = sorted({j for j, at, t, _ in given if t == "high" and rva is not None and at == rva and i is not None and j != i})
+        if tier in ("medium", "review") and others:
+            tier, evidence = "review", None if evidence is None else evidence + "_rva_conflicts_with_high_id_" + ",".join(map(str, others))
+        want.append((i, rva, tier, evidence))
+    df = spark.createDataFrame(given, "og_id bigint, ae_rva bigint, confidence_tier string, evidence string")
+    assert rows(decisions.demote_conflicts(df)) == sorted(want, key=str)
+
+
+def test_texts_of_crowded_rvas_are_written_once(spark, tmp_path):
+    """Of 250 MB of texts, 3 MB are different: a file holds each of these once, if rows of a text stand together and few texts share a partition."""
+    high = spark.range(2 * 30000).select((F.col("id") + 10_000_000).alias("og_id"), (F.col("id") % 2).alias("ae_rva"), F.lit("high").alias("confidence_tier"), F.lit("sure").alias("evidence"))
+    doubtful = spark.range(960).select(F.col("id").alias("og_id"), (F.col("id") % 2).alias("ae_rva"), F.lit("review").alias("confidence_tier"), F.concat(F.lit("kind"), (F.col("id") / 2 % 6).cast("int")).alias("evidence"))
+    path = tmp_path / "out"
+    out = decisions.demote_conflicts(high.unionAll(doubtful))
+    out.write.parquet(str(path))
+    assert sum(f.stat().st_size for f in path.iterdir()) < 8_000_000
+    back = spark.read.parquet(str(path))
+    texts = back.where("og_id < 960").groupBy("ae_rva", "evidence").count().collect()
+    want = {(a, f"kind{k}_rva_conflicts_with_high_id_" + ",".join(str(10_000_000 + i) for i in range(a, 60000, 2))) for a in (0, 1) for k in range(6)}
+    assert {(r["ae_rva"], r["evidence"]): r["count"] for r in texts} == dict.fromkeys(want, 80)
+    per = out.where("og_id < 960").groupBy(F.spark_partition_id().alias("p")).agg(F.collect_set("evidence").alias("e")).select(F.aggregate("e", F.lit(0), lambda n, x: n + F.length(x)).alias("n")).collect()
+    assert max(r["n"] for r in per) < 1 << 20
