@@ -290,7 +290,7 @@ def replacement_summary(selected: DataFrame, applied: DataFrame) -> DataFrame:
 
 
 def apply_ids(files: DataFrame, resolved: DataFrame) -> DataFrame:
-    """files (file, text) with id tokens replaced, all at once: file, text, replaced, already, changed; conflicting new ids are an error.
+    """files (file, text and others) with id tokens replaced, all at once: file, text, replaced, already, changed and the others; conflicting new ids are an error.
 
     resolved: (og_id, new_id, file). A file that holds neither the old nor the new token of one of its rows is an error.
     """
@@ -308,4 +308,5 @@ def apply_ids(files: DataFrame, resolved: DataFrame) -> DataFrame:
     renewed = F.transform(tokens, lambda t: F.coalesce(F.concat(F.lit("REL::ID("), F.try_element_at("ids", F.regexp_extract(t, r"\d+", 0)), F.lit(")")), t))
     new = F.array_join(F.zip_with(pieces, renewed, lambda p, t: F.concat(p, F.coalesce(t, F.lit("")))), "")
     text = F.when(lost, F.raise_error(F.concat(F.lit("a token stands in neither form in "), F.col("file"))).cast("string")).otherwise(new)
-    return j.select("file", text.alias("_new"), (new != F.col("text")).alias("changed"), F.size(F.filter(ids, lambda i: F.map_contains_key("ids", i))).alias("replaced"), F.size(F.filter(olds, lambda o: ~there(o) & there(F.element_at("ids", o)))).alias("already")).select("file", F.col("_new").alias("text"), "replaced", "already", "changed")
+    others = [c for c in files.columns if c not in ("file", "text")]
+    return j.select("file", *others, text.alias("_new"), (new != F.col("text")).alias("changed"), F.size(F.filter(ids, lambda i: F.map_contains_key("ids", i))).alias("replaced"), F.size(F.filter(olds, lambda o: ~there(o) & there(F.element_at("ids", o)))).alias("already")).select("file", F.col("_new").alias("text"), "replaced", "already", "changed", *others)

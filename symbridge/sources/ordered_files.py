@@ -5,6 +5,7 @@ the rows of these to a part each, under a staging folder beside the files; the f
 file of the staging folder, so what a task tells the driver does not grow with its files. Commit puts the shared files together (head, parts
 in the order of the tasks, tail), in chunks of bounded size and several files at once, and gives all files their names when all are
 whole; abort removes the staging folder, so no file is ever half there. Of a shared file the bytes pass the commit's copy once; nothing of them is held.
+Of many files (write_texts()), commit leaves those that a task has put together to tasks, which name them (moved()).
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from itertools import islice
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 CHUNK = 8 << 20
@@ -36,6 +38,32 @@ def in_turn(store, lists: list[str]) -> Iterator[list]:
                 yield some
 
 
+def moved(files: DataFrame, folder: str) -> None:
+    """Tasks move staged files to their places: rows of staged (a path in the store of the folder, a URI) and file (a path from the folder). A move that is repeated after a loss finds its work done."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for staged, file in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    store.move(staged, f"{root}/{file}")
+                except FileNotFoundError:
+                    if store.get_file_info(staged).type != fs.FileType.NotFound:
+                        raise  # else the task has begun before, and moved this file then
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    files.select("staged", "file").mapInArrow(move, "n bigint").agg(F.sum("n")).first()
+
+
+def removed(store, folder: str) -> None:
+    from pyarrow import fs
+
+    if store.get_file_info(folder).type != fs.FileType.NotFound:
+        store.delete_dir(folder)
+
+
 @dataclass
 class Parts(WriterCommitMessage):
     """What a task has written: (file, path of the part, entries) of the files it may share, in its order, and where it lists the whole ones (whole file, file)."""
@@ -51,8 +79,9 @@ class OrderedWriter(DataSourceArrowWriter):
     #: Files that there are even without rows.
     always: tuple[str, ...] = ()
 
-    def __init__(self, folder: str):
-        self.folder, self.job = folder, uuid.uuid4().hex
+    def __init__(self, folder: str, staging: str | None = None):
+        """staging: a name for the staging folder in the folder; commit then leaves it, with the lists of whole files that are to be named in its folder `lists`."""
+        self.folder, self.left, self.staging = folder, staging is not None, staging or f"_staging-{uuid.uuid4().hex}"
 
     def pieces(self, batch: pa.RecordBatch) -> Iterator[tuple[str, bytes, int]]:
         """(file, bytes, entries) of runs of a batch's rows."""
@@ -68,10 +97,11 @@ class OrderedWriter(DataSourceArrowWriter):
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(self.folder)
-        return store, root, f"{root}/_staging-{self.job}"
+        return store, root, f"{root}/{self.staging}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Parts:
         store, _, staging = self._store()
+        staging = f"{staging}/{uuid.uuid4().hex}"  # a folder a task: files made in one folder wait for each other
         store.create_dir(staging, recursive=True)
         told, now, out, listing = Parts(TaskContext.get().partitionId()), None, None, None
         held: list[bytes] = []
@@ -155,24 +185,28 @@ class OrderedWriter(DataSourceArrowWriter):
                 name = lambda entry: store.move(entry[0], f"{root}/{entry[1]}")
                 done = list(pool.map(join, enumerate(files)))
                 list(pool.map(name, done))
-                for some in in_turn(store, [m.listed for m in told if m.listed]):
-                    list(pool.map(name, some))
+                lists = [m.listed for m in told if m.listed]
+                if self.left:
+                    store.create_dir(f"{staging}/lists")
+                    for n, listed in enumerate(lists):
+                        store.move(listed, f"{staging}/lists/{n}")
+                else:
+                    for some in in_turn(store, lists):
+                        list(pool.map(name, some))
         finally:
-            store.delete_dir(staging)
+            if not self.left:
+                store.delete_dir(staging)
 
     def abort(self, messages: list[Parts | None]) -> None:
-        from pyarrow import fs
-
         store, _, staging = self._store()
-        if store.get_file_info(staging).type != fs.FileType.NotFound:
-            store.delete_dir(staging)
+        removed(store, staging)
 
 
 class TextWriter(OrderedWriter):
     """Lines, each with the ending, of one named file or of the file that stands before them; head and tail as they are."""
 
-    def __init__(self, folder: str, name: str | None, head: str, tail: str, ending: str):
-        super().__init__(folder)
+    def __init__(self, folder: str, name: str | None, head: str, tail: str, ending: str, staging: str | None = None):
+        super().__init__(folder, staging)
         self.always, self.opening, self.closing, self.ending = () if name is None else (name,), head.encode(), tail.encode(), ending
 
     def pieces(self, batch: pa.RecordBatch) -> Iterator[tuple[str, bytes, int]]:
@@ -198,7 +232,7 @@ class OrderedText(DataSource):
 
     def writer(self, schema, overwrite: bool) -> TextWriter:
         o = self.options
-        return TextWriter(o["path"], o.get("name"), o.get("head", ""), o.get("tail", ""), o.get("ending", "\n"))
+        return TextWriter(o["path"], o.get("name"), o.get("head", ""), o.get("tail", ""), o.get("ending", "\n"), o.get("staging"))
 
 
 def write_text(lines: DataFrame, value: str, path: str, order: list[str], head: str = "", tail: str = "", ending: str = "\n") -> None:
@@ -211,6 +245,16 @@ def write_text(lines: DataFrame, value: str, path: str, order: list[str], head:
 
 def write_texts(lines: DataFrame, file: str, value: str, folder: str, order: list[str], head: str = "", tail: str = "", ending: str = "\n") -> None:
     """A text file in the folder for each value of the column `file` (a name), of its lines in the order of other columns."""
-    lines.sparkSession.dataSource.register(OrderedText)
+    from pyarrow import fs
+
+    spark, staging = lines.sparkSession, f"_staging-{uuid.uuid4().hex}"
+    lists = ("file://" if folder.startswith("/") else "") + f"{folder}/{staging}/lists"
+    spark.dataSource.register(OrderedText)
     rows = lines.repartitionByRange(file, *order).sortWithinPartitions(file, *order).select(lines[file].alias("file"), lines[value].alias("value"))
-    rows.write.format("ordered_text").options(head=head, tail=tail, ending=ending).mode("append").save(folder)
+    try:
+        rows.write.format("ordered_text").options(head=head, tail=tail, ending=ending, staging=staging).mode("append").save(folder)
+        entry = F.from_json("value", "array<string>")
+        moved(spark.read.schema("value string").text(lists).select(entry[0].alias("staged"), entry[1].alias("file")), folder)
+    finally:
+        store, root = fs.FileSystem.from_uri(folder)
+        removed(store, f"{root}/{staging}")

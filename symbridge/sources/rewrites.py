@@ -1,9 +1,10 @@
 """Source files rewritten as a whole or not at all.
 
-New texts are staged beside the tree by many tasks, each with the digest of the text that it replaces. When all are staged, every original is
-digested again: if one has changed meanwhile, nothing is written. Then each staged file is moved over its original, so that a file is
-old or new and never half; a move that is repeated after a loss finds its work done. Abort removes the staging folder. The driver holds
-neither the files' names nor their states: tasks list the tree, a folder each, and list what they staged in the staging folder.
+New texts are staged beside the tree by many tasks, a folder each, with the digest of the text that each was made from. When all are staged, every
+original is digested again: if one has changed meanwhile, nothing is written. Then each staged file is moved over its original, so that a
+file is old or new and never half; a move that is repeated after a loss finds its work done. At the end, or on a failure, the staging folder is
+removed. Tasks do all of this (rewrite()): the driver holds neither the files' names nor their states, and its time does not grow with them. A table that is
+written to the data source itself is staged by tasks alike, but its commit, which has no tasks, compares and moves.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from symbridge.operators import decisions
 from symbridge.operators.components import checkpointed
-from symbridge.sources.ordered_files import in_turn
+from symbridge.sources.ordered_files import in_turn, moved, removed
 
 FILES_AT_ONCE = 16
 #: Names, or bytes of contents, in a batch.
@@ -52,16 +53,13 @@ class Rewriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         store, staging = self._store()
-        store.create_dir(staging, recursive=True)
-        listed = f"{staging}/list-{uuid.uuid4().hex}"
-        with store.open_output_stream(listed, compression=None) as listing:
-            for batch in iterator:
-                for path, text, digest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    staged = f"{staging}/{uuid.uuid4().hex}"
-                    with store.open_output_stream(staged, compression=None) as out:
-                        out.write(text.encode())
-                    listing.write((json.dumps([path, staged, digest]) + "\n").encode())
-        return Staged(listed)
+        own = f"{staging}/{uuid.uuid4().hex}"
+        store.create_dir(own, recursive=True)
+        with store.open_output_stream(f"{own}/list", compression=None) as listing:
+            for batch in _stage(store, own, iterator):
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    listing.write((json.dumps(row) + "\n").encode())
+        return Staged(f"{own}/list")
 
     def commit(self, messages: list[Staged | None]) -> None:
         from pyarrow import fs
@@ -69,30 +67,74 @@ class Rewriter(DataSourceArrowWriter):
         store, staging = self._store()
         lists = [m.listed for m in messages if m is not None]
 
-        def same(f: tuple[str, str, str]) -> bool:
-            with store.open_input_stream(_path(f[0]), compression=None) as data:
-                return hashlib.sha256(data.read()).hexdigest() == f[2]
-
         try:
             with ThreadPoolExecutor(FILES_AT_ONCE) as pool:
                 changed, first = 0, None
                 for files in in_turn(store, lists):
-                    for f, ok in zip(files, pool.map(same, files), strict=True):
+                    for f, ok in zip(files, pool.map(lambda f: _digest(store, _path(f[0])) == f[2], files), strict=True):
                         changed, first = changed + (not ok), first if ok else first or f[0]
-                if changed:
-                    raise ValueError(f"{changed} files have changed meanwhile, the first is {first}; nothing was written")
+                _none_changed(changed, first)
                 for files in in_turn(store, lists):
                     list(pool.map(lambda f: store.move(f[1], _path(f[0])), files))
         finally:
-            if store.get_file_info(staging).type != fs.FileType.NotFound:
-                store.delete_dir(staging)
+            removed(store, staging)
 
     def abort(self, messages: list[Staged | None]) -> None:
+        removed(*self._store())
+
+
+def _stage(store, own: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, staged path, digest) of batches of path, text and digest, whose texts are made files of a task's own folder: files made in one folder wait for each other."""
+    number = 0
+    for batch in batches:
+        paths, texts, digests = batch.columns
+        staged = [f"{own}/{number + n}" for n in range(batch.num_rows)]
+        number += batch.num_rows
+        for at, text in zip(staged, texts.to_pylist(), strict=True):
+            with store.open_output_stream(at, compression=None) as out:
+                out.write(text.encode())
+        yield pa.RecordBatch.from_arrays([paths, pa.array(staged, pa.string()), digests], ["at", "staged", "digest"])
+
+
+def _digest(store, path: str) -> str:
+    with store.open_input_stream(path, compression=None) as data:
+        return hashlib.sha256(data.read()).hexdigest()
+
+
+def _none_changed(changed: int, first: str | None) -> None:
+    if changed:
+        raise ValueError(f"{changed} files have changed meanwhile, the first is {first}; nothing was written")
+
+
+def rewrite(rows: DataFrame, folder: str) -> None:
+    """Writes texts over the files of a folder (a URI), all or none: rows of at (path from the folder), text and digest (of the file's bytes when it was read)."""
+    job = f".staging-{uuid.uuid4().hex}"
+
+    def store_of():
         from pyarrow import fs
 
-        store, staging = self._store()
-        if store.get_file_info(staging).type != fs.FileType.NotFound:
-            store.delete_dir(staging)
+        return fs.FileSystem.from_uri(folder)
+
+    def stage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of()
+        own = f"{job}/{uuid.uuid4().hex}"
+        store.create_dir(f"{top}/{own}", recursive=True)
+        yield from _stage(store, f"{top}/{own}", batches)
+
+    def changed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = store_of()
+        for batch in batches:
+            ats, _, digests = (c.to_pylist() for c in batch.columns)
+            found = [at for at, digest in zip(ats, digests, strict=True) if _digest(store, f"{top}/{at}") != digest]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["at"])
+
+    try:
+        staged = checkpointed(rows.select("at", "text", "digest").mapInArrow(stage, "at string, staged string, digest string"))
+        _none_changed(*staged.mapInArrow(changed, "at string").agg(F.count("*"), F.min("at")).first())
+        moved(staged.select("staged", F.col("at").alias("file")), folder)
+    finally:
+        store, top = store_of()
+        removed(store, f"{top}/{job}")
 
 
 def _path(uri: str) -> str:
@@ -159,10 +201,14 @@ def tree_files(spark: SparkSession, folder: str) -> DataFrame:
         level = below.repartition(spark.sparkContext.defaultParallelism, "at")
 
 
+def _base(folder: str) -> str:
+    """A folder's URI, as files' paths begin with it."""
+    return ("file://" + folder if folder.startswith("/") else re.sub("^file:/+", "file:///", folder)).rstrip("/")
+
+
 def read_sources(spark: SparkSession, folder: str, root: str) -> DataFrame:
     """path (URI), file (root/include/.. or root/src/.., as locations name it), text and digest of the files of a source tree in the folder."""
-    base = "file://" + folder if folder.startswith("/") else re.sub("^file:/+", "file:///", folder)
-    base = base.rstrip("/")
+    base = _base(folder)
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -192,10 +238,9 @@ def apply_report(spark: SparkSession, report: DataFrame, folder: str, root: str,
     """
     sources = read_sources(spark, folder, root)
     selected = decisions.select_replacements(report, root, tiers, include_existing)
-    applied = checkpointed(decisions.apply_ids(sources.select("file", "text"), selected))
+    # texts and digests are of one reading, so a change after it is seen
+    applied = checkpointed(decisions.apply_ids(sources, selected))
     if apply:
-        new = applied.where("changed").select("file", F.col("text").alias("new"))
-        rows = sources.drop("text").join(new, "file").select("path", F.col("new").alias("text"), "digest")
-        spark.dataSource.register(RewrittenFiles)
-        rows.write.format("rewritten_files").mode("append").save(folder)
+        base = _base(folder)
+        rewrite(applied.where("changed").select(F.expr(f"substring(path, {len(base) + 2})").alias("at"), "text", "digest"), base)
     return decisions.replacement_summary(selected, applied)

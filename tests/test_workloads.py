@@ -255,6 +255,49 @@ def test_sources_are_rewritten_as_a_whole(spark, tmp_path):
     assert now()["src/c.cpp"] == before["src/c.cpp"]
 
 
+def test_a_change_after_reading_is_seen(spark, tmp_path, monkeypatch):
+    """A file that changes after its text was read, but before it is staged, keeps the change, and no other is written; names need no escapes."""
+    now = tree(tmp_path)
+    odd = tmp_path / "Lib/src/b c%20é.cpp"
+    odd.write_text("REL::ID(5)")
+    folder, cut = f"file://{tmp_path}", rewrites.checkpointed
+    row = lambda old, new, where: (old, new, "high", "conflict", "resolved_unique", "id_only", where)
+    report = spark.createDataFrame([row(5, 6, "Lib/src/c.cpp:1,Lib/src/b c%20é.cpp:1"), row(11, 12, "Lib/src/b.cpp:1")], REPORT)
+
+    def changing(df):
+        out = cut(df)
+        if "replaced" in out.columns:
+            (tmp_path / "Lib/src/c.cpp").write_text("REL::ID(5) more")
+        return out
+
+    monkeypatch.setattr(rewrites, "checkpointed", changing)
+    before = now()
+    with pytest.raises(Exception, match="1 files have changed meanwhile, the first is Lib/src/c.cpp"):
+        rewrites.apply_report(spark, report, folder, "Lib", apply=True)
+    assert now() == before | {"src/c.cpp": "REL::ID(5) more"} and odd.read_text() == "REL::ID(5)"
+    monkeypatch.setattr(rewrites, "checkpointed", cut)
+    monkeypatch.setattr(rewrites.Rewriter, "commit", None)  # tasks compare and move, not a commit in the driver
+    got = {r["metric"]: r["value"] for r in rewrites.apply_report(spark, report, folder, "Lib", apply=True).collect()}
+    assert got == {"selected_rows": 2, "files_affected": 3, "tokens_replaced": 3, "already_applied": 0}
+    assert now() == before | {"src/c.cpp": "REL::ID(6) more", "src/b.cpp": "x REL::ID(12) y"} and odd.read_text() == "REL::ID(6)"
+    assert sorted(os.listdir(tmp_path)) == ["Lib"]
+
+
+def test_a_repeated_move_finds_its_work_done(spark, tmp_path):
+    from symbridge.sources.ordered_files import moved
+
+    (tmp_path / "staged").mkdir()
+    for n in range(3):
+        (tmp_path / f"staged/{n}").write_text(f"text {n}")
+    files = spark.createDataFrame([(f"{tmp_path}/staged/{n}", f"to {n}") for n in range(3)], "staged string, file string")
+    moved(files.limit(2), f"file://{tmp_path}")
+    moved(files, f"file://{tmp_path}")
+    assert [(tmp_path / f"to {n}").read_text() for n in range(3)] == ["text 0", "text 1", "text 2"]
+    with pytest.raises(Exception, match="nowhere"):  # what is staged, and can't be moved, is an error
+        (tmp_path / "staged/0").write_text("again")
+        moved(files.limit(1).withColumn("file", F.lit("nowhere/0")), f"file://{tmp_path}")
+
+
 def test_changed_or_lost_sources_stay(spark, tmp_path):
     now = tree(tmp_path)
     before, folder = now(), f"file://{tmp_path}"
